@@ -3,11 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import chat, html, mixing, quality, sharding
 from .common import table
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document lies in the newest version, after eight arrivals."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.sharded(docs)
+    if not store.version():
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), *(F.lit("").alias(c) for c in ("run", "shard")), F.lit(0).cast("long").alias("shard_bytes")).limit(0)
+    rows = store.located()
+    return rows.select("row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"), F.substring("run", 1, 8).alias("run"), F.concat(F.substring("shard", 1, 8), F.substring_index("shard", "/", -1)).alias("shard"), "shard_bytes")
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("removed_keys")
 
@@ -16,11 +35,43 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_sharding, op5_chat_formatting, op8_quality_rules, op10_source_mixing)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE = {
+    # For pages whose article is marked: its blocks are what stands between paragraph and heading tags.
+    "op2_html_extraction": r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'),
+                                      '(?is)<article[^>]*>(.*?)</article>', 1) AS body
+  FROM pages),
+b AS (
+  SELECT page_id, url, list_filter(list_transform(string_split_regex(body, '(?i)</?(?:p|h1)(?:\s[^>]*)?>'), lambda x:
+    trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))),
+    lambda x: x <> '') AS parts
+  FROM a)
+SELECT page_id, url, array_to_string(parts, chr(10) || chr(10)) AS text, length(array_to_string(parts, chr(10) || chr(10)))::BIGINT AS n_chars FROM b""",
+    "op5_chat_formatting": """
+WITH t AS (
+  SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
+         replace(coalesce(text, ''), '<|im_', '< |im_') AS text, (greatest(coalesce(turn, 0), 0) // 64)::BIGINT AS part
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+s AS (
+  SELECT t.conv_id, p.speaker, t.part, t.role = p.speaker AS own, row_number() OVER w AS k,
+         '<|im_start|>' || CASE WHEN t.role = 'system' THEN 'system' WHEN t.role = p.speaker THEN 'assistant' ELSE 'user name=' || t.role END || chr(10) AS head,
+         t.text || '<|im_end|>' AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+  WINDOW w AS (PARTITION BY t.conv_id, p.speaker, t.part ORDER BY t.turn, t.role, t.text)),
+a AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+    PARTITION BY conv_id, speaker, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start
+  FROM s)
+SELECT conv_id, speaker, part, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
+       coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY k) FILTER (WHERE own), '') AS mask,
+       count(*) AS n_turns, coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_trained
+FROM a GROUP BY conv_id, speaker, part""",
     "op8_quality_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, source, coalesce(text, '') AS text,
