@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, mixing, quality, sharding
+from . import chat, html, mixing, quality, secrets, sharding
 from .common import table
 
 
@@ -31,11 +31,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("removed_keys")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.trained(docs, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_sharding, op5_chat_formatting, op8_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_sharding, op5_chat_formatting, op8_quality_rules, op9_secret_scan, op10_source_mixing)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
