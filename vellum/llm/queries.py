@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html, mixing, quality, secrets, sharding
+from . import chat, embeddings, html, mixing, quality, secrets, sentencepiece, sharding
 from .common import table
 
 
@@ -23,10 +23,20 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"), F.substring("run", 1, 8).alias("run"), F.concat(F.substring("shard", 1, 8), F.substring_index("shard", "/", -1)).alias("shard"), "shard_bytes")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether decoding them gives its text again."""
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece.decode(sentencepiece.encode(docs)).select("doc_id", "n_tokens", "token_ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("removed_keys")
 
@@ -40,7 +50,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_sharding, op5_chat_formatting, op8_quality_rules, op9_secret_scan, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_sharding, op4_sentencepiece, op5_chat_formatting, op6_embedding_near_dedup, op8_quality_rules, op9_secret_scan, op10_source_mixing)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,6 +87,22 @@ SELECT conv_id, speaker, part, string_agg(head || body || chr(10), '' ORDER BY k
        coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY k) FILTER (WHERE own), '') AS mask,
        count(*) AS n_turns, coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_trained
 FROM a GROUP BY conv_id, speaker, part""",
+    "op6_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.m AS component_id, e.vec_id = m.m AS kept
+FROM embeddings e
+JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) m ON m.a = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id""",
     "op8_quality_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, source, coalesce(text, '') AS text,
