@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, html, mixing, quality, secrets, sentencepiece, sharding
+from . import chat, embeddings, html, minhash, mixing, quality, secrets, sentencepiece, sharding
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("removed_keys")
 
@@ -50,7 +54,20 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_html_extraction, op3_sharding, op4_sentencepiece, op5_chat_formatting, op6_embedding_near_dedup, op8_quality_rules, op9_secret_scan, op10_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_html_extraction,
+        op3_sharding,
+        op4_sentencepiece,
+        op5_chat_formatting,
+        op6_embedding_near_dedup,
+        op7_minhash_near_dedup,
+        op8_quality_rules,
+        op9_secret_scan,
+        op10_source_mixing,
+    )
+}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
