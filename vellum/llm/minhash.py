@@ -18,6 +18,8 @@ REGISTERS = BANDS * ROWS
 #: Pairs that agree in a smaller share of the registers aren't verified; at similarity 0.8 that is 4.5 standard deviations below.
 AGREEMENT = 0.6
 _KEYS = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
+#: Longs of the bitmaps that say how a document differs from its pivot.
+WORDS = 8
 _LOW16 = np.uint64(0xFFFF)
 
 
@@ -107,9 +109,36 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.select("rid", "doc_id", "text_key", "text").mapInArrow(_sign, "rid long, doc_id long, text_key long, n_words long, key1 long, key2 long, bands array<long>, signature binary")
 
 
+def _bits(elements: np.ndarray) -> list[int]:
+    """A bitmap of WORDS longs in which each element sets a bit."""
+    out = np.zeros(64 * WORDS, dtype=np.uint8)
+    out[(mixed(elements) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.int64).tolist()
+
+
+def _compared(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> dict:
+    """The similarity of x and y, and how x differs from y: a bitmap of what it adds and of what it lacks."""
+    more, less = np.setdiff1d(x[0], y[0], True), np.setdiff1d(y[0], x[0], True)
+    added = _bits(more)
+    return {
+        "similarity": similarity(x, y),
+        "size": len(x[0]),
+        "base": len(y[0]),
+        "sets": bool((x[1] == 1).all()),
+        "added": added,
+        "extra": len(more) - sum((v & 0xFFFFFFFFFFFFFFFF).bit_count() for v in added),
+        "lacking": _bits(less),
+    }
+
+
+_VERDICT = "a long, b long, similarity double, size int, base int, sets boolean, added array<long>, extra int, lacking array<long>"
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _VERDICT.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())]
     for batch in batches:
-        done = []
+        done: list[dict] = []
         for begin, column in passes(batch.column("text_a"), 1 << 21):
             for a in range(0, len(column), 1 << 14):
                 left, right = (batch.column(c).slice(begin + a, min(1 << 14, len(column) - a)) for c in ("text_a", "text_b"))
@@ -118,15 +147,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     text, element, times = weighted(*shingles(*word_hashes(part)))
                     ends = np.searchsorted(text, np.arange(len(part) + 1))
                     sets.append([(element[x:y], times[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
-                done += [similarity(x, y) for x, y in zip(*sets, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(done, pa.float64())], names=["a", "b", "similarity"])
+                done += [_compared(x, y) for x, y in zip(*sets, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array([d[n] for d in done], t) for n, t in zip(names[2:], types[2:], strict=True))], names=names)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are as similar as asked for."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the similarity of their whole texts, and how a differs from b."""
     left, right = (texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify, "a long, b long, similarity double").where(F.col("similarity") >= least).select("a", "b")
+    return both.mapInArrow(_verify, _VERDICT)
 
 
 def _agree(left: str, right: str):
@@ -138,15 +167,32 @@ def _agree(left: str, right: str):
     return same
 
 
+def _possible(least: float):
+    """Whether documents a and b, both compared with the same pivot, can be as similar as asked for.
+
+    Shingles they share are shared with the pivot or not. Of the former there are at most the
+    pivot's less those that a or b lacks, and the bitmaps' union counts some of these; of the latter
+    at most the common bits, and what bits hide where several shingles set one. The bound is for sets;
+    documents with repeated shingles, or different pivots, stay possible.
+    """
+    count = lambda f: sum((F.bit_count(f(k)) for k in range(WORDS)), F.lit(0))
+    lacking = count(lambda k: F.get("lackinga", F.lit(k)).bitwiseOR(F.get("lackingb", F.lit(k))))
+    added = count(lambda k: F.get("addeda", F.lit(k)).bitwiseAND(F.get("addedb", F.lit(k))))
+    shared = F.least(F.col("basea") - lacking + added + F.least("extraa", "extrab"), F.col("sizea"), F.col("sizeb"))
+    bound = shared / (F.col("sizea") + F.col("sizeb") - shared) >= least - 1e-9
+    return ~((F.col("refa") == F.col("refb")) & F.col("setsa") & F.col("setsb")) | bound
+
+
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(rid, doc_id, text_key, class_id, kept) for every row of docs(doc_id, text).
 
     Two documents are linked if the similarity of their shingles of five words is `least` or
     more; a class is what links reach, class_id its smallest doc_id, and one row of it is kept.
     Texts with the same sequence of words become one first. In each bucket of a band every
-    member is verified against the bucket's first one; buckets whose members then lie in different
-    classes have all their pairs across classes verified whose signatures agree enough, so no
-    candidate is left out, and pairs inside a class, which can add nothing, are not made.
+    member is verified against a pivot, the member that shares most buckets. Where members then lie in
+    different classes, pairs across classes are verified too, but for those that their differences from a
+    common pivot, or their signatures, rule out: no candidate is left out, and pairs inside a
+    class, which can add nothing, are not made.
 
     A null or empty text, and one without words, is a class of its own; one with fewer than five words
     is one shingle. Rows that repeat an id are documents of their own; a null id is a class's id only if
@@ -158,25 +204,36 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     reps = worded.groupBy("key1", "key2").agg(first.alias("f"), F.min_by("bands", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("bands"), F.min_by("signature", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("signature"))
     reps = stored(reps.select("key1", "key2", F.col("f.rid").alias("rid"), F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key"), "bands", "signature"), "texts")
     banded = reps.select("rid", F.explode("bands").alias("bucket"))
-    pivots = banded.groupBy("bucket").agg(F.min("rid").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
-    members = stored(banded.join(pivots, "bucket"), "buckets")
-    wanted = reps.join(members.select("rid").distinct(), "rid", "left_semi").select("rid", F.col("doc_id").alias("of"), F.col("text_key").alias("key"))
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(banded.join(sizes, "bucket"), "buckets")
+    # The member that shares most buckets with others is the likeliest original of the copies in a bucket.
+    central = members.groupBy("rid").agg(F.sum("n").alias("near"))
+    pivots = members.join(central, "rid").groupBy("bucket").agg(F.max_by("rid", F.struct("near", "rid")).alias("pivot"))
+    wanted = reps.join(central.select("rid"), "rid", "left_semi").select("rid", F.col("doc_id").alias("of"), F.col("text_key").alias("key"))
     source = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     texts = source.join(wanted, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("rid", "text")
     texts = stored(texts, "candidates")
     if not rows.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["rid"])  # rows that repeat an id and its text
-    star = members.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stored(_verified(star, texts, least), "links")
+    star = members.join(pivots, "bucket").where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
+    compared = stored(_verified(star, texts), "compared")
+    links = compared.where(F.col("similarity") >= least).select("a", "b")
     tree = cut(connected(links))
     placed = members.join(tree.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", F.coalesce("component", "rid").alias("component"))
     placed = stored(placed, "placed")
-    mixed_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_ = placed.join(mixed_, "bucket").join(reps.select("rid", "signature"), "rid")
-    left, right = (open_.select("bucket", F.col("rid").alias(c), F.col("component").alias(f"c{c}"), F.col("signature").alias(f"s{c}")) for c in "ab")
-    across = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (_agree("sa", "sb") >= int(AGREEMENT * REGISTERS)))
-    across = across.select("a", "b").distinct()
-    more = stored(_verified(across, texts, least), "links")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    # A document's reference is the pivot it is most like; a document that is only a pivot is its own.
+    closest = compared.groupBy("a").agg(F.max_by(F.struct("b", "size", "base", "sets", "added", "extra", "lacking"), F.struct("similarity", "b")).alias("r"))
+    closest = closest.select(F.col("a").alias("rid"), F.col("r.b").alias("ref"), *(f"r.{c}" for c in ("size", "base", "sets", "added", "extra", "lacking")))
+    known = reps.select("rid", "signature").join(closest, "rid", "left").select(
+        "rid", "signature", F.coalesce("ref", "rid").alias("ref"), "size", "base", F.coalesce("sets", F.lit(False)).alias("sets"), "added", "extra", "lacking"
+    )
+    open_ = stored(placed.join(several, "bucket").join(known, "rid"), "open")
+    left, right = (open_.select("bucket", F.col("rid").alias(c), *(F.col(x).alias(x + c) for x in open_.columns if x not in ("rid", "bucket"))) for c in "ab")
+    alike = _possible(least) & (_agree("signaturea", "signatureb") >= int(AGREEMENT * REGISTERS))
+    across = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & alike)
+    across = stored(across.select("a", "b").distinct(), "across")
+    more = stored(_verified(across, texts), "compared").where(F.col("similarity") >= least).select("a", "b")
     tree = connected(links.union(more)).withColumnRenamed("node", "rep")
     named = reps.select("key1", "key2", F.col("rid").alias("rep")).join(tree, "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
     member = stored(worded.join(named, ["key1", "key2"]).select("rid", "doc_id", "text_key", "component"), "members")
