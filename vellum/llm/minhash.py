@@ -18,7 +18,7 @@ REGISTERS = BANDS * ROWS
 #: Pairs that agree in a smaller share of the registers aren't verified; at similarity 0.8 that is 4.5 standard deviations below.
 AGREEMENT = 0.6
 _KEYS = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
-#: Longs of the bitmaps that say how a document differs from its pivot.
+#: Longs of the bitmaps that say how a document differs from a reference.
 WORDS = 8
 _LOW16 = np.uint64(0xFFFF)
 
@@ -59,24 +59,10 @@ def prob_min_hash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, tex
     return winner.reshape(texts, registers)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The probability Jaccard of two weighted sets (sorted elements, weights), or their plain Jaccard if that is greater.
-
-    With weights v and w, an element d of both adds 1 / sum over all d' of max(v[d'] / v[d], w[d'] / w[d]).
-    The sum depends on d through v[d] and v[d] / w[d] only, so one is made for each distinct quotient.
-    """
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    every = np.union1d(a[0], b[0])
-    v, w = np.zeros(len(every)), np.zeros(len(every))
-    v[np.searchsorted(every, a[0])] = a[1]
-    w[np.searchsorted(every, b[0])] = b[1]
-    both = (v > 0) & (w > 0)
-    total = 0.0
-    quotient = v[both] / w[both]
-    for q in np.unique(quotient):
-        total += v[both][quotient == q].sum() / np.maximum(v, w * q).sum()
-    return max(total, both.sum() / len(every))
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets of shingles."""
+    shared = len(np.intersect1d(a, b, True))
+    return shared / max(1, len(a) + len(b) - shared)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +73,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes, counts = word_hashes(part)
                 first = np.cumsum(counts) - counts
                 keys = [sequence_keys(hashes, first, counts, k).view(np.int64) for k in _KEYS]
-                signature = prob_min_hash(*weighted(*shingles(hashes, counts)), len(part))
+                text, element, times = weighted(*shingles(hashes, counts))
+                # The logarithm keeps a line that is repeated many times from drowning the rest.
+                signature = prob_min_hash(text, element, 1 + np.log(times), len(part))
                 banded = np.zeros((len(part), BANDS), dtype=np.uint64)
                 for r in range(ROWS):
                     banded = mixed(banded * np.uint64(0xFF51AFD7ED558CCD) + signature[:, r::ROWS])
@@ -116,38 +104,37 @@ def _bits(elements: np.ndarray) -> list[int]:
     return np.packbits(out).view(np.int64).tolist()
 
 
-def _compared(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> dict:
+def _compared(x: np.ndarray, y: np.ndarray) -> dict:
     """The similarity of x and y, and how x differs from y: a bitmap of what it adds and of what it lacks."""
-    more, less = np.setdiff1d(x[0], y[0], True), np.setdiff1d(y[0], x[0], True)
+    more, less = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
     added = _bits(more)
     return {
         "similarity": similarity(x, y),
-        "size": len(x[0]),
-        "base": len(y[0]),
-        "sets": bool((x[1] == 1).all()),
+        "size": len(x),
+        "base": len(y),
         "added": added,
         "extra": len(more) - sum((v & 0xFFFFFFFFFFFFFFFF).bit_count() for v in added),
         "lacking": _bits(less),
     }
 
 
-_VERDICT = "a long, b long, similarity double, size int, base int, sets boolean, added array<long>, extra int, lacking array<long>"
+_VERDICT = "a long, b long, similarity double, size int, base int, added array<long>, extra int, lacking array<long>"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _VERDICT.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())]
     for batch in batches:
         done: list[dict] = []
         for begin, column in passes(batch.column("text_a"), 1 << 21):
             for a in range(0, len(column), 1 << 14):
                 left, right = (batch.column(c).slice(begin + a, min(1 << 14, len(column) - a)) for c in ("text_a", "text_b"))
-                sets = []
+                pair = []
                 for part in (left, right):
-                    text, element, times = weighted(*shingles(*word_hashes(part)))
+                    text, element, _ = weighted(*shingles(*word_hashes(part)))
                     ends = np.searchsorted(text, np.arange(len(part) + 1))
-                    sets.append([(element[x:y], times[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
-                done += [_compared(x, y) for x, y in zip(*sets, strict=True)]
+                    pair.append([element[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+                done += [_compared(x, y) for x, y in zip(*pair, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array([d[n] for d in done], t) for n, t in zip(names[2:], types[2:], strict=True))], names=names)
 
 
@@ -168,19 +155,19 @@ def _agree(left: str, right: str):
 
 
 def _possible(least: float):
-    """Whether documents a and b, both compared with the same pivot, can be as similar as asked for.
+    """Whether documents a and b, both compared with the same reference, can be as similar as asked for.
 
-    Shingles they share are shared with the pivot or not. Of the former there are at most the
-    pivot's less those that a or b lacks, and the bitmaps' union counts some of these; of the latter
-    at most the common bits, and what bits hide where several shingles set one. The bound is for sets;
-    documents with repeated shingles, or different pivots, stay possible.
+    Shingles they share are shared with the reference or not. Of the former there are at most the
+    reference's less those that a or b lacks, and the bitmaps' union counts some of these; of the latter
+    at most the common bits, and what bits hide where several shingles set one. Sets of sizes m and n
+    are that similar if they share least / (1 + least) * (m + n).
     """
-    count = lambda f: sum((F.bit_count(f(k)) for k in range(WORDS)), F.lit(0))
-    lacking = count(lambda k: F.get("lackinga", F.lit(k)).bitwiseOR(F.get("lackingb", F.lit(k))))
-    added = count(lambda k: F.get("addeda", F.lit(k)).bitwiseAND(F.get("addedb", F.lit(k))))
-    shared = F.least(F.col("basea") - lacking + added + F.least("extraa", "extrab"), F.col("sizea"), F.col("sizeb"))
-    bound = shared / (F.col("sizea") + F.col("sizeb") - shared) >= least - 1e-9
-    return ~((F.col("refa") == F.col("refb")) & F.col("setsa") & F.col("setsb")) | bound
+    need = F.lit(least / (1 + least) - 1e-9) * (F.col("sizea") + F.col("sizeb"))
+    lacking, added = F.lit(0), F.lit(0)
+    for k in range(WORDS):
+        lacking = lacking + F.bit_count(F.col(f"lacking{k}a").bitwiseOR(F.col(f"lacking{k}b")))
+        added = added + F.bit_count(F.col(f"added{k}a").bitwiseAND(F.col(f"added{k}b")))
+    return (F.least("sizea", "sizeb") >= need) & (F.col("basea") - lacking + added + F.least("extraa", "extrab") >= need)
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -190,9 +177,9 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     more; a class is what links reach, class_id its smallest doc_id, and one row of it is kept.
     Texts with the same sequence of words become one first. In each bucket of a band every
     member is verified against a pivot, the member that shares most buckets. Where members then lie in
-    different classes, pairs across classes are verified too, but for those that their differences from a
-    common pivot, or their signatures, rule out: no candidate is left out, and pairs inside a
-    class, which can add nothing, are not made.
+    different classes, all are compared with one reference, and pairs across classes are verified too,
+    but for those that their differences from it, or their signatures, rule out: no candidate is
+    left out, and pairs inside a class, which can add nothing, are not made.
 
     A null or empty text, and one without words, is a class of its own; one with fewer than five words
     is one shingle. Rows that repeat an id are documents of their own; a null id is a class's id only if
@@ -217,22 +204,28 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
         texts = texts.dropDuplicates(["rid"])  # rows that repeat an id and its text
     star = members.join(pivots, "bucket").where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
     compared = stored(_verified(star, texts), "compared")
+    # Each bucket gets a reference: the most central document that any of its members was compared with.
+    near = F.struct("near", "rid")
+    hubs = compared.select("a", F.col("b").alias("rid")).join(central, "rid").groupBy("a").agg(F.max(near).alias("hub"))
+    known = central.join(hubs, central["rid"] == hubs["a"], "left").select("rid", F.greatest(near, F.coalesce("hub", near)).alias("hub"))
+    referred = members.join(known, "rid").groupBy("bucket").agg(F.max("hub").alias("hub")).select("bucket", F.col("hub.rid").alias("ref"))
+    referred = stored(members.select("bucket", "rid").join(referred, "bucket"), "referred")
+    rest = referred.where("rid <> ref").select(F.col("rid").alias("a"), F.col("ref").alias("b")).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    compared = compared.unionByName(stored(_verified(rest, texts), "compared"))
     links = compared.where(F.col("similarity") >= least).select("a", "b")
     tree = cut(connected(links))
-    placed = members.join(tree.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", F.coalesce("component", "rid").alias("component"))
+    placed = referred.join(tree.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "ref", "rid", F.coalesce("component", "rid").alias("component"))
     placed = stored(placed, "placed")
     several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    # A document's reference is the pivot it is most like; a document that is only a pivot is its own.
-    closest = compared.groupBy("a").agg(F.max_by(F.struct("b", "size", "base", "sets", "added", "extra", "lacking"), F.struct("similarity", "b")).alias("r"))
-    closest = closest.select(F.col("a").alias("rid"), F.col("r.b").alias("ref"), *(f"r.{c}" for c in ("size", "base", "sets", "added", "extra", "lacking")))
-    known = reps.select("rid", "signature").join(closest, "rid", "left").select(
-        "rid", "signature", F.coalesce("ref", "rid").alias("ref"), "size", "base", F.coalesce("sets", F.lit(False)).alias("sets"), "added", "extra", "lacking"
-    )
-    open_ = stored(placed.join(several, "bucket").join(known, "rid"), "open")
-    left, right = (open_.select("bucket", F.col("rid").alias(c), *(F.col(x).alias(x + c) for x in open_.columns if x not in ("rid", "bucket"))) for c in "ab")
-    alike = _possible(least) & (_agree("signaturea", "signatureb") >= int(AGREEMENT * REGISTERS))
-    across = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & alike)
+    # What was compared with the reference needs no other comparison with it.
+    differences = compared.select(F.col("a").alias("rid"), F.col("b").alias("ref"), "size", "base", "extra", *(F.get(c, F.lit(k)).alias(f"{c}{k}") for c in ("added", "lacking") for k in range(WORDS)))
+    open_ = stored(placed.where("rid <> ref").join(several, "bucket").join(differences, ["rid", "ref"]), "open")
+    left, right = (open_.select(F.col("bucket").alias(f"bucket{c}"), F.col("rid").alias(c), *(F.col(x).alias(x + c) for x in open_.columns if x not in ("rid", "bucket", "ref"))) for c in "ab")
+    across = left.join(right, (F.col("bucketa") == F.col("bucketb")) & (F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & _possible(least))
+    # Signatures are held against each other in a step of their own: in the join they would make its loop too long to be compiled.
     across = stored(across.select("a", "b").distinct(), "across")
+    across = across.join(reps.select(F.col("rid").alias("a"), F.col("signature").alias("signaturea")), "a").join(reps.select(F.col("rid").alias("b"), F.col("signature").alias("signatureb")), "b")
+    across = across.where(_agree("signaturea", "signatureb") >= int(AGREEMENT * REGISTERS)).select("a", "b")
     more = stored(_verified(across, texts), "compared").where(F.col("similarity") >= least).select("a", "b")
     tree = connected(links.union(more)).withColumnRenamed("node", "rep")
     named = reps.select("key1", "key2", F.col("rid").alias("rep")).join(tree, "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
