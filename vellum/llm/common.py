@@ -42,6 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as make it new to df."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(31))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut, mixed, stored
+from .common import connected, cut, mixed, stored, unused
 from .words import passes, sequence_keys, shingles, word_hashes
 
 #: 20 bands of 4 registers: a pair of similarity 0.8 shares no band once in 37,000 times.
@@ -236,11 +236,18 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def apply_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs with one document of each class. Of equal rows with one id and text, one stays too, unless they have no words."""
+    """docs with one document of each class. Of rows with the same id and text one stays."""
     found = stored(classes(docs, least), "classes")
-    kept = found.where("kept").select(F.col("doc_id").alias("of"), F.col("text_key").alias("key")).distinct()
-    same = (F.xxhash64("text") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))
-    out = docs.join(kept, same).select(*docs.columns)
-    if not found.where("kept").join(found.where("NOT kept").withColumnsRenamed({"doc_id": "d2", "text_key": "k2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_key") == F.col("k2")), "left_semi").isEmpty():
+    of, key = unused(docs, "kept_id"), unused(docs, "kept_key")
+    kept = found.where("kept").select(F.col("doc_id").alias(of), F.col("text_key").alias(key)).distinct()
+    out = docs.join(kept, (F.xxhash64("text") == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(of))).select(*docs.columns)
+    # Rows that repeat an id and its text can't be told apart by these; then rows that are equal in both are reduced to one.
+    if not found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty() or not _repeats(found).isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
+
+
+def _repeats(found: DataFrame) -> DataFrame:
+    """Rows not kept whose id and text a kept row has too."""
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    return found.where("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, stored
+from .common import WORD, cut, stored, unused
 
 _ITERATIONS = 60
 _PRECISION = 1e-9
@@ -166,6 +166,7 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
 
 def apply_mix(docs: DataFrame, most: int = 3) -> DataFrame:
     """docs with every document as often as the mix takes it, in docs' columns."""
-    copies = mix(docs, most).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "mixed_id")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    of, copies, copy = (unused(docs, c) for c in ("mixed_id", "copies", "copy"))
+    taken = mix(docs, most).where("copies > 0").groupBy(F.col("doc_id").alias(of)).agg(F.max("copies").cast("int").alias(copies))
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(of)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, stored
+from .common import mixed, stored, unused
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -29,16 +31,26 @@ _SCHEMA = T.StructType(
         *(T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         T.StructField("line_keys", T.ArrayType(T.LongType())),
         T.StructField("line_words", T.ArrayType(T.LongType())),
-        T.StructField("family", T.LongType()),
+        T.StructField("line_least", T.ArrayType(T.LongType())),
+        T.StructField("families", T.ArrayType(T.LongType())),
     ]
 )
 
 
-def line_key(line: str) -> int | None:
-    """64 bits of the normalised line's md5: lower case, runs of white space as one space, runs of
-    digits as one 0, trimmed. None for a line without a word."""
+def line_hashes(line: str) -> tuple[int, ...] | None:
+    """The four 64-bit words of the normalised line's sha256: lower case, runs of white space as one space, runs of
+    digits as one 0, trimmed. The first is its key. None for a line without a word."""
     text = _DIGITS.sub("0", _GAPS.sub(" ", line.lower())).strip(" ")
-    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big", signed=True) if text else None
+    return struct.unpack(">4Q", hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()) if text else None
+
+
+def _signed(x: int | None) -> int | None:
+    return x - (1 << 64) if x is not None and x >> 63 else x
+
+
+def line_key(line: str) -> int | None:
+    hashes = line_hashes(line)
+    return _signed(hashes[0]) if hashes else None
 
 
 def repeated_words(docs: list[list[bytes]], width: int = 8) -> np.ndarray:
@@ -85,30 +97,31 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 repeats.append(repeated_words(words))
                 words, held = [], 0
             seen: set[str] = set()
-            keys: dict[int, int] = {}
+            lines: dict[tuple[int, ...], int] = {}
             dup = 0
             for line in text.split("\n"):
-                key = line_key(line)
-                if key is None:
+                hashes = line_hashes(line)
+                if hashes is None:
                     continue
                 dup += line in seen
                 seen.add(line)
-                keys[key] = keys.get(key, 0) + len(line.encode("utf-8", "surrogatepass").split())
+                lines[hashes] = lines.get(hashes, 0) + len(line.encode("utf-8", "surrogatepass").split())
+            # In each of four orders, the least line and the one after it.
+            ordered = [heapq.nsmallest(2, (h[k] for h in lines)) + [None, None] for k in range(4)]
+            least = [sum(1 << k for k in range(4) if h[k] == ordered[k][0]) for h in lines]
+            families = [_signed(ordered[k][j]) for j in (0, 1) for k in range(4)]
             spaces = len(raw) - len(raw.translate(None, _SPACE))
             symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
-            family = min(keys, key=lambda k: k & 0xFFFFFFFFFFFFFFFF, default=None)
-            rows.append((len(parts), len(text) - spaces, symbols, dup, list(keys), list(keys.values()), family))
+            rows.append((len(parts), len(text) - spaces, symbols, dup, [_signed(h[0]) for h in lines], list(lines.values()), least, families))
         repeats.append(repeated_words(words))
-        n_words, chars, symbols, dups, keys, lengths, family = zip(*rows, strict=True) if rows else ((),) * 7
+        n_words, chars, symbols, dups, *lists = zip(*rows, strict=True) if rows else ((),) * 8
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("rid"),
                 batch.column("doc_id").cast(pa.int64()),
                 batch.column("host").cast(pa.string()),
                 *(pa.array(x, pa.int64()) for x in (n_words, chars, symbols, dups, np.concatenate(repeats))),
-                pa.array(keys, pa.list_(pa.int64())),
-                pa.array(lengths, pa.list_(pa.int64())),
-                pa.array(family, pa.int64()),
+                *(pa.array(x, pa.list_(pa.int64())) for x in lists),
             ],
             names=_SCHEMA.names,
         )
@@ -123,14 +136,22 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
 def frequent_lines(measured: DataFrame, share: float = 0.1, least: int = 10) -> DataFrame:
     """(host, key) of the lines found in more than max(least, share of the host's documents).
 
-    Documents are counted by family, which is the smallest line key of a document: copies and
-    near copies of one text count as one document, so a much-copied text does not make its own
-    lines look like boilerplate.
+    Documents are counted by family, which is the least of the document's other lines: copies and near
+    copies of one text mostly have the same and count as one, so a much-copied text doesn't
+    make its own lines look like boilerplate. Which line is the least depends on the order, and one that
+    many documents share may be it, so four orders are tried and the greatest count holds.
     """
     host = F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host")
-    lines = measured.select(*host, "family", F.explode("line_keys").alias("key")).distinct()
-    counts = lines.groupBy("host", "no_host", "key").agg(F.count("*").alias("n"))
-    limits = measured.where("family IS NOT NULL").select(*host, "family").distinct().groupBy("host", "no_host").agg(F.count("*").alias("families"))
+    lines = measured.select(*host, "families", F.explode(F.arrays_zip("line_keys", "line_least")).alias("line"))
+    lines = lines.select("host", "no_host", "families", F.col("line.line_keys").alias("key"), F.col("line.line_least").alias("mask"))
+    # Fewer documents than that can't be more families.
+    often = lines.groupBy("host", "no_host", "key").agg(F.count("*").alias("n")).where(F.col("n") > least).drop("n")
+    some = lines.join(often, ["host", "no_host", "key"])
+    family = F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) > 0, F.get("families", F.lit(4 + k))).otherwise(F.get("families", F.lit(k))), F.lit(0)).alias("f")) for k in range(4)))
+    counts = some.select("host", "no_host", "key", F.explode(family).alias("x")).select("host", "no_host", "key", "x.k", "x.f").distinct()
+    counts = counts.groupBy("host", "no_host", "key", "k").agg(F.count("*").alias("n")).groupBy("host", "no_host", "key").agg(F.max("n").alias("n"))
+    all_of = measured.where(F.size("line_keys") > 0).select(*host, F.posexplode(F.slice("families", 1, 4)).alias("k", "f")).distinct()
+    limits = all_of.groupBy("host", "no_host", "k").agg(F.count("*").alias("families")).groupBy("host", "no_host").agg(F.max("families").alias("families"))
     return counts.where(F.col("n") > least).join(limits, ["host", "no_host"]).where(F.col("n") > F.col("families") * share).select("host", "no_host", "key")
 
 
@@ -155,22 +176,26 @@ def judge(docs: DataFrame, host: str = "source", share: float = 0.1, least: int
     words_left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     fine = ~base & (words_left >= min_words) & (words_left >= left * F.col("n_words"))
     return measured.join(removed, "rid", "left").select(
-        *(c for c in _SCHEMA.names if c not in ("rid", "line_keys", "line_words", "family", "host")),
+        *(c for c in _SCHEMA.names if c not in ("rid", "line_keys", "line_words", "line_least", "families", "host")),
         base.alias("base_failed"),
         fine.alias("kept"),
         "removed_keys",
     )
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, keys in zip(batch.column("text"), batch.column("removed_keys"), strict=True):
-            text, bad = text.as_py(), set(keys.as_py() or ())
-            texts.append("\n".join(x for x in text.split("\n") if line_key(x) not in bad) if bad and text else text)
-        where = batch.schema.get_field_index("text")
-        kept = batch.set_column(where, "text", pa.array(texts, batch.schema.field("text").type))
-        yield kept.drop_columns(["removed_keys"])
+def _without(removed: str):
+    """A function on batches that takes out the lines whose keys the column `removed` lists, and that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, keys in zip(batch.column("text"), batch.column(removed), strict=True):
+                text, bad = text.as_py(), set(keys.as_py() or ())
+                texts.append("\n".join(x for x in text.split("\n") if line_key(x) not in bad) if bad and text else text)
+            where = batch.schema.get_field_index("text")
+            yield batch.set_column(where, "text", pa.array(texts, batch.schema.field("text").type)).drop_columns([removed])
+
+    return run
 
 
 def apply_rules(docs: DataFrame, **options) -> DataFrame:
@@ -179,8 +204,8 @@ def apply_rules(docs: DataFrame, **options) -> DataFrame:
     The verdict goes back to the rows by doc_id (null is an id like any other); rows that repeat
     an id stay if one of them is kept, and lose the lines that any of them lost.
     """
-    verdict = judge(docs, **options).where("kept").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("removed_keys"))).alias("removed_keys"))
-    verdict = verdict.withColumnRenamed("doc_id", "kept_id")
-    kept = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*docs.columns, "removed_keys")
-    out = kept.mapInArrow(_without, docs.schema)
+    removed, kept_id = unused(docs, "removed_keys"), unused(docs, "kept_id")
+    verdict = judge(docs, **options).where("kept").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("removed_keys"))).alias(removed))
+    kept = docs.join(verdict.withColumnRenamed("doc_id", kept_id), F.col("doc_id").eqNullSafe(F.col(kept_id))).select(*docs.columns, removed)
+    out = kept.mapInArrow(_without(removed), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

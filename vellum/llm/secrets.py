@@ -165,8 +165,8 @@ def report(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def redacted(docs: DataFrame, model: Model | None, mark: str = "[secret]") -> DataFrame:
     """docs with every span, or run of overlapping spans, replaced by `mark`; texts without spans stay as they are."""
-    columns = docs.columns
-    found = scan(docs, model)
+    # The row travels in a struct, so that its columns may have any names.
+    found = scan(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), "text"), model)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
@@ -178,7 +178,5 @@ def redacted(docs: DataFrame, model: Model | None, mark: str = "[secret]") -> Da
 
     done = F.aggregate("spans", start, step)
     text = F.when(F.size("spans") > 0, F.concat(F.array_join(done["out"], ""), F.substring(F.col("text"), done["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    changed = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return found.select(*(changed.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns))
