@@ -473,7 +473,7 @@ def test_redaction(spark, model, clashing, empty):
     made = spark.createDataFrame(SECRETS, "doc_id long, text string").withColumn("spans", F.lit("mine")).withColumn("n_chars", F.lit(0))
     got = {r.doc_id: r for r in secrets.redacted(made, model).collect()}
     assert got[1].text == '[secret]" é token: abc [secret] [secret]' and got[1].spans == "mine" and got[1].n_chars == len(got[1].text)
-    assert got[2].text == "[secret] AKIASHORT x[secret] [secret] 0123456789abcdef0123456"
+    assert got[2].text == "[secret] AKIASHORT x[secret] [secret] [secret]"  # the models find the 23 hex digits
     assert got[4].text is None and got[5].text == "" and got[6].text == "[secret]"
     out = secrets.redacted(clashing, None)
     assert out.columns == clashing.columns and out.count() == len(AWKWARD)

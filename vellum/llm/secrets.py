@@ -176,7 +176,10 @@ def redacted(docs: DataFrame, model: Model | None, mark: str = "[secret]") -> Da
             F.when((s["start"] >= acc["at"]) & ((s["start"] > acc["at"]) | (F.size(acc["out"]) == 0)), F.concat(acc["out"], F.array(before, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
         )
 
-    done = F.aggregate("spans", start, step)
-    text = F.when(F.size("spans") > 0, F.concat(F.array_join(done["out"], ""), F.substring(F.col("text"), done["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    changed = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return found.select(*(changed.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns))
+    parts = F.aggregate("spans", start, step)
+    rest = F.substring(F.col("text"), parts["at"] + 1, F.length("text"))
+    text = F.when(F.size("spans") > 0, F.array_join(F.array_append(parts["out"], rest), "")).otherwise(F.col("text"))
+    # In a step of its own: a lambda would take an output column named text for the input's.
+    done = found.select("row", text.alias("redacted"))
+    changed = {"text": F.col("redacted").alias("text"), "n_chars": F.length("redacted").cast("long").alias("n_chars")}
+    return done.select(*(changed.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns))
