@@ -117,3 +117,69 @@ def feed_items(xml: Column) -> Column:
 def mentioning(links: Column, domain: Column) -> Column:
     """The links whose target or label names a domain."""
     return F.filter(links, lambda a: F.contains(a["href"], domain) | F.contains(a["label"], domain))
+
+
+def labelled(lines: Column, label: str) -> Column:
+    """The value that stands after a label and a colon in the first line that has it; empty if none does."""
+    pattern = rf"^{label}\s*[:：]\s*(.*)$"
+    return F.coalesce(F.regexp_extract(F.get(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0)), pattern, 1), F.lit(""))
+
+
+def title_parts(page_title: Column) -> Column:
+    """struct(title, author, status) of a page's "title(author)/.../status"; what is absent is empty."""
+    return F.struct(
+        clean(F.regexp_extract(page_title, r"^([^(（/]*)", 1)).alias("title"),
+        clean(F.regexp_extract(page_title, r"[(（]([^()（）]+)[)）]", 1)).alias("author"),
+        clean(F.regexp_extract(page_title, r"/([^/]*)$", 1)).alias("status"),
+    )
+
+
+def author_of(page_title: Column, intro: Column, aliases: dict[str, str]) -> Column:
+    """The author in the title's bracket, else after BY in the intro; a short form becomes the full one."""
+    bracket = clean(F.regexp_extract(page_title, r"\(([^()]+)\)", 1))
+    name = F.when(bracket != "", bracket).otherwise(F.regexp_extract(intro, r"(?i)\bby\s*([^\s，,。；;、]+)", 1))
+    for short, full in aliases.items():
+        name = F.when(name == short, full).otherwise(name)
+    return name
+
+
+def declared(heading: Column) -> Column:
+    """struct(title, total) of a catalog's 《title》共N节; null total without one."""
+    pattern = r"《(.+?)》共([0-9]+)节"
+    return F.struct(clean(F.regexp_extract(heading, pattern, 1)).alias("title"), F.regexp_extract(heading, pattern, 2).try_cast("long").alias("total"))
+
+
+# Navigation and advertising lines of paginated bodies; the first is for whole lines.
+_NAV_LINE = r"^(?:上[0-9一二三四五六七八九十]?一?章|下[0-9一二三四五六七八九十]?一?页|目录|加书签)$"
+_ADVERT = r"本章未完[，,].{0,30}(?:下一页|继续阅读)|请?点击下一页继续阅读|^[（(]?本章完[)）]?$|为您提供.{0,30}的小说|继续阅读请点击下一?页"
+
+
+def body_lines(text: Column) -> Column:
+    """struct(lines, continues) of a body that marks paragraphs by indentation: its lines without navigation
+    and adverts, and whether the first goes on from the page before, which it does if it isn't indented."""
+    raw = F.split(text, "\n+")
+    fine = F.filter(raw, lambda x: (clean(x) != "") & ~clean(x).rlike(_NAV_LINE) & ~clean(x).rlike(_ADVERT))
+    return F.struct(F.transform(fine, clean).alias("lines"), F.coalesce(~F.get(fine, F.lit(0)).rlike("^[\u00a0\u3000]{2,}"), F.lit(False)).alias("continues"))
+
+
+def is_review_heading(line: Column) -> Column:
+    """Whether a line of an intro heads a review, after which nothing is intro: of the form, and with one of its words."""
+    x = F.regexp_replace(line, r"\s+", "")
+    form = x.rlike(r"(?i)^(?:[^，。！？；\n]{0,40})?(?:(?:作品)?简评|编辑评价|强推奖章)(?:\s*[:：】）)]?|[^\s，。！？；\n]*\.(?:gif|jpe?g|png|webp))?$")
+    return form & (x.rlike("作品简评|编辑评价|强推奖章|^简评") | F.lower(x).rlike(r"\.(?:gif|jpg|png)"))
+
+
+def intro_paragraphs(text: Column) -> Column:
+    """An intro's paragraphs up to a review's heading."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text, r"^\s*小说简介\s*[:：]?\s*", ""), "\n+"), clean), lambda x: x != "")
+    stop = F.array_position(F.transform(parts, is_review_heading), True).cast("int")
+    return F.when(stop > 0, F.slice(parts, F.lit(1), stop - 1)).otherwise(parts)
+
+
+def cover_extension(mime: Column) -> Column:
+    return F.coalesce(F.when(mime == "image/png", ".png").when(mime == "image/gif", ".gif").when(mime == "image/webp", ".webp"), F.lit(".jpg"))
+
+
+def empty_bodies(chapters: DataFrame) -> DataFrame:
+    """(package, kind, href) of chapters(package, href, texts) without a text: an issue each."""
+    return chapters.where(F.coalesce(F.size("texts"), F.lit(0)) <= 0).select("package", F.lit("empty body").alias("kind"), "href")

@@ -254,9 +254,39 @@ def display_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", text.display_width("title").alias("width"), F.concat(F.format_string("%4d  ", F.col("page_id")), text.fit_display(F.col("title"), F.lit(24))).alias("row"))
 
 
+BOOK_COLUMNS = "ord, page_title, lines, intro, heading, body, mime"
+BOOK_ROWS = """
+  (0, '远山(林木)/短篇/完结', '作者：林木|状态: 连载', 'x BY 陈一，y', '《远山》共12节', '　　第一段|下一页|第二段', 'image/png'),
+  (1, '长街', '类别：都市', '文 by 南山 z', '目录', 'goes on|本章未完，点击下一页继续阅读|　　new', 'image/jpeg'),
+  (2, '', '', '小说简介：first|second|作品简评：|third', '', '', ''),
+  (3, 'T (A B) / C', '作者: |作者：late', 'one|编辑评价a.gif|two', '《a》共x节', '（本章完）|目录', 'image/webp')"""
+
+
+def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled values, titles, authors, declared totals, bodies and intros of written pages."""
+    rows = literal(spark, BOOK_COLUMNS, BOOK_ROWS)
+    lines = lambda c: F.replace(c, F.lit("|"), F.lit("\n"))
+    title, total, body = extract.title_parts(F.col("page_title")), extract.declared(F.col("heading")), extract.body_lines(lines("body"))
+    return rows.select(
+        "ord",
+        extract.labelled(F.split(lines("lines"), "\n"), "作者").alias("labelled_author"),
+        title["title"].alias("title"),
+        title["author"].alias("author"),
+        title["status"].alias("status"),
+        extract.author_of(F.col("page_title"), F.col("intro"), {"南山": "南山客"}).alias("page_author"),
+        total["title"].alias("declared_title"),
+        F.coalesce(total["total"], F.lit(0)).alias("n_chapters"),
+        F.array_join(body["lines"], "|").alias("body_text"),
+        body["continues"].alias("continues"),
+        F.array_join(extract.intro_paragraphs(lines("intro")), "|").alias("intro_text"),
+        extract.cover_extension(F.col("mime")).alias("cover"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        book_pages,
         pages_paragraphs,
         pages_metadata,
         pages_toc,
@@ -302,7 +332,23 @@ _N = "".join(titles.NUMERAL)
 _ARABIC = " ".join(f"WHEN '{k}' THEN {v}" for k, v in titles.DIGITS.items())
 _UNIT = " ".join(f"WHEN '{k}' THEN {v}" for k, v in titles.UNITS.items())
 
+_KEPT = rf"list_filter(string_split(body, '|'), lambda x: {clean_sql('x')} <> '' AND NOT regexp_matches({clean_sql('x')}, '{extract._NAV_LINE}') AND NOT regexp_matches({clean_sql('x')}, '{extract._ADVERT}'))"
+_REVIEW = r"""(regexp_matches(regexp_replace(x, '\s+', '', 'g'), '(?i)^(?:[^，。！？；\n]{0,40})?(?:(?:作品)?简评|编辑评价|强推奖章)(?:\s*[:：】）)]?|[^\s，。！？；\n]*\.(?:gif|jpe?g|png|webp))?$')
+  AND (regexp_matches(x, '作品简评|编辑评价|强推奖章|^简评') OR regexp_matches(lower(x), '\.(?:gif|jpg|png)')))"""
+_INTRO = rf"list_filter(list_transform(string_split(regexp_replace(intro, '^\s*小说简介\s*[:：]?\s*', ''), '|'), lambda x: {clean_sql('x')}), lambda x: x <> '')"
+
 ORACLE = {
+    "book_pages": rf"""
+SELECT ord, coalesce(regexp_extract(list_filter(string_split(lines, '|'), lambda x: regexp_matches(x, '^作者\s*[:：]\s*(.*)$'))[1], '^作者\s*[:：]\s*(.*)$', 1), '') AS labelled_author,
+       {clean_sql("regexp_extract(page_title, '^([^(（/]*)', 1)")} AS title, {clean_sql("regexp_extract(page_title, '[(（]([^()（）]+)[)）]', 1)")} AS author,
+       {clean_sql("regexp_extract(page_title, '/([^/]*)$', 1)")} AS status,
+       replace(CASE WHEN regexp_extract(page_title, '\(([^()]+)\)', 1) <> '' THEN {clean_sql(r"regexp_extract(page_title, '\(([^()]+)\)', 1)")} ELSE regexp_extract(intro, '(?i)\bby\s*([^\s，,。；;、]+)', 1) END, '南山', '南山客') AS page_author,
+       {clean_sql("regexp_extract(heading, '《(.+?)》共([0-9]+)节', 1)")} AS declared_title, coalesce(try_cast(regexp_extract(heading, '《(.+?)》共([0-9]+)节', 2) AS BIGINT), 0) AS n_chapters,
+       array_to_string(list_transform({_KEPT}, lambda x: {clean_sql("x")}), '|') AS body_text,
+       coalesce(NOT regexp_matches({_KEPT}[1], '^[\x{{00a0}}\x{{3000}}]{{2,}}'), false) AS continues,
+       array_to_string(CASE WHEN len(list_filter({_INTRO}, lambda x: {_REVIEW})) > 0 THEN {_INTRO}[1:list_position({_INTRO}, list_filter({_INTRO}, lambda x: {_REVIEW})[1]) - 1] ELSE {_INTRO} END, '|') AS intro_text,
+       CASE mime WHEN 'image/png' THEN '.png' WHEN 'image/gif' THEN '.gif' WHEN 'image/webp' THEN '.webp' ELSE '.jpg' END AS cover
+FROM (VALUES {BOOK_ROWS}) t({BOOK_COLUMNS})""",
     "pages_paragraphs": f"SELECT page_id, (unnest(range(len(texts))))::INTEGER AS para_no, unnest(texts) AS text FROM ({PARAGRAPHS_SQL})",
     "pages_metadata": f"SELECT page_id, title, heading, lang, owner, intro FROM ({META_SQL})",
     "pages_toc": CONTENTS_SQL,
