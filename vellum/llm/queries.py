@@ -77,6 +77,20 @@ QUERIES = {
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE = {
+    # Texts as hex, two characters a byte; every string of 50 bytes and the smallest document that has it.
+    "op1_suffix_dedup": """
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT rid, doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT rid, doc_id, h, unnest(range(n - 49)) AS p FROM d WHERE n >= 50)),
+f AS (SELECT g, min(doc_id) AS doc FROM w GROUP BY g),
+m AS (SELECT w.rid, w.p FROM w JOIN f ON w.g = f.g WHERE f.doc < w.doc_id),
+r AS (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM m),
+s AS (SELECT rid, min(p) AS a, max(p) + 50 AS b FROM (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS run FROM r) GROUP BY rid, run),
+t AS (SELECT s.*, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM s),
+k AS (SELECT t.rid, sum(t.b - t.a)::BIGINT AS removed, count(*) AS spans, max(t.b) AS stop, string_agg(substr(d.h, 2 * t.before + 1, 2 * (t.a - t.before)), '' ORDER BY t.a) AS kept FROM t JOIN d ON d.rid = t.rid GROUP BY t.rid)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(k.removed, 0) AS n_removed, coalesce(k.spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.rid IS NULL THEN d.h ELSE k.kept || substr(d.h, 2 * k.stop + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k ON k.rid = d.rid""",
     # For pages whose article is marked: its blocks are what stands between paragraph and heading tags.
     "op2_html_extraction": r"""
 WITH a AS (
@@ -125,6 +139,16 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.m AS component_id, e.vec
 FROM embeddings e
 JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) m ON m.a = e.vec_id
 LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id""",
+    # All pairs of documents that share a shingle, and what their links reach.
+    "op7_minhash_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], chr(1)) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT a AS doc_id, min(b) AS class_id, a = min(b) AS kept FROM reach GROUP BY a""",
     "op8_quality_rules": rf"""
 WITH d AS (
   SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, source, coalesce(text, '') AS text,
