@@ -153,12 +153,13 @@ def title_author_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MATCH_COLUMNS = "qid, query"
 MATCH_ROWS = "(0, 'the'), (1, 'THE of'), (2, 'ß'), (3, ''), (4, 'the, of; and'), (5, 'zzz-none')"
+MATCH_STRUCTS = f"({MATCH_ROWS})"
 
 
 def match_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level at which each page's title and intro match each query. The queries are written out."""
     pages = extract.metadata(table(spark, sf_dir, "pages")).select("page_id", "title", "intro")
-    pairs = pages.join(F.broadcast(literal(spark, MATCH_COLUMNS, MATCH_ROWS)), F.lit(True))
+    pairs = pages.select("*", F.expr(f"inline(array{MATCH_STRUCTS}) AS ({MATCH_COLUMNS})"))
     return pairs.select("qid", "page_id", text.match_level(F.col("query"), F.col("title"), F.lit(""), F.col("intro")).alias("level"))
 
 
