@@ -155,11 +155,11 @@ def frequent_lines(measured: DataFrame, share: float = 0.1, least: int = 10) ->
     return counts.where(F.col("n") > least).join(limits, ["host", "no_host"]).where(F.col("n") > F.col("families") * share).select("host", "no_host", "key")
 
 
-def judge(docs: DataFrame, host: str = "source", share: float = 0.1, least: int = 10, min_words: int = 20, left: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", share: float = 0.1, least: int = 10, min_words: int = 20, words_left: int = 10, share_left: float = 0.2) -> DataFrame:
     """Base counts and verdict for every row of docs, with the keys of the lines to remove.
 
-    A document is depleted when the words outside removed lines are fewer than min_words, or
-    than `left` of its words. Null texts have no words and fail the base rules; a null host is a
+    A document is depleted when the words outside removed lines are fewer than words_left, or
+    than share_left of its words. Null texts have no words and fail the base rules; a null host is a
     host of its own; repeated rows are judged each, and count as one document; an empty table
     gives no rows; other columns are not read. Lines are compared whole, however long.
     """
@@ -173,8 +173,8 @@ def judge(docs: DataFrame, host: str = "source", share: float = 0.1, least: int
     ).select("rid", "host", "no_host", F.col("line.line_keys").alias("key"), F.col("line.line_words").alias("words"))
     removed = lines.join(frequent, ["host", "no_host", "key"]).groupBy("rid").agg(F.sum("words").alias("removed_words"), F.collect_list("key").alias("removed_keys"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    words_left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
-    fine = ~base & (words_left >= min_words) & (words_left >= left * F.col("n_words"))
+    rest = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
+    fine = ~base & (rest >= words_left) & (rest >= share_left * F.col("n_words"))
     return measured.join(removed, "rid", "left").select(
         *(c for c in _SCHEMA.names if c not in ("rid", "line_keys", "line_words", "line_least", "families", "host")),
         base.alias("base_failed"),

@@ -187,6 +187,6 @@ base AS (
   FROM d LEFT JOIN dups USING (rid) LEFT JOIN repeats USING (rid) LEFT JOIN removed USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - gone >= 20 AND n_words - gone >= 0.2 * n_words) AS kept
+       (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - gone >= 10 AND n_words - gone >= 0.2 * n_words) AS kept
 FROM base""",
 }
