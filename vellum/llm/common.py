@@ -50,13 +50,21 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+_CHUNK = 1 << 15
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: spreads every input bit over all output bits."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    """A 64-bit finalizer: spreads every input bit over all output bits. Long arrays are worked on in parts that fit a core's cache."""
+    flat = np.ascontiguousarray(x).reshape(-1)
+    out = np.empty_like(flat)
+    for a in range(0, len(flat), _CHUNK):
+        y = flat[a : a + _CHUNK]
+        y = y ^ (y >> np.uint64(31))
+        y *= np.uint64(0x7FB5D329728EA185)
+        y ^= y >> np.uint64(27)
+        y *= np.uint64(0x81DADEF4BC2DD44D)
+        np.bitwise_xor(y, y >> np.uint64(33), out=out[a : a + _CHUNK])
+    return out.reshape(x.shape)
 
 
 def connected(edges: DataFrame) -> DataFrame:

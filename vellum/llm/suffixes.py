@@ -46,6 +46,8 @@ RANGE = 8 << 20
 _BASES = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _NO_ID = -(1 << 63)
+#: Bytes of one step of the passes over a block, so that what it needs fits a core's cache.
+_CHUNK = 1 << 15
 
 
 def _pressed(*arrays: np.ndarray) -> bytes:
@@ -207,23 +209,31 @@ class Block:
 
     def _grams(self, which: int, length: int) -> np.ndarray:
         """The initial bucket of every suffix: an identifier of its first `length` bytes."""
-        if len(self.data) < length:
+        n = len(self.data) - length + 1
+        if n <= 0:
             return np.zeros(0, dtype=np.uint64)
         sums, undo = self._sums(which)
-        n = len(self.data) - length + 1
-        return mixed((sums[length:] - sums[:n]) * undo[:n])
+        out = np.empty(n, dtype=np.uint64)
+        for a in range(0, n, _CHUNK):
+            b = min(n, a + _CHUNK)
+            out[a:b] = mixed((sums[a + length : b + length] - sums[a:b]) * undo[a:b])
+        return out
 
     def _sampled(self) -> np.ndarray:
+        """The suffixes that have the least bucket of some string of DEPTH bytes inside their document."""
         n = len(self.data) - DEPTH + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.int64)
-        rank = (self.bucket >> np.uint64(32)).astype(np.uint32)
-        least = _least(rank, SPREAD + 1)
-        inside = self.doc[:n] == self.doc[DEPTH - 1 :]
-        least = np.where(inside, least, np.uint32(0))
-        # A suffix is sampled if it is the least of some string inside its document.
-        top = _least(np.concatenate([np.zeros(SPREAD, np.uint32), least, np.zeros(SPREAD, np.uint32)]), SPREAD + 1, np.maximum)
-        at = np.flatnonzero(top == rank[: len(top)])
+        found = []
+        for a in range(0, len(self.bucket) if n > 0 else 0, _CHUNK):
+            b = min(len(self.bucket), a + _CHUNK)
+            # The strings that a suffix of this part can be the least of begin at most SPREAD before it.
+            low, high = max(0, a - SPREAD), min(n, b)
+            rank = (self.bucket[low : high + SPREAD] >> np.uint64(32)).astype(np.uint32)
+            least = _least(rank, SPREAD + 1)
+            least[self.doc[low:high] != self.doc[low + DEPTH - 1 : high + DEPTH - 1]] = 0
+            ends = np.zeros(SPREAD, np.uint32)
+            top = _least(np.concatenate([ends[: SPREAD - (a - low)], least, ends[: b - high + SPREAD]]), SPREAD + 1, np.maximum)
+            found.append(a + np.flatnonzero(top[: b - a] == rank[a - low : b - low]))
+        at = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
         doc = self.doc[at]
         return at[(self.doc[at + Q - 1] == doc) & (np.diff(self.ends)[doc] >= DEPTH)]
 
