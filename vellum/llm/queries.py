@@ -74,8 +74,25 @@ QUERIES = {
     )
 }
 
+
+
+def _found(kind: str, pattern: str, where: str = "true") -> str:
+    """SQL for a pattern's matches with their places, from table d(rid, text)."""
+    pattern = pattern.replace("'", "''")
+    length = lambda x: f"coalesce(list_sum(list_transform({x}, lambda z: length(z))), 0)::BIGINT"
+    return f"""
+  SELECT rid, {secrets.KINDS.index(kind)} AS rank, '{kind}' AS kind, a AS a, a + length(m) AS b, m FROM (
+    SELECT rid, {length("parts[1:k]")} + {length("ms[1:k - 1]")} AS a, ms[k] AS m FROM (
+      SELECT rid, parts, ms, unnest(range(1, len(ms) + 1)) AS k FROM (
+        SELECT rid, string_split_regex(text, '{pattern}') AS parts, regexp_extract_all(text, '{pattern}') AS ms FROM d WHERE regexp_matches(text, '{pattern}'))))
+  WHERE {where}"""
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_ASSIGN = secrets._ASSIGN.replace("'", "''")
+_PAIRS = "SELECT CASE WHEN j = 1 THEN '^' ELSE token[j - 1:j - 1] END AS a, token[j:j] AS b, count(*) AS n FROM (SELECT token, unnest(range(1, length(token) + 1)) AS j FROM {}) GROUP BY ALL"
+
 ORACLE = {
     # Texts as hex, two characters a byte; every string of 50 bytes and the smallest document that has it.
     "op1_suffix_dedup": """
@@ -189,4 +206,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        (NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - gone >= 10 AND n_words - gone >= 0.2 * n_words) AS kept
 FROM base""",
+    "op9_secret_scan": rf"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+chosen AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL ORDER BY doc_id LIMIT {secrets.SAMPLE_DOCS}),
+words AS (SELECT w, w[i + 1] AS x, coalesce(w[i + 2], 'x') AS y, i FROM (
+  SELECT w, unnest(range(len(w))) AS i FROM (SELECT regexp_extract_all(text, '[A-Za-z]{{2,}}') AS w FROM documents JOIN chosen USING (doc_id)))),
+ordinary AS (SELECT CASE i % 9 WHEN 0 THEN x WHEN 1 THEN lower(x) WHEN 2 THEN lower(x) || '_' || lower(y) WHEN 3 THEN lower(x) || upper(y[1:1]) || lower(y[2:])
+    WHEN 4 THEN upper(x[1:1]) || lower(x[2:]) || upper(y[1:1]) || lower(y[2:]) WHEN 5 THEN upper(x) || '_' || upper(y) WHEN 6 THEN lower(x) || '-' || lower(y) || '/' || lower(x)
+    WHEN 7 THEN lower(x) || '_' || (i % 100) ELSE upper(x) END AS token FROM words),
+random AS (SELECT CASE id % 4 WHEN 0 THEN e WHEN 1 THEN regexp_replace(e, '[+/=]', '', 'g') WHEN 2 THEN upper(regexp_replace(e, '[+/=]', '', 'g')) ELSE h END AS token
+  FROM (SELECT id, h, base64(unhex(h)) AS e FROM (SELECT id, sha256(id::VARCHAR) AS h FROM range({secrets.SAMPLE_RANDOM}) t(id)))),
+r AS ({_PAIRS.format("random")}), o AS ({_PAIRS.format("ordinary")}),
+letters AS (SELECT unnest(string_split('{secrets.ALPHABET}', '')) AS b),
+states AS (SELECT '^' AS a UNION ALL SELECT b FROM letters),
+rt AS (SELECT s.a, coalesce(sum(n), 0) + {len(secrets.ALPHABET)} AS t FROM states s LEFT JOIN r USING (a) GROUP BY s.a),
+ot AS (SELECT s.a, coalesce(sum(n), 0) + {len(secrets.ALPHABET)} AS t FROM states s LEFT JOIN o USING (a) GROUP BY s.a),
+weights AS (SELECT s.a, l.b, round(ln((coalesce(r.n, 0) + 1) / rt.t) - ln((coalesce(o.n, 0) + 1) / ot.t), 6) AS x
+  FROM states s CROSS JOIN letters l LEFT JOIN r ON r.a = s.a AND r.b = l.b LEFT JOIN o ON o.a = s.a AND o.b = l.b JOIN rt ON rt.a = s.a JOIN ot ON ot.a = s.a),
+base AS ({_found("assign", secrets._ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6")}
+  UNION ALL {_found("access", secrets._ACCESS, "length(m) >= 20")}
+  UNION ALL {_found("hex", secrets._HEX)}),
+tokens AS (SELECT *, row_number() OVER () AS tid FROM ({_found("random", secrets._TOKEN, "regexp_matches(m, '[A-Za-z]')")}) t
+  WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rid = t.rid AND base.a < t.b AND base.b > t.a)),
+scored AS (SELECT tid, sum(x) AS score FROM (SELECT tid, CASE WHEN j = 1 THEN '^' ELSE m[j - 1:j - 1] END AS a, m[j:j] AS b FROM (SELECT tid, m, unnest(range(1, length(m) + 1)) AS j FROM tokens)) JOIN weights USING (a, b) GROUP BY tid),
+odd AS (SELECT t.* FROM tokens t JOIN scored USING (tid) WHERE score > {secrets.MARGIN}),
+listed AS (SELECT rid, kind || ':' || a || ':' || b AS span, a, rank FROM base),
+every AS (SELECT * FROM listed UNION ALL SELECT rid, kind || ':' || a || ':' || b, a, rank FROM odd)
+SELECT d.doc_id, coalesce(n.n_assign, 0) AS n_assign, coalesce(n.n_access, 0) AS n_access, coalesce(n.n_hex, 0) AS n_hex,
+       sha256(coalesce(l.spans, '')) AS base_sha256, coalesce(e.spans, '') AS spans, coalesce(q.n, 0) AS n_random
+FROM d
+LEFT JOIN (SELECT rid, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex FROM base GROUP BY rid) n USING (rid)
+LEFT JOIN (SELECT rid, string_agg(span, ',' ORDER BY a, rank) AS spans FROM listed GROUP BY rid) l USING (rid)
+LEFT JOIN (SELECT rid, string_agg(span, ',' ORDER BY a, rank) AS spans FROM every GROUP BY rid) e USING (rid)
+LEFT JOIN (SELECT rid, count(*) AS n FROM odd GROUP BY rid) q USING (rid)""",
 }
