@@ -13,6 +13,7 @@ UNITS = {"十": 10, "百": 100, "千": 1000}
 NUMERAL = "零〇一二两兩三四五六七八九十百千"
 _ANY = rf"[{NUMERAL}0-9]+"
 
+# Patterns of a chapter's number and of its label, volume and name.
 CHAPTER_REF = rf"^{SPACE}*第{SPACE}*([0-9]+|[零〇一二两三四五六七八九十百千]+){SPACE}*([章回])"
 SPLIT_TITLE = rf"^{SPACE}*(第{SPACE}*{_ANY}{SPACE}*章){SPACE}*(?:卷{SPACE}*((?:[一二三四五六七八九]?十[一二三四五六七八九]?|百|[一二三四五六七八九])|[0-9]+){SPACE}*(.*)|(.*)){SPACE}*$"
 
@@ -94,6 +95,7 @@ def page_volume(x: Column) -> Column:
 
 def authors_in(text: Column, query: Column) -> Column:
     """Names that a search result gives for the author: five forms in turn, cleaned, up to 12 characters, each once."""
+    # The five forms.
     forms = (
         r"[（(]([^()（）]{1,20})[)）]",
         r"作者\s*[:：]\s*([^\s,，。|｜_《》()（）-]{1,20})",

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.text import paragraph_key
 from ..functions.titles import NUMERAL
 
+# Patterns of volume, chapter and turn headings, and of lines to skip.
 _N = f"[{NUMERAL}0-9]+"
 VOLUME = rf"^\s*第\s*{_N}\s*卷"
 CHAPTER = rf"^\s*(?:第\s*{_N}\s*章|(?i:chapter)\s*[0-9]+)"
