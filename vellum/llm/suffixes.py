@@ -39,7 +39,7 @@ from .words import _CODE, _size, inverse, powers, text_bytes
 Q, STEP, DEPTH = 20, 15, 50
 SPREAD = DEPTH - Q  # a string of DEPTH bytes that has a sampled q-gram begins at most so far before it
 #: Bytes of a block's documents, about.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Bytes of all documents for each range of identifiers, about.
 RANGE = 8 << 20
 
@@ -358,7 +358,7 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     # The checkpoint keeps its partitioning, so replies come to the blocks and blocks stay where they are.
     blocks = cut(packed.repartition(parts, "block"))
     total = blocks.agg(F.sum("size")).first()[0] or 0
-    ranges = max(parts, math.ceil(total / RANGE))
+    ranges = max(2 * parts, math.ceil(total / RANGE))
 
     def initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
