@@ -73,7 +73,9 @@ class Vocabulary:
 
     @cached_property
     def plain(self) -> np.ndarray:
-        return np.array([i for i in range(len(self.pieces)) if i not in self.special and i not in set(self.byte_ids.tolist())])
+        """The ids of pieces that stand for characters."""
+        other = self.special | {*self.byte_ids.tolist()}
+        return np.array([i for i in range(len(self.pieces)) if i not in other])
 
     @cached_property
     def longest(self) -> int:
