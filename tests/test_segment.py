@@ -106,3 +106,10 @@ def test_sequence_issues(spark):
     refs = spark.createDataFrame([("p", "章", k, n, f"h{k}") for k, n in enumerate(numbers)], "package string, unit string, ord int, number long, href string")
     got = sorted((r.kind, r.number, r.detail) for r in validate.sequence_issues(refs).collect())
     assert got == [("duplicate", 4, "h1; h2; h5"), ("order", 4, "after 5"), ("order", 5, "after 6"), ("order", 6, "after 4")]
+
+
+def test_headings(spark):
+    df = spark.createDataFrame([(["第一章 a", "x"], "第一章：A".lower()), (["x"], "y"), ([], "y"), (["y"], "y")], "t array<string>, h string")
+    assert [r[0] for r in df.select(segment.without_heading(F.col("t"), F.col("h"))).collect()] == [["x"], ["x"], [], []]
+    df = spark.createDataFrame([("a", "b"), (" ", "b"), (None, "b")], "p string, t string")
+    assert [r[0] for r in df.select(segment.chosen_title(F.col("p"), F.col("t"))).collect()] == ["a", "b", "b"]

@@ -162,6 +162,17 @@ def without_prefix(intro: Column, chapter: Column) -> Column:
     return F.slice(chapter, start, F.greatest(F.size(chapter) - start + 1, F.lit(0)))
 
 
+def without_heading(texts: Column, title: Column) -> Column:
+    """A page's paragraphs without a first one that only repeats the chapter's title."""
+    same = F.coalesce(paragraph_key(F.get(texts, F.lit(0))) == paragraph_key(title), F.lit(False))
+    return F.when(same, F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0)))).otherwise(texts)
+
+
+def chosen_title(page_title: Column, toc_title: Column) -> Column:
+    """The page's own title, or what the contents list calls it."""
+    return F.coalesce(F.nullif(F.trim(page_title), F.lit("")), toc_title)
+
+
 def adaptive_sections(lines: DataFrame, sentinel: str, reach: int = 20) -> DataFrame:
     """(book, part, section, text): sections of lines(book, line_no, text) by numbers that rise.
 
