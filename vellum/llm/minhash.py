@@ -216,14 +216,18 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     tree = cut(connected(links))
     placed = referred.join(tree.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "ref", "rid", F.coalesce("component", "rid").alias("component"))
     placed = stored(placed, "placed")
-    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    # Of the classes in a bucket the one with most members is its main one.
+    shares = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    several = shares.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "main")
     # What was compared with the reference needs no other comparison with it.
     differences = compared.select(F.col("a").alias("rid"), F.col("b").alias("ref"), "size", "base", "extra", *(F.get(c, F.lit(k)).alias(f"{c}{k}") for c in ("added", "lacking") for k in range(WORDS)))
     open_ = stored(placed.where("rid <> ref").join(several, "bucket").join(differences, ["rid", "ref"]), "open")
     left, right = (open_.select(F.col("bucket").alias(f"bucket{c}"), F.col("rid").alias(c), *(F.col(x).alias(x + c) for x in open_.columns if x not in ("rid", "bucket", "ref"))) for c in "ab")
-    across = left.join(right, (F.col("bucketa") == F.col("bucketb")) & (F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & _possible(least))
+    # The main class's members are only held against the others, so a bucket costs its size times what lies outside its main class.
+    once = (F.col("componentb") == F.col("mainb")) | (F.col("a") < F.col("b"))
+    across = left.where("componenta <> maina").join(right, (F.col("bucketa") == F.col("bucketb")) & (F.col("componenta") != F.col("componentb")) & once & _possible(least))
     # Signatures are held against each other in a step of their own: in the join they would make its loop too long to be compiled.
-    across = stored(across.select("a", "b").distinct(), "across")
+    across = stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
     across = across.join(reps.select(F.col("rid").alias("a"), F.col("signature").alias("signaturea")), "a").join(reps.select(F.col("rid").alias("b"), F.col("signature").alias("signatureb")), "b")
     across = across.where(_agree("signaturea", "signatureb") >= int(AGREEMENT * REGISTERS)).select("a", "b")
     more = stored(_verified(across, texts), "compared").where(F.col("similarity") >= least).select("a", "b")
