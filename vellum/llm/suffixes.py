@@ -253,7 +253,8 @@ class Block:
         return (mixed((sums[at + length] - sums[at]) * undo[at]) >> np.uint64(32)).astype(np.uint32)
 
     def initial(self) -> Keys:
-        return Keys(self.bucket[self.sampled], None, self.ids[self.doc[self.sampled]], self.ranges)
+        # Sampled buckets are the least of many, so they are mixed again to spread over all ranges.
+        return Keys(mixed(self.bucket[self.sampled]), None, self.ids[self.doc[self.sampled]], self.ranges)
 
     def live(self, replies: list[dict]) -> None:
         """Keeps the sampled suffixes whose bucket has several documents."""
