@@ -112,6 +112,7 @@ def test_suffixes_on_awkward_tables(awkward, clashing, empty):
         ("<script>var a='</p><p>x';</script><style>p{}</style><p>y &lt;z&gt;</p>", "y <z>"),
         ("<article>x<div class=advert>buy, now</div><form>f</form>y</article>", "x\n\ny"),
         ("<header>Site</header><article><header><h2>H</h2>by me</header><p>t</p></article>", "H\n\nt"),
+        ("<div id=content><p>Text, some of it.</p></div><div>Copyright 2020</div>", "Text, some of it."),
         ("<p>never closed <a href='x", "never closed"),
         ("<!-- <p>c</p> --><p>a&nbsp; b\n c</p>", "a b c"),
     ],

@@ -22,6 +22,7 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME_PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+_COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 _PUNCTUATION = re.compile(r"[,.;:!?¿¡…。，、；：！？]")
 
 # Element names of HTML by the role they play here.
