@@ -170,12 +170,12 @@ def main_text(page: str) -> str:
     averaged over the path again. Where the page marks its article, its paths stay unless links
     make up most of their text. Elsewhere a path stays if its score is a quarter of the page's
     mean score, weighted by length, or more; in the container of the best path a fiftieth does,
-    and headings there stay.
+    and headings there stay; a copyright line goes.
     """
     found = blocks(page)
     kept = [b for b in found if not b.soft] or found
     marked = [b for b in kept if b.in_article]
-    kept = marked or kept
+    kept = marked or [b for b in kept if not _COPYRIGHT.match(b.text)]
     if not kept:
         return ""
     seen: dict[str, int] = defaultdict(int)
