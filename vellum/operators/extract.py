@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import clean, unescape
 
@@ -56,8 +55,8 @@ def split_at_more(html: Column) -> Column:
     return F.when(F.size(parts) == 2, F.struct(parts[0].alias("intro"), parts[1].alias("body"))).otherwise(F.struct(F.lit("").alias("intro"), html.alias("body")))
 
 
-def metadata(pages: DataFrame) -> DataFrame:
-    """(page_id, title, heading, lang, owner, intro): the title falls back to the heading, both are empty if absent."""
+def metadata(pages: DataFrame, *more: str) -> DataFrame:
+    """(page_id, title, heading, lang, owner, intro), and more of the pages' columns: the title falls back to the heading, both are empty if absent."""
     html = without_noise(F.coalesce("html", F.lit("")))
     heading = plain(element(html, "h1"))
     texts = paragraphs(F.col("html"))
@@ -68,6 +67,7 @@ def metadata(pages: DataFrame) -> DataFrame:
         F.regexp_extract(html, r"(?i)<html[^>]*\slang=[\"']([^\"']*)[\"']", 1).alias("lang"),
         clean(F.regexp_extract(plain(element(html, "footer")), "© ([^·]*)·", 1)).alias("owner"),
         F.coalesce(F.array_join(F.slice(texts, 1, 2), "\n"), F.lit("")).alias("intro"),
+        *more,
     )
 
 
@@ -77,13 +77,17 @@ def anchors(html: Column) -> Column:
     return F.transform(links, lambda a: F.struct(unescape(a["href"]).alias("href"), plain(a["label"]).alias("label")))
 
 
+def contents_of(html: Column, inside: str = "nav") -> Column:
+    """array<struct(href, label)>: the links of a page's contents list, the first of each target, no blank labels."""
+    links = F.filter(anchors(element(without_noise(html), inside)), lambda a: a["label"] != "")
+    targets = F.transform(links, lambda a: a["href"])
+    return F.filter(links, lambda a, i: F.array_position(targets, a["href"]) == i + 1)
+
+
 def contents(pages: DataFrame, inside: str = "nav") -> DataFrame:
-    """(page_id, ord, href, label): the links of each page's contents list, the first of each target, no blank labels, numbered anew."""
-    links = pages.select("page_id", F.posexplode(anchors(element(without_noise(F.col("html")), inside))).alias("at", "a")).select("page_id", "at", "a.href", "a.label")
-    links = links.where("label <> ''")
-    first = links.groupBy("page_id", "href").agg(F.min("at").alias("at"), F.min_by("label", "at").alias("label"))
-    # A page's links are all that one window holds.
-    return first.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("at")).alias("ord"), "href", "label")
+    """(page_id, ord, href, label): the contents lists of all pages, each numbered anew. Rows stay where they are."""
+    links = pages.select("page_id", F.posexplode(contents_of(F.col("html"), inside)).alias("at", "a"))
+    return links.select("page_id", (F.col("at") + 1).alias("ord"), "a.href", "a.label")
 
 
 def payload_lines(answer: Column) -> Column:

@@ -36,18 +36,21 @@ def preview_order() -> list[Column]:
     return [F.desc("level"), F.desc(F.coalesce("chapter_count", F.lit(-1))), F.desc("priority"), F.asc("ord")]
 
 
-def previews(toc: DataFrame, key: str) -> DataFrame:
-    """(key, n_items, first_two, last_two) of contents lists(key, ord, label)."""
-    labels = toc.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "label"))).alias("items"))
-    label = lambda part: F.array_join(F.transform(part, lambda i: i["label"]), "|")
-    return labels.select(
-        key,
-        F.size("items").cast("long").alias("n_items"),
-        label(F.slice("items", 1, 2)).alias("first_two"),
-        label(F.slice("items", F.greatest(F.size("items") - 1, F.lit(1)), 2)).alias("last_two"),
+def preview_of(labels: Column) -> Column:
+    """struct(n_items, first_two, last_two) of a contents list's labels."""
+    return F.struct(
+        F.coalesce(F.size(labels), F.lit(0)).cast("long").alias("n_items"),
+        F.array_join(F.slice(labels, 1, 2), "|").alias("first_two"),
+        F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "|").alias("last_two"),
     )
 
 
+def previews(toc: DataFrame, key: str) -> DataFrame:
+    """(key, n_items, first_two, last_two) of contents lists that are tables(key, ord, label)."""
+    items = toc.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "label"))).alias("items"))
+    return items.select(key, preview_of(F.transform("items", lambda i: i["label"])).alias("p")).select(key, "p.*")
+
+
 def without_near_copies(rows: DataFrame) -> DataFrame:
     """One preview of each (source, title key, author key, count, first, last): of the lowest blog entry number, then URL. A URL without one counts as 0."""
     entry = F.coalesce(F.regexp_extract("url", r"blog-entry-(\d+)\.html", 1).try_cast("long"), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, titles, urls
 from ..operators import extract
-from ..sources.tables import SOURCE_COLUMNS, SOURCE_ROWS, literal, sources, table
+from ..sources.tables import SOURCE_COLUMNS, SOURCE_ROWS, literal, routed, table
 
 # Parts of the SQL that several queries use.
 WS = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
@@ -109,11 +109,11 @@ def url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first source, in their order, whose domain each page's host is in. The table of sources is written out, so it may be broadcast."""
-    pages = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
-    pairs = pages.join(F.broadcast(sources(spark)), urls.in_domain(F.col("host"), F.col("domain")), "left")
-    best = pairs.groupBy("page_id", "host").agg(F.min_by(F.struct("source", "priority"), "ord").alias("s"))
-    return best.select("page_id", "host", F.coalesce("s.source", F.lit("")).alias("source"), F.coalesce("s.priority", F.lit(0)).alias("priority"))
+    """The first source, in their order, whose domain each page's host is in."""
+    host = urls.host(F.col("url"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", host.alias("host"), F.coalesce(routed(host)["source"], F.lit("")).alias("source"), F.coalesce(routed(host)["priority"], F.lit(0)).alias("priority")
+    )
 
 
 NUMERAL_COLUMNS = "ord, raw"
@@ -372,7 +372,7 @@ FROM (VALUES {URL_ROWS}) t({URL_COLUMNS})""",
     "source_routing": rf"""
 SELECT p.page_id, p.host, coalesce(arg_min(s.source, s.ord), '') AS source, coalesce(arg_min(s.priority, s.ord), 0) AS priority
 FROM (SELECT page_id, lower(regexp_extract(url, '{_PARTS}', 2)) AS host FROM pages) p
-LEFT JOIN (VALUES {SOURCE_ROWS}) s({SOURCE_COLUMNS}) ON p.host = s.domain OR suffix(p.host, '.' || s.domain)
+LEFT JOIN (VALUES {SOURCE_ROWS}) s({', '.join(SOURCE_COLUMNS)}) ON p.host = s.domain OR suffix(p.host, '.' || s.domain)
 GROUP BY p.page_id, p.host""",
     "numeral_parse": rf"""
 WITH RECURSIVE t AS (

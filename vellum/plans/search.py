@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import extract, search
-from ..sources.tables import SOURCE_ROWS, literal, sources, table
+from ..sources.tables import SOURCE_ROWS, literal, routed, sources, table
 from .extract import _PARTS, CONTENTS_SQL, META_SQL, canonical_sql, key_sql, level_sql
 
 QUERY, PER_SOURCE, LIMIT = "the of", 5, 10
@@ -26,16 +26,17 @@ def results_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ord, source, url, title, intro, priority, level) of the pages; the table of sources is written out."""
+    """(ord, source, url, title, priority, level) of the pages of searchable sources; of two domains a host is in, the longer counts. Rows stay where they are."""
     pages = table(spark, sf_dir, "pages")
-    found = extract.metadata(pages).join(pages.select("page_id", "url"), "page_id")
-    routed = found.withColumn("host", urls.host(F.col("url"))).join(F.broadcast(sources(spark)).drop("ord"), urls.in_domain(F.col("host"), F.col("domain")))
-    # A host may be in two domains: the longer one is its own.
-    routed = search.first_of(routed.withColumn("wide", -F.length("domain")), ["page_id"], ["wide", "source"])
-    return routed.where("searchable").select(
-        F.col("page_id").alias("ord"), "source", urls.canonical_url(F.col("url")).alias("url"), "title", "intro", "priority",
+    rows = extract.metadata(pages, "url").withColumn("route", routed(urls.host(F.col("url")), longest=True)).where("route.searchable")
+    return rows.select(
+        F.col("page_id").alias("ord"),
+        "route.source",
+        urls.canonical_url(F.col("url")).alias("url"),
+        "title",
+        "route.priority",
         text.match_level(F.lit(QUERY), F.col("title"), F.lit(""), F.col("intro")).alias("level"),
-    )
+    )
 
 
 def rank_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +46,15 @@ def rank_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(scored, search.result_order(), LIMIT).select("rank", "source", "ord", "level", "raw_score", "priority")
 
 
+def _labels(html: str = "html"):
+    return F.transform(extract.contents_of(F.col(html)), lambda a: a["label"])
+
+
 def preview_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return extract.metadata(pages).select("page_id", "title", "intro").join(search.previews(extract.contents(pages), "page_id"), "page_id", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    """Every page's title, intro and the ends of its contents list, in one pass; a page without a list has none of its ends."""
+    rows = extract.metadata(table(spark, sf_dir, "pages"), "html").select("page_id", "title", "intro", search.preview_of(_labels()).alias("p"))
+    some = F.col("p.n_items") > 0
+    return rows.select("page_id", "title", "intro", "p.n_items", *(F.when(some, F.col(f"p.{c}")).alias(c) for c in ("first_two", "last_two")))
 
 
 PREVIEW_COLUMNS = "ord, source, title, author, url, chapter_count, first_two, last_two"
@@ -68,11 +75,10 @@ def search_preview_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pages routed to sources, deduped by URL, scored, the best ten previewed and ranked."""
     scored = search.first_of(_scored(spark, sf_dir), ["source", "url"], ["ord"]).withColumn("raw_score", F.lit(0.0))
     best = scored.orderBy(*search.result_order()).limit(LIMIT)
-    toc = extract.contents(table(spark, sf_dir, "pages")).withColumnRenamed("page_id", "of")
-    # Ten rows: their contents lists are found by a join that a broadcast of ten rows serves.
-    near = toc.join(F.broadcast(best.select("ord").withColumnRenamed("ord", "of")), "of", "left_semi")
-    seen = search.previews(near.withColumnRenamed("of", "page"), "page")
-    rows = best.join(seen, best["ord"] == seen["page"], "left").withColumn("chapter_count", F.coalesce("n_items", F.lit(0)))
+    # Ten rows are broadcast to find their pages.
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    rows = pages.join(F.broadcast(best), pages["page_id"] == best["ord"]).withColumn("p", search.preview_of(_labels())).select(*best.columns, F.col("p.n_items").alias("chapter_count"), "p.first_two", "p.last_two")
+    rows = rows.withColumns({c: F.when(F.col("chapter_count") > 0, F.col(c)) for c in ("first_two", "last_two")})
     return search.ranked(rows, search.preview_order(), LIMIT).select("rank", "source", "title", "url", "level", "chapter_count", "first_two", "last_two")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import in_domain
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A landed Parquet table."""
@@ -32,12 +34,25 @@ def decoded_file(content, charset: str = "UTF-8"):
     return F.decode(content, charset)
 
 
-#: Columns and rows of the sources: where each stands in order, its domain, its rank among equals, whether it can be searched.
-SOURCE_COLUMNS = "ord, source, domain, priority, searchable"
-SOURCE_ROWS = """
-  (0, 'blog', 'blog.example.com', 2, true), (1, 'com', 'example.com', 3, true),
-  (2, 'net', 'example.net', 1, true), (3, 'org', 'example.org', 0, true), (4, 'archive', 'archive.example.org', 0, false)"""
+#: The sources: where each stands in order, its name, domain and rank among equals, and whether it can be searched.
+SOURCES = (
+    (0, "blog", "blog.example.com", 2, True),
+    (1, "com", "example.com", 3, True),
+    (2, "net", "example.net", 1, True),
+    (3, "org", "example.org", 0, True),
+    (4, "archive", "archive.example.org", 0, False),
+)
+SOURCE_COLUMNS = ("ord", "source", "domain", "priority", "searchable")
+SOURCE_ROWS = ", ".join(f"({o}, '{s}', '{d}', {p}, {str(x).lower()})" for o, s, d, p, x in SOURCES)
 
 
 def sources(spark: SparkSession) -> DataFrame:
-    return literal(spark, SOURCE_COLUMNS, SOURCE_ROWS)
+    return literal(spark, ", ".join(SOURCE_COLUMNS), SOURCE_ROWS)
+
+
+def routed(host: Column, longest: bool = False) -> Column:
+    """struct(ord, source, domain, priority, searchable): the first source whose domain the host is in, or the one with the
+    longest such domain; null for none. The table is a constant, so rows are routed where they are."""
+    rows = sorted(SOURCES, key=lambda r: -len(r[2])) if longest else SOURCES
+    constant = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(SOURCE_COLUMNS, r, strict=True))) for r in rows))
+    return F.get(F.filter(constant, lambda r: in_domain(host, r["domain"])), F.lit(0))
