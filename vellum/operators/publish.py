@@ -29,9 +29,9 @@ def manifest(chapters: DataFrame, single_volume: bool = False) -> DataFrame:
     rows = rows.withColumn("many", F.max("v").over(by_book) > 1)
     body = F.array_join(F.transform("texts", lambda t: F.concat(F.lit("<p>"), escape_html(comma_spacing(t)), F.lit("</p>"))), "\n")
     page = lambda title, level, inner: F.concat(F.format_string(_HEAD.replace("{}", "%s"), escape_html(title)), F.lit(f"<{level}>"), escape_html(title), F.lit(f"</{level}>"), inner, F.lit(_TAIL))
-    chapter = rows.select(
-        "book", "v", "c", F.format_string("chap_%02d_%03d.xhtml", "v", "c").alias("file"), F.lit("chapter").alias("kind"), F.col("chapter").alias("title"), page(F.col("chapter"), "h2", body).alias("content")
-    )
-    covers = rows.where((F.col("c") == 1) & (F.col("volume") != "") & (F.col("many") | F.lit(single_volume)))
-    cover = covers.select("book", "v", F.lit(0).alias("c"), F.format_string("vol_%02d.xhtml", "v").alias("file"), F.lit("volume").alias("kind"), F.col("volume").alias("title"), page(F.col("volume"), "h1", F.lit("")).alias("content"))
-    return chapter.unionByName(cover).withColumn("spine", F.row_number().over(by_book.orderBy("v", "c"))).select("book", "spine", "file", "kind", "title", "content")
+    file = lambda c, name, kind, title, content: F.struct(c.alias("c"), name.alias("file"), F.lit(kind).alias("kind"), title.alias("title"), content.alias("content"))
+    chapter = file(F.col("c"), F.format_string("chap_%02d_%03d.xhtml", "v", "c"), "chapter", F.col("chapter"), page(F.col("chapter"), "h2", body))
+    cover = file(F.lit(0), F.format_string("vol_%02d.xhtml", "v"), "volume", F.col("volume"), page(F.col("volume"), "h1", F.lit("")))
+    covered = (F.col("c") == 1) & (F.col("volume") != "") & (F.col("many") | F.lit(single_volume))
+    files = rows.select("book", "v", F.explode(F.array_compact(F.array(F.when(covered, cover), chapter))).alias("f")).select("book", "v", "f.*")
+    return files.withColumn("spine", F.row_number().over(by_book.orderBy("v", "c"))).select("book", "spine", "file", "kind", "title", "content")

@@ -39,8 +39,9 @@ def volumes(lines: DataFrame) -> DataFrame:
     """
     lines = lines.where(F.col("text").isNull() | ~F.col("text").rlike(SKIP))
     # The heading is an event of its own, before the page's lines.
-    events = lines.where("heading IS NOT NULL").select("book", "page", F.lit(-1).alias("line_no"), F.col("heading").alias("text"), F.lit(True).alias("head"))
-    rows = lines.where("text IS NOT NULL").select("book", "page", "line_no", "text", F.lit(False).alias("head")).unionByName(events)
+    event = lambda at, text, head: F.struct(at.alias("line_no"), text.alias("text"), F.lit(head).alias("head"))
+    events = F.array_compact(F.array(F.when(F.col("heading").isNotNull(), event(F.lit(-1), F.col("heading"), True)), F.when(F.col("text").isNotNull(), event(F.col("line_no"), F.col("text"), False))))
+    rows = lines.select("book", "page", F.explode(events).alias("e")).select("book", "page", "e.*")
     order = Window.partitionBy("book").orderBy("page", "line_no")
     named = F.when(F.col("head") | is_volume(F.col("text")), F.trim("text"))
     rows = rows.withColumn("named", named).withColumn("open_name", F.last("named", True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -48,10 +49,11 @@ def volumes(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("opens", opens).where("NOT head OR opens").withColumn("vid", F.sum(F.col("opens").cast("long")).over(order))
     rows = rows.withColumn("chap", ~F.col("opens") & is_chapter(F.col("text")))
     rows = rows.withColumn("cid", F.sum(F.col("chap").cast("long")).over(Window.partitionBy("book", "vid").orderBy("page", "line_no")))
+    rows = rows.withColumn("volume", F.max(F.when(F.col("opens"), F.col("named"))).over(Window.partitionBy("book", "vid")))
     line = F.when(~F.col("opens") & ~F.col("chap"), F.struct("page", "line_no", "text"))
-    out = rows.groupBy("book", "vid").agg(F.max(F.when(F.col("opens"), F.col("named"))).alias("volume"))
-    parts = rows.groupBy("book", "vid", "cid").agg(F.max(F.when(F.col("chap"), F.trim("text"))).alias("chapter"), F.sort_array(F.collect_list(line)).alias("items"))
-    parts = parts.where(F.size("items") > 0).join(out, ["book", "vid"])
+    # All windows and this grouping are by book or finer, so the lines are shuffled once.
+    parts = rows.groupBy("book", "vid", "cid").agg(F.max("volume").alias("volume"), F.max(F.when(F.col("chap"), F.trim("text"))).alias("chapter"), F.sort_array(F.collect_list(line)).alias("items"))
+    parts = parts.where(F.size("items") > 0)
     return parts.select("book", "vid", "cid", F.coalesce("volume", F.lit("")).alias("volume"), F.coalesce("chapter", F.lit("正文")).alias("chapter"), F.transform("items", lambda i: i["text"]).alias("texts"))
 
 
@@ -70,7 +72,8 @@ def numbered(lines: DataFrame) -> DataFrame:
     """lines(book, c, k, text) with seg, the number of markers so far in the chapter, and n, the last one's number. A marker is a line that is only a number."""
     order = Window.partitionBy("book", "c").orderBy("k")
     marker = F.when(F.col("text").rlike("^[0-9]+$"), F.col("text").try_cast("long"))
-    return lines.withColumn("marker", marker).withColumn("seg", F.sum(F.col("marker").isNotNull().cast("long")).over(order)).withColumn("n", F.last("marker", True).over(order))
+    # By book, which serves the windows by chapter and all that follows.
+    return lines.repartition("book").withColumn("marker", marker).withColumn("seg", F.sum(F.col("marker").isNotNull().cast("long")).over(order)).withColumn("n", F.last("marker", True).over(order))
 
 
 def _joined(items: str) -> Column:

@@ -14,15 +14,29 @@ def sequence_issues(refs: DataFrame) -> DataFrame:
     whose number is neither its predecessor's nor the one after that, with the predecessor's.
     missing: a number between the least and the greatest that none has. Numbering may begin anywhere.
     """
-    same = refs.groupBy("package", "unit", "number").agg(F.sort_array(F.collect_list(F.struct("ord", "href"))).alias("items")).where(F.size("items") > 1)
-    duplicate = same.select("package", "unit", F.lit("duplicate").alias("kind"), "number", F.array_join(F.transform("items", lambda i: i["href"]), "; ").alias("detail"))
-    w = Window.partitionBy("package", "unit").orderBy("ord", "href")
-    steps = refs.withColumn("before", F.lag("number").over(w)).where("number <> before AND number <> before + 1")
-    order = steps.select("package", "unit", F.lit("order").alias("kind"), "number", F.concat_ws(" ", F.lit("after"), F.col("before").cast("string")).alias("detail"))
-    seen = refs.groupBy("package", "unit").agg(F.collect_set("number").alias("s"))
-    gaps = seen.select("package", "unit", F.explode(F.array_except(F.sequence(F.array_min("s"), F.array_max("s")), F.col("s"))).alias("number"))
-    missing = gaps.select("package", "unit", F.lit("missing").alias("kind"), "number", F.lit("").alias("detail"))
-    return duplicate.unionByName(order).unionByName(missing)
+    own, number = Window.partitionBy("package", "unit"), Window.partitionBy("package", "unit", "number")
+    # All windows are by package and unit or finer: references are shuffled once.
+    rows = refs.select(
+        "package",
+        "unit",
+        "number",
+        F.lag("number").over(own.orderBy("ord", "href")).alias("before"),
+        F.row_number().over(number.orderBy("ord", "href")).alias("place"),
+        F.collect_list(F.struct("ord", "href")).over(number.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("items"),
+        F.min("number").over(own.orderBy("number").rangeBetween(1, Window.unboundedFollowing)).alias("after"),
+    )
+    issue = lambda kind, n, detail: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("number"), detail.alias("detail"))
+    number, first = F.col("number"), F.col("place") == 1
+    links = F.array_join(F.transform(F.sort_array("items"), lambda i: i["href"]), "; ")
+    found = F.array_compact(
+        F.array(
+            F.when(first & (F.size("items") > 1), issue("duplicate", number, links)),
+            F.when((number != F.col("before")) & (number != F.col("before") + 1), issue("order", number, F.concat_ws(" ", F.lit("after"), F.col("before").cast("string")))),
+        )
+    )
+    gap = F.when(first & (F.col("after") > number + 1), F.transform(F.sequence(number + 1, F.col("after") - 1), lambda n: issue("missing", n, F.lit(""))))
+    every = F.concat(found, F.coalesce(gap, F.filter(found, lambda x: F.lit(False))))
+    return rows.select("package", "unit", F.explode(every).alias("i")).select("package", "unit", "i.kind", "i.number", "i.detail")
 
 
 def cross_reference_issues(refs: DataFrame) -> DataFrame:
@@ -31,20 +45,30 @@ def cross_reference_issues(refs: DataFrame) -> DataFrame:
     Of several ncx references to one target the last counts. Every nav reference should have an
     ncx one and a document, of its number; every ncx reference a nav one.
     """
-    own = lambda s: refs.where(F.col("source") == s)
-    nav = own("nav").select("package", "href", "ord", "number")
-    last = own("ncx").groupBy("package", "href").agg(F.max_by("number", "ord").alias("ncx"))
-    docs = own("document").groupBy("package", "href").agg(F.min_by("number", "ord").alias("document"))
-    both = nav.join(last, ["package", "href"], "left").join(docs, ["package", "href"], "left")
-    kinds = F.array(
-        F.when(F.col("ncx").isNull(), F.struct(F.lit("missing from ncx").alias("kind"), F.lit(None).cast("long").alias("other"))),
-        F.when(F.col("ncx") != F.col("number"), F.struct(F.lit("ncx number").alias("kind"), F.col("ncx").cast("long").alias("other"))),
-        F.when(F.col("document").isNull(), F.struct(F.lit("missing document").alias("kind"), F.lit(None).cast("long").alias("other"))),
-        F.when(F.col("document") != F.col("number"), F.struct(F.lit("document number").alias("kind"), F.col("document").cast("long").alias("other"))),
+    of = lambda s: F.col("source") == s
+    number = F.col("number").cast("long")
+    # One grouping by target holds everything that is said of it.
+    targets = refs.groupBy("package", "href").agg(
+        F.collect_list(F.when(of("nav"), number)).alias("nav"),
+        F.collect_list(F.when(of("ncx"), number)).alias("all_ncx"),
+        F.max_by(F.when(of("ncx"), number), F.when(of("ncx"), F.col("ord"))).alias("ncx"),
+        F.min_by(F.when(of("document"), number), F.when(of("document"), F.col("ord"))).alias("document"),
     )
-    found = both.select("package", "href", F.col("number").cast("long").alias("number"), F.explode(F.array_compact(kinds)).alias("k")).select("package", "k.kind", "href", "number", "k.other")
-    lone = own("ncx").join(nav.select("package", "href").distinct(), ["package", "href"], "left_anti")
-    return found.unionByName(lone.select("package", F.lit("missing from nav").alias("kind"), "href", F.col("number").cast("long").alias("number"), F.lit(None).cast("long").alias("other")))
+    none = F.lit(None).cast("long")
+    issue = lambda kind, n, other: F.struct(F.lit(kind).alias("kind"), n.alias("number"), other.alias("other"))
+
+    def of_nav(n):
+        ncx, document = F.col("ncx"), F.col("document")
+        return F.array_compact(
+            F.array(
+                F.when(ncx.isNull(), issue("missing from ncx", n, none)).when(ncx != n, issue("ncx number", n, ncx)),
+                F.when(document.isNull(), issue("missing document", n, none)).when(document != n, issue("document number", n, document)),
+            )
+        )
+
+    lone = F.transform("all_ncx", lambda n: issue("missing from nav", n, none))
+    found = F.when(F.size("nav") > 0, F.flatten(F.transform("nav", of_nav))).otherwise(lone)
+    return targets.select("package", "href", F.explode(found).alias("i")).select("package", "i.kind", "href", "i.number", "i.other")
 
 
 def report(issues: DataFrame, refs: DataFrame) -> DataFrame:

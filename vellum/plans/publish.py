@@ -28,12 +28,13 @@ def sequence_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ref_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents lists as nav; ncx and documents made from them with gaps, other numbers and repeats."""
     nav = extract.contents(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("package"), "ord", "href", F.col("ord").cast("long").alias("number"))
-    ncx = nav.where("(ord + package) % 7 <> 0").withColumn("number", F.expr("number + IF((ord + package) % 10 = 0, 1, 0)"))
-    lone = nav.where("ord = 1 AND package % 5 = 0").select("package", "ord", F.concat(F.lit("lone-"), "href").alias("href"), "number")
-    again = ncx.where("(ord + package) % 6 = 0").select("package", (F.col("ord") + 100).alias("ord"), "href", "number")
-    document = nav.where("(ord + package) % 8 <> 0").withColumn("number", F.expr("number + IF((ord + package) % 9 = 0, 1, 0)"))
-    tag = lambda df, s: df.select("package", F.lit(s).alias("source"), "ord", "href", "number")
-    return tag(nav, "nav").unionByName(tag(ncx, "ncx")).unionByName(tag(lone, "ncx")).unionByName(tag(again, "ncx")).unionByName(tag(document, "document"))
+    made = F.expr("""array_compact(array(
+        named_struct('source', 'nav', 'ord', ord, 'href', href, 'number', number),
+        IF((ord + package) % 7 <> 0, named_struct('source', 'ncx', 'ord', ord, 'href', href, 'number', number + IF((ord + package) % 10 = 0, 1L, 0L)), NULL),
+        IF(ord = 1 AND package % 5 = 0, named_struct('source', 'ncx', 'ord', ord, 'href', 'lone-' || href, 'number', number), NULL),
+        IF((ord + package) % 7 <> 0 AND (ord + package) % 6 = 0, named_struct('source', 'ncx', 'ord', ord + 100, 'href', href, 'number', number + IF((ord + package) % 10 = 0, 1L, 0L)), NULL),
+        IF((ord + package) % 8 <> 0, named_struct('source', 'document', 'ord', ord, 'href', href, 'number', number + IF((ord + package) % 9 = 0, 1L, 0L)), NULL)))""")
+    return nav.select("package", F.explode(made).alias("r")).select("package", "r.*")
 
 
 def xref_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
