@@ -23,6 +23,11 @@ TITLE_MARKS = r"《》〈〉“”\"'‘’【】\[\]（）()·._\-—:：|｜"
 PARAGRAPH_MARKS = r"，。！？、；：:,.!?;《》〈〉“”\"'‘’\[\]【】（）()\-—_·┃|"
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, with x evaluated once however often f uses it: higher-order functions aren't shared by the code generator."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def clean(x: Column) -> Column:
     """Runs of any white space as one space, trimmed."""
     return F.regexp_replace(F.regexp_replace(x, f"{SPACE}+", " "), "^ | $", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, unescape
+from ..functions.text import bound, clean, unescape
 
 _NOISE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<ins[^>]*>.*?</ins>|<iframe[^>]*>.*?</iframe>|<!--.*?-->"
 _ANCHOR = r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -79,9 +79,8 @@ def anchors(html: Column) -> Column:
 
 def contents_of(html: Column, inside: str = "nav") -> Column:
     """array<struct(href, label)>: the links of a page's contents list, the first of each target, no blank labels."""
-    links = F.filter(anchors(element(without_noise(html), inside)), lambda a: a["label"] != "")
-    targets = F.transform(links, lambda a: a["href"])
-    return F.filter(links, lambda a, i: F.array_position(targets, a["href"]) == i + 1)
+    first = lambda links: bound(F.transform(links, lambda a: a["href"]), lambda targets: F.filter(links, lambda a, i: F.array_position(targets, a["href"]) == i + 1))
+    return bound(element(without_noise(html), inside), lambda part: bound(F.filter(anchors(part), lambda a: a["label"] != ""), first))
 
 
 def contents(pages: DataFrame, inside: str = "nav") -> DataFrame:

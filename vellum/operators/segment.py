@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import paragraph_key
+from ..functions.text import bound, paragraph_key
 from ..functions.titles import NUMERAL
 
 # Patterns of volume, chapter and turn headings, and of lines to skip.
@@ -144,10 +144,19 @@ def titles_repaired(rows: DataFrame, key: str, order: str, title: str, bad: Colu
     return rows.withColumn(title, F.when(F.col("_good"), F.col(title)).otherwise(F.concat("_last", F.lit("（续）")))).drop("_good", "_last")
 
 
+def comparison_keys(texts: Column, least: int = 8) -> Column:
+    """The distinct keys of paragraphs, those of `least` characters or more."""
+    return F.array_distinct(F.filter(F.transform(texts, paragraph_key), lambda t: F.length(t) >= least))
+
+
+def shared(intro_keys: Column, chapter_keys: Column) -> Column:
+    """The share of the intro's keys that the chapter has too; null without any."""
+    return F.size(F.array_intersect(intro_keys, chapter_keys)) / F.nullif(F.size(intro_keys), F.lit(0))
+
+
 def overlap(intro: Column, chapter: Column, least: int = 8) -> Column:
     """The share of the intro's paragraphs, of `least` characters or more as keys, that the chapter has too; null without any."""
-    keys = lambda x: F.array_distinct(F.filter(F.transform(x, paragraph_key), lambda t: F.length(t) >= least))
-    return F.size(F.array_intersect(keys(intro), keys(chapter))) / F.nullif(F.size(keys(intro)), F.lit(0))
+    return bound(comparison_keys(intro, least), lambda a: shared(a, comparison_keys(chapter, least)))
 
 
 def marker_hits(texts: Column, markers: tuple[str, ...]) -> Column:

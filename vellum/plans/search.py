@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..functions.text import bound
 from ..operators import extract, search
 from ..sources.tables import SOURCE_ROWS, literal, routed, sources, table
 from .extract import _PARTS, CONTENTS_SQL, META_SQL, canonical_sql, key_sql, level_sql
@@ -52,7 +53,7 @@ def _labels(html: str = "html"):
 
 def preview_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's title, intro and the ends of its contents list, in one pass; a page without a list has none of its ends."""
-    rows = extract.metadata(table(spark, sf_dir, "pages"), "html").select("page_id", "title", "intro", search.preview_of(_labels()).alias("p"))
+    rows = extract.metadata(table(spark, sf_dir, "pages"), "html").select("page_id", "title", "intro", bound(_labels(), search.preview_of).alias("p"))
     some = F.col("p.n_items") > 0
     return rows.select("page_id", "title", "intro", "p.n_items", *(F.when(some, F.col(f"p.{c}")).alias(c) for c in ("first_two", "last_two")))
 
@@ -77,7 +78,7 @@ def search_preview_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = scored.orderBy(*search.result_order()).limit(LIMIT)
     # Ten rows are broadcast to find their pages.
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    rows = pages.join(F.broadcast(best), pages["page_id"] == best["ord"]).withColumn("p", search.preview_of(_labels())).select(*best.columns, F.col("p.n_items").alias("chapter_count"), "p.first_two", "p.last_two")
+    rows = pages.join(F.broadcast(best), pages["page_id"] == best["ord"]).withColumn("p", bound(_labels(), search.preview_of)).select(*best.columns, F.col("p.n_items").alias("chapter_count"), "p.first_two", "p.last_two")
     rows = rows.withColumns({c: F.when(F.col("chapter_count") > 0, F.col(c)) for c in ("first_two", "last_two")})
     return search.ranked(rows, search.preview_order(), LIMIT).select("rank", "source", "title", "url", "level", "chapter_count", "first_two", "last_two")
 

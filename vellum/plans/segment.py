@@ -86,15 +86,13 @@ def toc_title_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.titles_repaired(toc, "page_id", "ord", "label", F.col("label").rlike("[.,]$"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
-    return docs.select(F.col("doc_id").alias("a"), F.col("lines").alias("intro")).join(docs.select((F.col("doc_id") - 20).alias("a"), F.col("lines").alias("chapter")), "a")
-
-
 def intro_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = segment.overlap(F.col("intro"), F.col("chapter"))
-    hits = segment.marker_hits(F.col("chapter"), ("the ", "and "))
-    return _pairs(spark, sf_dir).select("a", share.alias("share"), hits.alias("hits"), F.coalesce((hits >= 3) | (share >= 0.6), F.lit(False)).alias("repeats"))
+    """How far each document's paragraphs come again in the next one of its source. Keys and marks are made once a document, before the join."""
+    lines = F.split("text", "\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", segment.comparison_keys(lines).alias("keys"), segment.marker_hits(lines, ("the ", "and ")).alias("hits"))
+    pairs = docs.select(F.col("doc_id").alias("a"), F.col("keys").alias("intro")).join(docs.select((F.col("doc_id") - 20).alias("a"), F.col("keys").alias("chapter"), "hits"), "a")
+    share = segment.shared(F.col("intro"), F.col("chapter"))
+    return pairs.select("a", share.alias("share"), "hits", F.coalesce((F.col("hits") >= 3) | (share >= 0.6), F.lit(False)).alias("repeats"))
 
 
 def intro_prefix_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
