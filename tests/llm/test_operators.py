@@ -343,6 +343,19 @@ def test_minhash_rules_out_no_pair(spark):
     assert [got[i] for i in range(80)] == components(80, pairs)
 
 
+def test_minhash_links_texts_that_repeat_lines_differently(spark):
+    """Pairs alike but for how often a line is repeated, and for one word of every second pair."""
+    rows = []
+    for d in range(120):
+        base, line = [f"w{d}_{i}" for i in range(28)], " ".join(f"v{d}_{i}" for i in range(12))
+        rows.append((2 * d, " ".join(base + [line] * 2)))
+        rows.append((2 * d + 1, " ".join(base[d % 2 :] + [line] * 300)))
+    sets = shingle_sets(rows)
+    assert all(len(sets[i] & sets[i + 1]) >= 0.9 * len(sets[i] | sets[i + 1]) for i in range(0, 240, 2))
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(240)] == [i - i % 2 for i in range(240)]
+
+
 def test_minhash_on_awkward_tables(awkward, clashing, empty):
     rows = minhash.classes(awkward).collect()
     assert len(rows) == len(AWKWARD)

@@ -65,6 +65,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(1, len(a) + len(b) - shared)
 
 
+def _banded(signature: np.ndarray) -> np.ndarray:
+    """The keys of a signature's bands, texts x BANDS."""
+    banded = np.zeros((len(signature), BANDS), dtype=np.uint64)
+    for r in range(ROWS):
+        banded = mixed(banded * np.uint64(0xFF51AFD7ED558CCD) + signature[:, r::ROWS])
+    return mixed(banded + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC4CEB9FE1A85EC53))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin, column in passes(batch.column("text")):
@@ -76,13 +84,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text, element, times = weighted(*shingles(hashes, counts))
                 # The logarithm keeps a line that is repeated many times from drowning the rest.
                 signature = prob_min_hash(text, element, 1 + np.log(times), len(part))
-                banded = np.zeros((len(part), BANDS), dtype=np.uint64)
-                for r in range(ROWS):
-                    banded = mixed(banded * np.uint64(0xFF51AFD7ED558CCD) + signature[:, r::ROWS])
-                banded = mixed(banded + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)).view(np.int64)
+                # Links don't count how often a shingle occurs, so a text that repeats one has bands of unit weights too.
+                twice = np.zeros(len(part), dtype=bool)
+                twice[text[times > 1]] = True
+                own = twice[text]
+                plain = prob_min_hash((np.cumsum(twice) - 1)[text[own]], element[own], np.ones(own.sum()), int(twice.sum()))
+                banded = np.zeros((len(part), 2 * BANDS), dtype=np.uint64)
+                banded[:, :BANDS] = _banded(signature)
+                banded[twice, BANDS:] = _banded(plain)
                 # A text without words has no bands.
-                spots = np.where(counts > 0, BANDS, 0)
-                bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(spots)]).astype(np.int32), pa.array(banded[counts > 0].ravel()))
+                spots = np.where(counts > 0, np.where(twice, 2 * BANDS, BANDS), 0)
+                bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(spots)]).astype(np.int32), pa.array(banded[np.arange(2 * BANDS) < spots[:, None]].view(np.int64)))
                 short = (mixed(signature) & _LOW16).astype(np.uint16)
                 kept = batch.slice(begin + a, len(part)).drop_columns(["text"])
                 yield pa.RecordBatch.from_arrays(
@@ -175,6 +187,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     Two documents are linked if the similarity of their shingles of five words is `least` or
     more; a class is what links reach, class_id its smallest doc_id, and one row of it is kept.
+    Candidates share a band of the weighted signatures or of those of unit weights, which estimate the similarity that links.
     Texts with the same sequence of words become one first. In each bucket of a band every
     member is verified against a pivot, the member that shares most buckets. Where members then lie in
     different classes, all are compared with one reference, and pairs across classes are verified too,
@@ -190,7 +203,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "text_key"))
     reps = worded.groupBy("key1", "key2").agg(first.alias("f"), F.min_by("bands", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("bands"), F.min_by("signature", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("signature"))
     reps = stored(reps.select("key1", "key2", F.col("f.rid").alias("rid"), F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key"), "bands", "signature"), "texts")
-    banded = reps.select("rid", F.explode("bands").alias("bucket"))
+    banded = reps.select("rid", F.explode(F.array_distinct("bands")).alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(banded.join(sizes, "bucket"), "buckets")
     # The member that shares most buckets with others is the likeliest original of the copies in a bucket.
