@@ -356,6 +356,23 @@ def test_minhash_links_texts_that_repeat_lines_differently(spark):
     assert [got[i] for i in range(240)] == [i - i % 2 for i in range(240)]
 
 
+def test_minhash_verifies_pairs_across_classes_whatever_their_weights(spark):
+    """Families of copies near the threshold, whose lines are repeated twice or 300 times."""
+    rng = random.Random(1)
+    rows = []
+    for f in range(60):
+        base, lines = [f"w{f}_{i}" for i in range(84)], [" ".join(f"v{f}_{j}_{i}" for i in range(12)) for j in range(5)]
+        for d in range(8):
+            words_ = list(base)
+            for i in rng.sample(range(4, 80), 2):
+                words_[i] = f"z{f}_{d}_{i}"
+            rows.append((len(rows), " ".join(words_ + [" ".join([line] * rng.choice([2, 300])) for line in lines])))
+    sets = shingle_sets(rows)
+    pairs = [(i, j) for f in range(0, 480, 8) for i, j in itertools.combinations(range(f, f + 8), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(480)] == components(480, pairs)
+
+
 def test_minhash_on_awkward_tables(awkward, clashing, empty):
     rows = minhash.classes(awkward).collect()
     assert len(rows) == len(AWKWARD)

@@ -15,12 +15,9 @@ from .words import passes, sequence_keys, shingles, word_hashes
 #: 20 bands of 4 registers: a pair of similarity 0.8 shares no band once in 37,000 times.
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
-#: Pairs that agree in a smaller share of the registers aren't verified; at similarity 0.8 that is 4.5 standard deviations below.
-AGREEMENT = 0.6
 _KEYS = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 #: Longs of the bitmaps that say how a document differs from a reference.
 WORDS = 8
-_LOW16 = np.uint64(0xFFFF)
 
 
 def weighted(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,18 +92,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # A text without words has no bands.
                 spots = np.where(counts > 0, np.where(twice, 2 * BANDS, BANDS), 0)
                 bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(spots)]).astype(np.int32), pa.array(banded[np.arange(2 * BANDS) < spots[:, None]].view(np.int64)))
-                short = (mixed(signature) & _LOW16).astype(np.uint16)
                 kept = batch.slice(begin + a, len(part)).drop_columns(["text"])
                 yield pa.RecordBatch.from_arrays(
-                    [*kept.columns, pa.array(counts, pa.int64()), *map(pa.array, keys), bands, pa.array([x.tobytes() for x in short], pa.binary())],
-                    names=[*kept.schema.names, "n_words", "key1", "key2", "bands", "signature"],
+                    [*kept.columns, pa.array(counts, pa.int64()), *map(pa.array, keys), bands],
+                    names=[*kept.schema.names, "n_words", "key1", "key2", "bands"],
                 )
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text_key, n_words, key1, key2, bands, signature) of every row: keys of its sequence of words, and its ProbMinHash."""
+    """(rid, doc_id, text_key, n_words, key1, key2, bands) of every row: keys of its sequence of words, and the bands of its ProbMinHash."""
     rows = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()).withColumn("text_key", F.xxhash64("text"))
-    return rows.select("rid", "doc_id", "text_key", "text").mapInArrow(_sign, "rid long, doc_id long, text_key long, n_words long, key1 long, key2 long, bands array<long>, signature binary")
+    return rows.select("rid", "doc_id", "text_key", "text").mapInArrow(_sign, "rid long, doc_id long, text_key long, n_words long, key1 long, key2 long, bands array<long>")
 
 
 def _bits(elements: np.ndarray) -> list[int]:
@@ -157,15 +153,6 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify, _VERDICT)
 
 
-def _agree(left: str, right: str):
-    """How many of two signatures' registers are equal."""
-    part = lambda c, i: F.substring(F.col(c), 2 * i + 1, 2)
-    same = F.lit(0)
-    for i in range(REGISTERS):
-        same = same + F.when(part(left, i) == part(right, i), 1).otherwise(0)
-    return same
-
-
 def _possible(least: float):
     """Whether documents a and b, both compared with the same reference, can be as similar as asked for.
 
@@ -191,7 +178,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     Texts with the same sequence of words become one first. In each bucket of a band every
     member is verified against a pivot, the member that shares most buckets. Where members then lie in
     different classes, all are compared with one reference, and pairs across classes are verified too,
-    but for those that their differences from it, or their signatures, rule out: no candidate is
+    but for those that their differences from it rule out: no candidate is
     left out, and pairs inside a class, which can add nothing, are not made.
 
     A null or empty text, and one without words, is a class of its own; one with fewer than five words
@@ -201,8 +188,8 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     rows = stored(signed(docs), "signatures")
     worded = rows.where("n_words > 0")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "text_key"))
-    reps = worded.groupBy("key1", "key2").agg(first.alias("f"), F.min_by("bands", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("bands"), F.min_by("signature", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("signature"))
-    reps = stored(reps.select("key1", "key2", F.col("f.rid").alias("rid"), F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key"), "bands", "signature"), "texts")
+    reps = worded.groupBy("key1", "key2").agg(first.alias("f"), F.min_by("bands", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("bands"))
+    reps = stored(reps.select("key1", "key2", F.col("f.rid").alias("rid"), F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key"), "bands"), "texts")
     banded = reps.select("rid", F.explode(F.array_distinct("bands")).alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(banded.join(sizes, "bucket"), "buckets")
@@ -239,10 +226,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     # The main class's members are only held against the others, so a bucket costs its size times what lies outside its main class.
     once = (F.col("componentb") == F.col("mainb")) | (F.col("a") < F.col("b"))
     across = left.where("componenta <> maina").join(right, (F.col("bucketa") == F.col("bucketb")) & (F.col("componenta") != F.col("componentb")) & once & _possible(least))
-    # Signatures are held against each other in a step of their own: in the join they would make its loop too long to be compiled.
     across = stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "across")
-    across = across.join(reps.select(F.col("rid").alias("a"), F.col("signature").alias("signaturea")), "a").join(reps.select(F.col("rid").alias("b"), F.col("signature").alias("signatureb")), "b")
-    across = across.where(_agree("signaturea", "signatureb") >= int(AGREEMENT * REGISTERS)).select("a", "b")
     more = stored(_verified(across, texts), "compared").where(F.col("similarity") >= least).select("a", "b")
     tree = connected(links.union(more)).withColumnRenamed("node", "rep")
     named = reps.select("key1", "key2", F.col("rid").alias("rep")).join(tree, "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
