@@ -60,6 +60,12 @@ def test_volumes_equal_fold(spark):
     assert sorted((r.book, r.vid, r.cid, r.volume, r.chapter, tuple(r.texts)) for r in got) == sorted(expected)
 
 
+def test_a_heading_on_a_skipped_line_opens_its_volume(spark):
+    rows = [(0, 0, 0, "第一卷 东", "a"), (0, 1, 1, "第二卷 西", "（上）"), (0, 1, 2, None, "b"), (0, 2, 3, "第二卷 西", "本卷完"), (0, 2, 4, None, "c")]
+    got = segment.volumes(spark.createDataFrame(rows, "book long, page int, line_no int, heading string, text string")).collect()
+    assert sorted((r.vid, r.volume, tuple(r.texts)) for r in got) == [(1, "第一卷 东", ("a",)), (2, "第二卷 西", ("b", "c"))]
+
+
 def test_sections(spark):
     rows = [(0, 0, k, t) for k, t in enumerate(["front", "2", "b1", "1", "a1"])] + [(0, 1, k, t) for k, t in enumerate(["mid", "2", "b2", "5"])] + [(0, 2, 0, "plain"), (1, 0, 0, "only")]
     lines = spark.createDataFrame(rows, "book long, c long, k int, text string")

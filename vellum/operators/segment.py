@@ -37,10 +37,9 @@ def volumes(lines: DataFrame) -> DataFrame:
     a volume if it differs from the open one; a volume line always does. Lines before the first
     chapter of a volume are its body; chapters without lines, and marks to skip, go.
     """
-    lines = lines.where(F.col("text").isNull() | ~F.col("text").rlike(SKIP))
-    # The heading is an event of its own, before the page's lines.
+    # The heading is an event of its own, before the page's lines; it stays where the first line is a mark to skip.
     event = lambda at, text, head: F.struct(at.alias("line_no"), text.alias("text"), F.lit(head).alias("head"))
-    events = F.array_compact(F.array(F.when(F.col("heading").isNotNull(), event(F.lit(-1), F.col("heading"), True)), F.when(F.col("text").isNotNull(), event(F.col("line_no"), F.col("text"), False))))
+    events = F.array_compact(F.array(F.when(F.col("heading").isNotNull(), event(F.lit(-1), F.col("heading"), True)), F.when(~F.col("text").rlike(SKIP), event(F.col("line_no"), F.col("text"), False))))
     rows = lines.select("book", "page", F.explode(events).alias("e")).select("book", "page", "e.*")
     order = Window.partitionBy("book").orderBy("page", "line_no")
     named = F.when(F.col("head") | is_volume(F.col("text")), F.trim("text"))

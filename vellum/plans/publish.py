@@ -10,7 +10,7 @@ from ..operators import closure, extract, publish, segment, validate
 from ..sources.tables import literal, table
 from .extract import CONTENTS_SQL
 from .segment import ORACLE as SEGMENTS
-from .segment import _MARKED, _PAGED, _divided, _lines
+from .segment import paged_lines
 
 
 def _numbered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,7 @@ def pagination_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def publish_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir).select("book", F.expr("line_no DIV 10").alias("page"), "line_no", F.expr(_divided(_PAGED, True)).alias("heading"), F.expr(_divided(_MARKED, True)).alias("text"))
-    return publish.manifest(segment.volumes(lines)).select("book", "spine", "file", "kind", "title", F.sha2("content", 256).alias("content_sha256"))
+    return publish.manifest(segment.volumes(paged_lines(spark, sf_dir))).select("book", "spine", "file", "kind", "title", F.sha2("content", 256).alias("content_sha256"))
 
 
 NAME_ROWS = "(0, 'a/b:c?', 'Lin'), (1, ' .hidden. ', ''), (2, '', 'x|y'), (3, 'two  words', '...')"

@@ -30,9 +30,14 @@ def _divided(sql: str, spark: bool) -> str:
     return sql.format(**{f"k{n}": f"CAST(line_no {'DIV' if spark else '//'} {n} AS STRING)" for n in (4, 10, 13, 30)})
 
 
-def segment_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with made headings and marks. As in the SQL, a page whose first line is a mark to skip has no heading; the operator would take it."""
     lines = _lines(spark, sf_dir).select("book", F.expr("line_no DIV 10").alias("page"), "line_no", F.expr(_divided(_PAGED, True)).alias("heading"), F.expr(_divided(_MARKED, True)).alias("text"))
-    return _flat(segment.volumes(lines))
+    return lines.withColumn("heading", F.when(~F.col("text").rlike(segment.SKIP), F.col("heading")))
+
+
+def segment_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(segment.volumes(paged_lines(spark, sf_dir)))
 
 
 def segment_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
