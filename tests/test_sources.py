@@ -4,7 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from vellum.operators import publish, validate
+from vellum.operators import closure, publish, validate
 from vellum.sources import packages, tables
 from vellum.streaming import pages
 
@@ -85,3 +85,9 @@ def test_stream_of_pages(spark, tmp_path):
             query.stop()
     assert sorted(r.title for r in spark.table("fresh").collect()) == ["A", "B"]
     assert {r.host: r.n for r in spark.table("counts").collect()} == {"a.example": 2, "b.example": 1}
+
+
+def test_chains_of_any_length(spark):
+    links = spark.createDataFrame([(f"/{k}", f"/{k + 1}") for k in range(149)] + [("/149", "/0")], "from_url string, to_url string")
+    got = closure.chains(spark.createDataFrame([("/0",)], "url string"), links).collect()
+    assert sorted((r.start, r.place, r.url) for r in got) == sorted(("/0", k, f"/{k}") for k in range(150))

@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def chains(starts: DataFrame, links: DataFrame, limit: int = 100) -> DataFrame:
-    """(start, place, url): the pages reached from starts(url) by links(from_url, to_url), a page once, up to `limit` links away.
+#: Rounds after which the parts of the pages seen become one.
+MERGE = 10
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: lineage ends there."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vellum-"))
+    return df.checkpoint(True)
+
+
+def chains(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """(start, place, url): the pages reached from starts(url) by links(from_url, to_url), a page once, at its least distance.
 
-    A recursive query; a page already on the way isn't entered again, so cycles end.
+    Each round follows the links of the pages found last and leaves out those seen before, until there is
+    no new page: chains of any length are walked to their end, and cycles end.
     """
-    spark = starts.sparkSession
-    starts.createOrReplaceTempView("_starts")
-    links.createOrReplaceTempView("_links")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, place, url, seen) AS (
-          SELECT url, 0, url, array(url) FROM _starts
-          UNION ALL
-          SELECT w.start, w.place + 1, l.to_url, array_append(w.seen, l.to_url)
-          FROM walk w JOIN _links l ON l.from_url = w.url
-          WHERE w.place < {int(limit)} AND NOT array_contains(w.seen, l.to_url))
-        SELECT start, min(place) AS place, url FROM walk GROUP BY start, url""")
+    links = _cut(links.select("from_url", "to_url").where("to_url IS NOT NULL").distinct())
+    found = _cut(starts.select(F.col("url").alias("start"), F.lit(0).alias("place"), "url").distinct())
+    seen, place = found, 0
+    while not found.isEmpty():
+        place += 1
+        new = found.join(links, F.col("url") == F.col("from_url")).select("start", F.lit(place).alias("place"), F.col("to_url").alias("url")).distinct()
+        found = _cut(new.join(seen.select("start", "url"), ["start", "url"], "left_anti").select("start", "place", "url"))
+        seen = seen.unionByName(found)
+        if place % MERGE == 0:
+            seen = _cut(seen.coalesce(found.sparkSession.sparkContext.defaultParallelism))
+    return seen
 
 
 def same_folder(links: DataFrame) -> DataFrame:
