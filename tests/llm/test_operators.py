@@ -435,6 +435,16 @@ def test_frequent_lines(spark):
     assert 200 not in left and left[1].text == body(1) and left[1].n_chars == len(body(1)) and left[100].text == body(0)
 
 
+def test_documents_that_share_a_block_count_each(spark):
+    """Hosts of 50 documents, each with a line of its own beside a block of ten lines; and hosts of near copies, whose lines stay."""
+    letters = lambda *n: "".join(chr(97 + x // 26) + chr(97 + x % 26) for x in n)
+    line = lambda words_, *n: " ".join(letters(*n, i) for i in range(words_))
+    rows = [(100 * h + d, "\n".join([line(20, 1, h, d), *(line(4, 2, h, k) for k in range(10))]), "en", f"block{h}", 0) for h in range(8) for d in range(50)]
+    rows += [(1000 + 100 * h + d, "\n".join(line(6, 3, h, k, d if k == d % 40 else 99) for k in range(40)), "en", f"copies{h}", 0) for h in range(4) for d in range(30)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(r.kept and len(r.removed_keys or ()) == (10 if d < 1000 else 0) for d, r in got.items())
+
+
 def test_quality_on_awkward_tables(clashing, empty):
     assert quality.apply_rules(clashing).columns == clashing.columns
     assert quality.judge(empty).collect() == [] and quality.apply_rules(empty).collect() == []

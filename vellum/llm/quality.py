@@ -133,19 +133,29 @@ def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.mapInArrow(_measure, _SCHEMA)
 
 
-def frequent_lines(measured: DataFrame, share: float = 0.1, least: int = 10) -> DataFrame:
+def frequent_lines(measured: DataFrame, share: float = 0.1, least: int = 10, words_left: int = 10, share_left: float = 0.2) -> DataFrame:
     """(host, key) of the lines found in more than max(least, share of the host's documents).
 
-    Documents are counted by family, which is the least of the document's other lines: copies and near
-    copies of one text mostly have the same and count as one, so a much-copied text doesn't
-    make its own lines look like boilerplate. Which line is the least depends on the order, and one that
-    many documents share may be it, so four orders are tried and the greatest count holds.
+    Lines in more than `least` documents are candidates. Documents are counted by what remains of them without
+    candidates, so copies count as one and texts of their own that share a block count each. Where less remains than
+    a document may be left with, it can't tell copies from others, for a text in many near copies has little but
+    candidates: such a document counts by the least of its other lines, which copies and near copies mostly
+    have in common, so a much-copied text doesn't make its own lines look like boilerplate. Which line is the
+    least depends on the order, and one that many documents share may be it, so four orders are tried and the greatest count holds.
     """
     host = F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host")
+    # Fewer documents than that can't be more families.
+    often = measured.select(*host, F.explode("line_keys").alias("key")).groupBy("host", "no_host", "key").agg(F.count("*").alias("n")).where(F.col("n") > least).drop("n")
+    often = stored(often, "often")
+    words = measured.select("rid", *host, F.explode(F.arrays_zip("line_keys", "line_words")).alias("line")).select("rid", "host", "no_host", F.col("line.line_keys").alias("key"), F.col("line.line_words").alias("words"))
+    shared = words.join(often, ["host", "no_host", "key"]).groupBy("rid").agg(F.collect_list("key").alias("shared"), F.sum("words").alias("shared_words"))
+    rest = F.col("n_words") - F.coalesce("shared_words", F.lit(0))
+    body = F.xxhash64(F.array_sort(F.array_except("line_keys", F.coalesce("shared", F.array().cast("array<long>")))))
+    own = (rest >= words_left) & (rest >= share_left * F.col("n_words"))
+    measured = measured.join(shared, "rid", "left").withColumn("families", F.when(own, F.array_repeat(body, 8)).otherwise(F.col("families")))
+    measured = stored(measured.select("host", "line_keys", "line_least", "families"), "bodies")
     lines = measured.select(*host, "families", F.explode(F.arrays_zip("line_keys", "line_least")).alias("line"))
     lines = lines.select("host", "no_host", "families", F.col("line.line_keys").alias("key"), F.col("line.line_least").alias("mask"))
-    # Fewer documents than that can't be more families.
-    often = lines.groupBy("host", "no_host", "key").agg(F.count("*").alias("n")).where(F.col("n") > least).drop("n")
     some = lines.join(often, ["host", "no_host", "key"])
     family = F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) > 0, F.get("families", F.lit(4 + k))).otherwise(F.get("families", F.lit(k))), F.lit(0)).alias("f")) for k in range(4)))
     counts = some.select("host", "no_host", "key", F.explode(family).alias("x")).select("host", "no_host", "key", "x.k", "x.f").distinct()
@@ -164,7 +174,7 @@ def judge(docs: DataFrame, host: str = "source", share: float = 0.1, least: int
     gives no rows; other columns are not read. Lines are compared whole, however long.
     """
     measured = stored(measure(docs, host), "quality")
-    frequent = frequent_lines(measured, share, least)
+    frequent = frequent_lines(measured, share, least, words_left, share_left)
     lines = measured.select(
         "rid",
         F.coalesce("host", F.lit("")).alias("host"),
