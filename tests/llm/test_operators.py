@@ -356,6 +356,28 @@ def test_minhash_links_texts_that_repeat_lines_differently(spark):
     assert [got[i] for i in range(240)] == [i - i % 2 for i in range(240)]
 
 
+def test_minhash_recall_near_the_threshold(spark):
+    """600 pairs with a similarity of 0.8 to 0.9, half of them with lines that one side repeats many times."""
+    rng, rows = random.Random(12), []
+    for p in range(600):
+        n = rng.randint(60, 160)
+        left = [f"w{p}_{i}" for i in range(n)]
+        right = list(left)
+        for _ in range(rng.randint(1, 3)):
+            right[rng.randrange(n)] = f"z{p}_{rng.random()}"
+        if p % 2:
+            line = [f"v{p}_{i}" for i in range(14)]
+            left, right = left + line * 2, right + line * rng.choice([20, 300])
+        rows += [(2 * p, " ".join(left)), (2 * p + 1, " ".join(right))]
+    sets = shingle_sets(rows)
+    like = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 1200, 2)]
+    near = [2 * p for p, x in enumerate(like) if 0.8 <= x]
+    assert sum(like[i // 2] < 0.9 for i in near) >= 250
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i + 1] == i for i in near) >= 0.99 * len(near)
+    assert all(got[2 * p + 1] == 2 * p + 1 for p, x in enumerate(like) if x < 0.8)
+
+
 def test_minhash_verifies_pairs_across_classes_whatever_their_weights(spark):
     """Families of copies near the threshold, whose lines are repeated twice or 300 times."""
     rng = random.Random(1)
@@ -382,6 +404,8 @@ def test_minhash_on_awkward_tables(awkward, clashing, empty):
     assert all(sum(k) == 1 for c, k in classes.items() if c is not None) and len(classes[6]) == 2
     kept = minhash.apply_dedup(clashing)
     assert kept.columns == clashing.columns and kept.count() == len(AWKWARD) - 1
+    nameless = minhash.apply_dedup(awkward.limit(0).unionByName(awkward.sparkSession.createDataFrame([(None, t, "en", "a", 1) for t in ("one two", "one two", "other text", None, None)], DOCS)))
+    assert sorted(map(str, (r.text for r in nameless.collect()))) == ["None", "None", "one two", "other text"]
     assert minhash.classes(empty).collect() == [] and minhash.apply_dedup(empty).collect() == []
 
 
@@ -398,8 +422,6 @@ def test_word_hashes_split_as_bytes_do():
 
 
 def test_quality_base_counts(awkward):
-    for r in quality.judge(awkward).collect():
-        pass
     by_id = {r.doc_id: r for r in quality.judge(awkward).collect()}
     text = AWKWARD[0][1]
     assert (by_id[1].n_words, by_id[1].word_chars, by_id[1].n_repeat_words) == (30, len(text.replace(" ", "")), 30)
@@ -407,6 +429,24 @@ def test_quality_base_counts(awkward):
     assert by_id[5].n_repeat_words == 4000 and by_id[8].n_dup_lines == 0
 
 
+def test_lines_and_counts_against_brute_force():
+    rng = random.Random(3)
+    texts = [None, "", "\n", "a", "1\n1", "12\n 3", "é É\n\n x 12 3\t4 ", " \n ", "A b\nA  b\na b ", "9"]
+    texts += ["".join(rng.choice("aBÉ12 \t\n\r#日") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    column = pa.array(texts)
+    text, key, n_words, worded = quality.normal_lines(column)
+    want = [(i, re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", x.lower())).strip(" "), len(re.findall(common.WORD, x))) for i, t in enumerate(texts) for x in (t or "").split("\n")]
+    assert text.tolist() == [w[0] for w in want] and n_words.tolist() == [w[2] for w in want] and worded.tolist() == [w[1] != "" for w in want]
+    keys = {(w[1], k) for w, k in zip(want, key.tolist()) if w[1]}
+    assert len(keys) == len({w for w, _ in keys}) == len({k for _, k in keys})
+    names = ["rid", "doc_id", "host", "text"]
+    rows = next(quality._measure([pa.RecordBatch.from_arrays([pa.array(range(len(texts)))] * 2 + [pa.array(["h"] * len(texts)), column], names=names)])).to_pylist()
+    for t, r in zip(texts, rows):
+        lines = [x for x in (t or "").split("\n") if re.search(common.WORD, x)]
+        assert r["word_chars"] == sum(map(len, re.findall(common.WORD, t or ""))) and r["n_symbols"] == len(re.findall("[#*$%&|<>]", t or ""))
+        assert r["n_dup_lines"] == len(lines) - len({*lines})
+
+
 def repeated_by_hand(parts):
     grams = {}
     for i in range(len(parts) - 7):
@@ -416,33 +456,42 @@ def repeated_by_hand(parts):
 
 def test_repeated_words_against_brute_force():
     rng = random.Random(9)
-    docs = [[rng.choice([b"a", b"b"]) for _ in range(rng.randint(0, 60))] for _ in range(80)]
-    assert quality.repeated_words(docs).tolist() == [repeated_by_hand(d) for d in docs]
+    docs = [[rng.choice("ab") for _ in range(rng.randint(0, 60))] for _ in range(80)]
+    hashes, counts = words.word_hashes(pa.array([" ".join(d) for d in docs]))
+    assert quality.repeated_words(hashes, counts).tolist() == [repeated_by_hand(d) for d in docs]
+
+
+def _letters(*n):
+    return "".join(chr(97 + x // 26) + chr(97 + x % 26) for x in n)
 
 
 def test_frequent_lines(spark):
-    letters = lambda *n: "".join(chr(97 + x // 26) + chr(97 + x % 26) for x in n)
-    body = lambda d: "\n".join(" ".join(letters(d, k, i) for i in range(12)) for k in range(3))
+    body = lambda d: "\n".join(" ".join(_letters(d, k, i) for i in range(12)) for k in range(3))
     rows = [(d, body(d) + "\nAll  Rights reserved 2001" + ("" if d % 2 else "\nrare line"), "en", "h", 0) for d in range(40)]
-    rows += [(100 + k, body(0), "en", "h", 0) for k in range(60)]  # copies make no line frequent
+    rows += [(100 + k, body(0), "en", "h", 0) for k in range(60)]  # copies are one document
     rows += [(200, "all rights RESERVED 1999\n" * 30, "en", "h", 0), (300, body(7) + "\nall rights reserved 5", "en", None, 0)]
     docs = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
-    assert all(got[d].kept and len(got[d].removed_keys) == 1 + (d % 2 == 0) for d in range(40))
-    assert all(got[100 + k].kept for k in range(60)) and not got[200].kept
-    assert got[300].kept and not got[300].removed_keys  # a host of its own
+    assert all(got[d].kept and got[d].removed_lines == [3, 4][: 2 - d % 2] for d in range(40))
+    assert all(got[100 + k].kept and not got[100 + k].removed_lines for k in range(60)) and not got[200].kept
+    assert got[300].kept and not got[300].removed_lines  # a host of its own
     left = {r.doc_id: r for r in quality.apply_rules(docs).collect()}
     assert 200 not in left and left[1].text == body(1) and left[1].n_chars == len(body(1)) and left[100].text == body(0)
 
 
-def test_documents_that_share_a_block_count_each(spark):
-    """Hosts of 50 documents, each with a line of its own beside a block of ten lines; and hosts of near copies, whose lines stay."""
-    letters = lambda *n: "".join(chr(97 + x // 26) + chr(97 + x % 26) for x in n)
-    line = lambda words_, *n: " ".join(letters(*n, i) for i in range(words_))
-    rows = [(100 * h + d, "\n".join([line(20, 1, h, d), *(line(4, 2, h, k) for k in range(10))]), "en", f"block{h}", 0) for h in range(8) for d in range(50)]
-    rows += [(1000 + 100 * h + d, "\n".join(line(6, 3, h, k, d if k == d % 40 else 99) for k in range(40)), "en", f"copies{h}", 0) for h in range(4) for d in range(30)]
-    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
-    assert all(r.kept and len(r.removed_keys or ()) == (10 if d < 1000 else 0) for d, r in got.items())
+def test_a_line_of_half_the_documents_goes_from_all_of_them(spark):
+    """Documents of a host that share other lines, too: what counts is documents, not how they differ otherwise."""
+    own = lambda d: " ".join(_letters(d // 26 // 26, d, i) for i in range(14))
+    rows = [(d, "\n".join([own(d), "menu one here", f"topic {_letters(d % 7)} of the page"] + ["shared template line"] * (d % 2)), "en", "h", 0) for d in range(600)]
+    got = {r.doc_id: r.removed_lines or [] for r in quality.judge(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(sorted(got[d]) == [1, 2, 3][: 2 + d % 2] for d in range(600))
+
+
+def test_rows_have_their_own_verdicts(spark):
+    """Rows that repeat an id, and many without one."""
+    fine = " ".join(_letters(7, i) for i in range(30))
+    rows = [(None, "too short", "en", "h", 0)] * 50 + [(None, fine, "en", "h", 0), (1, fine + " more", "en", "h", 0), (1, "x", "en", "h", 0), (1, None, "en", "g", 0)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in quality.apply_rules(spark.createDataFrame(rows, DOCS)).collect()))) == sorted(map(str, [(None, fine), (1, fine + " more")]))
 
 
 def test_quality_on_awkward_tables(clashing, empty):
@@ -569,6 +618,15 @@ def test_tilts_solve_the_dual(spark):
     assert math.isclose(math.exp(got["b"].tilt * 5 / got["b"].scale), 100 / 45, rel_tol=1e-4)
 
 
+def test_mix_of_repeated_ids(spark):
+    """Ids that repeat over sources, and rows without one: every source still meets its target."""
+    rows = [(i % 60, "w " * (1 + i % 9), "en", "abc"[i % 3], 0) for i in range(600)] + [(None, "w " * 5, "en", "d", 0)] * 40
+    docs = spark.createDataFrame(rows, DOCS)
+    target = {r.source: r.target for r in mixing.mix(docs).collect()}
+    got = {r.source: r.n for r in mixing.apply_mix(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert all(abs(got[s] - target[s]) <= 9 for s in target)
+
+
 def test_mix_on_awkward_tables(clashing, empty):
     out = mixing.apply_mix(clashing)
     assert out.columns == clashing.columns and out.where("text IS NULL").count() == 0

@@ -14,9 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, a temporary one if all runs on one machine (tests); else an error."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="vellum-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = folder or "file://" + tempfile.mkdtemp(prefix="vellum-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -30,6 +33,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row under a name new to it. It is stored, so that a row has one number wherever it is used."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, for small tables of an iteration."""
     shared_folder(df.sparkSession)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, cut, mixed, stored, unused
+from .common import connected, cut, mixed, numbered, stored, unused
 from .words import passes, sequence_keys, shingles, word_hashes
 
 #: 20 bands of 4 registers: a pair of similarity 0.8 shares no band once in 37,000 times.
@@ -99,9 +99,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text_key, n_words, key1, key2, bands) of every row: keys of its sequence of words, and the bands of its ProbMinHash."""
-    rows = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()).withColumn("text_key", F.xxhash64("text"))
+def signed(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(rid, doc_id, text_key, n_words, key1, key2, bands) of every row: keys of its sequence of words, and the bands of its ProbMinHash.
+    rid is docs' own row id if one is named."""
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     return rows.select("rid", "doc_id", "text_key", "text").mapInArrow(_sign, "rid long, doc_id long, text_key long, n_words long, key1 long, key2 long, bands array<long>")
 
 
@@ -169,7 +170,7 @@ def _possible(least: float):
     return (F.least("sizea", "sizeb") >= need) & (F.col("basea") - lacking + added + F.least("extraa", "extrab") >= need)
 
 
-def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, least: float = 0.8, row: str | None = None) -> DataFrame:
     """(rid, doc_id, text_key, class_id, kept) for every row of docs(doc_id, text).
 
     Two documents are linked if the similarity of their shingles of five words is `least` or
@@ -185,7 +186,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     is one shingle. Rows that repeat an id are documents of their own; a null id is a class's id only if
     all its ids are null. An empty table gives no rows. Other columns are not read.
     """
-    rows = stored(signed(docs), "signatures")
+    rows = stored(signed(docs, row), "signatures")
     worded = rows.where("n_words > 0")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "text_key"))
     reps = worded.groupBy("key1", "key2").agg(first.alias("f"), F.min_by("bands", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("bands"))
@@ -237,18 +238,11 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def apply_dedup(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs with one document of each class. Of rows with the same id and text one stays."""
-    found = stored(classes(docs, least), "classes")
-    of, key = unused(docs, "kept_id"), unused(docs, "kept_key")
-    kept = found.where("kept").select(F.col("doc_id").alias(of), F.col("text_key").alias(key)).distinct()
-    out = docs.join(kept, (F.xxhash64("text") == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(of))).select(*docs.columns)
-    # Rows that repeat an id and its text can't be told apart by these; then rows that are equal in both are reduced to one.
-    if not found.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty() or not _repeats(found).isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out
-
-
-def _repeats(found: DataFrame) -> DataFrame:
-    """Rows not kept whose id and text a kept row has too."""
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
-    return found.where("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi")
+    """docs with one row of each class, in docs' columns.
+
+    Rows are numbered once, and verdicts go back by that number, so rows that repeat an id or have none are told apart.
+    """
+    row = unused(docs, "row_number")
+    rows = numbered(docs, row)
+    kept = classes(rows.select(row, "doc_id", "text"), least, row).where("kept").select(F.col("rid").alias(row))
+    return rows.join(kept, row).select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, stored, unused
+from .common import WORD, cut, numbered, stored, unused
 
 _ITERATIONS = 60
 _PRECISION = 1e-9
@@ -97,12 +97,14 @@ def tilts(histogram: DataFrame, goals: DataFrame, sources: int, most: int = 3) -
         state = cut(state.select("source", "target", "scale", "all_of_it", step.alias("tilt"), "low", "high", "done").coalesce(4))
         if not state.where("NOT done").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the dual isn't solved after {_ITERATIONS} steps")
     # Sums of doubles may differ in their last bits from run to run; the rounded tilt doesn't.
     return cut(state.select("source", "scale", F.round("tilt", 7).alias("tilt"), "all_of_it"))
 
 
-def mix(docs: DataFrame, most: int = 3) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) for every row of docs.
+def mix(docs: DataFrame, most: int = 3, row: str | None = None) -> DataFrame:
+    """(doc_id, size, source, source_size, target, copies, taken) for every row of docs, with its own row id if one is named.
 
     Each document gets floor(rate) or floor(rate) + 1 copies. A draw u in [0, 1), fixed by the
     document, takes the higher number if u / (the rate's fraction) is below a limit near 1, which
@@ -110,15 +112,17 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     histogram of these quotients, refined once: no source is ever sorted in one task.
 
     Null texts have size 0 and are taken 0 times; null sources are one source, last in order;
-    rows that repeat an id get the same draw; an empty table gives no rows; other columns are
-    not read. Reruns agree.
+    rows that are equal in id, source and text get the same draw, rows without an id one each; an empty
+    table gives no rows; other columns are not read. Reruns agree.
     """
     sizes = stored(
         docs.select(
+            *([row] if row else []),
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.lit("mix"), "doc_id", F.coalesce(F.length("text"), F.lit(-1))).alias("draw"),
+            # Rows without an id are told apart by their number.
+            F.xxhash64(F.lit("mix"), "doc_id", "source", "text", F.when(F.col("doc_id").isNull(), F.col(row) if row else F.monotonically_increasing_id())).alias("draw"),
         ),
         "sizes",
     )
@@ -138,8 +142,8 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
         # The document's place among those of its source: small places get a further copy.
         .withColumn("place", F.when(F.col("rate") > F.col("whole"), F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53)) / (F.col("rate") - F.col("whole"))))
         .withColumn("bin", F.when(F.col("place") < 2, F.floor(F.col("place") * (_BINS / 2))).otherwise(F.lit(_BINS)).cast("int"))
-        .withColumn("cell", F.pmod(F.xxhash64("draw", "doc_id"), F.lit(_CELLS)).cast("int"))
-        .select("doc_id", "source", "size", "whole", "place", "bin", "cell")
+        .withColumn("cell", F.pmod(F.xxhash64("draw"), F.lit(_CELLS)).cast("int"))
+        .select(*([row] if row else []), "doc_id", "source", "size", "whole", "place", "bin", "cell")
     )
     rated = stored(rated, "rates")
     free = rated.where("place IS NOT NULL")
@@ -161,12 +165,15 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     taken = F.col("place").isNotNull() & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (F.col("cell") <= F.col("last"))))
     out = beside(rated, cut(limits.coalesce(4)), sources, "left").withColumn("copies", F.col("whole") + F.when(taken, 1).otherwise(0).cast("long"))
     out = beside(out, goal, sources)
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*([row] if row else []), "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, most: int = 3) -> DataFrame:
-    """docs with every document as often as the mix takes it, in docs' columns."""
-    of, copies, copy = (unused(docs, c) for c in ("mixed_id", "copies", "copy"))
-    taken = mix(docs, most).where("copies > 0").groupBy(F.col("doc_id").alias(of)).agg(F.max("copies").cast("int").alias(copies))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(of)))
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    """docs with every row as often as the mix takes it, in docs' columns.
+
+    Rows are numbered once, and copies go back by that number: rows that repeat an id, or have none, are taken each on their own.
+    """
+    row, copies, copy = (unused(docs, c) for c in ("row_number", "copies", "copy"))
+    rows = numbered(docs, row)
+    taken = mix(rows.select(row, "doc_id", "source", "text"), most, row).where("copies > 0").select(row, F.col("copies").cast("int").alias(copies))
+    return rows.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -46,7 +46,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("removed_keys")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("removed_lines")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,21 +180,18 @@ repeats AS (
   SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, i + unnest(range(8)) AS j FROM twice) GROUP BY rid),
 lines AS (
   SELECT rid, source, line, len(regexp_extract_all(line, '{_WORD}')) AS n,
-         sha256(trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ')) AS hash
+         trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS even
   FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '{_WORD}')),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
-keyed AS (SELECT DISTINCT rid, source, hash, hash[1:16] AS h0, hash[17:32] AS h1, hash[33:48] AS h2, hash[49:64] AS h3 FROM lines),
-families AS (
-  SELECT a.rid, a.source, a.hash AS key, coalesce(min(b.h0), '') AS f0, coalesce(min(b.h1), '') AS f1, coalesce(min(b.h2), '') AS f2, coalesce(min(b.h3), '') AS f3
-  FROM keyed a LEFT JOIN keyed b ON a.rid = b.rid AND a.hash <> b.hash GROUP BY a.rid, a.source, a.hash),
-whole AS (SELECT rid, source, min(h0) AS f0, min(h1) AS f1, min(h2) AS f2, min(h3) AS f3 FROM keyed GROUP BY rid, source),
-limits AS (SELECT source, greatest(count(DISTINCT f0), count(DISTINCT f1), count(DISTINCT f2), count(DISTINCT f3)) AS n FROM whole GROUP BY source),
-counts AS (SELECT source, key, greatest(count(DISTINCT f0), count(DISTINCT f1), count(DISTINCT f2), count(DISTINCT f3)) AS n FROM families GROUP BY source, key),
+-- Documents with the same lines are one document of their host.
+document AS (SELECT rid, source, md5(string_agg(DISTINCT even, chr(10) ORDER BY even)) AS doc FROM lines GROUP BY rid, source),
+hosts AS (SELECT source, count(DISTINCT doc) AS n FROM document GROUP BY source),
 frequent AS (
-  SELECT c.source, c.key FROM counts c JOIN limits m ON c.source IS NOT DISTINCT FROM m.source WHERE c.n > 10 AND c.n > 0.1 * m.n),
+  SELECT l.source, l.even FROM lines l JOIN document USING (rid) JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source
+  GROUP BY l.source, l.even HAVING count(DISTINCT doc) > greatest(10, 0.1 * any_value(h.n))),
 removed AS (
-  SELECT l.rid, sum(l.n) AS n FROM lines l JOIN frequent f ON l.hash = f.key AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.rid),
+  SELECT l.rid, sum(l.n) AS n FROM lines l JOIN frequent f ON l.even = f.even AND l.source IS NOT DISTINCT FROM f.source GROUP BY l.rid),
 base AS (
   SELECT rid, doc_id, len(words)::BIGINT AS n_words,
          (length(text) - length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')))::BIGINT AS word_chars,
