@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,43 @@ def test_html(page, text):
     assert html.main_text(page or "") == text
 
 
+STORY = "".join(f"<p>Sentence one of part {k}, which is long enough to count; and another, with a comma, to end it.</p>" for k in range(6))
+STORY_TEXT = "\n\n".join(f"Sentence one of part {k}, which is long enough to count; and another, with a comma, to end it." for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Lists of links in the article, and names that only begin like those of other things.
+        (f"<article><h1>T</h1>{STORY}<ul><li><a href=x>Source one</a><li><a href=y>Source two</a></ul></article>", f"T\n\n{STORY_TEXT}\n\nSource one\n\nSource two"),
+        (f"<article>{STORY}<div class='legal-analysis'>{STORY}</div><p class='search-results'>Found, after all.</p></article>", f"{STORY_TEXT}\n\n{STORY_TEXT}\n\nFound, after all."),
+        # Other things: teasers after the story, comments without a name of their own.
+        (f"<main><article><h1>T</h1>{STORY}</article><article><h3><a href=x>Next</a></h3><p>Read on.</p></article></main>", f"T\n\n{STORY_TEXT}"),
+        (f"<article>{STORY}<div><p>Nice one!</p><p>I agree.</p></div></article>", STORY_TEXT),
+        (f"<article>{STORY}<h3>Comments (2)</h3><p>Nice one, I have to say, all of it.</p></article>", STORY_TEXT),
+        (f"<article>{STORY}<div class='search-box'>Search</div><div class='site-notice'>We moved.</div></article>", STORY_TEXT),
+        # The same without a marked article, and with or without the outermost tags.
+        (f"<html><body><div><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></div><div><h1>T</h1>{STORY}</div><div>All rights, some reserved.</div></body></html>", f"T\n\n{STORY_TEXT}"),
+        (f"<div><a href=a>Home</a> <a href=b>News</a></div><h1>T</h1>{STORY}<div>Imprint</div>", f"T\n\n{STORY_TEXT}"),
+        (f"<div class=x><h1>T</h1>{STORY}<ul><li><a href=x>Source</a></ul>{STORY}</div><div class=y><p>Nice!</p></div>", f"T\n\n{STORY_TEXT}\n\nSource\n\n{STORY_TEXT}"),
+        # Tables, lists and what is left open.
+        (f"<article>{STORY}<div><table><tr><td>a<td>b<tr><td>c</table></div>{STORY}</article>", f"{STORY_TEXT}\n\na\n\nb\n\nc\n\n{STORY_TEXT}"),
+        ("<article><ul><li><p>a<li>b</ul><dl><dt>c<dd>d<dt>e</dl></article>", "a\n\nb\n\nc\n\nd\n\ne"),
+        ("<article><p>abc<button><div>x</div></button>def</article>", "abcdef"),
+        ("<article><p title='never closed>abc</p><p>def</p></article>", "abc\n\ndef"),
+    ],
+)
+def test_html_by_the_paths_scores(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<b>" * 330_000, "<div>" * 200_000, "<div>x " * 150_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, '<a ">" ' * 100_000, "<!" * 300_000, "<" * 500_000])
+def test_html_takes_time_in_proportion_to_the_page(page):
+    begun = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - begun < 8  # a second or two; quadratic work takes minutes
+
+
 def test_html_on_tables(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>a</p>"), (1, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(map(tuple, html.extract(pages).collect()), key=str) == [(1, "u", "", 0), (1, "u", "", 0), (None, None, "a", 1)]

@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<[!?][^>]*+>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)",
-    re.S,
-)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_MISC = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+_TAG = r"<(?P<end{0}>/?)(?P<tag{0}>[a-zA-Z][^\s/>]*+)"
+_TOKEN = re.compile(_MISC + "|" + _TAG.format("") + r"(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>" + "|" + _TAG.format("2"), re.S)
+#: Where a quote is never closed, that tag and all after it end at the next bracket.
+_LOOSE = re.compile(_MISC + "|" + _TAG.format("") + r"(?P<attrs>[^>]*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+_CLASS = re.compile(r"(?<![a-zA-Z-])class\s*+=\s*+[\"']?([^\s\"'>]++)", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 _PUNCTUATION = re.compile(r"[,.;:!?¿¡…。，、；：！？]")
@@ -35,182 +34,318 @@ _BLOCK = frozenset(
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _DROPPED = frozenset("head nav footer aside form fieldset button select option label menu dialog noscript template svg math canvas object audio video map datalist".split())
 _NEVER_BY_NAME = frozenset("html body main article".split())
-# An opening tag on the left ends an open element on the right, up to the nearest scope.
-_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that part a page into regions; all other blocks are the flow of text inside one.
+_SECTION = frozenset("main article section div details header center td".split())
+_UNIT = frozenset("main article".split())
+# An opening tag on the left ends the nearest open element of the middle that isn't outside one on the right.
+_ENDS = {
+    "li": (("li",), ("ul", "ol")),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))),
+    **dict.fromkeys(("td", "th"), (("td", "th"), ("table",))),
+    "tr": (("tr",), ("table",)),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", "tr"), ("table",))),
+}
 _SCOPE = frozenset("html body main article section div ul ol dl table blockquote td th figure details header footer nav aside form".split())
-# Words in class, id or role that mark what isn't the article.
-_BAD_NAMES = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner banners "
-    "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs sidebar sidebars rail complementary header masthead topbar toolbar "
-    "footer contentinfo colophon copyright legal comment comments commentlist disqus reply replies respond cookie cookies consent gdpr "
-    "notice notices notification alert popup modal overlay dialog newsletter subscribe subscription signup login share sharing social "
-    "related recommended recommendations pagination pager search widget widgets skip hidden".split()
+# Words in class, id or role that mark what isn't the article wherever they stand in a name.
+_BAD = frozenset("ads adbox adslot advert adverts advertisement advertising adsense sponsored nav navbar navigation breadcrumb breadcrumbs sidebar sidebars cookie cookies gdpr comments commentlist disqus pagination".split())
+# Words that do so alone, or beside words that say nothing: a search box isn't the article, search results may be.
+_BAD_ALONE = frozenset(
+    "ad sponsor sponsors promo promotion banner banners menu menubar submenu rail complementary header masthead topbar toolbar footer contentinfo colophon "
+    "copyright legal comment reply replies respond consent notice notices notification alert popup modal overlay dialog newsletter subscribe subscription "
+    "signup login share sharing social related recommended recommendations pager search widget widgets skip hidden".split()
+)
+_SAYS_NOTHING = frozenset(
+    "site page main global block box wrapper wrap container list section area bar inner outer top bottom left right col column module panel group item items "
+    "links link buttons button icons media posts post articles stories news this to form field body text title content slot unit the a of and".split()
 )
 _NEUTRAL_FIRST = frozenset("has with no is js not without".split())
-_GOOD_WITH_HEADER = frozenset("article entry post content story".split())
+_ARTICLE_NAMES = frozenset("article entry post content story".split())
+# Headings above readers' comments.
+_COMMENTS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|leave a (?:comment|reply)|kommentare?|commentaires?|comentarios?)(?: ?\(\d+\))?:?", re.I)
+
+#: A region outside the article's own stays if its score is this share of the page's mean score or more.
+ELSEWHERE = 1 / 4
+#: The same for a path within the article's region, and for a region nested in a marked article after its last text.
+WITHIN, NESTED = 1 / 50, 1 / 8
+#: Of several marked articles, those with this share of the largest's text or more stay.
+ARTICLES = 1 / 5
+
+
+@dataclass(slots=True)
+class Frame:
+    """An open element, and what it has from those above it."""
+
+    tag: str
+    dropped: bool = False
+    soft: bool = False
+    path: int = 0
+    region: int = 0
+    unit: int = 0
+    links: int = 0
+    heading: bool = False
+    in_header: bool = False
+    in_table: bool = False
 
 
 @dataclass(slots=True)
 class Block:
-    path: str
+    """A text block: its path of block-level tags, the element that parts regions and the marked article it is in, and whether it stands right in that article."""
+
     text: str
     link_chars: int
+    path: int
+    region: int
+    unit: int
+    own: bool
     heading: bool
-    in_article: bool
     soft: bool
+    in_table: bool
+
+
+def _named_bad(word: str) -> bool:
+    parts = [x.lower() for x in _NAME_PART.findall(word)]
+    if not parts or parts[0] in _NEUTRAL_FIRST:
+        return False
+    if _BAD.intersection(parts):
+        return True
+    alone = _BAD_ALONE.intersection(parts)
+    return bool(alone) and all(p in alone or p in _SAYS_NOTHING for p in parts) and not ("header" in alone and _ARTICLE_NAMES.intersection(parts))
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
-    """Whether the element's class, id or role names something other than the article."""
+def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether the element is hidden, and whether its class, id or role names something other than the article."""
+    if not attrs:
+        return False, False
     if "=" not in attrs:
-        return attrs.strip(" /").lower() == "hidden"
+        return attrs.strip(" /").lower() == "hidden", False
+    bad = False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            return True, False
         if name in ("class", "id", "role") and tag not in _NEVER_BY_NAME or name == "class" and tag == "article":
-            for word in value.split():
-                parts = [x.lower() for x in _NAME_PART.findall(word)]
-                if not parts or parts[0] in _NEUTRAL_FIRST:
-                    continue
-                bad = _BAD_NAMES.intersection(parts)
-                if tag == "article":
-                    bad &= {"comment", "comments", "reply", "ad", "advert", "advertisement", "promo", "sponsored", "related"}
-                if bad and not (bad == {"header"} and _GOOD_WITH_HEADER.intersection(parts)):
-                    return True
-    return False
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order: what stands between two block-level tags, with the path of block-level tags above it."""
-    found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, soft: everything below it too
-    pieces: list[str] = []
-    links = 0
-
-    def flush() -> None:
-        nonlocal links
-        if pieces:
-            text = " ".join("".join(pieces).split())
-            pieces.clear()
-            if text and not (stack and stack[-1][1]):
-                tags = [t for t, _, _ in stack if t in _BLOCK]
-                within = "article" in tags or "main" in tags
-                in_header = "header" in tags
-                heading = any(t in _HEADING for t in tags)
-                # A page's header goes; of an article's header its headings stay.
-                if not in_header or within and heading and tags.index("header") > max((tags.index(t) for t in ("article", "main") if t in tags), default=0):
-                    found.append(Block(".".join(tags), text, min(links, len(text)), heading, within, bool(stack) and stack[-1][2]))
-        links = 0
-
-    def say(raw: str) -> None:
-        nonlocal links
-        if raw and not (stack and stack[-1][1]):
+            bad = bad or any(map(_named_bad, value.split()))
+    return False, bad
+
+
+class Page:
+    """One pass over a page: its text blocks in order. All that an element has from above is kept in its frame, and
+    paths are numbers, so a tag costs the same at any depth."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.regions = 0
+        self.own: set[int] = set()  # regions that are marked articles
+        self.stack = [Frame("")]
+        self.open: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each name
+        self.open_blocks: list[int] = [0]
+        self.open_scopes: list[int] = [0]
+        self.pieces: list[str] = []
+        self.links = 0
+        self.home = self.stack[0]
+        self._read(page)
+
+    def _say(self, raw: str) -> None:
+        top = self.stack[-1]
+        if raw and not top.dropped:
             raw = _entities.unescape(raw) if "&" in raw else raw
-            pieces.append(raw)
-            if any(t == "a" for t, _, _ in stack):
-                links += len("".join(raw.split()))
-
-    def pop_to(k: int) -> None:
-        if any(t in _BLOCK for t, _, _ in stack[k:]):
-            flush()
-        del stack[k:]
-
-    at = 0
-    while m := _TOKEN.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        if not tag:
-            continue
-        if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if tag not in _BLOCK and stack[k][0] in _BLOCK:
-                    break  # an inline end tag doesn't close blocks
-            continue
-        if tag == "br":
-            say(" ")
-            continue
-        if tag == "hr":
-            flush()
-        if tag in _VOID:
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if stack and stack[-1][0] == "head" and tag in _BLOCK:
-            pop_to(len(stack) - 1)
-        if tag in _BLOCK:
-            closes = _ENDS.get(tag, ())
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
-                if t in closes or t == "p":
-                    pop_to(k)
-                    break
-                if t in _SCOPE:
-                    break
-            flush()
-        over = stack[-1] if stack else ("", False, False)
-        soft = over[2] or not over[1] and _unwanted(tag, m["attrs"] or m["attrs2"] or "")
-        stack.append((tag, over[1] or tag in _DROPPED, soft))
-    say(page[at:])
-    flush()
-    return found
+            if not self.pieces:
+                if raw.isspace():
+                    return
+                self.home = top
+            self.pieces.append(raw)
+            if top.links:
+                self.links += len("".join(raw.split()))
 
+    def _flush(self) -> None:
+        if self.pieces:
+            text = " ".join("".join(self.pieces).split())
+            self.pieces.clear()
+            home = self.home
+            # Of an article's header its headings stay.
+            if text and (home.heading or not home.in_header):
+                self.blocks.append(Block(text, min(self.links, len(text)), home.path, home.region, home.unit, home.region in self.own, home.heading, home.soft, home.in_table))
+        self.links = 0
 
-def main_text(page: str) -> str:
-    """The blocks on content paths, joined by blank lines.
-
-    Every path gets two ratios, text length and punctuation a block, links not counted. Both are
-    smoothed along the page with weights 1, 2, 1, fused as length * (1 + punctuation), and
-    averaged over the path again. Where the page marks its article, its paths stay unless links
-    make up most of their text. Elsewhere a path stays if its score is a quarter of the page's
-    mean score, weighted by length, or more; in the container of the best path a fiftieth does,
-    and headings there stay; a copyright line goes.
+    def _nearest(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these names; 0 if none is open."""
+        return max((self.open[t][-1] for t in tags if self.open[t]), default=0)
+
+    def _pop_to(self, k: int) -> None:
+        if self.open_blocks[-1] >= k and not self.stack[k - 1].dropped:
+            self._flush()
+        for frame in self.stack[k:]:
+            self.open[frame.tag].pop()
+        for places in (self.open_blocks, self.open_scopes):
+            while places[-1] >= k:
+                places.pop()
+        del self.stack[k:]
+
+    def _close(self, tag: str) -> None:
+        # An inline end tag doesn't close blocks.
+        if self.open[tag] and (tag in _BLOCK or self.open[tag][-1] > self.open_blocks[-1]):
+            self._pop_to(self.open[tag][-1])
+
+    def _push(self, tag: str, attrs: str) -> None:
+        block = tag in _BLOCK
+        if block:
+            ended, limits = _ENDS.get(tag, ((), ()))
+            nearest = self._nearest(ended)
+            if nearest > self._nearest(limits):
+                self._pop_to(nearest)
+            elif self._nearest(("p",)) > self.open_scopes[-1]:
+                self._pop_to(self._nearest(("p",)))
+            if not self.stack[-1].dropped:
+                self._flush()
+        over = self.stack[-1]
+        hidden, bad = (False, False) if over.dropped else _marked(tag, attrs)
+        frame = Frame(tag, over.dropped or hidden or tag in _DROPPED or tag == "header" and not over.unit, over.soft or bad, over.path, over.region, over.unit, over.links + (tag == "a"), over.heading or tag in _HEADING, over.in_header, over.in_table or tag == "table")
+        if block and tag not in ("html", "body"):
+            parts = tag in _SECTION and not frame.in_table
+            # Elements that part regions are told apart by their class, too.
+            name = f"{tag}.{_CLASS.search(attrs)[1]}" if parts and attrs and _CLASS.search(attrs) else tag
+            frame.path = self.paths.setdefault((over.path, name), len(self.paths) + 1)
+            if parts:
+                self.regions += 1
+                frame.region = self.regions
+            if tag in _UNIT:
+                frame.unit, frame.in_header = frame.region, False
+                self.own.add(frame.region)
+            frame.in_header = frame.in_header or tag == "header"
+        place = len(self.stack)
+        self.stack.append(frame)
+        self.open[tag].append(place)
+        if block:
+            self.open_blocks.append(place)
+        if tag in _SCOPE or tag in _DROPPED:
+            self.open_scopes.append(place)
+
+    def _read(self, page: str) -> None:
+        at, tokens = 0, _TOKEN
+        while m := tokens.search(page, at):
+            if tokens is _TOKEN and m["tag2"]:
+                tokens = _LOOSE
+                m = tokens.match(page, m.start())
+            self._say(page[at : m.start()])
+            at = m.end()
+            tag = (m["tag"] or "").lower()
+            if not tag:
+                continue
+            if m["end"]:
+                self._close(tag)
+            elif tag == "br":
+                self._say(" ")
+            elif tag == "hr":
+                self._flush()
+            elif tag in _RAW:
+                end = re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            elif tag not in _VOID:
+                if self.stack[-1].tag == "head" and tag in _BLOCK:
+                    self._pop_to(len(self.stack) - 1)
+                self._push(tag, m["attrs"])
+        self._say(page[at:])
+        self._flush()
+
+
+def _smooth(x: list[float]) -> list[float]:
+    """Weights 1, 2, 1 along the page."""
+    return [(x[max(i - 1, 0)] + 2 * v + x[min(i + 1, len(x) - 1)]) / 4 for i, v in enumerate(x)]
+
+
+class Ratios:
+    """The scores of the paths, and of the regions, that some blocks of a page lie on.
+
+    Every path gets two ratios, text length and punctuation a block, links not counted. Both are smoothed
+    along the page, fused as length * (1 + punctuation), and averaged over the path again; a region has the same
+    two ratios of its own blocks, fused. The page's mean score is weighted by length.
+    """
+
+    def __init__(self, blocks: list[Block]):
+        seen, chars, marks, linked = (defaultdict(float) for _ in range(4))
+        regions: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+        for b in blocks:
+            said = len(b.text) - b.link_chars
+            points = len(_PUNCTUATION.findall(b.text)) if 2 * b.link_chars < len(b.text) else 0
+            seen[b.path] += 1
+            chars[b.path] += said
+            linked[b.path] += b.link_chars
+            marks[b.path] += points
+            for k, x in enumerate((1, said, points)):
+                regions[b.region][k] += x
+        self.chars, self.linked = chars, linked
+        self.region = {r: c / n * (1 + m / n) for r, (n, c, m) in regions.items()}
+        length, punctuation = (_smooth([x[b.path] / seen[b.path] for b in blocks]) for x in (chars, marks))
+        fused = [a * (1 + c) for a, c in zip(length, punctuation, strict=True)]
+        self.path: dict[int, float] = defaultdict(float)
+        for b, f in zip(blocks, fused, strict=True):
+            self.path[b.path] += f / seen[b.path]
+        self.mean = sum(len(b.text) * f for b, f in zip(blocks, fused, strict=True)) / sum(len(b.text) for b in blocks)
+
+    def heavy(self, b: Block) -> bool:
+        """Whether links make up most of the path's text."""
+        return self.linked[b.path] > self.chars[b.path]
+
+
+def _of_articles(blocks: list[Block]) -> list[Block]:
+    """The blocks to keep of those in marked articles.
+
+    Of several articles the short ones go: teasers, comments. In an article the flow of text right under it stays, lists of links
+    and headings with it; a region nested in it goes if it has a low score and stands after the last text that hasn't,
+    or if links make up most of it; and so does what follows a heading for comments.
     """
-    found = blocks(page)
+    size: dict[int, int] = defaultdict(int)
+    for b in blocks:
+        size[b.unit] += len(b.text) - b.link_chars
+    largest = max(size.values())
+    blocks = [b for b in blocks if size[b.unit] >= ARTICLES * largest]
+    ratios = Ratios(blocks)
+    ended: set[int] = set()
+    fine = []
+    for b in blocks:
+        if b.heading and _COMMENTS.fullmatch(b.text):
+            ended.add(b.unit)
+        own = b.own or b.in_table
+        strong = ratios.region[b.region] >= NESTED * ratios.mean
+        fine.append(None if b.unit in ended or not own and not strong and ratios.heavy(b) else own or strong)
+    last = {b.unit: i for i, (b, f) in enumerate(zip(blocks, fine, strict=True)) if f}
+    return [b for i, (b, f) in enumerate(zip(blocks, fine, strict=True)) if f or f is False and i < last.get(b.unit, -1)]
+
+
+def _of_page(blocks: list[Block]) -> list[Block]:
+    """The blocks to keep of a page that marks no article.
+
+    The region of the best path is the article's. There, paths stay that have a fiftieth of the page's mean score, headings, and links between
+    texts; elsewhere, paths with a quarter of it in regions with as much that aren't mostly links, and between texts all on their paths. A copyright line goes.
+    """
+    blocks = [b for b in blocks if not _COPYRIGHT.match(b.text)]
+    if not blocks:
+        return []
+    ratios = Ratios(blocks)
+    best = max(blocks, key=lambda b: (ratios.chars[b.path] * ratios.path[b.path], b.path))
+    good = lambda b: ratios.path[b.path] >= WITHIN * ratios.mean if b.region == best.region else min(ratios.path[b.path], ratios.region[b.region]) >= ELSEWHERE * ratios.mean
+    text = [i for i, b in enumerate(blocks) if not ratios.heavy(b) and good(b)]
+    if not text:
+        return blocks
+    content, paths = {*text}, {blocks[i].path for i in text}
+    ended = False
+    kept = []
+    for i, b in enumerate(blocks):
+        own = b.region == best.region
+        ended = ended or own and b.heading and bool(_COMMENTS.fullmatch(b.text))
+        if not ended and (i in content or own and b.heading or (own or b.path in paths) and text[0] < i < text[-1]):
+            kept.append(b)
+    return kept
+
+
+def main_text(page: str) -> str:
+    """The blocks on content paths, joined by blank lines. What is named as other than the article goes, unless nothing else is there."""
+    found = Page(page).blocks
     kept = [b for b in found if not b.soft] or found
-    marked = [b for b in kept if b.in_article]
-    kept = marked or [b for b in kept if not _COPYRIGHT.match(b.text)]
-    if not kept:
-        return ""
-    seen: dict[str, int] = defaultdict(int)
-    chars: dict[str, float] = defaultdict(float)
-    marks: dict[str, float] = defaultdict(float)
-    linked: dict[str, float] = defaultdict(float)
-    for b in kept:
-        seen[b.path] += 1
-        chars[b.path] += len(b.text) - b.link_chars
-        linked[b.path] += b.link_chars
-        marks[b.path] += len(_PUNCTUATION.findall(b.text)) if b.link_chars < len(b.text) / 2 else 0
-    length = [chars[b.path] / seen[b.path] for b in kept]
-    punctuation = [marks[b.path] / seen[b.path] for b in kept]
-
-    def smooth(x: list[float]) -> list[float]:
-        return [(x[max(i - 1, 0)] + 2 * v + x[min(i + 1, len(x) - 1)]) / 4 for i, v in enumerate(x)]
-
-    fused = [a * (1 + b) for a, b in zip(smooth(length), smooth(punctuation), strict=True)]
-    score: dict[str, float] = defaultdict(float)
-    for b, f in zip(kept, fused, strict=True):
-        score[b.path] += f / seen[b.path]
-    total = sum(len(b.text) for b in kept)
-    mean = sum(len(b.text) * f for b, f in zip(kept, fused, strict=True)) / total
-    if marked:
-        content = {p for p in seen if chars[p] >= linked[p]}
-    else:
-        best = max(seen, key=lambda p: (chars[p] * score[p], p))
-        container = best.rpartition(".")[0] + "."
-        headings = {b.path for b in kept if b.heading}
-        content = {
-            p
-            for p in seen
-            if chars[p] >= linked[p] and (score[p] >= mean / 4 or p.startswith(container) and container.count(".") > 2 and (p in headings or score[p] >= mean / 50))
-        }
-    return "\n\n".join(b.text for b in kept if b.path in content)
+    marked = [b for b in kept if b.unit]
+    kept = _of_articles(marked) if marked else _of_page(kept) if kept else []
+    return "\n\n".join(b.text for b in kept)
 
 
 _SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

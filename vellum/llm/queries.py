@@ -116,7 +116,7 @@ WITH a AS (
   FROM pages),
 b AS (
   SELECT page_id, url, list_filter(list_transform(string_split_regex(body, '(?i)</?(?:p|h1)(?:\s[^>]*)?>'), lambda x:
-    trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))),
+    trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))),
     lambda x: x <> '') AS parts
   FROM a)
 SELECT page_id, url, array_to_string(parts, chr(10) || chr(10)) AS text, length(array_to_string(parts, chr(10) || chr(10)))::BIGINT AS n_chars FROM b""",
