@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import scanned
 from ..functions.text import bound, paragraph_key
 from ..functions.titles import NUMERAL
 
@@ -18,7 +19,7 @@ _N = f"[{NUMERAL}0-9]+"
 VOLUME = rf"^\s*第\s*{_N}\s*卷"
 CHAPTER = rf"^\s*(?:第\s*{_N}\s*章|(?i:chapter)\s*[0-9]+)"
 TURN = rf"^\s*(?:.+?\s+)?(第\s*{_N}\s*回(?:\s+.*)?)\s*$"
-SKIP = rf"^\s*(?:[（(]?[上中下][)）]?|第{_N}卷[^\n]{{0,20}}[完終终]|卷{_N.replace('+', '*')}[結结][束尾]|本卷[終终完])\s*$"
+SKIP = rf"^\s*(?:[（(]?[上中下][)）]?|第{_N}卷[^\n]{{0,20}}[完終终]|卷[{NUMERAL}0-9]*[結结][束尾]|本卷[終终完])\s*$"
 
 
 def is_volume(x: Column) -> Column:
@@ -193,21 +194,21 @@ def adaptive_sections(lines: DataFrame, sentinel: str, reach: int = 20) -> DataF
     """
     items = F.sort_array(F.collect_list(F.struct("line_no", "text")))
     books = lines.groupBy("book").agg(items.alias("items"))
-    zero = F.lit(0).cast("int")
-    row = "array<struct<part:int,section:int,line_no:int,text:string>>"
-    start = F.struct(zero.alias("part"), zero.alias("now"), F.array().cast(row).alias("out"))
+    def marks(now: Column, text: Column) -> Column:
+        n = F.when(text.rlike("^[0-9]{1,4}$"), text.try_cast("int"))
+        return F.when((n > now) & (n - now <= reach), n)
 
-    def step(acc, i):
-        n = F.when(i["text"].rlike("^[0-9]{1,4}$"), i["text"].try_cast("int"))
+    def step(state: Column, i: Column) -> Column:
         opens = i["text"] == sentinel
-        marks = F.coalesce((n > acc["now"]) & (n - acc["now"] <= reach), F.lit(False))
-        line = F.struct(acc["part"].alias("part"), acc["now"].alias("section"), i["line_no"].cast("int").alias("line_no"), i["text"].alias("text"))
-        return F.struct(
-            F.when(opens, 1).otherwise(acc["part"]).alias("part"),
-            F.when(opens, 0).when(marks, n).otherwise(acc["now"]).alias("now"),
-            F.when(opens | marks, acc["out"]).otherwise(F.array_append(acc["out"], line)).alias("out"),
-        )
-
-    found = books.select("book", F.explode(F.aggregate("items", start, step)["out"]).alias("r")).select("book", "r.part", "r.section", "r.line_no", "r.text")
+        now = F.when(opens, 0).otherwise(F.coalesce(marks(state["now"], i["text"]), state["now"]))
+        return F.struct(F.when(opens, 1).otherwise(state["part"]).cast("int").alias("part"), now.cast("int").alias("now"))
+
+    def line(state: Column, i: Column) -> Column:
+        kept = (i["text"] != sentinel) & marks(state["now"], i["text"]).isNull()
+        return F.when(kept, F.struct(state["part"].alias("part"), state["now"].alias("section"), i["line_no"].cast("int").alias("line_no"), i["text"].alias("text")))
+
+    start = F.struct(F.lit(0).cast("int").alias("part"), F.lit(0).cast("int").alias("now"))
+    found = scanned(F.col("items"), start, step, line, "struct<part:int,section:int,line_no:int,text:string>")
+    found = books.select("book", F.explode(F.array_compact(found)).alias("r")).select("book", "r.part", "r.section", "r.line_no", "r.text")
     out = found.groupBy("book", "part", "section").agg(F.collect_list(F.struct("line_no", "text")).alias("items"))
     return out.select("book", "part", "section", _joined("items").alias("text"))
