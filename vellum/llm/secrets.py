@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import scanned
+from ..functions.text import bound
 from .common import table
 
 # The base patterns.
@@ -109,22 +111,29 @@ def trained(docs: DataFrame, sf_dir: str) -> Model | None:
     return fit(random_strings(spark), ordinary_identifiers(docs, table(spark, sf_dir, "labels")))
 
 
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,match:string>"
+#: Code points of the pieces in which a text with spans is redacted.
+CHUNK = 4096
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """array<struct(start, rank, end, kind, match)> of the pattern's matches, leftmost and not overlapping."""
     rank = KINDS.index(kind)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # Between two matches stands what split() returns, so lengths add up to places.
     around = F.arrays_zip(F.split(text, pattern, -1).alias("before"), matches.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,match:string>>").alias("found"))
+    begin = lambda at, z: at + F.length(z["before"])
+    end = lambda at, z: begin(at, z) + F.coalesce(F.length(z["match"]), F.lit(0))
+    span = lambda at, z: F.when(z["match"].isNotNull(), F.struct(begin(at, z).alias("start"), F.lit(rank).alias("rank"), end(at, z).alias("end"), F.lit(kind).alias("kind"), z["match"].alias("match")))
+    return F.when(text.rlike(pattern), F.array_compact(scanned(around, F.lit(0), end, span, _SPAN))).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    def step(acc, z):
-        begin = acc["at"] + F.length(z["before"])
-        end = begin + F.coalesce(F.length(z["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), z["match"].alias("match"))
-        return F.struct(end.alias("at"), F.when(z["match"].isNull(), acc["found"]).otherwise(F.array_append(acc["found"], span)).alias("found"))
 
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,match:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(around, start, step)["found"]).otherwise(none)
+def _apart(tokens: Column, base: Column) -> Column:
+    """For each token whether no base span overlaps it: whether, of the spans that begin before its end, none ends after its start."""
+    event = lambda at, which, other: F.struct(at.alias("at"), F.lit(which).alias("which"), other.alias("other"))
+    events = F.array_sort(F.concat(F.transform(tokens, lambda t: event(t["end"], 0, t["start"])), F.transform(base, lambda b: event(b["start"], 1, b["end"]))))
+    furthest = lambda reached, e: F.when(e["which"] == 1, F.greatest(reached, e["other"])).otherwise(reached)
+    return F.array_compact(scanned(events, F.lit(0), furthest, lambda reached, e: F.when(e["which"] == 0, reached <= e["other"]), "boolean"))
 
 
 def scan(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -142,9 +151,12 @@ def scan(docs: DataFrame, model: Model | None) -> DataFrame:
     out = docs.withColumn("base", F.array_sort(F.concat(assign, access, _spans(text, _HEX, "hex"))))
     if model is None:
         return out.withColumn("spans", F.col("base"))
-    apart = lambda s: F.forall("base", lambda b: (b["end"] <= s["start"]) | (b["start"] >= s["end"]))
-    odd = F.filter(_spans(text, _TOKEN, "random"), lambda s: s["match"].rlike("[A-Za-z]") & apart(s) & (model.score(s["match"]) > MARGIN))
-    return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), odd)))
+    def odd(tokens: Column) -> Column:
+        fine = F.when((F.size(tokens) > 0) & (F.size("base") > 0), _apart(tokens, F.col("base")))
+        return bound(fine, lambda fine: F.filter(tokens, lambda s, i: F.coalesce(F.get(fine, i), F.lit(True)) & (model.score(s["match"]) > MARGIN)))
+
+    tokens = F.filter(_spans(text, _TOKEN, "random"), lambda s: s["match"].rlike("[A-Za-z]"))
+    return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), bound(tokens, odd))))
 
 
 def _listed(spans: str) -> Column:
@@ -163,22 +175,42 @@ def report(docs: DataFrame, model: Model | None) -> DataFrame:
     )
 
 
+def _cut(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each run of overlapping or touching spans replaced by the mark.
+
+    The text is worked on in pieces of CHUNK code points, each with the parts of spans that lie in it, so that no cut is
+    counted from the beginning of a long text.
+    """
+    part = lambda reached, s: F.struct(F.greatest(reached, s["start"]).alias("a"), s["end"].alias("b"), (s["start"] > reached).alias("new"))
+    parts = F.filter(scanned(spans, F.lit(-1), lambda reached, s: F.greatest(reached, s["end"]), part, "struct<a:int,b:int,new:boolean>"), lambda p: p["b"] > p["a"])
+
+    def dealt(p: Column) -> Column:
+        first = F.floor(p["a"] / CHUNK).cast("int")
+        within = lambda c: F.struct(c.alias("c"), (F.greatest(p["a"], c * CHUNK) - c * CHUNK).alias("a"), (F.least(p["b"], (c + 1) * CHUNK) - c * CHUNK).alias("b"), (p["new"] & (c == first)).alias("new"))
+        return F.transform(F.sequence(first, F.floor((p["b"] - 1) / CHUNK).cast("int")), within)
+
+    def joined(chunk: Column, own: Column) -> Column:
+        kept = lambda p, j: F.concat(F.substring(chunk, F.coalesce(F.get(own, j - 1)["b"], F.lit(0)) + 1, p["a"] - F.coalesce(F.get(own, j - 1)["b"], F.lit(0))), F.when(p["new"], mark).otherwise(""))
+        rest = F.substring(chunk, F.coalesce(F.get(own, F.size(own) - 1)["b"], F.lit(0)) + 1, F.lit(CHUNK))
+        return F.array_join(F.concat(F.transform(own, kept), F.array(rest)), "")
+
+    def of_chunks(chunks: Column, parts: Column) -> Column:
+        # How many parts lie before each chunk, from both in one order.
+        chunk_at = F.transform(chunks, lambda c, i: F.struct(i.cast("int").alias("at"), F.lit(0).alias("which")))
+        events = F.array_sort(F.concat(chunk_at, F.transform(parts, lambda p: F.struct(p["c"].alias("at"), F.lit(1).alias("which")))))
+        before = F.array_compact(scanned(events, F.lit(0), lambda n, e: n + e["which"], lambda n, e: F.when(e["which"] == 0, n), "int"))
+        own = lambda first, i: F.slice(parts, F.get(first, i) + 1, F.coalesce(F.get(first, i + 1), F.size(parts)) - F.get(first, i))
+        return bound(before, lambda first: F.transform(chunks, lambda c, i: bound(own(first, i), lambda p: joined(c, p))))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.array_join(bound(F.flatten(F.transform(parts, dealt)), lambda p: bound(chunks, lambda c: of_chunks(c, p))), "")
+
+
 def redacted(docs: DataFrame, model: Model | None, mark: str = "[secret]") -> DataFrame:
     """docs with every span, or run of overlapping spans, replaced by `mark`; texts without spans stay as they are."""
     # The row travels in a struct, so that its columns may have any names.
     found = scan(docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), "text"), model)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] >= acc["at"]) & ((s["start"] > acc["at"]) | (F.size(acc["out"]) == 0)), F.concat(acc["out"], F.array(before, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
-        )
-
-    parts = F.aggregate("spans", start, step)
-    rest = F.substring(F.col("text"), parts["at"] + 1, F.length("text"))
-    text = F.when(F.size("spans") > 0, F.array_join(F.array_append(parts["out"], rest), "")).otherwise(F.col("text"))
+    text = F.when(F.size("spans") > 0, _cut(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
     # In a step of its own: a lambda would take an output column named text for the input's.
     done = found.select("row", text.alias("redacted"))
     changed = {"text": F.col("redacted").alias("text"), "n_chars": F.length("redacted").cast("long").alias("n_chars")}
