@@ -240,6 +240,36 @@ def test_sentencepiece_is_best_and_exact(documents):
             assert math.isclose(score_of(v, ids[end - n : end].tolist()), best_by_hand(v, text), abs_tol=1e-6)
 
 
+def test_sentencepiece_gives_the_ids_of_a_unigram_model(documents):
+    """The library's own encoder, for the same pieces and scores; of equally good segmentations it may choose another, as it sums in single precision."""
+    import sentencepiece as library
+    from sentencepiece import sentencepiece_model_pb2
+
+    v = sentencepiece.Vocabulary.load(sentencepiece.MODEL)
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(sentencepiece.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = model.trainer_spec.UNIGRAM
+    for i in v.plain.tolist():
+        model.pieces[i].score = v.scores[i]
+    encoder = library.SentencePieceProcessor(model_proto=model.SerializeToString())
+    texts = [t or "" for _, t in texts_of(documents)] + ["日本語の文章です。" * 20, "x" * 3000, "aab" * 90, "é" * 90, "a\n\n b"]
+    ids, counts = sentencepiece.encode_texts(v, texts)
+    ours, theirs = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])], encoder.encode(texts)
+    assert all(math.isclose(score_of(v, a), score_of(v, b), abs_tol=1e-6 * (1 + len(a))) and len(a) == len(b) for a, b in zip(ours, theirs))
+    assert sum(a == b for a, b in zip(ours, theirs)) >= 0.9 * len(texts)
+
+
+def test_sentencepiece_batches_long_words():
+    """Texts without spaces: cut where no piece spans, they take a time in proportion, too."""
+    v = sentencepiece.Vocabulary.load(sentencepiece.MODEL)
+    begun = time.process_time()
+    for text in ("日本語の文章です今日は天気がいい" * 6250, "x" * 50_000, "kjQz9" * 20_000):
+        ids, counts = sentencepiece.encode_texts(v, [text])
+        assert sentencepiece.decode_ids(v, ids, counts) == [text]
+    assert time.process_time() - begun < 30
+
+
 def test_sentencepiece_on_tables(awkward, empty, clashing):
     for df in (awkward, clashing):
         back = sentencepiece.decode(sentencepiece.encode(df))

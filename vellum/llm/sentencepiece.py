@@ -15,16 +15,15 @@ from .common import mixed
 
 #: The vocabulary's place; every function takes another.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Code points of one numpy pass.
-PASS = 1 << 21
-#: Words longer than this are searched one by one, in a plain loop of the same recurrence.
-LONG = 64
+#: Code points of one numpy pass, and of the equally long parts that advance together.
+PASS, TOGETHER = 1 << 21, 1 << 15
 
 _SPACE = 0x2581  # stands for a space in pieces
 _OWN = 0x110000  # stands for that very character in a text: above all code points, in no piece
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _NONE = np.float64(-1e18)
+_STEP = float(1 << 20)
 
 
 def _coded(chars: np.ndarray) -> np.ndarray:
@@ -43,7 +42,8 @@ class Vocabulary:
 
     The file at hand has merge ranks for scores, not log-probabilities; a piece of rank r gets
     Zipf's law, -log(r + 1) - log(sum of 1 / k), and a character in no piece becomes its UTF-8 bytes at
-    10 below the least. (A unigram file's own scores are log-probabilities and are kept.)
+    10 below the least. (A unigram file's own scores are log-probabilities and are kept.) Ids are those that the
+    sentencepiece library gives for a unigram model with these pieces and scores, not those of the file's merges.
     """
 
     pieces: list[str]
@@ -69,6 +69,8 @@ class Vocabulary:
             scores[plain] = -np.log(rank[plain] + 1) - np.log(np.sum(1 / np.arange(1, len(plain) + 1)))
         else:
             scores = raw
+        # Sums of such scores have no rounding, so ties are ties wherever a word is cut: the longer last piece holds.
+        scores = np.where(scores > _NONE, np.round(scores * _STEP) / _STEP, _NONE)
         return cls(pieces, scores, byte_ids, special)
 
     @cached_property
@@ -103,6 +105,18 @@ class Vocabulary:
     def ids(self) -> dict[tuple[int, ...], int]:
         return {tuple(map(ord, self.pieces[i])): int(i) for i in self.plain}
 
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        return np.array([len(p) for p in self.pieces])
+
+    @cached_property
+    def letters(self) -> np.ndarray:
+        """The code points of every piece, filled up with -1."""
+        out = np.full((len(self.pieces), self.longest), -1, dtype=np.int32)
+        for i in self.plain:
+            out[i, : len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
+        return out
+
     @staticmethod
     def _hash(piece: str) -> np.uint64:
         h = np.zeros(1, dtype=np.uint64)
@@ -125,93 +139,107 @@ def _gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def search(v: Vocabulary, words: np.ndarray) -> list[np.ndarray]:
-    """Best segmentation of equally long words, one a row of code points: a column of choices from each
-    word's end backwards; piece ids, or -1 - c for a character c in no piece; -0x200000 where a word is over.
+def probes(v: Vocabulary, chars: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(end, length, id) of every piece in words that lie one after the other; room says how many characters of its word end at each one.
 
-    best[j] is the best score of the first j characters: the maximum over the last piece's
-    length l of best[j - l] + score. All words advance together; each step probes the sorted
-    piece hashes with the substrings that end at j.
+    For one length after the other the hashes of all substrings are made from those one shorter, and probe the sorted hashes of
+    the pieces; what hits is compared character by character.
     """
-    n, length = words.shape
     hashes, ids = v.keys
-    seen = v.leading
-    code = _coded(words)
-    best = np.full((n, length + 1), _NONE)
-    best[:, 0] = 0
-    piece = np.zeros((n, length + 1), dtype=np.int32)
-    back = np.zeros((n, length + 1), dtype=np.int8)
+    seen, spelling = v.leading, v.letters
+    code = _coded(chars)
     power = _powers(_BASE, v.longest + 1)
+    h = np.zeros(len(chars), dtype=np.uint64)
+    found = []
+    for k in range(1, min(v.longest, int(room.max(initial=0))) + 1):
+        h[k - 1 :] += code[: len(code) - k + 1] * power[k - 1]
+        end = np.flatnonzero(seen[h[k - 1 :] >> np.uint64(44)] & (room[k - 1 :] >= k)) + (k - 1)
+        at = np.searchsorted(hashes, h[end])
+        at[at == len(hashes)] = 0
+        same = hashes[at] == h[end]
+        end, piece = end[same], ids[at[same]]
+        same = v.sizes[piece] == k
+        for t in range(k):
+            same &= spelling[piece, t] == chars[end - (k - 1) + t]
+        found.append((end[same], np.full(int(same.sum()), k), piece[same]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def search(scores: np.ndarray, choices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best segmentation of equally long parts of words: its choices in order, flat, and how many each part has.
+
+    scores and choices are parts x characters x lengths: what the piece of length k + 1 that ends at a character is worth, and which it is.
+    best[j], of the first j characters, is the maximum over k of best[j - k] + score. All parts advance together.
+    """
+    n, length, widest = scores.shape
+    best = np.full((n, length + widest), _NONE)
+    best[:, widest - 1] = 0
+    back = np.zeros((n, length + 1), dtype=np.int64)
+    rows = np.arange(n)
     for j in range(1, length + 1):
-        top = best[:, j - 1] + v.unknown
-        which = -1 - words[:, j - 1].astype(np.int32)
-        size = np.ones(n, dtype=np.int8)
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(1, min(v.longest, j) + 1):
-            h = h + code[:, j - k] * power[k - 1]
-            row = np.flatnonzero(seen[h >> np.uint64(44)])
-            at = np.searchsorted(hashes, h[row])
-            at[at == len(hashes)] = 0
-            hit = hashes[at] == h[row]
-            row, found = row[hit], ids[at[hit]]
-            score = best[row, j - k] + v.scores[found]
-            better = score > top[row]
-            row, found = row[better], found[better]
-            top[row], which[row], size[row] = score[better], found, k
-        best[:, j], piece[:, j], back[:, j] = top, which, size
+        # The longest piece comes first, and holds in a tie.
+        worth = best[:, j - 1 : j + widest - 1] + scores[:, j - 1, ::-1]
+        back[:, j] = widest - 1 - worth.argmax(axis=1)
+        worth = worth[:, ::-1]
+        best[:, j + widest - 1] = worth[rows, back[:, j]]
     at = np.full(n, length)
-    rows = np.arange(n)
-    columns = []
-    while at.any():
-        columns.append(np.where(at > 0, piece[rows, at], -0x200000))
-        at = at - np.where(at > 0, back[rows, at], 0)
-    return columns
-
-
-def search_one(v: Vocabulary, word: np.ndarray) -> np.ndarray:
-    """The same recurrence for one long word; memory is a few numbers a character."""
-    chars = word.tolist()
-    ids, scores, longest = v.ids, v.scores, v.longest
-    best, back, piece = [0.0], [0], [0]
-    for j in range(1, len(chars) + 1):
-        top, size, which = best[j - 1] + v.unknown, 1, -1 - chars[j - 1]
-        for k in range(1, min(longest, j) + 1):
-            i = ids.get(tuple(chars[j - k : j]))
-            if i is not None and (s := best[j - k] + scores[i]) > top:
-                top, size, which = s, k, i
-        best.append(top)
-        back.append(size)
-        piece.append(which)
-    out, j = [], len(chars)
-    while j:
-        out.append(piece[j])
-        j -= back[j]
-    return np.array(out[::-1], dtype=np.int64)
-
-
-def _segmented(v: Vocabulary, chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Choices for each word, flat in word order, and how many each word has."""
-    counts = np.zeros(len(starts), dtype=np.int64)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []  # word of each choice, choices
-    for length in np.unique(lengths):
-        chosen = np.flatnonzero(lengths == length)
-        if length > LONG:
-            for w in chosen:
-                found = search_one(v, chars[starts[w] : starts[w] + length])
-                counts[w] = len(found)
-                parts.append((np.full(len(found), w), found))
-            continue
-        for group in np.array_split(chosen, max(1, len(chosen) * int(length) >> 20)):
-            columns = search(v, chars[starts[group][:, None] + np.arange(length)])
-            matrix = np.stack(columns[::-1], axis=1)
-            used = matrix != -0x200000
-            counts[group] = used.sum(axis=1)
-            parts.append((np.repeat(group, counts[group]), matrix[used].astype(np.int64)))
-    if not parts:
-        return np.zeros(0, dtype=np.int64), counts
-    word = np.concatenate([w for w, _ in parts])
-    flat = np.concatenate([c for _, c in parts])
-    return flat[np.argsort(word, kind="stable")], counts
+    columns, used = [], []
+    while (on := at > 0).any():
+        k = back[rows, at]
+        columns.append(choices[rows, at - 1, k])
+        used.append(on)
+        at = np.where(on, at - k - 1, 0)
+    mask = np.stack(used[::-1], axis=1)
+    return np.stack(columns[::-1], axis=1)[mask], mask.sum(axis=1)
+
+
+def _segmented(v: Vocabulary, chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids, or -1 - c for a character c in no piece, of words that lie one after the other, and how many each has.
+
+    Words are cut where no piece spans, so a text without spaces falls into short parts as well.
+    """
+    total = len(chars)
+    first = np.cumsum(lengths) - lengths
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    end, size, piece = probes(v, chars, np.arange(total) - first[word] + 1)
+    change = np.zeros(total + 1, dtype=np.int64)
+    np.add.at(change, end - size + 2, 1)
+    np.subtract.at(change, end + 1, 1)
+    opens = np.cumsum(change[:-1]) == 0  # no piece goes on from the character before
+    opens[first] = True
+    starts = np.flatnonzero(opens)
+    width = np.diff(np.append(starts, total))
+    part_of = np.cumsum(opens) - 1
+    # Parts by length, and hits in the same order.
+    order = np.argsort(width, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    hit_rank = rank[part_of[end]]
+    by_rank = np.argsort(hit_rank, kind="stable")
+    end, size, piece, hit_rank = end[by_rank], size[by_rank], piece[by_rank], hit_rank[by_rank]
+    edges = np.flatnonzero(np.diff(width[order], prepend=-1))
+    flat, counts = [], np.zeros(len(starts), dtype=np.int64)
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+        length = int(width[order[a]])
+        step = max(1, TOGETHER // length)
+        for c in range(a, b, step):
+            group = order[c : min(b, c + step)]
+            low, high = np.searchsorted(hit_rank, [c, c + len(group)])
+            widest = min(v.longest, length)
+            scores = np.full((len(group), length, widest), _NONE)
+            choices = np.zeros(scores.shape, dtype=np.int64)
+            scores[:, :, 0] = v.unknown
+            choices[:, :, 0] = -1 - chars[starts[group][:, None] + np.arange(length)]
+            place = hit_rank[low:high] - c, end[low:high] - starts[group][hit_rank[low:high] - c], size[low:high] - 1
+            scores[place] = v.scores[piece[low:high]]
+            choices[place] = piece[low:high]
+            found, counts[group] = search(scores, choices)
+            flat.append((np.repeat(group, counts[group]), found))
+    if not flat:
+        return np.zeros(0, dtype=np.int64), np.zeros(len(lengths), dtype=np.int64)
+    part = np.concatenate([p for p, _ in flat])
+    ids = np.concatenate([f for _, f in flat])[np.argsort(part, kind="stable")]
+    return ids, np.bincount(word[starts], weights=counts, minlength=len(lengths)).astype(np.int64)
 
 
 def _bytes(v: Vocabulary, choices: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +277,7 @@ def encode_texts(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarra
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_coded(chars) * _powers(_BASE, len(chars)), dtype=np.uint64)])
     key = mixed((sums[starts + lengths] - sums[starts]) * _powers(_INVERSE, len(chars))[starts] + mixed(lengths.astype(np.uint64)))
     _, where, word = np.unique(key, return_index=True, return_inverse=True)
-    choices, counts = _segmented(v, chars, starts[where], lengths[where])
+    choices, counts = _segmented(v, chars[_gathered(starts[where], lengths[where])], lengths[where])
     ids, counts = _bytes(v, choices, counts)
     ids = ids[_gathered((np.cumsum(counts) - counts)[word], counts[word])]
     text = np.searchsorted(first[sizes > 0], starts, side="right") - 1
