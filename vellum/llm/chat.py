@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Turns of one output row. A dialogue with more has several rows, whose texts follow each other.
 PART = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def _segment(kind, text):
+def _guarded(text: Column) -> Column:
+    """A text in which no marker stands: it is broken up, so it can't begin or end a turn."""
+    return F.replace(text, F.lit("<|im_"), F.lit("< |im_"))
+
+
+def _named(role: Column) -> Column:
+    """A role as a name of one line: no markers, no line ends or other control characters. Null is the name unknown, a role spelled so is "unknown" in quotes."""
+    name = F.regexp_replace(_guarded(role), "[\\x00-\\x1F\\x7F\\x{85}\\x{2028}\\x{2029}]+", " ")
+    return F.when(role.isNull(), "unknown").when(name == "unknown", '"unknown"').otherwise(name)
+
+
+def _segment(kind: Column, text: Column) -> tuple[Column, Column]:
     """One turn as the speaker sees it: its text before the trained span, and that span."""
     return F.concat(F.lit(OPEN), kind, F.lit("\n")), F.concat(text, F.lit(CLOSE))
 
 
+def placed(turns: DataFrame) -> DataFrame:
+    """turns(conv_id, turn, name, system, text) with `place`, every turn's place in its dialogue from 0, by turn, name and the text's SHA-256.
+
+    All turns are sorted together, by ranges, and places are counted from the partitions' sizes, so that a dialogue of a
+    third of all turns is dealt over many tasks; rows that are equal may come in any order. The driver gets one number a partition.
+    """
+    columns = turns.columns
+    keys = ["conv_id", "turn", "name", "digest", "equal"]
+    turns = turns.withColumn("digest", F.sha2("text", 256)).withColumn("equal", F.monotonically_increasing_id())
+    ordered = turns.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rid", F.monotonically_increasing_id())
+    # A row's number has its partition's before the lower 33 bits.
+    rows = stored(ordered.select(*columns, F.shiftright("rid", 33).alias("block"), F.col("rid").bitwiseAND(F.lit((1 << 33) - 1)).alias("within")), "turns")
+    sizes = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for block in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(block, 0)
+    offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
+    rows = rows.withColumn("at", F.get(offsets, F.col("block").cast("int")) + F.col("within"))
+    first = rows.groupBy(F.col("conv_id").alias("of")).agg(F.min("at").alias("first"))
+    return rows.join(first, F.col("conv_id").eqNullSafe(F.col("of"))).select(*columns, (F.col("at") - F.col("first")).alias("place"))
+
+
 def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
     """(conv_id, speaker, part, text, mask, n_turns, n_trained): turns(conv_id, turn, role, text)
     rendered once for every participant.
@@ -24,26 +60,33 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
     start:end in code points of the row's text, end exclusive, comma-joined: what the speaker says,
     with the marker that ends it.
 
-    Turns are in the order of turn, then role, then text; a null turn comes first; a null role is
-    the speaker "unknown"; a null text is empty. Repeated rows are repeated turns. A marker that
-    stands in a text is broken up, so it can't end a turn. A dialogue of system turns only has
-    no participant and no rows; an empty table gives none. Other columns are not read. Each
-    row holds the turns whose number lies in one range of `part`, so a dialogue with very many
-    turns is dealt over many rows.
+    Turns are in the order of turn, then name, then the text's SHA-256; a null turn comes first; a null role is
+    the speaker "unknown", and a speaker of that name is another, in quotes; a null text is empty. Repeated rows are repeated
+    turns. A marker that stands in a text or a role is broken up, and a role is one line, so neither can begin or end a turn. A dialogue
+    of system turns only has no participant and no rows; an empty table gives none. Other columns are not read.
+
+    A row holds `part` turns, by their place in the dialogue, so one with very many turns is dealt over many rows, whatever
+    their numbers. Each row but the first begins with the last system turn of the first, if there is one; n_turns doesn't count it.
     """
     rows = turns.select(
         "conv_id",
         F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"),
-        F.coalesce("role", F.lit("unknown")).alias("role"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("< |im_")).alias("text"),
-    ).withColumn("part", F.floor(F.greatest("turn", F.lit(0)) / part).cast("long"))
-    speakers = rows.where("role <> 'system'").select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+        _named(F.col("role")).alias("name"),
+        F.coalesce(F.col("role") == "system", F.lit(False)).alias("system"),
+        _guarded(F.coalesce("text", F.lit(""))).alias("text"),
+    )
+    rows = stored(placed(rows).withColumn("part", F.floor(F.col("place") / part).cast("long")), "placed")
+    speakers = rows.where("NOT system").select(F.col("conv_id").alias("of"), F.col("name").alias("speaker")).distinct()
+    rules = rows.where("part = 0 AND system").groupBy(F.col("conv_id").alias("ruled")).agg(F.max_by("text", "place").alias("rules"))
+    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("place", "name", "system", "text"))).alias("turns"))
+    parts = parts.join(rules, F.col("conv_id").eqNullSafe(F.col("ruled")), "left")
     seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of")))
-    kind = lambda t: F.when(t["role"] == "system", "system").when(t["role"] == F.col("speaker"), "assistant").otherwise(F.concat(F.lit("user name="), t["role"]))
-    said = F.transform("turns", lambda t: F.struct(*(x.alias(n) for n, x in zip(("head", "body"), _segment(kind(t), t["text"]), strict=True)), (t["role"] == F.col("speaker")).alias("own")))
-    seen = seen.withColumn("said", said)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("trained"), F.lit("").alias("mask"))
+    own = lambda t: ~t["system"] & (t["name"] == F.col("speaker"))
+    kind = lambda t: F.when(t["system"], "system").when(own(t), "assistant").otherwise(F.concat(F.lit("user name="), t["name"]))
+    said = F.transform("turns", lambda t: F.struct(*(x.alias(n) for n, x in zip(("head", "body"), _segment(kind(t), t["text"]), strict=True)), own(t).alias("own")))
+    lead = F.when(F.col("part") > 0, F.concat(*_segment(F.lit("system"), F.col("rules")), F.lit("\n")))
+    seen = seen.withColumn("said", said).withColumn("lead", F.coalesce(lead, F.lit("")))
+    start = F.struct(F.length("lead").cast("long").alias("at"), F.lit(0).cast("long").alias("trained"), F.lit("").alias("mask"))
 
     def step(acc, s):
         begin = acc["at"] + F.length(s["head"])
@@ -59,7 +102,7 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
         "conv_id",
         "speaker",
         "part",
-        F.array_join(F.transform("said", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "").alias("text"),
+        F.concat("lead", F.array_join(F.transform("said", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "")).alias("text"),
         F.col("sums.mask").alias("mask"),
         F.size("turns").cast("long").alias("n_turns"),
         F.col("sums.trained").alias("n_trained"),

@@ -85,9 +85,10 @@ def tilts(histogram: DataFrame, goals: DataFrame, sources: int, most: int = 3) -
         )
         state = (
             beside(state, sums, sources, "left")
-            .withColumn("done", F.col("all_of_it") | F.col("got").isNull() | (F.abs(gap) <= F.col("target") * _PRECISION))
             .withColumn("low", F.when(gap > 0, tilt).otherwise(F.col("low")))
             .withColumn("high", F.when(gap < 0, tilt).otherwise(F.col("high")))
+            # A bracket narrower than what the tilt is rounded to says no more.
+            .withColumn("done", F.col("all_of_it") | F.col("got").isNull() | (F.abs(gap) <= F.col("target") * _PRECISION) | F.coalesce(F.col("high") - F.col("low") < 1e-9, F.lit(False)))
             .withColumn("reach", F.greatest(F.lit(1.0), 2 * F.abs(tilt)))
             .withColumn("newton", tilt + gap / F.when(F.col("slope") > 0, F.col("slope")))
             .withColumn("other", F.when(F.col("low").isNull(), tilt - F.col("reach")).when(F.col("high").isNull(), tilt + F.col("reach")).otherwise((F.col("low") + F.col("high")) / 2))

@@ -120,24 +120,27 @@ b AS (
     lambda x: x <> '') AS parts
   FROM a)
 SELECT page_id, url, array_to_string(parts, chr(10) || chr(10)) AS text, length(array_to_string(parts, chr(10) || chr(10)))::BIGINT AS n_chars FROM b""",
-    "op5_chat_formatting": """
+    "op5_chat_formatting": r"""
 WITH t AS (
-  SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
-         replace(coalesce(text, ''), '<|im_', '< |im_') AS text, (greatest(coalesce(turn, 0), 0) // 64)::BIGINT AS part
+  SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role = 'system', false) AS system, replace(coalesce(text, ''), '<|im_', '< |im_') AS text,
+         CASE WHEN role IS NULL THEN 'unknown' WHEN role = 'unknown' THEN '"unknown"'
+              ELSE regexp_replace(replace(role, '<|im_', '< |im_'), '[\x00-\x1F\x7F\x{85}\x{2028}\x{2029}]+', ' ', 'g') END AS name
   FROM conversations),
-p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, name, sha256(text)) - 1 AS place FROM t),
+p AS (SELECT DISTINCT conv_id, name AS speaker FROM t WHERE NOT system),
+r AS (SELECT conv_id, arg_max(text, place) AS rules FROM o WHERE system AND place < 64 GROUP BY conv_id),
 s AS (
-  SELECT t.conv_id, p.speaker, t.part, t.role = p.speaker AS own, row_number() OVER w AS k,
-         '<|im_start|>' || CASE WHEN t.role = 'system' THEN 'system' WHEN t.role = p.speaker THEN 'assistant' ELSE 'user name=' || t.role END || chr(10) AS head,
-         t.text || '<|im_end|>' AS body
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
-  WINDOW w AS (PARTITION BY t.conv_id, p.speaker, t.part ORDER BY t.turn, t.role, t.text)),
+  SELECT o.conv_id, p.speaker, (place // 64)::BIGINT AS part, place, NOT system AND name = speaker AS own,
+         '<|im_start|>' || CASE WHEN system THEN 'system' WHEN name = speaker THEN 'assistant' ELSE 'user name=' || name END || chr(10) AS head,
+         text || '<|im_end|>' AS body,
+         CASE WHEN place >= 64 THEN coalesce('<|im_start|>system' || chr(10) || rules || '<|im_end|>' || chr(10), '') ELSE '' END AS lead
+  FROM o JOIN p ON o.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN r ON o.conv_id IS NOT DISTINCT FROM r.conv_id),
 a AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
-    PARTITION BY conv_id, speaker, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start
+  SELECT *, length(lead) + coalesce(sum(length(head) + length(body) + 1) OVER (
+    PARTITION BY conv_id, speaker, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start
   FROM s)
-SELECT conv_id, speaker, part, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
-       coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY k) FILTER (WHERE own), '') AS mask,
+SELECT conv_id, speaker, part, any_value(lead) || string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+       coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY place) FILTER (WHERE own), '') AS mask,
        count(*) AS n_turns, coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_trained
 FROM a GROUP BY conv_id, speaker, part""",
     "op6_embedding_near_dedup": """
