@@ -196,9 +196,16 @@ def test_sharding_edges(spark, tmp_path, empty, clashing):
         store._commit(0, store.manifest())
 
 
-def test_sharding_query(spark, sf_dir, documents):
-    rows = queries.op3_sharding(spark, sf_dir).collect()
-    assert sorted((r.doc_id, r.n_bytes) for r in rows) == sorted((r[0], len(r[1].encode())) for r in texts_of(documents))
+def test_sharding_by_arrivals(spark, documents):
+    """One write for all arrivals; compaction packs by bytes; vacuum keeps what a landing's live runs hold."""
+    store = sharding.sharded(documents.repartition(3), shard_bytes=1 << 12, target_bytes=1 << 20, fanout=4)
+    rows = store.located().select("row.doc_id", "run", "shard").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in texts_of(documents))
+    shards = {r.shard: r for r in store.manifest().collect()}
+    assert {r.shard for r in rows} == set(shards) and sum(r["rows"] for r in shards.values()) == len(rows)
+    tiers = [store.tier(size) for _, size in store._runs(store.version())]
+    assert max(map(tiers.count, tiers)) < 4 and spark.conf.get("spark.sql.files.maxPartitionBytes") == "134217728b"
+    assert store.vacuum() >= 4 and store.read().count() == len(rows)
 
 
 # 4

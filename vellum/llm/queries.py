@@ -18,13 +18,15 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each document lies in the newest version, after eight arrivals."""
+    """What the newest version holds after eight arrivals, each compacted: every document once, its bytes and their hash.
+
+    Runs have made-up names, so where a row lies isn't part of the result; ShardStore.located() says it.
+    """
     docs = table(spark, sf_dir, "documents")
     store = sharding.sharded(docs)
-    if not store.version():
-        return docs.select("doc_id", F.lit(0).cast("long").alias("n_bytes"), *(F.lit("").alias(c) for c in ("run", "shard")), F.lit(0).cast("long").alias("shard_bytes")).limit(0)
-    rows = store.located()
-    return rows.select("row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"), F.substring("run", 1, 8).alias("run"), F.concat(F.substring("shard", 1, 8), F.substring_index("shard", "/", -1)).alias("shard"), "shard_bytes")
+    text = F.coalesce("text", F.lit(""))
+    rows = store.read() if store.version() else docs.limit(0)
+    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +122,7 @@ b AS (
     lambda x: x <> '') AS parts
   FROM a)
 SELECT page_id, url, array_to_string(parts, chr(10) || chr(10)) AS text, length(array_to_string(parts, chr(10) || chr(10)))::BIGINT AS n_chars FROM b""",
+    "op3_sharding": "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
     "op5_chat_formatting": r"""
 WITH t AS (
   SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role = 'system', false) AS system, replace(coalesce(text, ''), '<|im_', '< |im_') AS text,

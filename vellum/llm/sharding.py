@@ -2,18 +2,21 @@
 
 A store is a folder: runs of immutable shard files under data/, and one manifest file for each
 version. A version exists once its manifest file has its final name; a job that dies before
-leaves files that no manifest names. Only DataFrame operations touch rows.
+leaves files that no manifest names. Only DataFrame operations touch rows. The rename must fail where the name is taken, as on HDFS
+and local disks; on an object store without such a rename a store has one writer at a time.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, unused
 
 
 class CommitConflict(RuntimeError):
@@ -81,14 +84,38 @@ class ShardStore:
 
     def append(self, rows: DataFrame) -> int:
         """Commits the rows as one new run, in as many shards as they have partitions. Returns the version."""
-        base = self.version()
-        run = f"{base + 1:08d}-{uuid.uuid4().hex[:8]}"
+        run = f"{self.version() + 1:08d}-{uuid.uuid4().hex[:8]}"
         rows.write.parquet(f"{self.root}/data/{run}")
-        shards = self._shards(run)
+        return self.adopt(run)
+
+    def land(self, rows: DataFrame, arrival: Column) -> list[str]:
+        """Writes rows that belong to several arrivals once, dealt by the arrival's number, and returns a run for each in that order; none is committed."""
+        name, landing = unused(rows, "arrival"), f"landed-{uuid.uuid4().hex[:8]}"
+        rows.withColumn(name, arrival).write.partitionBy(name).parquet(f"{self.root}/data/{landing}")
+        found = self._fs.globStatus(self._path(f"{self.root}/data/{landing}/{name}=*")) or ()
+        names = [f.getPath().getName() for f in found]
+        return [f"{landing}/{n}" for n in sorted(names, key=lambda n: int(n.rpartition("=")[2]))]
+
+    def adopt(self, run: str) -> int:
+        """Commits a run whose files are there. Returns the version."""
+        base, shards = self.version(), self._shards(run)
         if not shards.limit(1).count():
             return base
         return self._commit(base, self.manifest(base).unionByName(shards) if base else shards)
 
+    @contextmanager
+    def _packed(self) -> Iterator[None]:
+        """Within it, scans put files into partitions of target_bytes, whatever the number of cores."""
+        wanted = {"maxPartitionBytes": self.target_bytes, "openCostInBytes": 0, "minPartitionNum": 1}
+        before = {k: self.spark.conf.get(f"spark.sql.files.{k}", None) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(f"spark.sql.files.{k}", v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(f"spark.sql.files.{k}") if v is None else self.spark.conf.set(f"spark.sql.files.{k}", v)
+
     def compact(self) -> int:
         """Merges every tier that has fanout runs, smallest first, until none has. Returns the version."""
         while True:
@@ -100,10 +127,10 @@ class ShardStore:
             if not full:
                 return base
             names = [run for run, _ in full[0]]
-            files = max(1, round(sum(size for _, size in full[0]) / self.target_bytes))
             merged = f"{base + 1:08d}-{uuid.uuid4().hex[:8]}"
-            # Neighbouring input splits go to one output file: rows move without a shuffle.
-            self.spark.read.parquet(*(f"{self.root}/data/{r}" for r in names)).coalesce(files).write.parquet(f"{self.root}/data/{merged}")
+            # Shards are packed by their bytes into files of the target size: rows move without a shuffle.
+            with self._packed():
+                self.spark.read.parquet(*(f"{self.root}/data/{r}" for r in names)).write.parquet(f"{self.root}/data/{merged}")
             self._commit(base, self.manifest(base).where(~F.col("run").isin(names)).unionByName(self._shards(merged)))
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -114,7 +141,7 @@ class ShardStore:
         """The rows of a version in a struct `row`, beside the run and shard each lies in and the shard's bytes."""
         rows = self.read(version)
         file = rows.metadataColumn("_metadata")
-        run = F.regexp_extract(file.getField("file_path"), r"/data/([^/]+)/[^/]+$", 1)
+        run = F.regexp_extract(file.getField("file_path"), r"/data/((?:landed-[^/]+/)?[^/]+)/[^/]+$", 1)
         part = F.regexp_extract(file.getField("file_name"), r"part-(\d+)", 1)
         whole = F.struct(*(rows[f"`{c}`"] for c in rows.columns))
         return rows.select(run.alias("run"), F.concat(run, F.lit("/"), part).alias("shard"), file.getField("file_size").alias("shard_bytes"), whole.alias("row"))
@@ -124,19 +151,23 @@ class ShardStore:
         newest = self.version()
         live = {run for run, _ in self._runs(newest)}
         gone = 0
-        for f in self._fs.globStatus(self._path(f"{self.root}/data/*")) or ():
-            if f.getPath().getName() not in live:
-                gone += bool(self._fs.delete(f.getPath(), True))
+        folders = [f.getPath() for f in self._fs.globStatus(self._path(f"{self.root}/data/*")) or ()]
+        landed = [f for f in folders if f.getName().startswith("landed-")]
+        runs = [(f.getName(), f) for f in folders if f not in landed]
+        runs += [(f"{f.getName()}/{r.getPath().getName()}", r.getPath()) for f in landed for r in self._fs.globStatus(self._path(f"{self.root}/data/{f.getName()}/*=*")) or ()]
+        for run, path in runs:
+            if run not in live:
+                gone += bool(self._fs.delete(path, True))
         for v in range(1, newest):
             self._fs.delete(self._path(self._manifest_path(v)), False)
         return gone
 
 
 def sharded(docs: DataFrame, arrivals: int = 8, **options) -> ShardStore:
-    """A new store in the shared folder to which docs has been appended in `arrivals` batches, by hash of doc_id, with a compaction after each."""
+    """A new store in the shared folder to which docs has been added in `arrivals` batches, by hash of doc_id, with a compaction after each. The table is read once."""
     spark = docs.sparkSession
     store = ShardStore(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", **options)
-    for k in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
+    for run in store.land(docs, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))):
+        store.adopt(run)
         store.compact()
     return store
