@@ -42,6 +42,8 @@ SPREAD = DEPTH - Q  # a string of DEPTH bytes that has a sampled q-gram begins a
 BLOCK = 2 << 20
 #: Bytes of all documents for each range of identifiers, about.
 RANGE = 8 << 20
+#: Bytes of all documents for each partition of blocks, at most.
+PARTITION = 128 << 20
 
 _BASES = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -129,7 +131,7 @@ class Keys:
                 head = (self.main[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (self.main[s] >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8).tobytes()
             else:
                 head = self.main[s].tobytes() + self.more[s].tobytes()
-            tail = {"a": (), "b": (self.counts[s].astype(np.uint32),), "c": (self.least[s], self.counts[s].astype(np.uint32)), "w": (self.least[s],)}[kind]
+            tail = {"a": (), "b": (self.counts[s],), "c": (self.least[s], self.counts[s]), "w": (self.least[s],)}[kind]
             out.append((r, block, kind, s.stop - s.start, head, _pressed(*tail) if tail else b""))
         return out
 
@@ -144,7 +146,7 @@ class Keys:
                 if x["bits"]:
                     bits[s] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"]).astype(bool)
                 if x["numbers"]:
-                    numbers[s] = np.frombuffer(_spread(x["numbers"]), np.uint32)
+                    numbers[s] = np.frombuffer(_spread(x["numbers"]), np.int64)
         return bits, numbers
 
 
@@ -164,7 +166,7 @@ def answered(rows: list[dict]) -> list[tuple]:
     if kind in "cw":
         docs = np.concatenate([np.frombuffer(t, np.int64, x["n"]) for x, t in zip(rows, tails, strict=True)])
     if kind in "bc":
-        counts = np.concatenate([np.frombuffer(t, np.uint32, x["n"], 8 * x["n"] * (kind == "c")) for x, t in zip(rows, tails, strict=True)]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(t, np.int64, x["n"], 8 * x["n"] * (kind == "c")) for x, t in zip(rows, tails, strict=True)])
     order = np.argsort(main, kind="stable") if more is None else np.lexsort((more, main))
     new = np.ones(len(main), dtype=bool)
     new[1:] = main[order][1:] != main[order][:-1]
@@ -179,8 +181,8 @@ def answered(rows: list[dict]) -> list[tuple]:
         bits = np.empty(len(main), dtype=bool)
         bits[order] = docs[order] > np.minimum.reduceat(docs[order], first)[group]
     if counts is not None:
-        numbers = np.empty(len(main), dtype=np.uint32)
-        numbers[order] = np.minimum(np.add.reduceat(counts[order], first), 0xFFFFFFFF)[group]
+        numbers = np.empty(len(main), dtype=np.int64)
+        numbers[order] = np.add.reduceat(counts[order], first)[group]
     ends = np.cumsum(sizes)
     out = []
     for x, a, b in zip(rows, (ends - sizes).tolist(), ends.tolist(), strict=True):
@@ -354,11 +356,11 @@ def removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     memory for each byte of a block, or of its longest text.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PARTITION))
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack, "block long, size long, ids binary, sizes binary, data binary")
     # The checkpoint keeps its partitioning, so replies come to the blocks and blocks stay where they are.
     blocks = cut(packed.repartition(parts, "block"))
-    total = blocks.agg(F.sum("size")).first()[0] or 0
     ranges = max(2 * parts, math.ceil(total / RANGE))
 
     def initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
