@@ -73,7 +73,9 @@ def test_sections(spark):
     assert merged == {(0, "preface", 0): "front\nmid", (0, "section", 1): "a1", (0, "section", 2): "b1\nb2", (0, "chapter", 2): "plain", (1, "chapter", 0): "only"}
     first = segment.sections_first(lines)
     assert {(r.book, r.number): r.text for r in first.collect()} == {(0, 1): "a1", (0, 2): "b1"}
-    assert segment.missing_numbers(spark.createDataFrame([(0, 1), (0, 4), (1, 7)], "book long, number long")).orderBy("book").collect()[0].missing == "2,3"
+    assert segment.missing_numbers(spark.createDataFrame([(0, 1), (0, 4), (1, 7)], "book long, number long")).orderBy("book").collect()[0].missing == "2-3"
+    far = spark.createDataFrame([(0, 1), (0, 3), (0, 10**12), (0, None), (1, 5)], "book long, number long")
+    assert {r.book: r.missing for r in segment.missing_numbers(far).collect()} == {0: "2,4-999999999999", 1: ""}
 
 
 def test_adaptive_sections_equal_fold(spark):
@@ -114,6 +116,21 @@ def test_sequence_issues(spark):
     assert got == [("duplicate", 4, "h1; h2; h5"), ("order", 4, "after 5"), ("order", 5, "after 6"), ("order", 6, "after 4")]
 
 
+def test_sequence_issues_of_far_and_repeated_numbers(spark):
+    refs = spark.createDataFrame([("p", "章", 0, 1, "a"), ("p", "章", 1, 10**12, "b"), ("p", "章", 2, None, "c")], "package string, unit string, ord int, number long, href string")
+    got = sorted((r.kind, r.number, r.detail) for r in validate.sequence_issues(refs).collect())
+    assert got == [("missing", 2, "to 999999999999"), ("order", 10**12, "after 1")]
+    same = spark.range(100_000).select(F.lit("p").alias("package"), F.lit("章").alias("unit"), F.col("id").cast("int").alias("ord"), F.lit(7).cast("long").alias("number"), F.lit("h").alias("href"))
+    assert [(r.kind, r.number, r.detail.count(";")) for r in validate.sequence_issues(same).collect()] == [("duplicate", 7, 99_999)]
+
+
+def test_labels_by_place(spark):
+    refs = spark.createDataFrame([(0, 1, "v"), (0, 5, "w"), (1, 0, "x")], "book long, ord long, volume string")
+    chapters = spark.createDataFrame([(0, 2, "a"), (0, 3, "b"), (1, 0, "c"), (1, 1, "d")], "book long, ord long, title string")
+    got = sorted((r.book, r.ord, r.title, str(r.volume), r.asserted) for r in segment.labelled(refs, chapters).collect())
+    assert got == [(0, 2, "a", "v", True), (0, 3, "b", "w", True), (1, 0, "c", "x", False), (1, 1, "d", "None", False)]
+
+
 def test_headings(spark):
     df = spark.createDataFrame([(["第一章 a", "x"], "第一章：A".lower()), (["x"], "y"), ([], "y"), (["y"], "y")], "t array<string>, h string")
     assert [r[0] for r in df.select(segment.without_heading(F.col("t"), F.col("h"))).collect()] == [["x"], ["x"], [], []]

@@ -91,3 +91,36 @@ def test_chains_of_any_length(spark):
     links = spark.createDataFrame([(f"/{k}", f"/{k + 1}") for k in range(149)] + [("/149", "/0")], "from_url string, to_url string")
     got = closure.chains(spark.createDataFrame([("/0",)], "url string"), links).collect()
     assert sorted((r.start, r.place, r.url) for r in got) == sorted(("/0", k, f"/{k}") for k in range(150))
+
+
+def test_paged_chains_are_walked_by_doubling(spark):
+    """A chain of 10,000 pages, one that ends in a cycle, and a page that links to itself."""
+    links = [(f"/{k}", f"/{k + 1}") for k in range(9999)] + [(f"c{k}", f"c{(k + 1) if k < 9 else 4}") for k in range(10)] + [("s", "s"), ("n", None)]
+    got = closure.paged(spark.createDataFrame([("/0",), ("c0",), ("s",), ("n",)], "url string"), spark.createDataFrame(links, "from_url string, to_url string")).collect()
+    want = [("/0", k, f"/{k}") for k in range(10_000)] + [("c0", k, f"c{k}") for k in range(10)] + [("s", 0, "s"), ("n", 0, "n")]
+    assert sorted((r.start, r.place, r.url) for r in got) == sorted(want)
+
+
+def test_charset_encoding(spark):
+    from vellum.functions.urls import charset_encoded
+
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        assert spark.range(1).select(charset_encoded(F.lit("林a_1 木"))).first()[0] == "%C1%D6a_1%20%C4%BE"
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+
+
+def test_broken_feeds_and_unknown_engines(spark):
+    from vellum.operators.extract import attribute, next_page, page_record, results_of
+
+    row = spark.range(1).select(
+        results_of(F.lit("bing_feed"), F.lit("<rss><item><title>A</title><link>u?a&b</link></item><item><title>cut")).alias("feed"),
+        results_of(F.lit("other"), F.lit("x")).alias("other"),
+        attribute(F.lit('<i data-id="1" data-name="N &amp; m">'), "name").alias("name"),
+        next_page(F.lit('<a href="/x">下一页</a><a href="/menu/2">下一页</a>'), "/menu/").alias("next"),
+        page_record(F.lit(None).cast("string")).alias("none"),
+    ).first()
+    assert [(x.title, x.href) for x in row.feed["items"]] == [("A", "u?a&b")] and row.feed.error is None
+    assert row.other["items"] == [] and row.other.error == "unknown search engine: other"
+    assert (row.name, row.next, row.none.error) == ("N & m", "/menu/2", "missing page")

@@ -38,6 +38,11 @@ def fold_variants(x: Column) -> Column:
     return F.translate(x, TRADITIONAL, SIMPLIFIED)
 
 
+def unfold_variants(x: Column) -> Column:
+    """Simplified characters as traditional ones, for queries to a site that has those; of several forms the first."""
+    return F.translate(x, SIMPLIFIED, TRADITIONAL)
+
+
 def fold_case(x: Column) -> Column:
     """Lower case, with the letters whose case folding is another than their lower case."""
     return F.replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
@@ -119,6 +124,17 @@ def display_width(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _width(t or ""))
 
 
+def preview_heading(index: Column, source: Column, title: Column, author: Column, count: Column, status: Column) -> Column:
+    """[index] source | title / author | count / status; an empty author or status is left out, a null count is unknown."""
+    also = lambda x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(" / "), x)).otherwise("")
+    chapters = F.coalesce(F.concat(count.cast("string"), F.lit(" chapter(s)")), F.lit("unknown chapter count"))
+    return F.concat(F.lit("["), index.cast("string"), F.lit("] "), source, F.lit(" | "), title, also(author), F.lit(" | "), chapters, also(status))
+
+
+def reference(href: Column, title: Column) -> Column:
+    return F.concat(href, F.lit(": "), title)
+
+
 @F.pandas_udf(T.StringType())
 def fit_display(texts: pd.Series, widths: pd.Series) -> pd.Series:
     """Texts cut to a width, with ... where something was cut, and filled with spaces."""

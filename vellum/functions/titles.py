@@ -87,6 +87,16 @@ def base_title(x: Column) -> Column:
     return clean(F.regexp_replace(x, r"[（(]?[上中下][)）]?$", ""))
 
 
+# The title that is respaced, and how.
+RESPACED = ("我们的十二年一个轮回这是传奇", "我们的十二年 一个轮回 这是传奇")
+
+
+def site_title(x: Column) -> Column:
+    """A book's title as its site has it: without the bar sign and the mark [BL] at its end, and one title respaced."""
+    cleaned = clean(F.regexp_replace(F.replace(clean(x), F.lit("丨"), F.lit("")), r"\[BL\]$", ""))
+    return F.when(cleaned == RESPACED[0], RESPACED[1]).otherwise(cleaned)
+
+
 def page_volume(x: Column) -> Column:
     """The volume named in a page's heading, up to a bracket or the word by; empty if none is."""
     found = F.regexp_extract(x, rf"(第{SPACE}*{_ANY}{SPACE}*卷[^()（）]*)", 1)

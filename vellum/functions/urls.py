@@ -96,6 +96,19 @@ def joined_url(base: Column, href: Column) -> Column:
     )
 
 
+def charset_encoded(x: Column, charset: str = "GBK") -> Column:
+    """Percent escapes of a text's bytes in a charset; letters, digits and _.-~ stay. Charsets beyond the standard ones need spark.sql.legacy.javaCharsets."""
+    pairs = F.regexp_replace(F.hex(F.encode(x, charset)), "(..)", "%$1")
+    kept = r"%(?:2D|2E|5F|7E|3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A])"
+    parts = F.regexp_extract_all(pairs, F.lit("%.."), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(kept), F.char(F.conv(F.substring(p, 2, 2), 16, 10).cast("int"))).otherwise(p)), "")
+
+
+def entry_key(url: Column) -> Column:
+    """What a blog entry is known by: its number, or its URL if it has none."""
+    return F.coalesce(F.nullif(entry_id(url), F.lit("")), url)
+
+
 def site_query(query: Column, site: Column, prefix: Column) -> Column:
     """The query limited to a site, and to a path on it."""
     folder = F.when(prefix == "", "").otherwise(F.concat(F.lit("/"), F.regexp_replace(prefix, "^/+|/+$", ""), F.lit("/")))

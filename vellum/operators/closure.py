@@ -15,8 +15,12 @@ MERGE = 10
 def _cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: lineage ends there."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vellum-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="vellum-"))
     return df.checkpoint(True)
 
 
@@ -39,6 +43,26 @@ def chains(starts: DataFrame, links: DataFrame) -> DataFrame:
     return seen
 
 
+def paged(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """As chains, where a page has one next page: of several links the first by target is followed.
+
+    The links of each round lead twice as far as those of the one before, so a chain of n pages takes as many rounds as n has
+    binary digits; a round that finds no new page ends it, as in a cycle.
+    """
+    jump = _cut(links.where("to_url IS NOT NULL").groupBy("from_url").agg(F.min("to_url").alias("to_url")))
+    seen, step = _cut(starts.select(F.col("url").alias("start"), F.lit(0).cast("long").alias("place"), "url").distinct()), 1
+    known = seen.count()
+    while True:
+        more = seen.join(jump, F.col("url") == F.col("from_url")).select("start", (F.col("place") + step).alias("place"), F.col("to_url").alias("url"))
+        seen = _cut(seen.unionByName(more).groupBy("start", "url").agg(F.min("place").alias("place")).select("start", "place", "url"))
+        now = seen.count()
+        if now == known:
+            return seen
+        known, step = now, 2 * step
+        onward = jump.select(F.col("from_url").alias("to_url"), F.col("to_url").alias("further"))
+        jump = _cut(jump.join(onward, "to_url").select("from_url", F.col("further").alias("to_url")))
+
+
 def same_folder(links: DataFrame) -> DataFrame:
     """Links that stay in the folder of their page: a chapter's next page, not the next chapter."""
     folder = lambda c: F.regexp_replace(c, "[^/]*$", "")

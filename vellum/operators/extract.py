@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, clean, unescape
+from ..functions.text import bound, clean, escape_html, fold_variants, search_key, unescape
 
 _NOISE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<ins[^>]*>.*?</ins>|<iframe[^>]*>.*?</iframe>|<!--.*?-->"
 _ANCHOR = r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -79,8 +79,15 @@ def anchors(html: Column) -> Column:
 
 def contents_of(html: Column, inside: str = "nav") -> Column:
     """array<struct(href, label)>: the links of a page's contents list, the first of each target, no blank labels."""
-    first = lambda links: bound(F.transform(links, lambda a: a["href"]), lambda targets: F.filter(links, lambda a, i: F.array_position(targets, a["href"]) == i + 1))
-    return bound(element(without_noise(html), inside), lambda part: bound(F.filter(anchors(part), lambda a: a["label"] != ""), first))
+    return bound(element(without_noise(html), inside), lambda part: first_of_each(F.filter(anchors(part), lambda a: a["label"] != "")))
+
+
+def first_of_each(links: Column) -> Column:
+    """Of links(href, label) the first of each target, in order: sorted by target to find them, then by place again."""
+    placed = F.array_sort(F.transform(links, lambda a, i: F.struct(a["href"].alias("href"), i.alias("i"), a["label"].alias("label"))))
+    firsts = bound(placed, lambda s: F.filter(s, lambda x, k: (k == 0) | (F.get(s, k - 1)["href"] != x["href"])))
+    ordered = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["href"].alias("href"), x["label"].alias("label"))))
+    return F.transform(ordered, lambda x: F.struct(x["href"].alias("href"), x["label"].alias("label")))
 
 
 def contents(pages: DataFrame, inside: str = "nav") -> DataFrame:
@@ -95,26 +102,131 @@ def payload_lines(answer: Column) -> Column:
     return F.when(outer["code"] == 0, F.from_json(outer["data"]["content_data"], "array<string>"))
 
 
-def result_blocks(html: Column) -> Column:
-    """array<struct(title, href, description)> of a results page: one for each block of class result."""
-    blocks = F.split(html, r"(?i)<div class=\"result\">")
-    blocks = F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
-    rows = F.transform(
-        blocks,
-        lambda b: F.struct(
-            plain(F.regexp_extract(b, _ANCHOR, 2)).alias("title"),
+def _blocks(html: Column, opening: str, description: str = r"(?is)<p[^>]*>(.*?)</p>") -> Column:
+    """array<struct(title, href, description)>: one for each block that the opening tag begins and that has a link; its title is its heading's text or the link's."""
+    parts = F.split(html, opening)
+    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+    def row(b: Column) -> Column:
+        heading = plain(F.regexp_extract(b, r"(?is)<h[23][^>]*>(.*?)</h[23]>", 1))
+        return F.struct(
+            F.coalesce(F.nullif(heading, F.lit("")), plain(F.regexp_extract(b, _ANCHOR, 2))).alias("title"),
             unescape(F.regexp_extract(b, _ANCHOR, 1)).alias("href"),
-            plain(F.regexp_extract(b, r"(?is)<p[^>]*>(.*?)</p>", 1)).alias("description"),
-        ),
-    )
-    return F.filter(rows, lambda r: (r["title"] != "") & (r["href"] != ""))
+            plain(F.regexp_extract(b, description, 1)).alias("description"),
+        )
+
+    return F.filter(F.transform(parts, row), lambda r: (r["title"] != "") & (r["href"] != ""))
+
+
+def result_blocks(html: Column) -> Column:
+    """Results of a page that has a block of class result for each."""
+    return _blocks(html, r"(?i)<div class=\"result\">")
+
+
+def listed_results(html: Column) -> Column:
+    """Results of a page that lists them as items of class b_algo."""
+    return _blocks(html, r"(?i)<li class=\"b_algo\">")
+
+
+def grouped_results(html: Column) -> Column:
+    """Results of a page that has a block of class g or MjjYud for each; of a page without one, all links but those that lead nowhere else."""
+    found = _blocks(html, r"(?i)<div class=\"(?:g|MjjYud)\">", description=r"(?is)<div class=\"(?:VwiC3b|IsZvec)\"[^>]*>(.*?)</div>")
+    every = F.transform(anchors(html), lambda a: F.struct(a["label"].alias("title"), a["href"].alias("href"), F.lit("").alias("description")))
+    leads = lambda r: F.startswith(r["href"], F.lit("/url?")) | r["href"].rlike("^https?://")
+    return bound(F.filter(found, leads), lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(every, leads)))
 
 
 def feed_items(xml: Column) -> Column:
-    """array<struct(title, href, description)> of an RSS feed, which is well-formed."""
-    item = lambda name: F.xpath(xml, F.lit(f"/rss/channel/item/{name}/text()"))
-    rows = F.arrays_zip(item("title").alias("title"), item("link").alias("href"), item("description").alias("description"))
-    return F.transform(rows, lambda r: F.struct(*(clean(F.coalesce(r[c], F.lit(""))).alias(c) for c in ("title", "href", "description"))))
+    """array<struct(title, href, description)> of an RSS feed: one for each item, whatever it lacks. Read as text, so a feed that is cut off gives the items it has."""
+    items = F.regexp_extract_all(xml, F.lit(r"(?s)<item(?:\s[^>]*)?>(.*?)</item>"), F.lit(1))
+    return F.transform(items, lambda i: F.struct(*(plain(element(i, tag)).alias(c) for c, tag in (("title", "title"), ("href", "link"), ("description", "description")))))
+
+
+#: The search engines, and what reads their answers.
+ENGINES = {"duckduckgo": result_blocks, "bing": listed_results, "bing_feed": feed_items, "google": grouped_results}
+
+
+def results_of(engine: Column, answer: Column) -> Column:
+    """struct(items, error): an engine's answer read by its form; an unknown engine has no items and an error."""
+    items = F.array().cast("array<struct<title:string,href:string,description:string>>")
+    for name, read in ENGINES.items():
+        items = F.when(engine == name, read(answer)).otherwise(items)
+    known = F.coalesce(engine.isin(*ENGINES), F.lit(False))
+    return F.struct(items.alias("items"), F.when(~known, F.concat(F.lit("unknown search engine: "), F.coalesce(engine, F.lit("null")))).alias("error"))
+
+
+def native_results(html: Column, entry: str) -> Column:
+    """array<struct(title, href, snippet)> of a site's own results page: of each list item that links to an entry, the first such link; the snippet is the item's whole text."""
+    spaced = lambda x: clean(unescape(F.regexp_replace(x, "<[^>]*>", " ")))
+    items = F.regexp_extract_all(html, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1))
+
+    def row(item: Column) -> Column:
+        link = F.get(F.filter(anchors(item), lambda a: a["href"].rlike(entry)), F.lit(0))
+        heading = plain(F.regexp_extract(item, r"(?is)<h[23][^>]*>(.*?)</h[23]>", 1))
+        return F.struct(F.coalesce(F.nullif(link["label"], F.lit("")), heading).alias("title"), link["href"].alias("href"), spaced(item).alias("snippet"))
+
+    return F.filter(F.transform(items, row), lambda r: r["href"].isNotNull() & (r["title"] != ""))
+
+
+# How the title of a post that lists others begins.
+CATALOG_TITLE = r"(?i)^(?:目錄|目录)(?:\b|[-（(]|$)"
+
+
+def is_catalog(title: Column, snippet: Column) -> Column:
+    """Whether a result is a post that lists others: by its title's beginning, or by the word in title or snippet."""
+    named = title.rlike(CATALOG_TITLE) | F.startswith(F.lower(F.trim(title)), F.lit("updated to"))
+    for word in ("目錄", "目录"):
+        named = named | F.contains(title, F.lit(word)) | F.contains(snippet, F.lit(word))
+    return named
+
+
+def is_relevant(query: Column, title: Column, author: Column) -> Column:
+    """Whether the query's key is in the title's or the author's; an empty query is in any."""
+    q = search_key(query)
+    return (q == "") | F.contains(search_key(title), q) | F.contains(search_key(author), q)
+
+
+def attribute(html: Column, name: str) -> Column:
+    """The value of a data attribute, where it stands first; empty without one."""
+    return unescape(F.regexp_extract(html, rf"(?i)\bdata-{name}=[\"']([^\"']*)[\"']", 1))
+
+
+def of_class(html: Column, tag: str, name: str) -> Column:
+    """What stands in the first element of a tag and class, up to the next end of that tag."""
+    return F.regexp_extract(html, rf"(?is)<{tag}\s[^>]*class=[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</{tag}>", 1)
+
+
+def next_page(html: Column, inside: str = "") -> Column:
+    """The target of the first link called 下一页 whose target contains `inside`; null without one."""
+    link = F.get(F.filter(anchors(html), lambda a: F.contains(a["label"], F.lit("下一页")) & F.contains(a["href"], F.lit(inside))), F.lit(0))
+    return link["href"]
+
+
+# Lines of a body that are the site's; the first and last alternative are bound to the line's ends, the others are found anywhere.
+BOILERPLATE = r"^霹雳书屋|本站所有小说|所有内容版权|最新网址|手机用户请到|加入书签|推荐本书|返回目录$"
+
+
+def without_boilerplate(lines: Column) -> Column:
+    return F.filter(lines, lambda x: ~x.rlike(BOILERPLATE))
+
+
+def intro_html(html: Column) -> Column:
+    """An intro as simplified paragraphs: parted at blank lines, with the breaks inside kept."""
+    text = unescape(F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>", "\n"), "<[^>]*>", ""))
+    parts = F.filter(F.transform(F.split(text, "\n{2,}"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), fold_variants(F.replace(escape_html(p), F.lit("\n"), F.lit("<br/>"))), F.lit("</p>"))), "\n")
+
+
+def page_record(html: Column, container: str = "main") -> Column:
+    """struct(title, lines, error) of a chapter's page: its heading, and the lines after it in the container. A page without the container, and one
+    without lines, has an error; a null page is missing."""
+    body = of_class(F.coalesce(html, F.lit("")), "div", container)
+    parts = F.split(body, r"(?i)</h1>", 2)
+    title = F.when(F.size(parts) == 2, plain(parts[0])).otherwise("")
+    lines = page_lines(F.when(F.size(parts) == 2, parts[1]).otherwise(body))
+    there = F.coalesce(html.rlike(rf"(?i)<div\s[^>]*class=[\"'](?:[^\"']*\s)?{container}[\s\"']"), F.lit(False))
+    error = F.when(html.isNull(), "missing page").when(~there, "no container").when(F.size(lines) == 0, "empty body")
+    return F.struct(title.alias("title"), lines.alias("lines"), error.alias("error"))
 
 
 def mentioning(links: Column, domain: Column) -> Column:
@@ -165,11 +277,15 @@ def body_lines(text: Column) -> Column:
     return F.struct(F.transform(fine, clean).alias("lines"), F.coalesce(~F.get(fine, F.lit(0)).rlike("^[\u00a0\u3000]{2,}"), F.lit(False)).alias("continues"))
 
 
+# The form of a line that heads a review, and the words of which it has one.
+_REVIEW_FORM = r"(?i)^(?:[^，。！？；\n]{0,40})?(?:(?:作品)?简评|编辑评价|强推奖章)(?:\s*[:：】）)]?|[^\s，。！？；\n]*\.(?:gif|jpe?g|png|webp))?$"
+_REVIEW_WORDS, _REVIEW_IMAGE = "作品简评|编辑评价|强推奖章|^简评", r"\.(?:gif|jpg|png)"
+
+
 def is_review_heading(line: Column) -> Column:
     """Whether a line of an intro heads a review, after which nothing is intro: of the form, and with one of its words."""
     x = F.regexp_replace(line, r"\s+", "")
-    form = x.rlike(r"(?i)^(?:[^，。！？；\n]{0,40})?(?:(?:作品)?简评|编辑评价|强推奖章)(?:\s*[:：】）)]?|[^\s，。！？；\n]*\.(?:gif|jpe?g|png|webp))?$")
-    return form & (x.rlike("作品简评|编辑评价|强推奖章|^简评") | F.lower(x).rlike(r"\.(?:gif|jpg|png)"))
+    return x.rlike(_REVIEW_FORM) & (x.rlike(_REVIEW_WORDS) | F.lower(x).rlike(_REVIEW_IMAGE))
 
 
 def intro_paragraphs(text: Column) -> Column:
@@ -183,6 +299,7 @@ def cover_extension(mime: Column) -> Column:
     return F.coalesce(F.when(mime == "image/png", ".png").when(mime == "image/gif", ".gif").when(mime == "image/webp", ".webp"), F.lit(".jpg"))
 
 
-def empty_bodies(chapters: DataFrame) -> DataFrame:
-    """(package, kind, href) of chapters(package, href, texts) without a text: an issue each."""
-    return chapters.where(F.coalesce(F.size("texts"), F.lit(0)) <= 0).select("package", F.lit("empty body").alias("kind"), "href")
+def cover_mime(name: Column) -> Column:
+    """The kind of a cover by its file's name; jpeg for other names."""
+    kind = F.lower(F.regexp_extract(name, r"\.([A-Za-z]+)(?:[?#].*)?$", 1))
+    return F.coalesce(F.when(kind.isin("png", "gif", "webp"), F.concat(F.lit("image/"), kind)), F.lit("image/jpeg"))

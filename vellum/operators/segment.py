@@ -99,11 +99,28 @@ def sections_first(lines: DataFrame) -> DataFrame:
     return first.select("book", F.col("n").alias("number"), _joined("items").alias("text"))
 
 
+def gaps(numbers: DataFrame, keys: list[str], number: str = "number") -> DataFrame:
+    """(keys, first, last): the runs of numbers between the least and the greatest of each key that it lacks. A run is one row, however long; nulls don't count."""
+    rows = numbers.where(F.col(number).isNotNull()).select(*keys, F.col(number).alias("n")).distinct()
+    after = F.lead("n").over(Window.partitionBy(*keys).orderBy("n"))
+    return rows.withColumn("after", after).where("after > n + 1").select(*keys, (F.col("n") + 1).alias("first"), (F.col("after") - 1).alias("last"))
+
+
 def missing_numbers(sections: DataFrame) -> DataFrame:
-    """(book, missing): the numbers between a book's least and greatest that it lacks, comma-joined."""
-    seen = sections.groupBy("book").agg(F.collect_set("number").alias("s"))
-    gaps = F.array_except(F.sequence(F.array_min("s"), F.array_max("s")), F.col("s"))
-    return seen.select("book", F.array_join(F.transform(gaps, lambda n: n.cast("string")), ",").alias("missing"))
+    """(book, missing): the numbers between a book's least and greatest that it lacks, comma-joined; a run of several is first-last."""
+    text = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat(F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string")))
+    runs = gaps(sections, ["book"]).groupBy("book").agg(F.sort_array(F.collect_list(F.struct("first", text.alias("text")))).alias("runs"))
+    books = sections.select("book").distinct()
+    return books.join(runs, "book", "left").select("book", F.coalesce(F.array_join(F.transform("runs", lambda r: r["text"]), ","), F.lit("")).alias("missing"))
+
+
+def labelled(refs: DataFrame, chapters: DataFrame, key: str = "book", order: str = "ord") -> DataFrame:
+    """chapters with what refs say of the one in their place, and `asserted`, whether the book has as many of both.
+    Places are counted in order on each side, so numbers may have gaps."""
+    w = Window.partitionBy(key)
+    place = lambda df: df.withColumn("place", F.row_number().over(w.orderBy(order))).withColumn("many", F.count("*").over(w))
+    left = place(refs).withColumnRenamed("many", "n_refs").drop(order)
+    return place(chapters).withColumnRenamed("many", "n_chapters").join(left, [key, "place"], "left").withColumn("asserted", F.coalesce(F.col("n_refs") == F.col("n_chapters"), F.lit(False))).drop("n_refs", "n_chapters")
 
 
 def buckets(rows: DataFrame, key: str, order: str, label: str) -> DataFrame:
@@ -185,12 +202,13 @@ def chosen_title(page_title: Column, toc_title: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(page_title), F.lit("")), toc_title)
 
 
-def adaptive_sections(lines: DataFrame, sentinel: str, reach: int = 20) -> DataFrame:
+def adaptive_sections(lines: DataFrame, sentinel: str, reach: int = 20, phrases: tuple[str, ...] = ()) -> DataFrame:
     """(book, part, section, text): sections of lines(book, line_no, text) by numbers that rise.
 
     A line that is only a number of up to four digits is a marker if it is greater than the current number by at most `reach`;
-    else it is text. The sentinel line opens the second part, where numbers begin anew. Whether a
-    number counts depends on the last one that did, so each book is one fold over its lines.
+    else it is text. The sentinel line opens the second part, where numbers begin anew, and a line with one of the phrases
+    opens the next section, which it belongs to. Whether a number counts depends on the last one that did, so each book is
+    one fold over its lines.
     """
     items = F.sort_array(F.collect_list(F.struct("line_no", "text")))
     books = lines.groupBy("book").agg(items.alias("items"))
@@ -198,14 +216,20 @@ def adaptive_sections(lines: DataFrame, sentinel: str, reach: int = 20) -> DataF
         n = F.when(text.rlike("^[0-9]{1,4}$"), text.try_cast("int"))
         return F.when((n > now) & (n - now <= reach), n)
 
+    def splits(state: Column, text: Column) -> Column:
+        found = F.lit(False)
+        for phrase in phrases:
+            found = found | F.contains(text, F.lit(phrase))
+        return ((state["part"] == 1) & found).cast("int")
+
     def step(state: Column, i: Column) -> Column:
         opens = i["text"] == sentinel
-        now = F.when(opens, 0).otherwise(F.coalesce(marks(state["now"], i["text"]), state["now"]))
+        now = F.when(opens, 0).when(splits(state, i["text"]) == 1, state["now"] + 1).otherwise(F.coalesce(marks(state["now"], i["text"]), state["now"]))
         return F.struct(F.when(opens, 1).otherwise(state["part"]).cast("int").alias("part"), now.cast("int").alias("now"))
 
     def line(state: Column, i: Column) -> Column:
         kept = (i["text"] != sentinel) & marks(state["now"], i["text"]).isNull()
-        return F.when(kept, F.struct(state["part"].alias("part"), state["now"].alias("section"), i["line_no"].cast("int").alias("line_no"), i["text"].alias("text")))
+        return F.when(kept, F.struct(state["part"].alias("part"), (state["now"] + splits(state, i["text"])).alias("section"), i["line_no"].cast("int").alias("line_no"), i["text"].alias("text")))
 
     start = F.struct(F.lit(0).cast("int").alias("part"), F.lit(0).cast("int").alias("now"))
     found = scanned(F.col("items"), start, step, line, "struct<part:int,section:int,line_no:int,text:string>")

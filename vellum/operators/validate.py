@@ -6,37 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .segment import gaps
 
 def sequence_issues(refs: DataFrame) -> DataFrame:
     """(package, unit, kind, number, detail) of refs(package, unit, ord, number, href).
 
     duplicate: a number that several references have, with their targets in order. order: a reference
     whose number is neither its predecessor's nor the one after that, with the predecessor's.
-    missing: a number between the least and the greatest that none has. Numbering may begin anywhere.
+    missing: the first of a run of numbers between the least and the greatest that none has, with the last if there are
+    several: a run is one row, however long. Numbering may begin anywhere.
     """
-    own, number = Window.partitionBy("package", "unit"), Window.partitionBy("package", "unit", "number")
-    # All windows are by package and unit or finer: references are shuffled once.
-    rows = refs.select(
-        "package",
-        "unit",
-        "number",
-        F.lag("number").over(own.orderBy("ord", "href")).alias("before"),
-        F.row_number().over(number.orderBy("ord", "href")).alias("place"),
-        F.collect_list(F.struct("ord", "href")).over(number.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("items"),
-        F.min("number").over(own.orderBy("number").rangeBetween(1, Window.unboundedFollowing)).alias("after"),
-    )
-    issue = lambda kind, n, detail: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("number"), detail.alias("detail"))
-    number, first = F.col("number"), F.col("place") == 1
-    links = F.array_join(F.transform(F.sort_array("items"), lambda i: i["href"]), "; ")
-    found = F.array_compact(
-        F.array(
-            F.when(first & (F.size("items") > 1), issue("duplicate", number, links)),
-            F.when((number != F.col("before")) & (number != F.col("before") + 1), issue("order", number, F.concat_ws(" ", F.lit("after"), F.col("before").cast("string")))),
-        )
-    )
-    gap = F.when(first & (F.col("after") > number + 1), F.transform(F.sequence(number + 1, F.col("after") - 1), lambda n: issue("missing", n, F.lit(""))))
-    every = F.concat(found, F.coalesce(gap, F.filter(found, lambda x: F.lit(False))))
-    return rows.select("package", "unit", F.explode(every).alias("i")).select("package", "unit", "i.kind", "i.number", "i.detail")
+    own = Window.partitionBy("package", "unit").orderBy("ord", "href")
+    rows = refs.select("package", "unit", "number", "ord", "href").where("number IS NOT NULL")
+    issue = lambda df, kind, detail: df.select("package", "unit", F.lit(kind).alias("kind"), F.col("number").cast("long").alias("number"), detail.alias("detail"))
+    several = rows.groupBy("package", "unit", "number").agg(F.collect_list(F.struct("ord", "href")).alias("items")).where(F.size("items") > 1)
+    jumps = rows.withColumn("before", F.lag("number").over(own)).where("number <> before AND number <> before + 1")
+    runs = gaps(rows, ["package", "unit"]).withColumnRenamed("first", "number")
+    last = F.when(F.col("last") > F.col("number"), F.concat_ws(" ", F.lit("to"), F.col("last").cast("string"))).otherwise("")
+    found = issue(several, "duplicate", F.array_join(F.transform(F.sort_array("items"), lambda i: i["href"]), "; "))
+    return found.unionByName(issue(jumps, "order", F.concat_ws(" ", F.lit("after"), F.col("before").cast("string")))).unionByName(issue(runs, "missing", last))
 
 
 def cross_reference_issues(refs: DataFrame) -> DataFrame:
@@ -75,3 +63,9 @@ def report(issues: DataFrame, refs: DataFrame) -> DataFrame:
     """(package, n_refs, n_issues, failed): every package, and how many references and issues it has."""
     counted = issues.groupBy("package").agg(F.count("*").alias("n_issues"))
     return refs.groupBy("package").agg(F.count("*").alias("n_refs")).join(counted, "package", "left").select("package", "n_refs", F.coalesce("n_issues", F.lit(0)).alias("n_issues"), (F.coalesce("n_issues", F.lit(0)) > 0).alias("failed"))
+
+
+def totals(report: DataFrame) -> DataFrame:
+    """(n_packages, n_failed, n_refs, n_issues): what a report of all packages comes to; one row, zeros for none."""
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return report.agg(F.count("*").alias("n_packages"), F.count_if("failed").alias("n_failed"), count("n_refs").alias("n_refs"), count("n_issues").alias("n_issues"))

@@ -421,12 +421,21 @@ SELECT ord, CASE WHEN starts_with(u, '/url?') THEN url_decode(nullif(regexp_extr
 FROM (SELECT ord, CASE WHEN starts_with(href, '//') THEN 'https:' || href ELSE href END AS u FROM (VALUES {LINK_ROWS}) t({LINK_COLUMNS}))""",
     "json_payload": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "author_theta_join": rf"""
+WITH r AS (SELECT * FROM (VALUES {AUTHOR_ROWS}) t(rid, query, description)),
+n AS (SELECT rid, query, unnest(range(len(names))) AS k, unnest(names) AS name FROM (
+  SELECT rid, query, list_concat(regexp_extract_all(description, '[（(]([^()（）]{{1,20}})[)）]', 1), regexp_extract_all(description, '作者\s*[:：]\s*([^\s,，。|｜_《》()（）-]{{1,20}})', 1),
+    regexp_extract_all(description, '(?i)\bby\s*([^\s,，。|｜_《》()（）-]{{1,20}})', 1), regexp_extract_all(description, '_([^_\s]{{1,20}})小说', 1), regexp_extract_all(description, '《[^》]+》\s*([^_\s|｜-]{{1,20}})', 1)) AS names FROM r)),
+c AS (SELECT rid, query, k, regexp_replace(regexp_replace({unescape_sql("name")}, '{WS}+', '', 'g'), '^[_\-：:|｜]+|[_\-：:|｜]+$', '', 'g') AS author FROM n),
+f AS (SELECT rid, query, author, min(k) AS k FROM c WHERE author <> '' AND author <> query AND length(author) <= 12 AND NOT regexp_matches(author, '最新章节|全文阅读|免费阅读|小说|在线阅读') GROUP BY ALL),
+a AS (SELECT *, (row_number() OVER (PARTITION BY rid ORDER BY k) - 1)::INTEGER AS place FROM f)
 SELECT a.rid, a.place, a.author, p.page_id
-FROM (VALUES (0, 'the', 0, 'LinMu'), (0, 'the', 1, 'Ann'), (1, 'ion', 0, 'Zhou'), (2, 'zzzz', 0, 'Nobody'), (3, 'of', 0, '周明'), (3, 'of', 1, '李四')) a(rid, query, place, author)
-JOIN (SELECT page_id, regexp_replace(title, '[{text.TITLE_MARKS.replace("'", "''")}\x09-\x0D\x1C-\x20\x85\p{{Z}}]+', '', 'g') AS t FROM ({META_SQL})) p
-  ON contains(p.t, a.query) OR contains(a.query, p.t)""",
-    "search_block_extract": """
-SELECT * FROM (VALUES (0, 0, 'One & only', 'https://example.com/1?a=1&b=2', 'First text.', true), (0, 1, 'Two', '/x', '', false)) t(ord, place, title, href, description, on_domain)""",
+FROM a JOIN (SELECT page_id, regexp_replace(title, '[{text.TITLE_MARKS.replace("'", "''")}\x09-\x0D\x1C-\x20\x85\p{{Z}}]+', '', 'g') AS t FROM ({META_SQL})) p
+  ON contains(p.t, a.query) OR contains(a.query, p.t)
+WHERE a.place < 5""",
+    "search_block_extract": f"""
+WITH b AS (SELECT ord, generate_subscripts(p, 1) AS k, unnest(p) AS block FROM (SELECT ord, string_split_regex(html, '<div class="result">')[2:] AS p FROM (VALUES {BLOCK_ROWS}) t({BLOCK_COLUMNS}))),
+r AS (SELECT ord, k, {plain_sql("regexp_extract(block, '(?s)<a [^>]*>(.*?)</a>', 1)")} AS title, {unescape_sql("regexp_extract(block, 'href=\"([^\"]*)\"', 1)")} AS href, {plain_sql("regexp_extract(block, '(?s)<p>(.*?)</p>', 1)")} AS description FROM b)
+SELECT ord, (row_number() OVER (PARTITION BY ord ORDER BY k) - 1)::INTEGER AS place, title, href, description, contains(href, 'example.com') AS on_domain FROM r WHERE title <> '' AND href <> ''""",
     "comma_normalize": "SELECT doc_id, regexp_replace(text, '([，,])[\t ]+', '\\1', 'g') AS text FROM documents",
     "document_lines": f"""
 SELECT doc_id, line_no, text FROM (

@@ -46,14 +46,21 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.report(validate.cross_reference_issues(refs), refs)
 
 
-LINK_ROWS = """
-  ('/a/1.html', '/a/2.html'), ('/a/2.html', '/a/3.html'), ('/a/3.html', '/a/1.html'), ('/a/3.html', '/b/1.html'), ('/b/1.html', '/b/2.html'), ('/c/1.html', '/c/1.html'), ('/b/2.html', '/b/3.html')"""
+def validation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.totals(validation_report(spark, sf_dir))
+
+
+def _next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in folders of 150, each with a link to the next one; the last of every second folder leads back to its middle, others to the next folder."""
+    url = lambda k: F.concat(F.lit("/"), F.expr(f"CAST(({k}) DIV 150 AS STRING)"), F.lit("/"), F.expr(f"CAST({k} AS STRING)"), F.lit(".html"))
+    to = F.when(F.expr("page_id % 300 = 149"), url("page_id - 70")).otherwise(url("page_id + 1"))
+    return table(spark, sf_dir, "pages").select("page_id", url("page_id").alias("from_url"), to.alias("to_url"))
 
 
 def pagination_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = literal(spark, "from_url, to_url", LINK_ROWS)
-    starts = literal(spark, "url", "('/a/1.html'), ('/b/1.html'), ('/c/1.html')")
-    return closure.chains(starts, closure.same_folder(links))
+    """The pages that next-page links lead to from every fiftieth page, within its folder: chains of up to 150 pages, some of which end in a cycle."""
+    links = _next_links(spark, sf_dir)
+    return closure.paged(links.where("page_id % 50 = 0").select(F.col("from_url").alias("url")), closure.same_folder(links.select("from_url", "to_url")))
 
 
 def publish_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +75,7 @@ def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal(spark, "ord, title, author", NAME_ROWS).select("ord", F.concat(author, safe_name(F.col("title"), "book"), F.lit(".epub")).alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (sequence_issues, xref_issues, validation_report, pagination_closure, publish_manifest, output_paths)}
+QUERIES = {f.__name__: f for f in (sequence_issues, xref_issues, validation_report, validation_totals, pagination_closure, publish_manifest, output_paths)}
 
 _REFS = f"""
   SELECT page_id AS package, 'nav' AS source, ord::BIGINT AS ord, href, ord::BIGINT AS number FROM ({CONTENTS_SQL})
@@ -102,18 +109,21 @@ ORACLE = {
 WITH r AS ({_TURNS})
 SELECT package, unit, 'duplicate' AS kind, number, string_agg(href, '; ' ORDER BY ord) AS detail FROM r GROUP BY package, unit, number HAVING count(*) > 1
 UNION ALL SELECT package, unit, 'order', number, 'after ' || before FROM (SELECT *, lag(number) OVER (PARTITION BY package, unit ORDER BY ord) AS before FROM r) WHERE number <> before AND number <> before + 1
-UNION ALL SELECT g.package, g.unit, 'missing', g.n, '' FROM (SELECT package, unit, unnest(range(min(number), max(number) + 1)) AS n FROM r GROUP BY package, unit) g
-  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.package = g.package AND r.number = g.n)""",
+UNION ALL SELECT package, unit, 'missing', number + 1, CASE WHEN after > number + 2 THEN 'to ' || (after - 1) ELSE '' END
+  FROM (SELECT *, lead(number) OVER (PARTITION BY package, unit ORDER BY number) AS after FROM (SELECT DISTINCT package, unit, number FROM r)) WHERE after > number + 1""",
     "xref_issues": _XREF,
     "validation_report": f"""
 SELECT r.package, r.n_refs, coalesce(i.n, 0) AS n_issues, coalesce(i.n, 0) > 0 AS failed
 FROM (SELECT package, count(*) AS n_refs FROM ({_REFS}) GROUP BY package) r LEFT JOIN (SELECT package, count(*) AS n FROM ({_XREF}) GROUP BY package) i USING (package)""",
-    "pagination_closure": f"""
-WITH RECURSIVE l AS (SELECT * FROM (VALUES {LINK_ROWS}) t(f, t) WHERE regexp_replace(f, '[^/]*$', '') = regexp_replace(t, '[^/]*$', '')),
-w AS (
-  SELECT url AS start, 0 AS place, url, [url] AS seen FROM (VALUES ('/a/1.html'), ('/b/1.html'), ('/c/1.html')) s(url)
-  UNION ALL SELECT w.start, w.place + 1, l.t, list_append(w.seen, l.t) FROM w JOIN l ON l.f = w.url WHERE NOT list_contains(w.seen, l.t))
-SELECT start, min(place) AS place, url FROM w GROUP BY start, url""",
+    "validation_totals": f"""
+WITH p AS (SELECT r.n_refs, coalesce(i.n, 0) AS n FROM (SELECT package, count(*) AS n_refs FROM ({_REFS}) GROUP BY package) r LEFT JOIN (SELECT package, count(*) AS n FROM ({_XREF}) GROUP BY package) i USING (package))
+SELECT count(*) AS n_packages, count(*) FILTER (WHERE n > 0) AS n_failed, coalesce(sum(n_refs), 0)::BIGINT AS n_refs, coalesce(sum(n), 0)::BIGINT AS n_issues FROM p""",
+    "pagination_closure": """
+WITH RECURSIVE w AS (
+  SELECT page_id AS a, 0::BIGINT AS place, page_id AS p FROM pages WHERE page_id % 50 = 0
+  UNION ALL SELECT a, place + 1, CASE WHEN p % 300 = 149 THEN p - 70 ELSE p + 1 END
+  FROM w WHERE place < 300 AND p IN (SELECT page_id FROM pages) AND (p % 150 < 149 OR p % 300 = 149))
+SELECT '/' || (a // 150) || '/' || a || '.html' AS start, min(place) AS place, '/' || (p // 150) || '/' || p || '.html' AS url FROM w GROUP BY a, p""",
     "publish_manifest": f"""
 WITH s AS ({SEGMENTS["segment_volumes"]}),
 r AS (SELECT *, dense_rank() OVER (PARTITION BY book ORDER BY vid) AS v, row_number() OVER (PARTITION BY book, vid ORDER BY cid) AS c FROM s),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
 from ..operators import extract, segment
-from ..sources.tables import literal, table
+from ..sources.tables import table
 from .extract import CONTENTS_SQL
 
 
@@ -94,10 +95,11 @@ def toc_title_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intro_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each document's paragraphs come again in the next one of its source. Keys and marks are made once a document, before the join."""
     lines = F.split("text", "\n")
-    docs = table(spark, sf_dir, "documents").select("doc_id", segment.comparison_keys(lines).alias("keys"), segment.marker_hits(lines, ("the ", "and ")).alias("hits"))
+    keys = F.transform(segment.comparison_keys(lines), lambda k: F.xxhash64(k))  # what is joined is numbers, not paragraphs
+    docs = table(spark, sf_dir, "documents").select("doc_id", keys.alias("keys"), segment.marker_hits(lines, ("the ", "and ")).alias("hits"))
     pairs = docs.select(F.col("doc_id").alias("a"), F.col("keys").alias("intro")).join(docs.select((F.col("doc_id") - 20).alias("a"), F.col("keys").alias("chapter"), "hits"), "a")
-    share = segment.shared(F.col("intro"), F.col("chapter"))
-    return pairs.select("a", share.alias("share"), "hits", F.coalesce((F.col("hits") >= 3) | (share >= 0.6), F.lit(False)).alias("repeats"))
+    found = pairs.select("a", bound(segment.shared(F.col("intro"), F.col("chapter")), lambda share: F.struct(share.alias("share"), (share >= 0.6).alias("much"))).alias("x"), "hits")
+    return found.select("a", "x.share", "hits", F.coalesce((F.col("hits") >= 3) | F.col("x.much"), F.lit(False)).alias("repeats"))
 
 
 def intro_prefix_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,13 +110,12 @@ def intro_prefix_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(kept).cast("long").alias("n_left"), F.coalesce(F.get(kept, F.lit(0)), F.lit("")).alias("first_left"))
 
 
-ADAPTIVE_ROWS = """
-  (0, 0, 'front'), (0, 1, '1'), (0, 2, 'a'), (0, 3, '2'), (0, 4, 'b'), (0, 5, '23'), (0, 6, 'c'), (0, 7, '22'), (0, 8, 'd'), (0, 9, '5'), (0, 10, 'e'),
-  (1, 0, '20'), (1, 1, 'x'), (1, 2, '10'), (1, 3, 'EXTRAS'), (1, 4, 'y'), (1, 5, '1'), (1, 6, 'z'), (1, 7, '12345'), (2, 0, '21'), (2, 1, 'only')"""
+_RISING = "CASE WHEN line_no = 32 THEN 'EXTRAS' WHEN line_no % 5 = 1 THEN CAST((line_no {div} 5) * (1 + book % 3) * 4 + book % 25 AS STRING) WHEN line_no % 9 = 7 THEN concat('and NEXT ', text) ELSE text END"
 
 
 def adaptive_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.adaptive_sections(literal(spark, "book, line_no, text", ADAPTIVE_ROWS), "EXTRAS")
+    lines = _lines(spark, sf_dir).select("book", "line_no", F.expr(_RISING.format(div="DIV")).alias("text"))
+    return segment.adaptive_sections(lines, "EXTRAS", phrases=("NEXT", "NEVER THERE"))
 
 
 QUERIES = {
@@ -190,8 +191,9 @@ k AS (SELECT *, CASE WHEN NOT sectioned OR NOT marked THEN 'chapter' WHEN seg >
 SELECT book, kind, CASE kind WHEN 'chapter' THEN c WHEN 'section' THEN n ELSE 0 END::BIGINT AS number, string_agg(text, chr(10) ORDER BY c, k) AS text FROM k GROUP BY ALL""",
     "sections_first": _FIRST,
     "sections_missing": f"""
-WITH f AS ({_FIRST}), g AS (SELECT book, unnest(range(lo, hi + 1)) AS n FROM (SELECT book, min(number) AS lo, max(number) AS hi FROM f GROUP BY book))
-SELECT g.book, coalesce(string_agg(g.n::VARCHAR, ',' ORDER BY g.n) FILTER (WHERE f.number IS NULL), '') AS missing FROM g LEFT JOIN f ON f.book = g.book AND f.number = g.n GROUP BY g.book""",
+WITH f AS ({_FIRST}), g AS (SELECT book, number, lead(number) OVER (PARTITION BY book ORDER BY number) AS after FROM (SELECT DISTINCT book, number FROM f)),
+r AS (SELECT book, number + 1 AS a, after - 1 AS b FROM g WHERE after > number + 1)
+SELECT book, coalesce(string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a), '') AS missing FROM (SELECT DISTINCT book FROM f) LEFT JOIN r USING (book) GROUP BY book""",
     "volume_buckets": """
 SELECT conv_id, bucket, min(role) AS label, count(*) AS n_turns, min(turn) AS first_turn
 FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS bucket
@@ -222,12 +224,13 @@ k AS (SELECT doc_id, lines, list_transform(lines, lambda t: {_PARA.format(x="t")
              list_filter(list_transform(list_concat([' '], lines[1:(doc_id % 4)::INTEGER]), lambda t: {_PARA.format(x="t")}), lambda t: t <> '') AS intro FROM d),
 m AS (SELECT doc_id, lines, len(chapter) AS n, len(list_filter(range(1, least(len(chapter), len(intro)) + 1), lambda j: chapter[1:j] = intro[1:j])) AS same FROM k)
 SELECT doc_id, (n - same)::BIGINT AS n_left, coalesce(lines[same + 1], '') AS first_left FROM m""",
-    "adaptive_markers": f"""
-WITH RECURSIVE t AS (SELECT * FROM (VALUES {ADAPTIVE_ROWS}) t(book, line_no, text)),
+    "adaptive_markers": rf"""
+WITH RECURSIVE t AS (SELECT book, line_no, {_RISING.format(div="//")} AS text FROM ({_LINES})),
 f AS (
   SELECT book, -1 AS line_no, 0 AS part, 0 AS now, false AS kept, '' AS text FROM (SELECT DISTINCT book FROM t)
   UNION ALL
-  SELECT t.book, t.line_no, CASE WHEN t.text = 'EXTRAS' THEN 1 ELSE f.part END, CASE WHEN t.text = 'EXTRAS' THEN 0 WHEN m.ok THEN try_cast(t.text AS INTEGER) ELSE f.now END,
+  SELECT t.book, t.line_no, CASE WHEN t.text = 'EXTRAS' THEN 1 ELSE f.part END,
+         CASE WHEN t.text = 'EXTRAS' THEN 0 WHEN m.ok THEN try_cast(t.text AS INTEGER) WHEN f.part = 1 AND contains(t.text, 'NEXT') THEN f.now + 1 ELSE f.now END,
          t.text <> 'EXTRAS' AND NOT m.ok, t.text
   FROM f JOIN t ON t.book = f.book AND t.line_no = f.line_no + 1,
        LATERAL (SELECT coalesce(regexp_matches(t.text, '^[0-9]{{1,4}}$') AND try_cast(t.text AS INTEGER) > f.now AND try_cast(t.text AS INTEGER) - f.now <= 20, false) AS ok) m)

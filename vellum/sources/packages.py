@@ -64,16 +64,21 @@ def package_refs(data: bytes) -> Iterator[tuple[str, int, str, str]]:
             yield from (("document", k, name, t) for k, t in enumerate(titles))
 
 
-def read_packages(spark: SparkSession, folder: str) -> DataFrame:
-    """(package, source, ord, href, title, number, unit) of all packages of a folder; a document's numbered heading is its first."""
+def refs_of(files: DataFrame) -> DataFrame:
+    """(package, source, ord, href, title, number, unit) of packages that are files(path, content); a document's numbered heading is its first."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(path, *ref) for path, content in zip(frame["path"], frame["content"], strict=True) for ref in package_refs(content)]
             yield pd.DataFrame(rows, columns=["package", "source", "ord", "href", "title"]).astype({"ord": "int32"})
 
-    files = landed_files(spark, folder, "*.epub").select("path", "content")
-    return files.mapInPandas(read, _REFS).withColumns({"number": chapter_number(F.col("title")), "unit": chapter_unit(F.col("title"))})
+    found = files.select(F.col("path").cast("string").alias("path"), "content").mapInPandas(read, _REFS)
+    return found.withColumns({"number": chapter_number(F.col("title")), "unit": chapter_unit(F.col("title"))})
+
+
+def read_packages(spark: SparkSession, folder: str) -> DataFrame:
+    """refs_of all packages of a folder."""
+    return refs_of(landed_files(spark, folder, "*.epub"))
 
 
 def package_bytes(files: list[tuple[str, str, str, str]], title: str, identifier: str) -> bytes:

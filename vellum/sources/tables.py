@@ -56,3 +56,13 @@ def routed(host: Column, longest: bool = False) -> Column:
     rows = sorted(SOURCES, key=lambda r: -len(r[2])) if longest else SOURCES
     constant = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(SOURCE_COLUMNS, r, strict=True))) for r in rows))
     return F.get(F.filter(constant, lambda r: in_domain(host, r["domain"])), F.lit(0))
+
+
+def chosen(host: Column, name: Column) -> Column:
+    """struct(source, error): the source of a name, whatever the host, or where the name is null the first whose domain the host is in; an
+    error lists the names, or the domains, that there are."""
+    names, domains = ", ".join(r[1] for r in SOURCES), ", ".join(r[2] for r in SOURCES)
+    by_name = F.when(name.isin(*(r[1] for r in SOURCES)), name)
+    source = F.when(name.isNotNull(), by_name).otherwise(routed(host)["source"])
+    unknown = F.when(name.isNotNull(), F.concat(F.lit("unknown source "), name, F.lit(f"; choose one of: {names}"))).otherwise(F.lit(f"no source for the host; supported domains: {domains}"))
+    return F.struct(source.alias("source"), F.when(source.isNull(), unknown).alias("error"))
