@@ -15,9 +15,13 @@ from .common import connected, cut, stored
 
 #: Leading principal dimensions whose grid cells order the vectors, and that bound distances.
 LEADING = 7
-#: Vectors of one interval that a task gets whole, and of the smaller ones within it.
-INTERVAL, INNER = 4096, 512
+#: Bytes of one interval's vectors, about, and vectors of the smaller ones within it.
+INTERVAL, INNER = 2 << 20, 512
 _FAN = 3  # an interval has 2 ** _FAN parts at the next level
+#: A task joins two bands of the sequence, of 2 ** _BAND intervals each.
+_BAND = 2
+#: Passes over the vectors in which the axes are found, and axes carried along beside those that are kept.
+_PASSES, _MORE = 3, 5
 #: Cosines this near the threshold are summed again without rounding.
 _NEAR = 1e-11
 
@@ -33,24 +37,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _principal(reps: DataFrame, size: int, leading: int) -> np.ndarray:
-    """The leading eigenvectors of the unit vectors' covariance. The driver gets size ** 2 + size + 1 sums."""
+    """Axes near the leading eigenvectors of the unit vectors' covariance, by subspace iteration from fixed random axes.
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size + size + 1)
-        for batch in batches:
-            if len(batch):
-                u = _unit(_matrix(batch.column("embedding")))
-                total += np.concatenate([(u.T @ u).ravel(), u.sum(axis=0), [len(u)]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "x"])
-
-    rows = reps.select("embedding").mapInArrow(sums, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-    total = np.zeros(size * size + size + 1)
-    for r in rows:
-        total[r["k"]] = r["x"]
-    n = max(total[-1], 1)
-    mean = total[-1 - size : -1] / n
-    _, vectors = np.linalg.eigh(total[: size * size].reshape(size, size) / n - np.outer(mean, mean))
-    return np.ascontiguousarray(vectors[:, ::-1][:, :leading])
+    Any orthogonal axes give bounds that hold, better ones rule out more. Each pass over all vectors gives the driver size * (axes + 1) + 1 sums.
+    """
+    width = min(size, leading + _MORE)
+    axes, _ = np.linalg.qr(np.random.default_rng(1).normal(size=(size, width)))
+    for _ in range(_PASSES):
+
+        def sums(batches: Iterator[pa.RecordBatch], axes: np.ndarray = axes) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size * width + size + 1)
+            for batch in batches:
+                if len(batch):
+                    u = _unit(_matrix(batch.column("embedding")))
+                    total += np.concatenate([(u.T @ (u @ axes)).ravel(), u.sum(axis=0), [len(u)]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "x"])
+
+        total = np.zeros(size * width + size + 1)
+        for r in reps.select("embedding").mapInArrow(sums, "k int, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+            total[r["k"]] = r["x"]
+        n = max(total[-1], 1)
+        mean = total[-1 - size : -1] / n
+        axes, _ = np.linalg.qr(total[: size * width].reshape(size, width) / n - np.outer(mean, mean @ axes))
+    return np.ascontiguousarray(axes[:, :leading])
 
 
 def _placed(reps: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
@@ -71,6 +80,7 @@ def _placed(reps: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
 def _intervals(placed: DataFrame, axes: np.ndarray, size: int) -> DataFrame:
     """Intervals of the sorted sequence: their vectors, packed, and their bounds on the leading dimensions."""
     leading = axes.shape[1]
+    most = max(64, INTERVAL // (8 * axes.shape[0]))
     fields = ", ".join(f"lo{k} double, hi{k} double" for k in range(leading))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,18 +103,18 @@ def _intervals(placed: DataFrame, axes: np.ndarray, size: int) -> DataFrame:
             if not len(batch):
                 continue
             held.append((batch.column("rep").to_numpy(), batch.column("n").to_numpy(), _matrix(batch.column("embedding"))))
-            if sum(len(h[0]) for h in held) >= INTERVAL:
+            if sum(len(h[0]) for h in held) >= most:
                 rep, n, x = joined()
-                whole = len(rep) // INTERVAL * INTERVAL
-                for a in range(0, whole, INTERVAL):
-                    yield packed(rep[a : a + INTERVAL], n[a : a + INTERVAL], x[a : a + INTERVAL])
+                whole = len(rep) // most * most
+                for a in range(0, whole, most):
+                    yield packed(rep[a : a + most], n[a : a + most], x[a : a + most])
                 held[:] = [(rep[whole:], n[whole:], x[whole:])] if whole < len(rep) else []
         if held:
             yield packed(*joined())
 
     # Distinct vectors that share a cell are ordered by their first principal coordinate, so a
     # crowded cell is dealt over as many partitions as its vectors fill.
-    parts = max(1, math.ceil(size / (2 * INTERVAL)))
+    parts = max(1, math.ceil(size / (2 * most)))
     ordered = placed.repartitionByRange(parts, "cell", "first").sortWithinPartitions("cell", "first")
     return ordered.select("rep", "n", "embedding").mapInArrow(pack, f"part long, index long, reps binary, counts binary, vectors binary, {fields}")
 
@@ -215,28 +225,32 @@ def join_intervals(x: np.ndarray, y: np.ndarray | None, nx: np.ndarray, ny: np.n
 
 
 def _joined(pairs: DataFrame, intervals: DataFrame, axes: np.ndarray, least: float) -> DataFrame:
-    """(rep, links, root): for each pair of intervals, its vectors that have links in it."""
-    width = axes.shape[0]
-    data = intervals.select("seq", "reps", "counts", "vectors")
-    left = data.select(F.col("seq").alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("reps", "counts", "vectors")))
-    right = data.select(F.col("seq").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("reps", "counts", "vectors")))
-    both = pairs.join(left, "a").join(right, "b")
+    """(rep, links, root): for each pair of intervals, its vectors that have links in it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                ids, counts, x = (np.frombuffer(row[f"a_{c}"], t) for c, t in (("reps", np.int64), ("counts", np.int64), ("vectors", np.float64)))
-                if row["a"] == row["b"]:
-                    degree, root = join_intervals(x.reshape(-1, width), None, counts, None, axes, least)
-                else:
-                    ids2, counts2, y = (np.frombuffer(row[f"b_{c}"], t) for c, t in (("reps", np.int64), ("counts", np.int64), ("vectors", np.float64)))
-                    degree, root = join_intervals(x.reshape(-1, width), y.reshape(-1, width), counts, counts2, axes, least)
-                    ids = np.concatenate([ids, ids2])
-                some = np.flatnonzero(degree)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(degree[some]), pa.array(ids[root[some]])], names=["rep", "links", "root"])
-
-    return both.mapInArrow(run, "rep long, links long, root long")
+    Pairs are dealt by the bands of the sequence that their intervals lie in: a task gets each interval of two bands once, however
+    many pairs it is in, and holds 2 ** (_BAND + 1) intervals at most.
+    """
+    width = axes.shape[0]
+    bands = F.shiftright("a", _BAND).alias("band_a"), F.shiftright("b", _BAND).alias("band_b")
+    dealt = cut(pairs.select(*bands, "a", "b"))
+    wanted = dealt.select("band_a", "band_b", F.explode(F.array("a", "b")).alias("seq")).distinct()
+    data = wanted.join(intervals.select("seq", "reps", "counts", "vectors"), "seq")
+
+    def run(vectors: pa.Table, listed: pa.Table) -> pa.Table:
+        held = {}
+        for row in vectors.to_pylist():
+            held[row["seq"]] = np.frombuffer(row["reps"], np.int64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, width)
+        out = []
+        for a, b in zip(listed.column("a").to_pylist(), listed.column("b").to_pylist(), strict=True):
+            (ids, counts, x), (ids2, counts2, y) = held[a], held[b]
+            degree, root = join_intervals(x, None, counts, None, axes, least) if a == b else join_intervals(x, y, counts, counts2, axes, least)
+            ids = ids if a == b else np.concatenate([ids, ids2])
+            some = np.flatnonzero(degree)
+            out.append((ids[some], degree[some], ids[root[some]]))
+        return pa.table([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (zip(*out, strict=True) if out else ((),) * 3)], names=["rep", "links", "root"])
+
+    listed = dealt.select(F.col("band_a").alias("of_a"), F.col("band_b").alias("of_b"), "a", "b")
+    return data.groupBy("band_a", "band_b").cogroup(listed.groupBy("of_a", "of_b")).applyInArrow(run, "rep long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
