@@ -1,4 +1,7 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again by the next.
+
+Every stage decides row by row: ids may be null or repeat, and columns may have any names. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +14,27 @@ from vellum.llm.common import shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines that too many documents of a source share go from the others."""
+    """Rejected documents go, null, empty and very short ones among them; lines that too many documents of a source share go from the others."""
     return quality.apply_rules(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One row of each class of near-duplicates stays: of the smallest id, rows without one last. Rows that are equal are one class."""
     return minhash.apply_dedup(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets become a mark; the model is trained on the documents as they come here."""
+    """Secrets become a mark, in texts of any length; the model is trained on the documents as they come here. All rows stay."""
     return secrets.redacted(docs, secrets.trained(docs, sf_dir))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of the sources takes it."""
+    """Every row as often as the mix of the sources takes it, three times at most; rows without words go. A null source is a source."""
     return mixing.apply_mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token_ids of every copy."""
+    """doc_id, n_tokens and token_ids of every copy; a null or empty text has none."""
     return sentencepiece.encode(docs)
 
 
@@ -43,7 +46,7 @@ STAGES = [
     ("token ids", token_ids),
 ]
 
-#: MinHash and the mix's draws aren't expressible in SQL; tests/llm holds the pipeline against plain Python.
+#: MinHash and the mix's draws aren't expressible in SQL; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
