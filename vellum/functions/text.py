@@ -66,14 +66,19 @@ def paragraph_key(x: Column) -> Column:
 def match_level(query: Column, title: Column, author: Column, snippet: Column) -> Column:
     """4 the same key; 3 one key contains the other; 2 all words of the query are in the title; 1 the query is
     in author or snippet; else 0. An empty query is 0; an empty title is contained in any query."""
-    q, t = search_key(query), search_key(title)
+    return level_of(query, search_key(title), search_key(author), search_key(snippet))
+
+
+def level_of(query: Column, title: Column, author: Column, snippet: Column) -> Column:
+    """match_level of a query and the keys of title, author and snippet."""
+    q = search_key(query)
     words = F.filter(F.transform(F.split(F.coalesce(query, F.lit("")), r"[\x09-\x0D\x1C-\x20\x85\p{Z},，;；]+"), search_key), lambda w: w != "")
     return (
         F.when(q == "", 0)
-        .when(q == t, 4)
-        .when(F.contains(t, q) | F.contains(q, t), 3)
-        .when((F.size(words) > 0) & F.forall(words, lambda w: F.contains(t, w)), 2)
-        .when(F.contains(search_key(author), q) | F.contains(search_key(snippet), q), 1)
+        .when(q == title, 4)
+        .when(F.contains(title, q) | F.contains(q, title), 3)
+        .when((F.size(words) > 0) & F.forall(words, lambda w: F.contains(title, w)), 2)
+        .when(F.contains(author, q) | F.contains(snippet, q), 1)
         .otherwise(0)
     )
 

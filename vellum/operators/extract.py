@@ -34,13 +34,20 @@ def paragraphs(html: Column) -> Column:
     Paragraphs begin at their tag, closed or not. Blank ones and navigation words go. A body
     without paragraph tags is split at line breaks.
     """
-    body = element(without_noise(html), "article")
-    marked = body.rlike(r"(?i)<p[\s>]")
-    parts = F.split(body, r"(?i)<p(?:\s[^>]*)?>")
-    parts = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.regexp_replace(p, "(?is)</p>.*$", ""))
-    lines = F.split(F.regexp_replace(body, r"(?i)<br\s*/?>", "\n"), "\n+")
-    texts = F.transform(F.when(marked, parts).otherwise(lines), plain)
-    return F.filter(texts, lambda t: (t != "") & ~t.isin(*NAVIGATION))
+    return paragraphs_in(element(without_noise(html), "article"))
+
+
+def paragraphs_in(body: Column) -> Column:
+    """The paragraphs of an article's body without noise."""
+
+    def found(body: Column) -> Column:
+        parts = F.split(body, r"(?i)<p(?:\s[^>]*)?>")
+        parts = bound(parts, lambda p: F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.regexp_replace(x, "(?is)</p>.*$", "")))
+        lines = F.split(F.regexp_replace(body, r"(?i)<br\s*/?>", "\n"), "\n+")
+        texts = F.transform(F.when(body.rlike(r"(?i)<p[\s>]"), parts).otherwise(lines), plain)
+        return F.filter(texts, lambda t: (t != "") & ~t.isin(*NAVIGATION))
+
+    return bound(body, found)
 
 
 def page_lines(html: Column) -> Column:
@@ -57,16 +64,17 @@ def split_at_more(html: Column) -> Column:
 
 def metadata(pages: DataFrame, *more: str) -> DataFrame:
     """(page_id, title, heading, lang, owner, intro), and more of the pages' columns: the title falls back to the heading, both are empty if absent."""
-    html = without_noise(F.coalesce("html", F.lit("")))
-    heading = plain(element(html, "h1"))
-    texts = paragraphs(F.col("html"))
-    return pages.select(
+    # A step for what several columns are cut from, so that it is made once.
+    rows = pages.select("page_id", *more, without_noise(F.coalesce("html", F.lit(""))).alias("_bare"))
+    bare = F.col("_bare")
+    rows = rows.select("page_id", *more, "_bare", plain(element(bare, "h1")).alias("_heading"), F.slice(paragraphs_in(element(bare, "article")), 1, 2).alias("_texts"))
+    return rows.select(
         "page_id",
-        F.coalesce(F.nullif(plain(element(html, "title")), F.lit("")), heading).alias("title"),
-        heading.alias("heading"),
-        F.regexp_extract(html, r"(?i)<html[^>]*\slang=[\"']([^\"']*)[\"']", 1).alias("lang"),
-        clean(F.regexp_extract(plain(element(html, "footer")), "© ([^·]*)·", 1)).alias("owner"),
-        F.coalesce(F.array_join(F.slice(texts, 1, 2), "\n"), F.lit("")).alias("intro"),
+        F.coalesce(F.nullif(plain(element(bare, "title")), F.lit("")), F.col("_heading")).alias("title"),
+        F.col("_heading").alias("heading"),
+        F.regexp_extract(bare, r"(?i)<html[^>]*\slang=[\"']([^\"']*)[\"']", 1).alias("lang"),
+        clean(F.regexp_extract(plain(element(bare, "footer")), "© ([^·]*)·", 1)).alias("owner"),
+        F.coalesce(F.array_join("_texts", "\n"), F.lit("")).alias("intro"),
         *more,
     )
 

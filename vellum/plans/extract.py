@@ -158,9 +158,9 @@ MATCH_STRUCTS = f"({MATCH_ROWS})"
 
 def match_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level at which each page's title and intro match each query. The queries are written out."""
-    pages = extract.metadata(table(spark, sf_dir, "pages")).select("page_id", "title", "intro")
+    pages = extract.metadata(table(spark, sf_dir, "pages")).select("page_id", text.search_key(F.col("title")).alias("title"), text.search_key(F.col("intro")).alias("intro"))
     pairs = pages.select("*", F.expr(f"inline(array{MATCH_STRUCTS}) AS ({MATCH_COLUMNS})"))
-    return pairs.select("qid", "page_id", text.match_level(F.col("query"), F.col("title"), F.lit(""), F.col("intro")).alias("level"))
+    return pairs.select("qid", "page_id", text.level_of(F.col("query"), F.col("title"), F.lit(""), F.col("intro")).alias("level"))
 
 
 def level_sql(q: str, title: str, author: str, snippet: str) -> str:
