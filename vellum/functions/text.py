@@ -22,6 +22,9 @@ TITLE_MARKS = r"《》〈〉“”\"'‘’【】\[\]（）()·._\-—:：|｜"
 # What a key for comparing paragraphs leaves out, beside white space.
 PARAGRAPH_MARKS = r"，。！？、；：:,.!?;《》〈〉“”\"'‘’\[\]【】（）()\-—_·┃|"
 
+#: The same and all white space, character by character.
+_NOT_IN_PARAGRAPH_KEY = PARAGRAPH_MARKS.replace("\\", "") + "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 
 def bound(x: Column, f) -> Column:
     """f of x, with x evaluated once however often f uses it: higher-order functions aren't shared by the code generator."""
@@ -60,7 +63,7 @@ def title_key(x: Column) -> Column:
 
 def paragraph_key(x: Column) -> Column:
     """A paragraph without white space and punctuation."""
-    return F.regexp_replace(x, f"[{PARAGRAPH_MARKS}\\x09-\\x0D\\x1C-\\x20\\x85\\p{{Z}}]+", "")
+    return F.translate(x, _NOT_IN_PARAGRAPH_KEY, "")
 
 
 def match_level(query: Column, title: Column, author: Column, snippet: Column) -> Column:

@@ -97,7 +97,11 @@ def intro_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n")
     keys = F.transform(segment.comparison_keys(lines), lambda k: F.xxhash64(k))  # what is joined is numbers, not paragraphs
     docs = table(spark, sf_dir, "documents").select("doc_id", keys.alias("keys"), segment.marker_hits(lines, ("the ", "and ")).alias("hits"))
-    pairs = docs.select(F.col("doc_id").alias("a"), F.col("keys").alias("intro")).join(docs.select((F.col("doc_id") - 20).alias("a"), F.col("keys").alias("chapter"), "hits"), "a")
+    # Every document is once an intro and once the chapter of another: one scan, one shuffle.
+    part = lambda a, intro, chapter, hits: F.struct(a.alias("a"), intro.alias("intro"), chapter.alias("chapter"), hits.alias("hits"))
+    none, no_hits = F.lit(None).cast("array<bigint>"), F.lit(None).cast("int")
+    parts = docs.select(F.explode(F.array(part(F.col("doc_id"), F.col("keys"), none, no_hits), part(F.col("doc_id") - 20, none, F.col("keys"), F.col("hits")))).alias("p")).select("p.*")
+    pairs = parts.groupBy("a").agg(*(F.first(c, True).alias(c) for c in ("intro", "chapter", "hits"))).where("intro IS NOT NULL AND chapter IS NOT NULL")
     found = pairs.select("a", bound(segment.shared(F.col("intro"), F.col("chapter")), lambda share: F.struct(share.alias("share"), (share >= 0.6).alias("much"))).alias("x"), "hits")
     return found.select("a", "x.share", "hits", F.coalesce((F.col("hits") >= 3) | F.col("x.much"), F.lit(False)).alias("repeats"))
 
