@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.landing import shared_folder
 
 #: Rounds after which the parts of the pages seen become one.
 MERGE = 10
@@ -14,13 +13,7 @@ MERGE = 10
 
 def _cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: lineage ends there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="vellum-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(True)
 
 

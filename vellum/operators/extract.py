@@ -225,6 +225,13 @@ def intro_html(html: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), fold_variants(F.replace(escape_html(p), F.lit("\n"), F.lit("<br/>"))), F.lit("</p>"))), "\n")
 
 
+def category_page(html: Column) -> Column:
+    """struct(title, intro, posts) of a category's page: its title, its first paragraphs, and the posts its contents list names."""
+    bare = without_noise(F.coalesce(html, F.lit("")))
+    title = bound(bare, lambda b: F.coalesce(F.nullif(plain(element(b, "h1")), F.lit("")), plain(element(b, "title"))))
+    return F.struct(title.alias("title"), F.slice(paragraphs(html), 1, 2).alias("intro"), contents_of(html).alias("posts"))
+
+
 def page_record(html: Column, container: str = "main") -> Column:
     """struct(title, lines, error) of a chapter's page: its heading, and the lines after it in the container. A page without the container, and one
     without lines, has an error; a null page is missing."""

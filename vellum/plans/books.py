@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from ..functions import text, titles, urls
 from ..operators import books, extract, publish, search, segment
 from ..sources.packages import packages, refs_of
-from ..sources.tables import SOURCES, chosen, table
-from .extract import clean_sql, key_sql, plain_sql
+from ..sources.landing import new_folder
+from ..sources.tables import SOURCES, chosen, decoded_file, landed_files, landed_json, routed, table
+from .extract import CONTENTS_SQL, META_SQL, clean_sql, key_sql, plain_sql
 from .publish import ORACLE as PUBLISHED
 from .segment import paged_lines
 
@@ -152,7 +153,49 @@ def book_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (book_catalog, catalog_next, book_chapters, book_counts, engine_results, native_search, related_entries, package_refs, book_texts)}
+def category_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of one source, as categories with their posts; those that name a word in target or label are counted."""
+    pages = table(spark, sf_dir, "pages").where(routed(urls.host(F.col("url")))["source"] == "com")
+    rows = pages.select("page_id", extract.category_page(F.col("html")).alias("c"))
+    return rows.select("page_id", "c.title", F.array_join("c.intro", "\n").alias("intro"), F.array_join(F.transform("c.posts", lambda a: a["href"]), " ").alias("posts"), F.size(extract.mentioning(F.col("c.posts"), F.lit("the"))).cast("long").alias("n_the"))
+
+
+def landed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' lines as an API's answers, which land as files of JSON lines and are read by a declared schema; every third is a failure."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("code"), F.struct(F.to_json(F.split("text", "\n")).alias("content_data")).alias("data"), F.col("doc_id").alias("id")).alias("answer"))
+    folder = new_folder(spark, "answers")
+    docs.select("answer.*").write.json(folder)
+    landed = landed_json(spark, folder, "id bigint, code int, data struct<content_data: string>")
+    lines = extract.payload_lines(F.to_json(F.struct("code", "data")))
+    return landed.select(F.col("id").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), F.sha2(F.array_join(lines, "\n"), 256).alias("lines_sha256")).withColumn("n_lines", F.when(F.col("lines_sha256").isNotNull(), F.col("n_lines")))
+
+
+def landed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text files of a folder, read as whole files: their bytes, and their lines when decoded."""
+    folder = new_folder(spark, "texts")
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(folder)
+    files = landed_files(spark, folder, "*.txt")
+    lines = F.length(F.regexp_replace(decoded_file(F.col("content")), "[^\n]+", ""))
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.sum(lines), F.lit(0)).cast("long").alias("n_line_ends"))
+
+
+def split_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts parted at the anchor that ends their intro; every fourth has none. Paragraphs that a comma ends run on."""
+    half = F.expr("CAST(length(text) DIV 2 AS INT)")
+    html = F.concat(F.substring("text", F.lit(1), half), F.when(F.col("doc_id") % 4 == 0, "").otherwise('<a id="m" name="more"></a>'), F.substring("text", half + 1, F.length("text")), F.lit("<p>one, </p> <p>two</p>"))
+    parts = table(spark, sf_dir, "documents").select("doc_id", extract.split_at_more(html).alias("p"))
+    return parts.select("doc_id", F.sha2("p.intro", 256).alias("intro_sha256"), F.length("p.intro").alias("n_intro"), F.substring(text.comma_breaks(F.col("p.body")), -13, 13).alias("ending"))
+
+
+def volume_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a book's chapters, with the labels of references in the same places; every fourth book has a chapter less than references."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), "turn", "role")
+    refs = turns.select("book", (F.col("turn") * 2).alias("ord"), F.concat(F.lit("V"), F.expr("CAST(turn DIV 3 AS STRING)")).alias("volume"))
+    chapters = turns.where("NOT (book % 4 = 0 AND turn = 0)").select("book", F.col("turn").alias("ord"), F.col("role").alias("title"))
+    return segment.labelled(refs, chapters).select("book", "place", "title", "volume", "asserted")
+
+
+QUERIES = {f.__name__: f for f in (category_pages, landed_answers, landed_bytes, split_posts, volume_labels, book_catalog, catalog_next, book_chapters, book_counts, engine_results, native_search, related_entries, package_refs, book_texts)}
 
 
 def _duck(x: str) -> str:
@@ -187,6 +230,20 @@ v AS (SELECT *, sum(new) OVER (PARTITION BY book ORDER BY ord)::BIGINT AS vid FR
 
 _MADE_SQL = "SELECT page_id, url, page_id // 5 AS g FROM pages"
 ORACLE = {
+    "category_pages": f"""
+WITH s AS (SELECT page_id, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host FROM pages),
+k AS (SELECT page_id FROM s WHERE (host = 'example.com' OR suffix(host, '.example.com')) AND NOT (host = 'blog.example.com' OR suffix(host, '.blog.example.com'))),
+c AS (SELECT page_id, string_agg(href, ' ' ORDER BY ord) AS posts, count(*) FILTER (WHERE contains(href, 'the') OR contains(label, 'the')) AS n FROM ({CONTENTS_SQL}) GROUP BY page_id)
+SELECT page_id, coalesce(nullif(m.heading, ''), m.title) AS title, m.intro, coalesce(c.posts, '') AS posts, coalesce(c.n, 0) AS n_the FROM k JOIN ({META_SQL}) m USING (page_id) LEFT JOIN c USING (page_id)""",
+    "landed_answers": """
+SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN len(string_split(text, chr(10)))::BIGINT END AS n_lines, CASE WHEN doc_id % 3 > 0 THEN sha256(text) END AS lines_sha256 FROM documents""",
+    "landed_bytes": "SELECT coalesce(sum(octet_length(encode(coalesce(text, ''))) + 1), 0)::BIGINT AS n_bytes, coalesce(sum(length(text) - length(replace(text, chr(10), '')) + 1), 0)::BIGINT AS n_line_ends FROM documents",
+    "split_posts": """
+SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN '' ELSE text[1:length(text) // 2] END) AS intro_sha256, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE length(text) // 2 END::INTEGER AS n_intro, '<p>one,two</p>'[-13:] AS ending FROM documents""",
+    "volume_labels": """
+WITH r AS (SELECT conv_id AS book, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS place, 'V' || (turn // 3) AS volume, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+c AS (SELECT conv_id AS book, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS place, role AS title, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE NOT (conv_id % 4 = 0 AND turn = 0))
+SELECT c.book, c.place, c.title, r.volume, r.n = c.n AS asserted FROM c JOIN r ON r.book = c.book AND r.place = c.place""",
     "book_catalog": _CATALOG_SQL,
     "catalog_next": f"SELECT DISTINCT conv_id::VARCHAR AS book, {_SECTION} AS section, 'https://books.example/menu/' || conv_id || '/' || ({_SECTION} + 1) AS next FROM conversations",
     "book_chapters": _CHAPTERS_SQL + "\nSELECT book, ord, vid, volume, title, len(texts)::BIGINT AS n_lines, sha256(array_to_string(texts, chr(10))) AS lines_sha256, error FROM v",
