@@ -59,6 +59,47 @@ CONTENTS_SQL = f"""
         WHERE label <> '' GROUP BY page_id, href)"""
 
 
+# Beside written cases, rows made from a table: expressions that Spark and SQL read alike.
+_DIGITS_OF = "translate(CAST(doc_id % 10000 AS {s}), '0123456789', '零一二三四五六七八九')"
+_MADE = {
+    "numeral": ("documents", "concat(CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE '' END, '第', CASE WHEN doc_id % 2 = 0 THEN " + _DIGITS_OF + " ELSE concat('两千', translate(CAST(doc_id % 9 + 1 AS {s}), '123456789', '一二三四五六七八九'), '百十', CASE WHEN doc_id % 3 = 0 THEN '五' ELSE '' END) END, CASE doc_id % 5 WHEN 0 THEN '节' WHEN 1 THEN '回 x' ELSE '章' END)",),
+    "title": ("documents", "concat(CASE doc_id % 4 WHEN 0 THEN concat('第', CAST(doc_id AS {s}), '章 卷十二 ') WHEN 1 THEN '第二卷 ' ELSE '' END, replace(substring(text, 1, 18), {feed}, ' '), CASE doc_id % 5 WHEN 0 THEN ' by Ann Lee (x)' WHEN 1 THEN ' (陈一) - a小说网' WHEN 2 THEN '（下）' WHEN 3 THEN '最新章节' ELSE '' END)",),
+    "url": ("pages", "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN concat('http://blog.mirror.example/?x=1&no=', CAST(page_id AS {s})) WHEN 2 THEN concat('https://read.example/book/', CAST(page_id AS {s}), '/', CAST(page_id % 9 AS {s}), '_2.html?a') WHEN 3 THEN concat('https://api.example/chapter/', CAST(page_id AS {s}), '_0af_9c.html') WHEN 4 THEN concat('//m.example.com//a/', CAST(page_id AS {s})) ELSE concat('x', url) END",),
+    "link": ("pages", "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('/url?sa=U&q=https%3A%2F%2Fa.example%2F', CAST(page_id AS {s}), '%20b+c&x=1') WHEN 2 THEN concat('//find.example/l/?x=1&uddg=http%3A%2F%2Fb.example%2F', CAST(page_id AS {s})) ELSE concat('/p/', CAST(page_id AS {s})) END",),
+    "variant": ("documents", "concat(substring(text, 1, 40), '靈書', CAST(doc_id AS {s}))",),
+}
+
+
+def _made(name: str, spark: bool) -> str:
+    return _MADE[name][1].format(s="STRING" if spark else "VARCHAR", feed=r"'\n'" if spark else "chr(10)")
+
+
+def wide_cases(spark: SparkSession, sf_dir: str, columns: str, rows: str, made: str) -> DataFrame:
+    """Written cases of several columns, the first a number, and made ones for each document: expressions in the columns' order."""
+    docs = table(spark, sf_dir, "documents")
+    ord_, *rest = columns.split(", ")
+    made = docs.select((F.col("doc_id") + 1000).alias(ord_), F.expr(f"struct({made.format(s='STRING')})").alias("m"))
+    made = made.select(ord_, *(F.col(f"m.col{k}").alias(c) for k, c in enumerate(rest, 1)))
+    return literal(spark, columns, rows).withColumn(ord_, F.col(ord_).cast("long")).unionByName(made)
+
+
+def wide_cases_sql(columns: str, rows: str, made: str) -> str:
+    return f"(SELECT * FROM (VALUES {rows}) t({columns}) UNION ALL SELECT doc_id + 1000, {made.format(s='VARCHAR')} FROM documents) t"
+
+
+def _cases(spark: SparkSession, sf_dir: str, columns: str, rows: str, name: str) -> DataFrame:
+    """Written cases (ord, x), and a made one for each row of a table, numbered from 1,000."""
+    source, key = _MADE[name][0], "doc_id" if _MADE[name][0] == "documents" else "page_id"
+    ord_, x = columns.split(", ")
+    made = table(spark, sf_dir, source).select((F.col(key) + 1000).alias(ord_), F.expr(_made(name, True)).alias(x))
+    return literal(spark, columns, rows).select(F.col(ord_).cast("long").alias(ord_), x).unionByName(made)
+
+
+def _cases_sql(columns: str, rows: str, name: str) -> str:
+    key = "doc_id" if _MADE[name][0] == "documents" else "page_id"
+    return f"(SELECT * FROM (VALUES {rows}) t({columns}) UNION ALL SELECT {key} + 1000, {_made(name, False)} FROM {_MADE[name][0]}) t"
+
+
 def pages_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", F.posexplode(extract.paragraphs(F.col("html"))).alias("para_no", "text"))
@@ -95,7 +136,7 @@ def url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical, mirrored, book and chapter URLs of written cases."""
     url = F.col("url")
     ids = urls.chapter_ids(url)
-    return literal(spark, URL_COLUMNS, URL_ROWS).select(
+    return _cases(spark, sf_dir, URL_COLUMNS, URL_ROWS, "url").select(
         "ord",
         urls.canonical_url(url).alias("canonical"),
         urls.site_url(url, F.lit("www.example.com"), F.lit("/a")).alias("on_site"),
@@ -124,7 +165,7 @@ NUMERAL_ROWS = """
 
 def numeral_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw")
-    return literal(spark, NUMERAL_COLUMNS, NUMERAL_ROWS).select(
+    return _cases(spark, sf_dir, NUMERAL_COLUMNS, NUMERAL_ROWS, "numeral").select(
         "ord", titles.chapter_number(raw).alias("number"), titles.chapter_unit(raw).alias("unit"), titles.section_as_chapter(raw).alias("as_chapter")
     )
 
@@ -139,7 +180,7 @@ _SPLIT = titles.SPLIT_TITLE
 def title_author_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw")
     parts, named, found = titles.split_title(raw), titles.title_and_author(raw), titles.result_title(raw)
-    return literal(spark, TITLE_COLUMNS, TITLE_ROWS).select(
+    return _cases(spark, sf_dir, TITLE_COLUMNS, TITLE_ROWS, "title").select(
         "ord",
         *(parts[c].alias(c) for c in ("chapter", "volume", "name")),
         named["title"].alias("title"),
@@ -177,8 +218,12 @@ CASE_ROWS = """
   (5, 'sea red', 'The red, red sea', '', ''), (6, 'lin', 'x', 'Lin Mu', ''), (7, 'mu', 'x', '', 'by Mu'), (8, 'none', 'x', 'y', 'z'), (9, 'red sea', 'red', '', '')"""
 
 
+CASE_MADE = """concat('Book ', CAST(doc_id % 4 AS {s})), concat(CASE WHEN doc_id % 3 = 0 THEN 'The ' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN 'BOOK' ELSE 'of book' END, CAST(doc_id % 7 AS {s})),
+  CASE WHEN doc_id % 2 = 0 THEN concat('book', CAST(doc_id % 3 AS {s})) ELSE '' END, substring(text, 1, 40)"""
+
+
 def match_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, CASE_COLUMNS, CASE_ROWS).select("ord", text.match_level(*map(F.col, ("query", "title", "author", "snippet"))).alias("level"), text.titles_overlap(F.col("query"), F.col("title")).alias("overlap"))
+    return wide_cases(spark, sf_dir, CASE_COLUMNS, CASE_ROWS, CASE_MADE).select("ord", text.match_level(*map(F.col, ("query", "title", "author", "snippet"))).alias("level"), text.titles_overlap(F.col("query"), F.col("title")).alias("overlap"))
 
 
 VARIANT_COLUMNS = "ord, raw"
@@ -186,7 +231,7 @@ VARIANT_ROWS = "(0, '靈魂深處鬧革命'), (1, '書'), (2, 'plain'), (3, ''),
 
 
 def variant_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal(spark, VARIANT_COLUMNS, VARIANT_ROWS).select("ord", text.fold_variants(F.col("raw")).alias("folded"), text.search_key(F.col("raw")).alias("key"))
+    return _cases(spark, sf_dir, VARIANT_COLUMNS, VARIANT_ROWS, "variant").select("ord", text.fold_variants(F.col("raw")).alias("folded"), text.search_key(F.col("raw")).alias("key"))
 
 
 LINK_COLUMNS = "ord, href"
@@ -197,7 +242,7 @@ LINK_ROWS = """
 
 def redirect_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     href, query = F.col("href"), F.concat(F.lit("red sea "), F.col("ord").cast("string"))
-    return literal(spark, LINK_COLUMNS, LINK_ROWS).select(
+    return _cases(spark, sf_dir, LINK_COLUMNS, LINK_ROWS, "link").select(
         "ord",
         urls.redirect_target(href).alias("target"),
         F.url_encode(query).alias("encoded"),
@@ -263,9 +308,15 @@ BOOK_ROWS = """
   (3, 'T (A B) / C', '作者: |作者：late', 'one|编辑评价a.gif|two', '《a》共x节', '（本章完）|目录', 'image/webp')"""
 
 
+BOOK_MADE = """concat('T', CAST(doc_id AS {s}), CASE WHEN doc_id % 3 = 0 THEN concat('(A', CAST(doc_id % 5 AS {s}), ')') ELSE '' END, '/x/', CASE WHEN doc_id % 2 = 0 THEN '完结' ELSE '' END),
+  concat('类别：x|', CASE WHEN doc_id % 4 = 0 THEN '作者： 南山' ELSE '状态:y' END), concat('one|', CASE WHEN doc_id % 3 = 1 THEN 'BY 南山 z|' ELSE '' END, CASE WHEN doc_id % 7 = 0 THEN '作品简评：|' ELSE '' END, 'two'),
+  concat('《T', CAST(doc_id AS {s}), '》共', CAST(doc_id % 90 AS {s}), CASE WHEN doc_id % 8 = 0 THEN '章' ELSE '节' END), concat(CASE WHEN doc_id % 2 = 0 THEN '　　' ELSE '' END, 'p', CAST(doc_id AS {s}), '|下一页|（本章完）|q'),
+  CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/webp' ELSE 'x' END"""
+
+
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled values, titles, authors, declared totals, bodies and intros of written pages."""
-    rows = literal(spark, BOOK_COLUMNS, BOOK_ROWS)
+    rows = wide_cases(spark, sf_dir, BOOK_COLUMNS, BOOK_ROWS, BOOK_MADE)
     lines = lambda c: F.replace(c, F.lit("|"), F.lit("\n"))
     title, total, body = extract.title_parts(F.col("page_title")), extract.declared(F.col("heading")), extract.body_lines(lines("body"))
     return rows.select(
@@ -349,7 +400,7 @@ SELECT ord, coalesce(regexp_extract(list_filter(string_split(lines, '|'), lambda
        coalesce(NOT regexp_matches({_KEPT}[1], '^[\x{{00a0}}\x{{3000}}]{{2,}}'), false) AS continues,
        array_to_string(CASE WHEN len(list_filter({_INTRO}, lambda x: {_REVIEW})) > 0 THEN {_INTRO}[1:list_position({_INTRO}, list_filter({_INTRO}, lambda x: {_REVIEW})[1]) - 1] ELSE {_INTRO} END, '|') AS intro_text,
        CASE mime WHEN 'image/png' THEN '.png' WHEN 'image/gif' THEN '.gif' WHEN 'image/webp' THEN '.webp' ELSE '.jpg' END AS cover
-FROM (VALUES {BOOK_ROWS}) t({BOOK_COLUMNS})""",
+FROM {wide_cases_sql(BOOK_COLUMNS, BOOK_ROWS, BOOK_MADE)}""",
     "pages_paragraphs": f"SELECT page_id, (unnest(range(len(texts))))::INTEGER AS para_no, unnest(texts) AS text FROM ({PARAGRAPHS_SQL})",
     "pages_metadata": f"SELECT page_id, title, heading, lang, owner, intro FROM ({META_SQL})",
     "pages_toc": CONTENTS_SQL,
@@ -368,7 +419,7 @@ SELECT ord, {canonical_sql("url")} AS canonical,
        regexp_extract(url, '{_PARTS}', 1) || '://' || lower(regexp_extract(url, '{_PARTS}', 2)) || '/book/' || nullif(regexp_extract(url, '/book/(\d+)/(?:\d+(?:_\d+)?\.html)?(?:[?#].*)?$', 1), '') || '/' AS book,
        regexp_extract(url, '/chapter/(\d+)_([0-9a-f]+)_([0-9a-f]+)\.html$', 1) AS category, regexp_extract(url, '/chapter/(\d+)_([0-9a-f]+)_([0-9a-f]+)\.html$', 2) AS book_id,
        regexp_extract(url, '/chapter/(\d+)_([0-9a-f]+)_([0-9a-f]+)\.html$', 3) AS chapter_id
-FROM (VALUES {URL_ROWS}) t({URL_COLUMNS})""",
+FROM {_cases_sql(URL_COLUMNS, URL_ROWS, 'url')}""",
     "source_routing": rf"""
 SELECT p.page_id, p.host, coalesce(arg_min(s.source, s.ord), '') AS source, coalesce(arg_min(s.priority, s.ord), 0) AS priority
 FROM (SELECT page_id, lower(regexp_extract(url, '{_PARTS}', 2)) AS host FROM pages) p
@@ -378,7 +429,7 @@ GROUP BY p.page_id, p.host""",
 WITH RECURSIVE t AS (
   SELECT ord, raw, regexp_extract(raw, '^{WS}*第{WS}*([0-9]+|[零〇一二两三四五六七八九十百千]+){WS}*([章回])', 1) AS n,
          regexp_extract(raw, '^{WS}*第{WS}*([0-9]+|[零〇一二两三四五六七八九十百千]+){WS}*([章回])', 2) AS unit
-  FROM (VALUES {NUMERAL_ROWS}) t({NUMERAL_COLUMNS})),
+  FROM {_cases_sql(NUMERAL_COLUMNS, NUMERAL_ROWS, 'numeral')}),
 f AS (
   SELECT ord, n AS rest, 0::BIGINT AS total, 0::BIGINT AS now FROM t WHERE regexp_matches(n, '^[^0-9]+$')
   UNION ALL
@@ -388,7 +439,7 @@ SELECT t.ord, CASE WHEN regexp_matches(n, '^[0-9]+$') THEN try_cast(n AS BIGINT)
        regexp_replace({clean_sql("raw")}, '^第([0-9０-９一二三四五六七八九十百千两]+)节$', '第\1章') AS as_chapter
 FROM t LEFT JOIN (SELECT * FROM f WHERE rest = '') f USING (ord)""",
     "title_author_split": rf"""
-WITH t AS (SELECT ord, raw, regexp_matches(raw, '{_SPLIT}') AS fits, regexp_extract(raw, '{_SPLIT}', 2) AS num FROM (VALUES {TITLE_ROWS}) t({TITLE_COLUMNS})),
+WITH t AS (SELECT ord, raw, regexp_matches(raw, '{_SPLIT}') AS fits, regexp_extract(raw, '{_SPLIT}', 2) AS num FROM {_cases_sql(TITLE_COLUMNS, TITLE_ROWS, 'title')}),
 a AS (SELECT *, {clean_sql(f"regexp_replace({clean_sql('raw')}, '[（(][^()（）]*[)）] ?$', '')")} AS named FROM t),
 b AS (SELECT *, regexp_extract(named, '(?i)\bby +([^()（）]+)$', 1) AS who FROM a),
 c AS (SELECT *, CASE WHEN who <> '' THEN {clean_sql(r"regexp_replace(named, '(?i)\bby +[^()（）]+$', '')")} ELSE named END AS t1 FROM b),
@@ -409,8 +460,8 @@ FROM g""",
     "match_cases": rf"""
 SELECT ord, {level_sql("query", "title", "author", "snippet")} AS level, contains(a, b) OR contains(b, a) AS overlap
 FROM (SELECT *, regexp_replace(query, '[{text.TITLE_MARKS.replace("'", "''")}\x09-\x0D\x1C-\x20\x85\p{{Z}}]+', '', 'g') AS a, regexp_replace(title, '[{text.TITLE_MARKS.replace("'", "''")}\x09-\x0D\x1C-\x20\x85\p{{Z}}]+', '', 'g') AS b
-      FROM (VALUES {CASE_ROWS}) t({CASE_COLUMNS}))""",
-    "variant_fold": f"SELECT ord, translate(raw, '{text.TRADITIONAL}', '{text.SIMPLIFIED}') AS folded, {key_sql('raw')} AS key FROM (VALUES {VARIANT_ROWS}) t({VARIANT_COLUMNS})",
+      FROM {wide_cases_sql(CASE_COLUMNS, CASE_ROWS, CASE_MADE)})""",
+    "variant_fold": f"SELECT ord, translate(raw, '{text.TRADITIONAL}', '{text.SIMPLIFIED}') AS folded, {key_sql('raw')} AS key FROM {_cases_sql(VARIANT_COLUMNS, VARIANT_ROWS, 'variant')}",
     "redirect_unwrap": rf"""
 SELECT ord, CASE WHEN starts_with(u, '/url?') THEN url_decode(nullif(regexp_extract(u, '^/url\?(?:[^#]*&)?q=([^&#]*)', 1), ''))
                  WHEN regexp_extract(u, '^[^?#]*/l/\?(?:[^#]*&)?uddg=([^&#]*)', 1) <> '' THEN url_decode(regexp_extract(u, '^[^?#]*/l/\?(?:[^#]*&)?uddg=([^&#]*)', 1))
@@ -418,7 +469,7 @@ SELECT ord, CASE WHEN starts_with(u, '/url?') THEN url_decode(nullif(regexp_extr
        replace('red sea ' || ord, ' ', '+') AS encoded,
        'red sea ' || ord || ' example.com|' || CASE WHEN ord % 2 = 0 THEN 'red sea ' || ord || ' example.com/book/|' ELSE '' END
          || 'site:www.example.com' || CASE WHEN ord % 2 = 0 THEN '/book/' ELSE '' END || ' red sea ' || ord AS variants
-FROM (SELECT ord, CASE WHEN starts_with(href, '//') THEN 'https:' || href ELSE href END AS u FROM (VALUES {LINK_ROWS}) t({LINK_COLUMNS}))""",
+FROM (SELECT ord, CASE WHEN starts_with(href, '//') THEN 'https:' || href ELSE href END AS u FROM {_cases_sql(LINK_COLUMNS, LINK_ROWS, 'link')})""",
     "json_payload": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "author_theta_join": rf"""
 WITH r AS (SELECT * FROM (VALUES {AUTHOR_ROWS}) t(rid, query, description)),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import safe_name
 from ..operators import closure, extract, publish, segment, validate
-from ..sources.tables import literal, table
-from .extract import CONTENTS_SQL
+from ..sources.tables import table
+from .extract import CONTENTS_SQL, wide_cases, wide_cases_sql
 from .segment import ORACLE as SEGMENTS
 from .segment import paged_lines
 
@@ -70,9 +70,13 @@ def publish_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAME_ROWS = "(0, 'a/b:c?', 'Lin'), (1, ' .hidden. ', ''), (2, '', 'x|y'), (3, 'two  words', '...')"
 
 
+NAME_COLUMNS = "ord, title, author"
+NAME_MADE = "concat(CASE doc_id % 4 WHEN 0 THEN '..' WHEN 1 THEN 'a/b: ' ELSE '' END, CAST(doc_id AS {s}), '?  x', CASE WHEN doc_id % 3 = 0 THEN ' . ' ELSE '' END), CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '...' WHEN 2 THEN ' Ann <b>' ELSE concat('Lin ', lang) END"
+
+
 def output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     author = F.when(F.trim("author") == "", "").otherwise(F.concat(safe_name(F.col("author"), "Unknown Author"), F.lit("/")))
-    return literal(spark, "ord, title, author", NAME_ROWS).select("ord", F.concat(author, safe_name(F.col("title"), "book"), F.lit(".epub")).alias("path"))
+    return wide_cases(spark, sf_dir, NAME_COLUMNS, NAME_ROWS, NAME_MADE).select("ord", F.concat(author, safe_name(F.col("title"), "book"), F.lit(".epub")).alias("path"))
 
 
 QUERIES = {f.__name__: f for f in (sequence_issues, xref_issues, validation_report, validation_totals, pagination_closure, publish_manifest, output_paths)}
@@ -136,5 +140,5 @@ SELECT book, row_number() OVER (PARTITION BY book ORDER BY v, c)::INTEGER AS spi
     "output_paths": r"""
 SELECT ord, CASE WHEN trim(author, ' ') = '' THEN '' ELSE coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(author, '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'Unknown Author') || '/' END
   || coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(title, '[\\/:*?"<>|]', '_', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'book') || '.epub' AS path
-FROM (VALUES """ + NAME_ROWS + ") t(ord, title, author)",
+FROM """ + wide_cases_sql(NAME_COLUMNS, NAME_ROWS, NAME_MADE),
 }

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..functions.text import bound
 from ..operators import extract, search
-from ..sources.tables import SOURCE_ROWS, literal, routed, sources, table
-from .extract import _PARTS, CONTENTS_SQL, META_SQL, canonical_sql, key_sql, level_sql
+from ..sources.tables import SOURCE_ROWS, routed, sources, table
+from .extract import _PARTS, CONTENTS_SQL, META_SQL, canonical_sql, key_sql, level_sql, wide_cases, wide_cases_sql
 
 QUERY, PER_SOURCE, LIMIT = "the of", 5, 10
 
@@ -66,8 +66,12 @@ PREVIEW_ROWS = """
   (6, 'com', '', 'x', 'https://a.example/6', 1, 'q', 'q'), (7, 'blog', 'Red Sea', 'Lin', 'http://b.example/about', 12, 'a|b', 'y|z'), (8, 'org', 'None', '', 'https://d.example/8', 40, 'c', 'c')"""
 
 
+PREVIEW_MADE = """CASE doc_id % 3 WHEN 0 THEN 'blog' WHEN 1 THEN 'net' ELSE 'nowhere' END, concat(CASE WHEN doc_id % 2 = 0 THEN 'RED sea! ' ELSE 'Sea of red ' END, CAST(doc_id % 5 AS {s})), CASE WHEN doc_id % 4 = 0 THEN 'Lin' ELSE 'Red-Sea' END,
+  concat('http://b.example/', CASE WHEN doc_id % 7 = 0 THEN 'about' ELSE concat('blog-entry-', CAST(doc_id AS {s}), '.html') END), CAST(doc_id % 3 + 30 AS INT), 'a|b', 'y|z'"""
+
+
 def preview_dedupe_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search.without_near_copies(literal(spark, PREVIEW_COLUMNS, PREVIEW_ROWS)).withColumn("level", text.match_level(F.lit("red sea"), F.col("title"), F.col("author"), F.lit("")))
+    rows = search.without_near_copies(wide_cases(spark, sf_dir, PREVIEW_COLUMNS, PREVIEW_ROWS, PREVIEW_MADE)).withColumn("level", text.match_level(F.lit("red sea"), F.col("title"), F.col("author"), F.lit("")))
     rows = rows.join(F.broadcast(sources(spark).select("source", "priority")), "source", "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
     return search.ranked(rows, search.preview_order(), LIMIT).select("rank", "ord", "source", "level", "chapter_count")
 
@@ -109,7 +113,7 @@ SELECT rank, source, ord, level, raw_score, priority FROM (
 WHERE rank <= {LIMIT}""",
     "preview_build": f"SELECT m.page_id, m.title, m.intro, coalesce(p.n_items, 0) AS n_items, p.first_two, p.last_two FROM ({META_SQL}) m LEFT JOIN ({_PREVIEWS}) p USING (page_id)",
     "preview_dedupe_rank": rf"""
-WITH t AS (SELECT * FROM (VALUES {PREVIEW_ROWS}) t({PREVIEW_COLUMNS})),
+WITH t AS (SELECT * FROM {wide_cases_sql(PREVIEW_COLUMNS, PREVIEW_ROWS, PREVIEW_MADE)}),
 d AS (SELECT *, row_number() OVER (PARTITION BY source, {key_sql("title")}, {key_sql("author")}, chapter_count, first_two, last_two
       ORDER BY coalesce(try_cast(regexp_extract(url, 'blog-entry-(\d+)\.html', 1) AS BIGINT), 0), url, ord) AS k FROM t),
 s AS (SELECT d.ord, d.source, d.chapter_count, coalesce(s.priority, 0) AS priority, {level_sql("'red sea'", "d.title", "d.author", "''")} AS level
