@@ -10,6 +10,7 @@ from .text import SPACE, clean, unescape
 # Digits and units of Chinese numerals.
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000}
+# Meant to be wider than DIGITS and UNITS: headings may have the traditional form of two as well.
 NUMERAL = "零〇一二两兩三四五六七八九十百千"
 _ANY = rf"[{NUMERAL}0-9]+"
 
@@ -17,6 +18,17 @@ _ANY = rf"[{NUMERAL}0-9]+"
 CHAPTER_REF = rf"^{SPACE}*第{SPACE}*([0-9]+|[零〇一二两三四五六七八九十百千]+){SPACE}*([章回])"
 SPLIT_TITLE = rf"^{SPACE}*(第{SPACE}*{_ANY}{SPACE}*章){SPACE}*(?:卷{SPACE}*((?:[一二三四五六七八九]?十[一二三四五六七八九]?|百|[一二三四五六七八九])|[0-9]+){SPACE}*(.*)|(.*)){SPACE}*$"
 
+# A section's number as a chapter's; what follows a title; parts of a search result's title; the part mark.
+SECTION_TITLE = r"^第([0-9０-９一二三四五六七八九十百千两]+)节$"
+LAST_BRACKET = r"[（(][^()（）]*[)）] ?$"
+BY_AUTHOR = r"(?i)\bby +([^()（）]+)$"
+LAST_VOLUME = r"第[零一二三四五六七八九十百0-9]+卷[^()（）]*$"
+PUBLISHED = r"- ?出[書书]版.*$"
+PART_MARK = r"[（(]?[上中下][)）]?"
+SITE_NAME = r" ?[-_] ?[^-_ ]+(?:小说网|书库|site)$"
+SALES_WORDS = "(?:最新章节|全文阅读|免费全文阅读).*$"
+UNNAMED = "未命名"
+
 
 def numeral_value(x: Column) -> Column:
     """The number of a decimal or Chinese numeral; null for anything else. A later digit replaces an earlier one that no unit follows."""
@@ -45,7 +57,7 @@ def chapter_unit(title: Column) -> Column:
 
 def section_as_chapter(title: Column) -> Column:
     """A title that is only a section's number becomes a chapter's."""
-    return F.regexp_replace(clean(title), r"^第([0-9０-９一二三四五六七八九十百千两]+)节$", "第$1章")
+    return F.regexp_replace(clean(title), SECTION_TITLE, "第$1章")
 
 
 def split_title(raw: Column) -> Column:
@@ -63,28 +75,28 @@ def split_title(raw: Column) -> Column:
 
 def title_and_author(raw: Column) -> Column:
     """struct(title, author) of "title by author (tag)"; volume and edition marks at the title's end go."""
-    text = clean(F.regexp_replace(clean(raw), r"[（(][^()（）]*[)）] ?$", ""))
-    author = F.regexp_extract(text, r"(?i)\bby +([^()（）]+)$", 1)
-    title = F.when(author != "", clean(F.regexp_replace(text, r"(?i)\bby +[^()（）]+$", ""))).otherwise(text)
-    title = clean(F.regexp_replace(title, r"第[零一二三四五六七八九十百0-9]+卷[^()（）]*$", ""))
-    title = clean(F.regexp_replace(title, r"- ?出[書书]版.*$", ""))
-    title = clean(F.regexp_replace(title, r"[（(]?[上中下][)）]? ?$", ""))
+    text = clean(F.regexp_replace(clean(raw), LAST_BRACKET, ""))
+    author = F.regexp_extract(text, BY_AUTHOR, 1)
+    title = F.when(author != "", clean(F.regexp_replace(text, BY_AUTHOR, ""))).otherwise(text)
+    title = clean(F.regexp_replace(title, LAST_VOLUME, ""))
+    title = clean(F.regexp_replace(title, PUBLISHED, ""))
+    title = clean(F.regexp_replace(title, PART_MARK + " ?$", ""))
     return F.struct(F.coalesce(F.nullif(title, F.lit("")), clean(raw)).alias("title"), clean(author).alias("author"))
 
 
 def result_title(raw: Column) -> Column:
     """struct(title, author) of a search result's "title (author) - site" with its sales words."""
-    text = clean(F.regexp_replace(clean(unescape(raw)), r" ?[-_] ?[^-_ ]+(?:小说网|书库|site)$", ""))
-    text = clean(F.regexp_replace(text, "(?:最新章节|全文阅读|免费全文阅读).*$", ""))
+    text = clean(F.regexp_replace(clean(unescape(raw)), SITE_NAME, ""))
+    text = clean(F.regexp_replace(text, SALES_WORDS, ""))
     author = clean(F.regexp_extract(text, r"[（(]([^()（）]+)[)）]", 1))
     title = F.when(author != "", F.regexp_replace(text, r"^([^（(]*)[（(][^()（）]+[)）]", "$1")).otherwise(text)
     title = F.regexp_replace(title, r"^[ _\-：:]+|[ _\-：:]+$", "")
-    return F.struct(F.coalesce(F.nullif(title, F.lit("")), F.lit("未命名")).alias("title"), author.alias("author"))
+    return F.struct(F.coalesce(F.nullif(title, F.lit("")), F.lit(UNNAMED)).alias("title"), author.alias("author"))
 
 
 def base_title(x: Column) -> Column:
     """A title without the part mark at its end."""
-    return clean(F.regexp_replace(x, r"[（(]?[上中下][)）]?$", ""))
+    return clean(F.regexp_replace(x, PART_MARK + "$", ""))
 
 
 # The title that is respaced, and how.

@@ -195,7 +195,15 @@ def volume_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.labelled(refs, chapters).select("book", "place", "title", "volume", "asserted")
 
 
-QUERIES = {f.__name__: f for f in (category_pages, landed_answers, landed_bytes, split_posts, volume_labels, book_catalog, catalog_next, book_chapters, book_counts, engine_results, native_search, related_entries, package_refs, book_texts)}
+def preview_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and authors of previews: the page's own, or the search result's where the page is unnamed or says no author."""
+    pages = extract.metadata(table(spark, sf_dir, "pages"))
+    rows = pages.select("page_id", F.expr("CASE page_id % 3 WHEN 0 THEN '未命名' WHEN 1 THEN '' ELSE title END").alias("own"), F.expr("CASE WHEN page_id % 2 = 0 THEN owner ELSE '' END").alias("author"), F.expr("concat('Result ', CAST(page_id AS STRING), '[BL]')").alias("named"), F.lit("Ann").alias("by"))
+    title, author = books.preview_of("own", "author", "named", "by")
+    return rows.select("page_id", title.alias("title"), author.alias("author"))
+
+
+QUERIES = {f.__name__: f for f in (preview_fallback, category_pages, landed_answers, landed_bytes, split_posts, volume_labels, book_catalog, catalog_next, book_chapters, book_counts, engine_results, native_search, related_entries, package_refs, book_texts)}
 
 
 def _duck(x: str) -> str:
@@ -230,6 +238,8 @@ v AS (SELECT *, sum(new) OVER (PARTITION BY book ORDER BY ord)::BIGINT AS vid FR
 
 _MADE_SQL = "SELECT page_id, url, page_id // 5 AS g FROM pages"
 ORACLE = {
+    "preview_fallback": f"""
+SELECT page_id, CASE WHEN page_id % 3 < 2 OR title = '' THEN 'Result ' || page_id ELSE {clean_sql("regexp_replace(replace(title, '丨', ''), '\\[BL\\]$', '')")} END AS title, CASE WHEN page_id % 2 = 0 AND owner <> '' THEN owner ELSE 'Ann' END AS author FROM ({META_SQL})""",
     "category_pages": f"""
 WITH s AS (SELECT page_id, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host FROM pages),
 k AS (SELECT page_id FROM s WHERE (host = 'example.com' OR suffix(host, '.example.com')) AND NOT (host = 'blog.example.com' OR suffix(host, '.blog.example.com'))),
