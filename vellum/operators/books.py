@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,7 +76,7 @@ def related(starts: DataFrame, pages: DataFrame, entry: str, container: str = "m
     return first.join(known, "key", "left").select("start", "ord", "url", "html")
 
 
-def preview_of(book: str, title: str, author: str, result_title: str, result_author: str):
+def preview_of(title: str, author: str, result_title: str, result_author: str) -> tuple[Column, Column]:
     """(title, author) of a book's preview: its own, or where it is unnamed or has none the search result's."""
     named = F.when((F.col(title) != "") & (F.col(title) != "未命名"), F.col(title)).otherwise(F.col(result_title))
     return site_title(named), F.coalesce(F.nullif(F.col(author), F.lit("")), F.col(result_author))
