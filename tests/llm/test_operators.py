@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, common, embeddings, html, minhash, mixing, quality, queries, secrets, sentencepiece, sharding, suffixes, words
+from vellum.llm import chat, common, embeddings, html, minhash, mixing, quality, secrets, sentencepiece, sharding, suffixes, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 AWKWARD = [
@@ -564,7 +564,7 @@ def test_frequent_lines(spark):
     rows += [(200, "all rights RESERVED 1999\n" * 30, "en", "h", 0), (300, body(7) + "\nall rights reserved 5", "en", None, 0)]
     docs = spark.createDataFrame(rows, DOCS)
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
-    assert all(got[d].kept and got[d].removed_lines == [3, 4][: 2 - d % 2] for d in range(40))
+    assert all(got[d].kept and sorted(got[d].removed_lines) == [3, 4][: 2 - d % 2] for d in range(40))
     assert all(got[100 + k].kept and not got[100 + k].removed_lines for k in range(60)) and not got[200].kept
     assert got[300].kept and not got[300].removed_lines  # a host of its own
     left = {r.doc_id: r for r in quality.apply_rules(docs).collect()}
