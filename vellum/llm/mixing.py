@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, cut, numbered, stored, unused
+from .common import WORD, cut, stored
 
 _ITERATIONS = 60
 _PRECISION = 1e-9
@@ -104,8 +104,8 @@ def tilts(histogram: DataFrame, goals: DataFrame, sources: int, most: int = 3) -
     return cut(state.select("source", "scale", F.round("tilt", 7).alias("tilt"), "all_of_it"))
 
 
-def mix(docs: DataFrame, most: int = 3, row: str | None = None) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) for every row of docs, with its own row id if one is named.
+def mix(docs: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, size, source, source_size, target, copies, taken) for every row of docs.
 
     Each document gets floor(rate) or floor(rate) + 1 copies. A draw u in [0, 1), fixed by the
     document, takes the higher number if u / (the rate's fraction) is below a limit near 1, which
@@ -116,17 +116,36 @@ def mix(docs: DataFrame, most: int = 3, row: str | None = None) -> DataFrame:
     rows that are equal in id, source and text get the same draw, rows without an id one each; an empty
     table gives no rows; other columns are not read. Reruns agree.
     """
-    sizes = stored(
-        docs.select(
-            *([row] if row else []),
-            "doc_id",
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            # Rows without an id are told apart by their number.
-            F.xxhash64(F.lit("mix"), "doc_id", "source", "text", F.when(F.col("doc_id").isNull(), F.col(row) if row else F.monotonically_increasing_id())).alias("draw"),
-        ),
-        "sizes",
-    )
+    sizes = stored(docs.select("doc_id", "source", *_sized()), "sizes")
+    solved, limits, sources = _solved(sizes, most)
+    out = _copied(sizes, solved, limits, sources, most)
+    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _sized() -> tuple[Column, Column]:
+    """A row's size in words, and its draw; rows without an id are told apart by their number."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return size.alias("size"), F.xxhash64(F.lit("mix"), "doc_id", "source", "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).alias("draw")
+
+
+def _rated(rows: DataFrame, solved: DataFrame, sources: int, most: int) -> DataFrame:
+    """rows with the whole part of their rate, and the place among those of their source: small places get a further copy."""
+    rows = beside(rows, solved, sources).withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(0.0)).withColumn("whole", F.floor("rate").cast("long"))
+    rows = rows.withColumn("place", F.when(F.col("rate") > F.col("whole"), F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53)) / (F.col("rate") - F.col("whole"))))
+    rows = rows.withColumn("bin", F.when(F.col("place") < 2, F.floor(F.col("place") * (_BINS / 2))).otherwise(F.lit(_BINS)).cast("int"))
+    return rows.withColumn("cell", F.pmod(F.xxhash64("draw"), F.lit(_CELLS)).cast("int")).drop("rate")
+
+
+def _copied(rows: DataFrame, solved: DataFrame, limits: DataFrame, sources: int, most: int) -> DataFrame:
+    """rows(source, size, draw, ...) with copies, source_size and target: what a row gets follows from itself and its source's few numbers."""
+    rows = beside(_rated(rows, solved, sources, most), limits, sources, "left")
+    # A source without an edge bin takes all its free copies.
+    taken = F.col("place").isNotNull() & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (F.col("cell") <= F.col("last"))))
+    return rows.withColumn("copies", F.col("whole") + F.when(taken, 1).otherwise(0).cast("long"))
+
+
+def _solved(sizes: DataFrame, most: int) -> tuple[DataFrame, DataFrame, int]:
+    """The tilts of all sources, their limits of places with sizes and targets, and how many sources there are: a row a source each."""
     histogram = cut(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
     totals = cut(
         histogram.groupBy("source")
@@ -136,17 +155,7 @@ def mix(docs: DataFrame, most: int = 3, row: str | None = None) -> DataFrame:
     sources = totals.count()
     goal = cut(targets(totals.select("source", "source_size"), most).coalesce(4))
     solved = tilts(histogram, beside(goal, totals.select("source", "docs"), sources), sources, most)
-    rated = (
-        beside(sizes, solved, sources)
-        .withColumn("rate", F.when(F.col("size") > 0, _rate(most)).otherwise(0.0))
-        .withColumn("whole", F.floor("rate").cast("long"))
-        # The document's place among those of its source: small places get a further copy.
-        .withColumn("place", F.when(F.col("rate") > F.col("whole"), F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53)) / (F.col("rate") - F.col("whole"))))
-        .withColumn("bin", F.when(F.col("place") < 2, F.floor(F.col("place") * (_BINS / 2))).otherwise(F.lit(_BINS)).cast("int"))
-        .withColumn("cell", F.pmod(F.xxhash64("draw"), F.lit(_CELLS)).cast("int"))
-        .select(*([row] if row else []), "doc_id", "source", "size", "whole", "place", "bin", "cell")
-    )
-    rated = stored(rated, "rates")
+    rated = stored(_rated(sizes, solved, sources, most).select("source", "size", "whole", "place", "bin", "cell"), "rates")
     free = rated.where("place IS NOT NULL")
     sure = rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
     # The bins of a source are taken in order up to the edge bin, at most _BINS + 1 rows a source.
@@ -162,19 +171,18 @@ def mix(docs: DataFrame, most: int = 3, row: str | None = None) -> DataFrame:
     last = inner.where("before + words / 2 <= rest").groupBy("source").agg(F.max("cell").alias("last"))
     same = F.col("source").eqNullSafe(F.col("of"))
     limits = edge.join(last.withColumnRenamed("source", "of"), same, "left").select("source", "edge", F.coalesce("last", F.lit(-1)).alias("last"))
-    # A source without an edge bin takes all its free copies.
-    taken = F.col("place").isNotNull() & (F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (F.col("cell") <= F.col("last"))))
-    out = beside(rated, cut(limits.coalesce(4)), sources, "left").withColumn("copies", F.col("whole") + F.when(taken, 1).otherwise(0).cast("long"))
-    out = beside(out, goal, sources)
-    return out.select(*([row] if row else []), "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    limits = goal.join(limits.withColumnRenamed("source", "of"), same, "left").drop("of")
+    return solved, cut(limits.coalesce(4)), sources
 
 
 def apply_mix(docs: DataFrame, most: int = 3) -> DataFrame:
     """docs with every row as often as the mix takes it, in docs' columns.
 
-    Rows are numbered once, and copies go back by that number: rows that repeat an id, or have none, are taken each on their own.
+    What a row gets follows from itself and its source, so rows stay where they are, and rows that repeat an id, or have none, are taken each on their own.
     """
-    row, copies, copy = (unused(docs, c) for c in ("row_number", "copies", "copy"))
-    rows = numbered(docs, row)
-    taken = mix(rows.select(row, "doc_id", "source", "text"), most, row).where("copies > 0").select(row, F.col("copies").cast("int").alias(copies))
-    return rows.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    sizes = stored(docs.select("source", *_sized()), "sizes")
+    solved, limits, sources = _solved(sizes, most)
+    # The row travels in a struct, so that its columns may have any names.
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), "source", *_sized())
+    copies = _copied(rows, solved, limits, sources, most).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copies.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
