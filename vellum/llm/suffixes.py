@@ -38,8 +38,8 @@ from .words import _CODE, _size, inverse, powers, text_bytes
 #: Bytes of the initial buckets, of a refinement's step, and of the strings that count.
 Q, STEP, DEPTH = 20, 15, 50
 SPREAD = DEPTH - Q  # a string of DEPTH bytes that has a sampled q-gram begins at most so far before it
-#: Bytes of a block's documents, about.
-BLOCK = 2 << 20
+#: Bytes of a block's documents, about, and their number, at most.
+BLOCK, BLOCK_DOCS = 2 << 20, 1 << 15
 #: Bytes of all documents for each range of identifiers, about.
 RANGE = 8 << 20
 #: Bytes of all documents for each partition of blocks, at most.
@@ -61,16 +61,16 @@ def _spread(raw: bytes) -> bytes:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, index = TaskContext.get().partitionId(), 0
+    part, index, total = TaskContext.get().partitionId(), 0, 0
     ids: list[int] = []
     sizes: list[int] = []
     held: list[bytes] = []
 
     def packed() -> pa.RecordBatch:
-        nonlocal index
+        nonlocal index, total
         raw = b"".join(held)
         row = [[part << 32 | index], [len(raw)], [np.array(ids, np.int64).tobytes()], [np.array(sizes, np.int64).tobytes()], [zstandard.ZstdCompressor(level=3).compress(raw)]]
-        index += 1
+        index, total = index + 1, 0
         for x in (ids, sizes, held):
             x.clear()
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "size", "ids", "sizes", "data"])
@@ -78,8 +78,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, ends = text_bytes(batch.column("text"))
         for doc, a, b in zip(batch.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            if held and sum(sizes) + b - a > BLOCK:
+            if held and (total + b - a > BLOCK or len(held) == BLOCK_DOCS):
                 yield packed()
+            total += b - a
             ids.append(_NO_ID if doc is None else doc)
             sizes.append(b - a)
             held.append(raw[a:b].tobytes())
