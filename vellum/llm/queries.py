@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, html, minhash, mixing, quality, secrets, sentencepiece, sharding, suffixes
+from . import chat, embeddings, html, minhash, mixing, quality, secrets, sentencepiece, sharding, suffixes, tries
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +77,7 @@ QUERIES = {
         op8_quality_rules,
         op9_secret_scan,
         op10_source_mixing,
+        op11_conversation_trie,
     )
 }
 
@@ -242,4 +247,27 @@ LEFT JOIN (SELECT rid, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FI
 LEFT JOIN (SELECT rid, string_agg(span, ',' ORDER BY a, rank) AS spans FROM listed GROUP BY rid) l USING (rid)
 LEFT JOIN (SELECT rid, string_agg(span, ',' ORDER BY a, rank) AS spans FROM every GROUP BY rid) e USING (rid)
 LEFT JOIN (SELECT rid, count(*) AS n FROM odd GROUP BY rid) q USING (rid)""",
+    # The CRC-32 of an id's digits bit by bit; a prefix is the list of its turns' hashes.
+    "op11_conversation_trie": f"""
+WITH t AS (
+  SELECT conv_id AS c, sha256(coalesce(role, '') || chr(0) || coalesce(text, '')) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(struct_pack(x := x, n := n) ORDER BY k) AS turns FROM t GROUP BY c),
+crc AS (
+  SELECT c, turns, xor(list_reduce(list_prepend({0xFFFFFFFF}::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, {0xEDB88320}) ELSE v // 2 END)), {0xFFFFFFFF}) % 9 AS h
+  FROM own),
+built AS (SELECT a.c, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns FROM crc a LEFT JOIN own b ON b.c = a.c - a.c % 5),
+prefix AS (SELECT c, d, len(turns) AS most, coalesce(turns[d].n, 0) AS n, array_to_string(list_transform(turns[1:d], lambda z: z.x), ',') AS p FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+node AS (SELECT d, p, min(c) AS c, count(*) AS members, any_value(n) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE most = d), '') AS ends FROM prefix GROUP BY d, p),
+child AS (SELECT DISTINCT a.d, a.p, b.p AS over FROM prefix a JOIN prefix b ON a.c = b.c AND a.d = b.d + 1),
+kids AS (SELECT d - 1 AS d, over AS p, count(*) AS n FROM child GROUP BY ALL),
+path AS (SELECT DISTINCT a.d, a.p, b.d AS d2, b.p AS p2 FROM prefix a JOIN prefix b ON a.c = b.c AND a.d <= b.d),
+sums AS (
+  SELECT path.d, path.p, count(*) FILTER (WHERE kids.n IS NULL) AS leaves, sum((node.members - 1) * node.n)::BIGINT AS saved
+  FROM path JOIN node ON node.d = d2 AND node.p = p2 LEFT JOIN kids ON kids.d = d2 AND kids.p = p2 GROUP BY path.d, path.p)
+SELECT node.c AS conv_id, node.d AS depth, up.c AS parent_conv_id, node.members AS n_convs, coalesce(kids.n, 0) AS n_children,
+       sums.leaves AS n_leaves, sums.saved AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN sums USING (d, p) LEFT JOIN kids USING (d, p) LEFT JOIN child ON child.d = node.d AND child.p = node.p LEFT JOIN node up ON up.d = node.d - 1 AND up.p = child.over""",
 }
