@@ -1,11 +1,11 @@
-"""The registered queries op1 to op10 and the pipeline, and their SQL where SQL can express them."""
+"""The registered queries op1 to op13 and the pipeline, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, html, minhash, mixing, quality, secrets, sentencepiece, sharding, suffixes, tries
+from . import chat, embeddings, html, minhash, mixing, negatives, quality, secrets, sentencepiece, sharding, suffixes, tries, warc
 from .common import table
 
 
@@ -64,6 +64,15 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written into packages and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +87,8 @@ QUERIES = {
         op9_secret_scan,
         op10_source_mixing,
         op11_conversation_trie,
+        op12_warc,
+        op13_hard_negatives,
     )
 }
 
@@ -270,4 +281,23 @@ sums AS (
 SELECT node.c AS conv_id, node.d AS depth, up.c AS parent_conv_id, node.members AS n_convs, coalesce(kids.n, 0) AS n_children,
        sums.leaves AS n_leaves, sums.saved AS saved_tokens, sha256(node.ends) AS ends_sha256
 FROM node JOIN sums USING (d, p) LEFT JOIN kids USING (d, p) LEFT JOIN child ON child.d = node.d AND child.p = node.p LEFT JOIN node up ON up.d = node.d - 1 AND up.p = child.over""",
+    "op12_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+s AS (SELECT payload AS same, max(page_id) AS most FROM p WHERE octet_length(encode(payload)) >= {warc.LEAST} GROUP BY payload)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN most IS NULL OR page_id IS NOT DISTINCT FROM most THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM most THEN most END AS refers_to
+FROM p LEFT JOIN s ON payload = same""",
+    # Products of whole numbers, which doubles hold exactly.
+    "op13_hard_negatives": f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS e, row_number() OVER () AS rid
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % {negatives.EVERY} = 0 AND a.rid <> b.rid AND len(a.e) = len(b.e)),
+p AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS nth FROM s WHERE same QUALIFY nth <= {negatives.POSITIVES})
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.rid, p.nth ORDER BY s.score DESC, s.vec_id NULLS LAST)::INTEGER AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.rid = p.rid AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= {negatives.NEGATIVES}""",
 }
