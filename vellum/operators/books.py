@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import bound
 from ..functions.titles import section_as_chapter, site_title
 from ..functions.urls import chapter_ids, entry_key, joined_url
 from . import extract, segment
@@ -19,7 +20,7 @@ def catalog(pages: DataFrame) -> DataFrame:
     there are as many chapters as the greatest total that a heading has declared so far; total is that, or the number of chapters.
     """
     target = lambda a: joined_url(F.col("url"), a["href"])
-    links = F.transform(extract.anchors(F.col("html")), lambda a: F.struct(chapter_ids(target(a)).alias("ids"), target(a).alias("url"), section_as_chapter(a["label"]).alias("title")))
+    links = F.transform(extract.anchors(F.col("html")), lambda a: bound(target(a), lambda url: F.struct(chapter_ids(url).alias("ids"), url.alias("url"), section_as_chapter(a["label"]).alias("title"))))
     own = F.filter(links, lambda a: (a["ids"]["chapter"] != "") & (a["ids"]["book"] == F.col("book")) & (a["title"] != ""))
     pages = pages.select("book", "section", own.alias("links"), extract.declared(extract.plain(extract.element(F.col("html"), "h1")))["total"].alias("declared"))
     place = F.struct("section", "place")
@@ -67,9 +68,9 @@ def related(starts: DataFrame, pages: DataFrame, entry: str, container: str = "m
     known = pages.select(entry_key(F.col("url")).alias("key"), F.col("url").alias("page_url"), "html")
     known = known.groupBy("key").agg(F.min_by("html", "page_url").alias("html"))
     own = starts.select(F.col("url").alias("start"), entry_key(F.col("url")).alias("key")).join(known, "key", "left")
-    body = F.coalesce(F.nullif(extract.of_class(F.coalesce("html", F.lit("")), "div", container), F.lit("")), "html", F.lit(""))
-    links = F.transform(F.filter(extract.anchors(body), lambda a: a["href"].rlike(entry)), lambda a: joined_url(F.col("start"), a["href"]))
-    links = F.when(F.size(links) > 0, links).otherwise(F.array("start"))
+    body = F.coalesce(F.nullif(extract.of_class(F.col("html"), "div", container), F.lit("")), "html", F.lit(""))
+    links = F.transform(F.filter(extract.anchors(body), lambda a: a["href"].rlike(entry)), lambda a: bound(a["href"], lambda href: joined_url(F.col("start"), href)))
+    links = bound(links, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array("start")))
     listed = own.select("start", F.posexplode(links).alias("place", "url")).withColumn("key", entry_key(F.col("url")))
     first = listed.groupBy("start", "key").agg(F.min("place").alias("place"), F.min_by("url", "place").alias("url"))
     first = first.withColumn("ord", F.row_number().over(Window.partitionBy("start").orderBy("place")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markup
 from ..functions.text import bound, clean, escape_html, fold_variants, search_key, unescape
 
 _NOISE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<ins[^>]*>.*?</ins>|<iframe[^>]*>.*?</iframe>|<!--.*?-->"
@@ -23,8 +24,13 @@ def plain(fragment: Column) -> Column:
     return clean(unescape(F.regexp_replace(fragment, "<[^>]*>", "")))
 
 
+def whole_element(html: Column, tag: str) -> Column:
+    """What stands in the first element of a name up to its own end, whatever elements it holds; empty without one."""
+    return F.coalesce(markup.first_inside(html, markup.named(tag), markup.CONTAINERS), F.lit(""))
+
+
 def element(html: Column, tag: str) -> Column:
-    """What stands in the first element of a name."""
+    """What stands in the first element of a name that holds no element of its kind, as titles and headings."""
     return F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>", 1)
 
 
@@ -34,7 +40,7 @@ def paragraphs(html: Column) -> Column:
     Paragraphs begin at their tag, closed or not. Blank ones and navigation words go. A body
     without paragraph tags is split at line breaks.
     """
-    return paragraphs_in(element(without_noise(html), "article"))
+    return paragraphs_in(whole_element(without_noise(html), "article"))
 
 
 def paragraphs_in(body: Column) -> Column:
@@ -51,11 +57,18 @@ def paragraphs_in(body: Column) -> Column:
 
 
 def page_lines(html: Column) -> Column:
-    """A fragment's lines: broken at breaks, paragraphs and divisions, trimmed, none blank."""
-    broken = F.regexp_replace(without_noise(html), r"(?i)<br\s*/?>|</?(?:p|div|li|h[1-6])(?:\s[^>]*)?>", "\n")
+    """The lines of a fragment without scripts and comments: broken at breaks, paragraphs and divisions, trimmed, none blank."""
+    broken = F.regexp_replace(html, r"(?i)<br\s*/?>|</?(?:p|div|li|h[1-6])(?:\s[^>]*)?>", "\n")
     return F.filter(F.transform(F.split(broken, "\n+"), plain), lambda t: t != "")
 
 
+def text_lines(text: Column) -> Column:
+    """array<struct(place, text)>: a text's lines, cleaned, with the places they had, without blank ones and those of dashes only."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("place"), clean(x).alias("text")))
+    # Bound, so that the filter doesn't clean each line again.
+    return bound(lines, lambda rows: F.filter(rows, lambda r: (r["text"] != "") & ~r["text"].rlike("^-+$")))
+
+
 def split_at_more(html: Column) -> Column:
     """struct(intro, body): what stands before and after a post's "more" anchor; all is body without one."""
     parts = F.split(html, r"(?i)<a[^>]*name=[\"']more[\"'][^>]*>(?:</a>)?", 2)
@@ -67,7 +80,7 @@ def metadata(pages: DataFrame, *more: str) -> DataFrame:
     # A step for what several columns are cut from, so that it is made once.
     rows = pages.select("page_id", *more, without_noise(F.coalesce("html", F.lit(""))).alias("_bare"))
     bare = F.col("_bare")
-    rows = rows.select("page_id", *more, "_bare", plain(element(bare, "h1")).alias("_heading"), F.slice(paragraphs_in(element(bare, "article")), 1, 2).alias("_texts"))
+    rows = rows.select("page_id", *more, "_bare", plain(element(bare, "h1")).alias("_heading"), F.slice(paragraphs_in(whole_element(bare, "article")), 1, 2).alias("_texts"))
     return rows.select(
         "page_id",
         F.coalesce(F.nullif(plain(element(bare, "title")), F.lit("")), F.col("_heading")).alias("title"),
@@ -87,7 +100,7 @@ def anchors(html: Column) -> Column:
 
 def contents_of(html: Column, inside: str = "nav") -> Column:
     """array<struct(href, label)>: the links of a page's contents list, the first of each target, no blank labels."""
-    return bound(element(without_noise(html), inside), lambda part: first_of_each(F.filter(anchors(part), lambda a: a["label"] != "")))
+    return bound(whole_element(without_noise(html), inside), lambda part: first_of_each(F.filter(anchors(part), lambda a: a["label"] != "")))
 
 
 def first_of_each(links: Column) -> Column:
@@ -110,35 +123,47 @@ def payload_lines(answer: Column) -> Column:
     return F.when(outer["code"] == 0, F.from_json(outer["data"]["content_data"], "array<string>"))
 
 
-def _blocks(html: Column, opening: str, description: str = r"(?is)<p[^>]*>(.*?)</p>") -> Column:
-    """array<struct(title, href, description)>: one for each block that the opening tag begins and that has a link; its title is its heading's text or the link's."""
-    parts = F.split(html, opening)
-    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+_RESULT = "struct<title:string,href:string,description:string>"
+
+
+def _first_anchor(html: Column) -> Column:
+    """struct(href, label) of a fragment's first link; null without one."""
+    found = bound(F.regexp_extract(html, _ANCHOR, 0), lambda a: F.when(a != "", F.struct(unescape(F.regexp_extract(a, _ANCHOR, 1)).alias("href"), plain(F.regexp_extract(a, _ANCHOR, 2)).alias("label"))))
+    return bound(found, lambda a: a)
+
+
+def _blocks(html: Column, of_block, description) -> Column:
+    """array<struct(title, href, description)>: one for each element that is a block and has a link; its title is its heading's text or the link's."""
 
     def row(b: Column) -> Column:
         heading = plain(F.regexp_extract(b, r"(?is)<h[23][^>]*>(.*?)</h[23]>", 1))
-        return F.struct(
-            F.coalesce(F.nullif(heading, F.lit("")), plain(F.regexp_extract(b, _ANCHOR, 2))).alias("title"),
-            unescape(F.regexp_extract(b, _ANCHOR, 1)).alias("href"),
-            plain(F.regexp_extract(b, description, 1)).alias("description"),
+        return bound(
+            _first_anchor(b),
+            lambda a: F.struct(F.coalesce(F.nullif(heading, F.lit("")), a["label"], F.lit("")).alias("title"), F.coalesce(a["href"], F.lit("")).alias("href"), plain(description(b)).alias("description")),
         )
 
-    return F.filter(F.transform(parts, row), lambda r: (r["title"] != "") & (r["href"] != ""))
+    return F.filter(F.transform(markup.every_inside(html, of_block), row), lambda r: (r["title"] != "") & (r["href"] != ""))
+
+
+def _paragraph(b: Column) -> Column:
+    return F.regexp_extract(b, r"(?is)<p[^>]*>(.*?)</p>", 1)
 
 
 def result_blocks(html: Column) -> Column:
     """Results of a page that has a block of class result for each."""
-    return _blocks(html, r"(?i)<div class=\"result\">")
+    return _blocks(html, markup.named("div", "result"), _paragraph)
 
 
 def listed_results(html: Column) -> Column:
     """Results of a page that lists them as items of class b_algo."""
-    return _blocks(html, r"(?i)<li class=\"b_algo\">")
+    return _blocks(html, markup.named("li", "b_algo"), _paragraph)
 
 
 def grouped_results(html: Column) -> Column:
     """Results of a page that has a block of class g or MjjYud for each; of a page without one, all links but those that lead nowhere else."""
-    found = _blocks(html, r"(?i)<div class=\"(?:g|MjjYud)\">", description=r"(?is)<div class=\"(?:VwiC3b|IsZvec)\"[^>]*>(.*?)</div>")
+    either = lambda *names: lambda tag: markup.named("div", names[0])(tag) | markup.named("div", names[1])(tag)
+    described = lambda b: F.coalesce(markup.first_inside(b, either("VwiC3b", "IsZvec")), F.lit(""))
+    found = _blocks(html, either("g", "MjjYud"), described)
     every = F.transform(anchors(html), lambda a: F.struct(a["label"].alias("title"), a["href"].alias("href"), F.lit("").alias("description")))
     leads = lambda r: F.startswith(r["href"], F.lit("/url?")) | r["href"].rlike("^https?://")
     return bound(F.filter(found, leads), lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(every, leads)))
@@ -156,24 +181,31 @@ ENGINES = {"duckduckgo": result_blocks, "bing": listed_results, "bing_feed": fee
 
 def results_of(engine: Column, answer: Column) -> Column:
     """struct(items, error): an engine's answer read by its form; an unknown engine has no items and an error."""
-    items = F.array().cast("array<struct<title:string,href:string,description:string>>")
+    items = F.array().cast(f"array<{_RESULT}>")
     for name, read in ENGINES.items():
         items = F.when(engine == name, read(answer)).otherwise(items)
     known = F.coalesce(engine.isin(*ENGINES), F.lit(False))
-    return F.struct(items.alias("items"), F.when(~known, F.concat(F.lit("unknown search engine: "), F.coalesce(engine, F.lit("null")))).alias("error"))
+    return _once(items.alias("items"), F.when(~known, F.concat(F.lit("unknown search engine: "), F.coalesce(engine, F.lit("null")))).alias("error"))
+
+
+def _once(*fields: Column) -> Column:
+    """A struct that is made once, though several columns are read from it."""
+    return bound(F.struct(*fields), lambda s: s)
 
 
 def native_results(html: Column, entry: str) -> Column:
-    """array<struct(title, href, snippet)> of a site's own results page: of each list item that links to an entry, the first such link; the snippet is the item's whole text."""
+    """array<struct(title, href, snippet)> of a site's own results page: of each list item that links to an entry, the first such link; the snippet is the item's whole text.
+
+    An item that holds a list has the text and links of that list's items, too, which are items of their own.
+    """
     spaced = lambda x: clean(unescape(F.regexp_replace(x, "<[^>]*>", " ")))
-    items = F.regexp_extract_all(html, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1))
 
     def row(item: Column) -> Column:
-        link = F.get(F.filter(anchors(item), lambda a: a["href"].rlike(entry)), F.lit(0))
         heading = plain(F.regexp_extract(item, r"(?is)<h[23][^>]*>(.*?)</h[23]>", 1))
-        return F.struct(F.coalesce(F.nullif(link["label"], F.lit("")), heading).alias("title"), link["href"].alias("href"), spaced(item).alias("snippet"))
+        link = F.get(F.filter(anchors(item), lambda a: a["href"].rlike(entry)), F.lit(0))
+        return bound(link, lambda a: F.struct(F.coalesce(F.nullif(a["label"], F.lit("")), heading).alias("title"), a["href"].alias("href"), spaced(item).alias("snippet")))
 
-    return F.filter(F.transform(items, row), lambda r: r["href"].isNotNull() & (r["title"] != ""))
+    return F.filter(F.transform(markup.every_inside(html, markup.named("li")), row), lambda r: r["href"].isNotNull() & (r["title"] != ""))
 
 
 # How the title of a post that lists others begins.
@@ -200,8 +232,8 @@ def attribute(html: Column, name: str) -> Column:
 
 
 def of_class(html: Column, tag: str, name: str) -> Column:
-    """What stands in the first element of a tag and class, up to the next end of that tag."""
-    return F.regexp_extract(html, rf"(?is)<{tag}\s[^>]*class=[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</{tag}>", 1)
+    """What stands in the first element of a tag and class, up to its own end; null without one."""
+    return markup.first_inside(html, markup.named(tag, name), markup.CONTAINERS if tag in markup.CONTAINERS else markup.NAMES)
 
 
 def next_page(html: Column, inside: str = "") -> Column:
@@ -235,13 +267,16 @@ def category_page(html: Column) -> Column:
 def page_record(html: Column, container: str = "main") -> Column:
     """struct(title, lines, error) of a chapter's page: its heading, and the lines after it in the container. A page without the container, and one
     without lines, has an error; a null page is missing."""
-    body = of_class(F.coalesce(html, F.lit("")), "div", container)
-    parts = F.split(body, r"(?i)</h1>", 2)
-    title = F.when(F.size(parts) == 2, plain(parts[0])).otherwise("")
-    lines = page_lines(F.when(F.size(parts) == 2, parts[1]).otherwise(body))
-    there = F.coalesce(html.rlike(rf"(?i)<div\s[^>]*class=[\"'](?:[^\"']*\s)?{container}[\s\"']"), F.lit(False))
-    error = F.when(html.isNull(), "missing page").when(~there, "no container").when(F.size(lines) == 0, "empty body")
-    return F.struct(title.alias("title"), lines.alias("lines"), error.alias("error"))
+    body = of_class(without_noise(F.coalesce(html, F.lit(""))), "div", container)
+
+    def read(body: Column) -> Column:
+        return bound(
+            F.split(F.coalesce(body, F.lit("")), r"(?i)</h1>", 2),
+            lambda parts: F.struct(F.when(F.size(parts) == 2, plain(parts[0])).otherwise("").alias("title"), page_lines(F.element_at(parts, -1)).alias("lines"), body.isNotNull().alias("there")),
+        )
+
+    error = lambda r: F.when(html.isNull(), "missing page").when(~r["there"], "no container").when(F.size(r["lines"]) == 0, "empty body")
+    return bound(bound(body, read), lambda r: F.struct(r["title"].alias("title"), r["lines"].alias("lines"), error(r).alias("error")))
 
 
 def mentioning(links: Column, domain: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, titles, urls
+from ..functions import markup, text, titles, urls
 from ..operators import extract
 from ..sources.tables import SOURCE_COLUMNS, SOURCE_ROWS, literal, routed, table
 
@@ -39,6 +39,7 @@ def key_sql(x: str) -> str:
     return rf"regexp_replace(replace(replace(lower(translate(coalesce({x}, ''), '{text.TRADITIONAL}', '{text.SIMPLIFIED}')), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 
 
+_TAGS = rf"(?i)</?(?:{'|'.join(markup.NAMES)})(?:[\s/][^>]*)?>"
 _NAV = ", ".join(f"'{x}'" for x in extract.NAVIGATION)
 PARAGRAPHS_SQL = rf"""
   SELECT page_id, url, list_filter(list_transform(
@@ -273,15 +274,26 @@ def author_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUTHOR_ROWS = """
   (0, 'the', 'A story (Lin Mu) by Ann'), (1, 'ion', 'by Zhou, again by Zhou'), (2, 'zzzz', '(Nobody)'), (3, 'of', '作者：周明 《河》 李四')"""
 
-BLOCK_COLUMNS = "ord, html"
-BLOCK_ROWS = """
-  (0, '<body><div class="result"><a class="t" href="https://example.com/1?a=1&amp;b=2">One &amp; <b>only</b></a><p>First   text.</p></div><div class="result"><a href="/x">Two</a></div></body>'),
-  (1, '<body><div class="result"><p>No link</p></div></body>'), (2, '')"""
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element of every page: its place among the page's, name, depth, and the text between its tag and its own end."""
+    bare = extract.without_noise(F.coalesce("html", F.lit("")))
+    pages = table(spark, sf_dir, "pages").select("page_id", markup.page(bare).alias("p"))
+    own = F.transform("p.elements", lambda e: F.struct(markup.tag_of(F.col("p"), e).alias("tag"), e["depth"].alias("depth"), markup.inside(F.col("p"), e).alias("inside")))
+    rows = pages.select("page_id", F.posexplode(own).alias("ord", "e")).select("page_id", "ord", "e.depth", F.lower(F.regexp_extract("e.tag", "^<([A-Za-z0-9]+)", 1)).alias("name"), extract.plain(F.col("e.inside")).alias("text"))
+    return rows.select("page_id", "ord", "name", "depth", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+# A page's links as a search page lists them: nested in a column, each in a block with a heading and blocks of its own.
+_RESULT_ITEM = """concat('<div class="result hit"><div class="body"><h2><a class="t" href="', replace(href, '&', '&amp;'), '">', replace(replace(label, '&', '&amp;'), '<', '&lt;'), '</a></h2><div class="meta">', CAST(ord AS {s}), '</div><p>Found on ', CAST(page_id AS {s}), '.</p></div></div>')"""
 
 
 def search_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = literal(spark, BLOCK_COLUMNS, BLOCK_ROWS).select("ord", F.posexplode(extract.result_blocks(F.col("html"))).alias("place", "r"))
-    return blocks.select("ord", "place", "r.title", "r.href", "r.description", F.contains("r.href", F.lit("example.com")).alias("on_domain"))
+    """The links of every page's contents list, written as a page of results, read as such."""
+    links = extract.contents(table(spark, sf_dir, "pages")).select("page_id", F.struct("ord", F.expr(_RESULT_ITEM.format(s="STRING")).alias("item")).alias("i"))
+    answers = links.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda i: i["item"]), "<div>no result</div>").alias("items"))
+    html = F.concat(F.lit('<body><div class="results"><div class="result"><p>No link</p></div>'), "items", F.lit("</div></body>"))
+    blocks = answers.select("page_id", F.posexplode(extract.result_blocks(html)).alias("place", "r"))
+    return blocks.select("page_id", "place", "r.title", "r.href", "r.description", F.contains("r.href", F.lit("on")).alias("on_domain"))
 
 
 def comma_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,8 +302,7 @@ def comma_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' lines: cleaned, numbered as they stood, without blank and dash-only ones."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return lines.select("doc_id", "line_no", text.clean(F.col("raw")).alias("text")).where("text <> '' AND NOT text RLIKE '^-+$'")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(extract.text_lines(F.col("text"))).alias("l")).select("doc_id", F.col("l.place").alias("line_no"), "l.text")
 
 
 def display_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,6 +365,7 @@ QUERIES = {
         json_payload,
         author_theta_join,
         search_block_extract,
+        page_elements,
         comma_normalize,
         document_lines,
         display_format,
@@ -484,9 +496,19 @@ FROM a JOIN (SELECT page_id, regexp_replace(title, '[{text.TITLE_MARKS.replace("
   ON contains(p.t, a.query) OR contains(a.query, p.t)
 WHERE a.place < 5""",
     "search_block_extract": f"""
-WITH b AS (SELECT ord, generate_subscripts(p, 1) AS k, unnest(p) AS block FROM (SELECT ord, string_split_regex(html, '<div class="result">')[2:] AS p FROM (VALUES {BLOCK_ROWS}) t({BLOCK_COLUMNS}))),
-r AS (SELECT ord, k, {plain_sql("regexp_extract(block, '(?s)<a [^>]*>(.*?)</a>', 1)")} AS title, {unescape_sql("regexp_extract(block, 'href=\"([^\"]*)\"', 1)")} AS href, {plain_sql("regexp_extract(block, '(?s)<p>(.*?)</p>', 1)")} AS description FROM b)
-SELECT ord, (row_number() OVER (PARTITION BY ord ORDER BY k) - 1)::INTEGER AS place, title, href, description, contains(href, 'example.com') AS on_domain FROM r WHERE title <> '' AND href <> ''""",
+SELECT page_id, ord::INTEGER - 1 AS place, label AS title, href, 'Found on ' || page_id || '.' AS description, contains(href, 'on') AS on_domain FROM ({CONTENTS_SQL})""",
+    # Depths are running sums over all tags but those of paragraphs, which end at the next tag.
+    "page_elements": rf"""
+WITH b AS (SELECT page_id, {bare_sql("coalesce(html, '')")} AS bare FROM pages),
+l AS (SELECT page_id, regexp_extract_all(bare, '{_TAGS}') AS tags, string_split_regex(bare, '{_TAGS}') AS pieces FROM b),
+t AS (SELECT page_id, k, tag, starts_with(tag, '</') AS ends, lower(regexp_extract(tag, '[A-Za-z0-9]+')) AS name FROM (SELECT page_id, unnest(range(len(tags))) AS k, unnest(tags) AS tag FROM l)),
+d AS (SELECT *, sum(CASE WHEN name = 'p' THEN 0 WHEN ends THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY k) + CASE WHEN name = 'p' THEN 1 ELSE 0 END AS depth FROM t),
+e AS (
+  SELECT o.page_id, o.k, o.name, o.depth, coalesce(min(c.k), any_value(len(l.tags))) AS until
+  FROM d o JOIN l ON l.page_id = o.page_id LEFT JOIN d c ON c.page_id = o.page_id AND c.k > o.k AND (o.name = 'p' OR c.ends AND c.name <> 'p' AND c.depth < o.depth)
+  WHERE NOT o.ends GROUP BY o.page_id, o.k, o.name, o.depth),
+x AS (SELECT e.*, {plain_sql("array_to_string(list_transform(range(k + 1, until + 1), lambda i: pieces[i + 1] || CASE WHEN i < until THEN tags[i + 1] ELSE '' END), '')")} AS text FROM e JOIN l USING (page_id))
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS ord, name, depth::INTEGER AS depth, length(text)::INTEGER AS n_chars, sha256(text) AS text_sha256 FROM x""",
     "comma_normalize": "SELECT doc_id, regexp_replace(text, '([，,])[\t ]+', '\\1', 'g') AS text FROM documents",
     "document_lines": f"""
 SELECT doc_id, line_no, text FROM (
