@@ -1,36 +1,12 @@
-"""Packages written and read again, landed files and streams."""
-
-import zipfile
+"""Landed files, feeds and streams."""
 
 from pyspark.sql import functions as F
 
-from vellum.operators import closure, publish, validate
-from vellum.sources import packages, tables
+from vellum.operators import closure, publish
+from vellum.sources import tables
 from vellum.streaming import pages
 
 
-def test_package_round_trip(spark, tmp_path):
-    chapters = spark.createDataFrame(
-        [(7, 1, 1, "卷一", "第一章 a", ["x & y", "z"]), (7, 1, 2, "卷一", "第二章 b", ["w"]), (7, 2, 1, "卷二", "第三章 c", ["v"])],
-        "book long, vid long, cid long, volume string, chapter string, texts array<string>",
-    )
-    manifest = publish.manifest(chapters)
-    assert [r.file for r in manifest.orderBy("spine").collect()] == ["vol_01.xhtml", "chap_01_001.xhtml", "chap_01_002.xhtml", "vol_02.xhtml", "chap_02_001.xhtml"]
-    book = packages.packages(manifest, spark.createDataFrame([(7, "T & t", "id-7")], "book long, title string, identifier string")).first()
-    (tmp_path / "a.epub").write_bytes(book.content)
-    (tmp_path / "b.epub").write_bytes(b"not a zip")
-    (tmp_path / "c.txt").write_text("left out")
-    refs = packages.read_packages(spark, f"file://{tmp_path}").cache()
-    errors = refs.where("source = 'error'").collect()
-    assert [r.package.rsplit("/", 1)[-1] for r in errors] == ["b.epub"]
-    numbered = refs.where("number IS NOT NULL")
-    assert numbered.where("source = 'nav'").count() == numbered.where("source = 'ncx'").count() == 3
-    assert validate.cross_reference_issues(numbered).count() == 0
-    assert validate.sequence_issues(numbered.where("source = 'nav'")).count() == 0
-    with zipfile.ZipFile(tmp_path / "a.epub") as z:
-        assert z.namelist()[0] == "mimetype" and "<p>x &amp; y</p>" in z.read("OPS/chap_01_001.xhtml").decode()
-
-
 def test_identifier_is_stable(spark):
     row = spark.range(1).select(publish.identifier(F.lit("com"), F.lit(7)).alias("a"), publish.identifier(F.lit("com"), F.lit(7)).alias("b"), publish.identifier(F.lit("net"), F.lit(7)).alias("c")).first()
     assert row.a == row.b != row.c

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import comma_spacing, escape_html
 
-_HEAD = '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{}</title></head><body>'
+_HEAD = '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{}</title><link rel="stylesheet" type="text/css" href="style/main.css"/></head><body>'
 _TAIL = "</body></html>"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .segment import gaps
 
+
 def sequence_issues(refs: DataFrame) -> DataFrame:
     """(package, unit, kind, number, detail) of refs(package, unit, ord, number, href).
 
@@ -69,3 +70,27 @@ def totals(report: DataFrame) -> DataFrame:
     """(n_packages, n_failed, n_refs, n_issues): what a report of all packages comes to; one row, zeros for none."""
     count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return report.agg(F.count("*").alias("n_packages"), F.count_if("failed").alias("n_failed"), count("n_refs").alias("n_refs"), count("n_issues").alias("n_issues"))
+
+
+def package_issues(refs: DataFrame) -> DataFrame:
+    """(package, kind, href, number, detail): all that is wrong with packages whose refs(package, source, ord, href, title, number, unit) are given.
+
+    Contents lists are held against their own numbering, and against the ncx and the documents; of the titles only those with a number count.
+    damaged: a file or an entry that can't be read: "not a package", "checksum", "markup" for what isn't well-formed, or the error. A document of
+    another unit than its reference is of another number.
+    """
+    numbered = refs.where("number IS NOT NULL")
+    none = F.lit(None).cast("long")
+    told = F.when(F.col("href") == "", F.regexp_extract("title", "^[^:]*", 0)).when(F.col("title") == "checksum", "checksum").when(F.col("title").rlike(r": line \d+, column \d+$"), "markup").otherwise(F.col("title"))
+    damaged = refs.where("source = 'error'").select("package", F.lit("damaged").alias("kind"), "href", none.alias("number"), told.alias("detail"))
+    sequence = sequence_issues(numbered.where("source = 'nav'")).select("package", "kind", F.lit("").alias("href"), "number", F.trim(F.concat_ws(" ", "unit", "detail")).alias("detail"))
+    crossed = cross_reference_issues(numbered).select("package", "kind", "href", "number", F.coalesce(F.col("other").cast("string"), F.lit("")).alias("detail"))
+    return damaged.unionByName(sequence).unionByName(crossed)
+
+
+def package_report(refs: DataFrame) -> DataFrame:
+    """report of packages, those that can't be read among them; n_refs are the numbered references of the contents lists."""
+    issues = package_issues(refs).groupBy(F.col("package").alias("of")).agg(F.count("*").alias("n_issues"))
+    own = refs.groupBy("package").agg(F.count_if((F.col("source") == "nav") & F.col("number").isNotNull()).alias("n_refs"))
+    found = own.join(issues, F.col("package") == F.col("of"), "left").select("package", "n_refs", F.coalesce("n_issues", F.lit(0)).alias("n_issues"))
+    return found.withColumn("failed", F.col("n_issues") > 0)

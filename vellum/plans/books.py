@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, titles, urls
-from ..operators import books, extract, publish, search, segment
-from ..sources.packages import packages, refs_of
+from ..operators import books, extract, publish, search, segment, validate
+from ..sources import epub
+from ..sources.packages import read_packages, write_books
 from ..sources.landing import new_folder
 from ..sources.tables import SOURCES, chosen, decoded_file, landed_files, landed_json, routed, table
 from .extract import CONTENTS_SQL, META_SQL, clean_sql, key_sql, plain_sql
@@ -125,11 +126,67 @@ def related_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def package_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's manifest packed as an EPUB, and what the package's contents lists and documents refer to, read from its bytes again."""
+    """Every document's manifest written as an EPUB, and what the packages' contents lists and documents refer to, read from the files again."""
     manifest = publish.manifest(segment.volumes(paged_lines(spark, sf_dir)))
-    named = manifest.select("book").distinct().select("book", F.concat(F.lit("B"), F.col("book").cast("string")).alias("title"), publish.identifier(F.lit("documents"), F.col("book")).alias("identifier"))
-    files = packages(manifest, named).select(F.col("book").cast("string").alias("path"), "content")
-    return refs_of(files).where("source <> 'document' OR ord = 0").select("package", "source", "ord", "href", "title")
+    name = F.col("book").cast("string")
+    named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book")).distinct().select("book", name.alias("name"), F.concat(F.lit("B"), name).alias("title"), publish.identifier(F.lit("documents"), F.col("book")).alias("identifier"))
+    folder = new_folder(spark, "packages")
+    write_books(manifest, named, folder)
+    refs = read_packages(spark, folder).where("source <> 'document' OR ord = 0")
+    return refs.select(F.regexp_replace("package", r"\.epub$", "").alias("package"), "source", "ord", "href", "title")
+
+
+# Dialogues as books of numbered chapters: some are left out, some documents say another number or aren't well-formed, some packages are damaged.
+_BAD_NUMBER, _BAD_MARKUP, _CUT, _CHANGED = "(book + turn) % 9 = 0", "(book + turn) % 10 = 3", 5, 7
+_DAMAGE = 17
+
+
+def _packages_to_check(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of packages made from the conversations, of which every 17th is cut off and every 17th has an entry with a wrong checksum."""
+    turns = table(spark, sf_dir, "conversations").where("(conv_id + turn) % 11 <> 0").select(F.col("conv_id").alias("book"), "turn", "role", "text")
+    chapters = turns.select("book", F.expr("turn DIV 3").alias("vid"), F.col("turn").alias("cid"), F.expr("concat('Part ', CAST(turn DIV 3 AS STRING))").alias("volume"), F.expr("concat('第', CAST(turn + 1 AS STRING), '章 ', coalesce(role, ''))").alias("chapter"), F.array(F.coalesce("text", F.lit(""))).alias("texts"))
+    manifest = publish.manifest(chapters)
+    turn = F.regexp_extract("title", "第([0-9]+)章", 1).try_cast("long") - 1
+    other = F.expr("replace(content, concat('第', CAST(turn + 1 AS STRING), '章'), concat('第', CAST(turn + 2 AS STRING), '章'))")
+    manifest = manifest.withColumn("turn", turn).withColumn("content", F.when(F.expr(_BAD_NUMBER), other).otherwise(F.col("content")))
+    manifest = manifest.withColumn("content", F.when(F.expr(_BAD_MARKUP), F.concat("content", F.lit("<p>"))).otherwise(F.col("content"))).drop("turn")
+    books_ = turns.select("book").distinct().select(
+        "book", F.col("book").cast("string").alias("name"), F.concat(F.lit("Dialogue "), F.col("book").cast("string")).alias("title"), publish.identifier(F.lit("conversations"), F.col("book")).alias("identifier"),
+        F.when(F.col("book") % 2 == 0, "Ann & <b>").alias("author"), F.lit("en").alias("language"), F.when(F.col("book") % 3 == 0, "<p>Of this &amp; that.</p>").alias("intro"),
+        F.when(F.col("book") % 4 == 0, F.unhex(F.lit("89504E47"))).alias("cover"), F.lit("image/png").alias("cover_mime"),
+    )
+    folder = new_folder(spark, "packages")
+    write_books(manifest, books_, folder)
+    number = F.regexp_extract("path", r"([0-9]+)\.epub$", 1).cast("long") % _DAMAGE
+    files = landed_files(spark, folder, "*.epub").where(number.isin(_CUT, _CHANGED)).select("path", (number == _CUT).alias("cut"), "content")
+
+    def damage(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw = bytearray(row["content"])
+                if row["cut"]:
+                    raw = raw[: len(raw) // 2]
+                else:
+                    raw[raw.rindex(b"OPS/style/main.css") - 30] ^= 255  # the checksum in the directory
+                system, inner = epub.file_system(row["path"])
+                with system.open_output_stream(inner) as f:
+                    f.write(bytes(raw))
+            yield batch.select(["path"])
+
+    files.mapInArrow(damage, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def package_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the packages of a folder: numbers, references that don't agree, entries and whole files that can't be read."""
+    refs = read_packages(spark, _packages_to_check(spark, sf_dir))
+    return validate.package_issues(refs).select(F.regexp_replace("package", r"\.epub$", "").alias("package"), "kind", "href", "number", "detail")
+
+
+def package_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many packages of the same folder there are, with how many numbered contents, and how many fail with how many issues."""
+    refs = read_packages(spark, _packages_to_check(spark, sf_dir))
+    return validate.totals(validate.package_report(refs))
 
 
 def book_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +260,7 @@ def preview_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", title.alias("title"), author.alias("author"))
 
 
-QUERIES = {f.__name__: f for f in (preview_fallback, category_pages, landed_answers, landed_bytes, split_posts, volume_labels, book_catalog, catalog_next, book_chapters, book_counts, engine_results, native_search, related_entries, package_refs, book_texts)}
+QUERIES = {f.__name__: f for f in (preview_fallback, category_pages, landed_answers, landed_bytes, split_posts, volume_labels, book_catalog, catalog_next, book_chapters, book_counts, engine_results, native_search, related_entries, package_refs, package_issues, package_totals, book_texts)}
 
 
 def _duck(x: str) -> str:
@@ -236,6 +293,19 @@ r AS (
 t AS (SELECT book, ord, volume, title, error, CASE WHEN lines[1] = title THEN lines[2:] ELSE lines END AS texts FROM r),
 v AS (SELECT *, sum(new) OVER (PARTITION BY book ORDER BY ord)::BIGINT AS vid FROM (SELECT *, CASE WHEN volume IS DISTINCT FROM lag(volume) OVER (PARTITION BY book ORDER BY ord) THEN 1 ELSE 0 END AS new FROM t))"""
 
+# c: chapters; n: those of packages that aren't cut off, as the contents list them; i: issues.
+_PACKAGES_SQL = f"""
+WITH c AS (SELECT conv_id AS book, turn, turn + 1 AS number, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 3) AS v, row_number() OVER (PARTITION BY conv_id, turn // 3 ORDER BY turn) AS k FROM conversations WHERE (conv_id + turn) % 11 <> 0),
+n AS (SELECT *, printf('OPS/chap_%02d_%03d.xhtml', v, k) AS href, lag(number) OVER (PARTITION BY book ORDER BY turn) AS before FROM c WHERE book % {_DAMAGE} <> {_CUT}),
+i AS (
+  SELECT book::VARCHAR AS package, 'damaged' AS kind, '' AS href, NULL::BIGINT AS number, 'not a package' AS detail FROM (SELECT DISTINCT book FROM c WHERE book % {_DAMAGE} = {_CUT})
+  UNION ALL SELECT book::VARCHAR, 'damaged', 'OPS/style/main.css', NULL, 'checksum' FROM (SELECT DISTINCT book FROM c WHERE book % {_DAMAGE} = {_CHANGED})
+  UNION ALL SELECT book::VARCHAR, 'damaged', href, NULL, 'markup' FROM n WHERE {_BAD_MARKUP}
+  UNION ALL SELECT book::VARCHAR, 'missing document', href, number, '' FROM n WHERE {_BAD_MARKUP}
+  UNION ALL SELECT book::VARCHAR, 'document number', href, number, (number + 1)::VARCHAR FROM n WHERE {_BAD_NUMBER} AND NOT {_BAD_MARKUP}
+  UNION ALL SELECT book::VARCHAR, 'order', '', number, '章 after ' || before FROM n WHERE number <> before AND number <> before + 1
+  UNION ALL SELECT book::VARCHAR, 'missing', '', before + 1, CASE WHEN number > before + 2 THEN '章 to ' || (number - 1) ELSE '章' END FROM n WHERE number > before + 1)"""
+
 _MADE_SQL = "SELECT page_id, url, page_id // 5 AS g FROM pages"
 ORACLE = {
     "preview_fallback": f"""
@@ -280,6 +350,10 @@ FROM l LEFT JOIN pages p ON p.page_id = l.id""",
 WITH f AS (SELECT book::VARCHAR AS package, spine, 'OPS/' || file AS href, {clean_sql("title")} AS title FROM ({PUBLISHED["publish_manifest"]}))
 SELECT package, 'nav' AS source, (spine - 1)::INTEGER AS ord, href, title FROM f UNION ALL SELECT package, 'ncx', (spine - 1)::INTEGER, href, title FROM f
 UNION ALL SELECT package, 'document', 0, href, title FROM f""",
+    "package_issues": _PACKAGES_SQL + "\nSELECT package, kind, href, number, detail FROM i",
+    "package_totals": _PACKAGES_SQL + """
+SELECT count(*) AS n_packages, count(*) FILTER (WHERE coalesce(k.n, 0) > 0) AS n_failed, coalesce(sum(r.n), 0)::BIGINT AS n_refs, coalesce(sum(k.n), 0)::BIGINT AS n_issues
+FROM (SELECT b.book::VARCHAR AS package, count(n.number) AS n FROM (SELECT DISTINCT book FROM c) b LEFT JOIN n ON n.book = b.book GROUP BY ALL) r LEFT JOIN (SELECT package, count(*) AS n FROM i GROUP BY package) k USING (package)""",
     "book_texts": rf"""
 WITH t AS (
   SELECT *, {clean_sql("replace(text[1:30], chr(10), ' ') || CASE doc_id % 3 WHEN 0 THEN ' 丨 [BL]' WHEN 1 THEN '[BL] x' ELSE '' END")} AS raw,

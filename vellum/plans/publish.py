@@ -105,7 +105,7 @@ _ESC = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 def _page(title: str, level: str, inner: str) -> str:
     t = _ESC.format(x=title)
-    return f"""'<html xmlns="http://www.w3.org/1999/xhtml"><head><title>' || {t} || '</title></head><body><{level}>' || {t} || '</{level}>' || {inner} || '</body></html>'"""
+    return f"""'<html xmlns="http://www.w3.org/1999/xhtml"><head><title>' || {t} || '</title><link rel="stylesheet" type="text/css" href="style/main.css"/></head><body><{level}>' || {t} || '</{level}>' || {inner} || '</body></html>'"""
 
 
 ORACLE = {

@@ -1,67 +1,20 @@
-"""EPUB packages: reading their references, and writing manifests as packages."""
+"""What packages refer to, with the numbers in it, and books as the rows of the package sink."""
 
 from __future__ import annotations
 
 import io
-import posixpath
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.titles import chapter_number, chapter_unit
-from .tables import landed_files
+from . import epub
 
-_REFS = "package string, source string, ord int, href string, title string"
 
-
-def _name(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
-def _text(element) -> str:
-    return " ".join("".join(element.itertext()).split())
-
-
-def package_refs(data: bytes) -> Iterator[tuple[str, int, str, str]]:
-    """(source, ord, href, title) of everything that refers to a chapter: nav anchors, ncx points, and headings of documents.
-
-    An ncx point has its own label and target, not those of the points inside it. A file that isn't a
-    readable zip is one row of source error.
-    """
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(data))
-        broken = archive.testzip()
-    except zipfile.BadZipFile as e:
-        yield "error", 0, "", str(e)
-        return
-    if broken:
-        yield "error", 0, broken, "checksum"
-        return
-    for name in archive.namelist():
-        if not name.endswith((".xhtml", ".ncx")):
-            continue
-        try:
-            root = ElementTree.fromstring(archive.read(name))
-        except ElementTree.ParseError as e:
-            yield "error", 0, name, str(e)
-            continue
-        at = lambda href: posixpath.normpath(posixpath.join(posixpath.dirname(name), href.partition("#")[0]))  # noqa: B023, E731
-        if name.endswith("nav.xhtml"):
-            links = [e for e in root.iter() if _name(e.tag) == "a" and e.get("href")]
-            yield from (("nav", k, at(e.get("href")), _text(e)) for k, e in enumerate(links))
-        elif name.endswith(".ncx"):
-            for k, point in enumerate(e for e in root.iter() if _name(e.tag) == "navPoint"):
-                label = next((_text(e) for e in point if _name(e.tag) == "navLabel"), "")
-                target = next((e.get("src") for e in point if _name(e.tag) == "content"), "")
-                if label and target:
-                    yield "ncx", k, at(target), label
-        else:
-            titles = [_text(e) for e in root.iter() if _name(e.tag) in ("title", "h1", "h2")]
-            yield from (("document", k, name, t) for k, t in enumerate(titles))
+def _numbered(found: DataFrame) -> DataFrame:
+    return found.withColumns({"number": chapter_number(F.col("title")), "unit": chapter_unit(F.col("title"))})
 
 
 def refs_of(files: DataFrame) -> DataFrame:
@@ -69,50 +22,31 @@ def refs_of(files: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(path, *ref) for path, content in zip(frame["path"], frame["content"], strict=True) for ref in package_refs(content)]
+            rows = [(path, *ref) for path, content in zip(frame["path"], frame["content"], strict=True) for ref in epub.references(io.BytesIO(content))]
             yield pd.DataFrame(rows, columns=["package", "source", "ord", "href", "title"]).astype({"ord": "int32"})
 
-    found = files.select(F.col("path").cast("string").alias("path"), "content").mapInPandas(read, _REFS)
-    return found.withColumns({"number": chapter_number(F.col("title")), "unit": chapter_unit(F.col("title"))})
+    return _numbered(files.select(F.col("path").cast("string").alias("path"), "content").mapInPandas(read, epub.REFERENCES))
 
 
 def read_packages(spark: SparkSession, folder: str) -> DataFrame:
-    """refs_of all packages of a folder."""
-    return refs_of(landed_files(spark, folder, "*.epub"))
-
-
-def package_bytes(files: list[tuple[str, str, str, str]], title: str, identifier: str) -> bytes:
-    """An EPUB of files (name, kind, title, content) in reading order, with nav and ncx."""
-    escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        put = lambda name, text, how=zipfile.ZIP_DEFLATED: z.writestr(zipfile.ZipInfo(name), text, how)
-        put("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
-        put("META-INF/container.xml", '<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
-        items = "".join(f'<item id="f{k}" href="{name}" media-type="application/xhtml+xml"/>' for k, (name, *_) in enumerate(files))
-        spine = "".join(f'<itemref idref="f{k}"/>' for k in range(len(files)))
-        put(
-            "OPS/content.opf",
-            f'<package version="3.0" unique-identifier="id" xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{identifier}</dc:identifier><dc:title>{escape(title)}</dc:title></metadata>'
-            f'<manifest>{items}<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine toc="ncx">{spine}</spine></package>',
-        )
-        links = "".join(f'<li><a href="{name}">{escape(t)}</a></li>' for name, _, t, _ in files)
-        put("OPS/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{escape(title)}</title></head><body><nav><ol>{links}</ol></nav></body></html>')
-        points = "".join(f'<navPoint id="n{k}"><navLabel><text>{escape(t)}</text></navLabel><content src="{name}"/></navPoint>' for k, (name, _, t, _) in enumerate(files))
-        put("OPS/toc.ncx", f'<ncx version="2005-1" xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{points}</navMap></ncx>')
-        for name, _, _, content in files:
-            put(f"OPS/{name}", content)
-    return out.getvalue()
-
-
-def packages(manifest: DataFrame, titles: DataFrame) -> DataFrame:
-    """(book, title, content): manifests(book, spine, file, kind, title, content) as EPUB files, one book a group, with titles(book, title, identifier)."""
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("spine")
-        files = list(zip(frame["file"], frame["kind"], frame["title"], frame["content"], strict=True))
-        first = frame.iloc[0]
-        return pd.DataFrame({"book": [first["book"]], "title": [first["name"]], "content": [package_bytes(files, first["name"], first["identifier"])]})
-
-    rows = manifest.join(titles.select("book", F.col("title").alias("name"), "identifier"), "book")
-    return rows.groupBy("book").applyInPandas(pack, "book long, title string, content binary")
+    """The same of all packages of a folder, which are read where they lie; package is the file's name."""
+    return _numbered(epub.read_references(spark, folder))
+
+
+def package_files(manifest: DataFrame, books: DataFrame) -> DataFrame:
+    """epub.FILES: manifests(book, spine, file, kind, title, content) after a row for each of their books(book, name, title, identifier).
+
+    books may have author, language, intro (HTML), intro_title, cover (bytes) and cover_mime, too; a null is as if it weren't there. name is the file's, without its
+    extension. Books without files are packages without chapters; files of unknown books aren't written.
+    """
+    more = [c for c in ("identifier", "author", "language", "intro", "intro_title", "cover_mime") if c in books.columns]
+    cover = F.col("cover").cast("binary") if "cover" in books.columns else F.lit(None).cast("binary")
+    none = F.lit(None).cast("string")
+    heads = books.select("name", F.lit(-1).alias("spine"), F.lit("book").alias("kind"), none.alias("file"), "title", F.to_json(F.struct(*more)).alias("content"), cover.alias("data"))
+    rows = manifest.join(books.select(F.col("book").alias("of"), "name"), F.col("book") == F.col("of"))
+    return heads.unionByName(rows.select("name", "spine", "kind", "file", "title", "content", F.lit(None).cast("binary").alias("data")))
+
+
+def write_books(manifest: DataFrame, books: DataFrame, folder: str) -> None:
+    """package_files written to a folder, a package a book."""
+    epub.write_packages(package_files(manifest, books), folder)
