@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import segment, validate
+from vellum.operators import scan, segment, validate
 
 
 def lines_of(spark, books):
@@ -72,12 +72,87 @@ def test_sections(spark):
     merged = {(r.book, r.kind, r.number): r.text for r in segment.sections_merged(lines).collect()}
     assert merged == {(0, "preface", 0): "front\nmid", (0, "section", 1): "a1", (0, "section", 2): "b1\nb2", (0, "chapter", 2): "plain", (1, "chapter", 0): "only"}
     first = segment.sections_first(lines)
-    assert {(r.book, r.number): r.text for r in first.collect()} == {(0, 1): "a1", (0, 2): "b1"}
+    assert {(r.book, r.number): r.text for r in first.collect()} == {(0, 1): "a1", (0, 2): "b1", (0, 3): "plain", (1, 1): "only"}
     assert segment.missing_numbers(spark.createDataFrame([(0, 1), (0, 4), (1, 7)], "book long, number long")).orderBy("book").collect()[0].missing == "2-3"
     far = spark.createDataFrame([(0, 1), (0, 3), (0, 10**12), (0, None), (1, 5)], "book long, number long")
     assert {r.book: r.missing for r in segment.missing_numbers(far).collect()} == {0: "2,4-999999999999", 1: ""}
 
 
+def test_posts_without_marks_are_sections(spark):
+    posts = ["front\n2\nx\n---\ny", "Title\na-b\n--\n-\nplain", "7", "Title\n---", "5\n--\n6", "--\n9\nz"]
+    rows = [(0, c, k, t, "Title") for c, post in enumerate(posts) for k, t in enumerate(post.split("\n"))]
+    got = segment.sections_first(spark.createDataFrame(rows, "book long, c long, k int, text string, title string"))
+    # The second post's own number is taken, as is what a post of marks only is; the fourth has nothing left.
+    assert {r.number: r.text for r in got.collect()} == {2: "x\ny", 3: "7", 5: "5\n6", 9: "z"}
+
+
+def fold_of(machine):
+    """Every machine over lines, as a function of lines and whether books are whole."""
+    text = F.col("text")
+    return {
+        "volumes": lambda d, w: segment.volumes(d.withColumn("page", F.expr("line_no DIV 4")).withColumn("heading", F.expr("CASE WHEN line_no % 4 = 0 AND line_no % 3 = 0 THEN '第九卷' END")), w),
+        "turns": lambda d, w: segment.turns(d.withColumn("title", F.lit("T")), w),
+        "sections_merged": lambda d, w: segment.sections_merged(d.select("book", F.expr("line_no DIV 9").alias("c"), F.col("line_no").alias("k"), "text"), w),
+        "sections_first": lambda d, w: segment.sections_first(d.select("book", F.expr("line_no DIV 9").alias("c"), F.col("line_no").alias("k"), "text"), w),
+        "labelled": lambda d, w: segment.labelled(d.withColumnRenamed("text", "volume").where("line_no % 3 > 0"), d.where("line_no % 2 = 0"), order="line_no", whole=w),
+        "buckets": lambda d, w: segment.buckets(d.withColumn("text", F.nullif(text, F.lit("more"))), "book", "line_no", "text", w),
+        "comma_merged": lambda d, w: segment.comma_merged(d.withColumn("text", F.regexp_replace("text", "text", "a,")), "book", "line_no", w),
+        "until": lambda d, w: segment.until(d, "book", "line_no", text == "（上）", w),
+        "titles_repaired": lambda d, w: segment.titles_repaired(d, "book", "line_no", "text", text.rlike("t$"), w),
+        "adaptive": lambda d, w: segment.adaptive_sections(d, "END", phrases=("xx",), whole=w),
+        "sequence_issues": lambda d, w: validate.sequence_issues(d.select(F.col("book").alias("package"), F.lit("u").alias("unit"), F.col("line_no").alias("ord"), F.col("text").try_cast("long").alias("number"), F.col("text").alias("href")), w),
+    }[machine]
+
+
+@pytest.mark.parametrize("machine", "volumes turns sections_merged sections_first labelled buckets comma_merged until titles_repaired adaptive sequence_issues".split())
+def test_books_in_parts_are_as_whole_ones(spark, monkeypatch, machine):
+    """A book with a third of all lines, cut into parts of a few, gives the rows that windows by book give."""
+    monkeypatch.setattr(scan, "PART", 7)
+    rng = random.Random(machine)
+    pool = ["第一卷 东", "第二卷 西", "第一章 a", "Chapter 2", "（上）", "本卷完", "text", "more", "END", "xx", "第3回 b", "--", *map(str, (1, 2, 3, 5, 20, 21, 22, 40))]
+    sizes = [90, 1, 7, 8, 60, 14]
+    rows = [(b if b else None, k, rng.choice(pool)) for b, n in enumerate(sizes) for k in range(n)]
+    lines = spark.createDataFrame(rows, "book long, line_no int, text string")
+    run = fold_of(machine)
+    if machine in ("labelled", "adaptive"):
+        lines = lines.where("book IS NOT NULL")
+    whole, parts = (sorted(map(repr, map(tuple, run(lines, w).collect()))) for w in (True, False))
+    assert whole and parts == whole
+
+
+def test_one_long_book_is_dealt_over_tasks(spark, monkeypatch):
+    """The operators find out by themselves that a book is too long for a task, and its rows then lie in many."""
+    monkeypatch.setattr(scan, "WHOLE", 1000)
+    monkeypatch.setattr(scan, "PART", 500)
+    lines = spark.range(20_000).select(F.expr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END").alias("book"), F.col("id").cast("int").alias("line_no"), F.expr("CASE WHEN id % 50 = 0 THEN CAST(id DIV 50 % 100 AS STRING) ELSE 't' END").alias("text"))
+    assert not scan.fits(lines, "book")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = scan.running(lines, ["book"], ["line_no"], False, n=scan.number()).where("book = 0").withColumn("task", F.spark_partition_id())
+        assert sorted(r.n for r in rows.collect()) == list(range(1, 6668)) and rows.select("task").distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(repr, segment.adaptive_sections(lines, "END").collect())) == sorted(map(repr, segment.adaptive_sections(lines, "END", whole=True).collect()))
+
+
+def test_a_part_as_a_table_of_states():
+    """From every state that a part can begin with, its table leads where the lines lead."""
+    rng = random.Random(8)
+    for _ in range(30):
+        events = [(rng.choice([None, rng.randint(0, 60), rng.randint(0, 9999)]), rng.random() < 0.02, rng.random() < 0.2) for _ in range(rng.randint(1, 200))]
+        table, stages = scan.passage(events, 20)
+        for state in [(s, n) for s in (0, 1) for n in (0, 1, 17, 40, 5000, 9998, 9999, 10_000, 123_456)]:
+            stage, now = state
+            for n, opens, splits in events:
+                if opens:
+                    stage, now = 1, 0
+                elif splits and stage == 1:
+                    now += 1
+                elif n is not None and 0 < n - now <= 20:
+                    now = n
+            assert scan.passed(state, table, stages) == (stage, now)
+
+
 def test_adaptive_sections_equal_fold(spark):
     rng = random.Random(3)
     books = [[rng.choice(["x", "END", *map(str, (1, 2, 3, 20, 21, 22, 40, 99999))]) for _ in range(rng.randint(1, 14))] for _ in range(60)]

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import scan
 from .segment import gaps
 
 
-def sequence_issues(refs: DataFrame) -> DataFrame:
+def sequence_issues(refs: DataFrame, whole: bool | None = None) -> DataFrame:
     """(package, unit, kind, number, detail) of refs(package, unit, ord, number, href).
 
     duplicate: a number that several references have, with their targets in order. order: a reference
@@ -17,11 +17,11 @@ def sequence_issues(refs: DataFrame) -> DataFrame:
     missing: the first of a run of numbers between the least and the greatest that none has, with the last if there are
     several: a run is one row, however long. Numbering may begin anywhere.
     """
-    own = Window.partitionBy("package", "unit").orderBy("ord", "href")
+    whole = scan.fits(refs, "package") if whole is None else whole
     rows = refs.select("package", "unit", "number", "ord", "href").where("number IS NOT NULL")
     issue = lambda df, kind, detail: df.select("package", "unit", F.lit(kind).alias("kind"), F.col("number").cast("long").alias("number"), detail.alias("detail"))
     several = rows.groupBy("package", "unit", "number").agg(F.collect_list(F.struct("ord", "href")).alias("items")).where(F.size("items") > 1)
-    jumps = rows.withColumn("before", F.lag("number").over(own)).where("number <> before AND number <> before + 1")
+    jumps = scan.running(rows, ["package", "unit"], ["ord", "href"], whole, _before=scan.previous(F.col("number"))).withColumn("before", F.col("_before.x")).where("number <> before AND number <> before + 1")
     runs = gaps(rows, ["package", "unit"]).withColumnRenamed("first", "number")
     last = F.when(F.col("last") > F.col("number"), F.concat_ws(" ", F.lit("to"), F.col("last").cast("string"))).otherwise("")
     found = issue(several, "duplicate", F.array_join(F.transform(F.sort_array("items"), lambda i: i["href"]), "; "))

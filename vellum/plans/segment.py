@@ -151,9 +151,14 @@ _NUM = f"""
   SELECT *, sum(CASE WHEN marker IS NOT NULL THEN 1 ELSE 0 END) OVER w AS seg, last_value(marker IGNORE NULLS) OVER w AS n
   FROM (SELECT *, CASE WHEN regexp_matches(text, '^[0-9]+$') THEN try_cast(text AS BIGINT) END AS marker FROM ({_CH}))
   WINDOW w AS (PARTITION BY book, c ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
-_FIRST = f"""
-  SELECT book, n AS number, string_agg(text, chr(10) ORDER BY k) AS text
-  FROM (SELECT *, dense_rank() OVER (PARTITION BY book, n ORDER BY c, seg) AS d FROM ({_NUM}) WHERE marker IS NULL AND seg > 0) WHERE d = 1 GROUP BY book, n"""
+_FIRST = rf"""
+  SELECT book, number, string_agg(text, chr(10) ORDER BY k) AS text
+  FROM (
+    SELECT *, dense_rank() OVER (PARTITION BY book, number ORDER BY c, seg) AS d FROM (
+      SELECT book, c, k, text, CASE WHEN sectioned THEN n ELSE c + 1 END AS number, CASE WHEN sectioned THEN seg ELSE 0 END AS seg
+      FROM (SELECT *, bool_or(inside) OVER (PARTITION BY book, c) AS sectioned FROM (SELECT *, marker IS NULL AND seg > 0 AND fine AS inside FROM (SELECT *, NOT regexp_matches(text, '^-*\z') AS fine FROM ({_NUM}))))
+      WHERE CASE WHEN sectioned THEN inside ELSE fine END))
+  WHERE d = 1 GROUP BY book, number"""
 _JOINED = """
   SELECT {key}, para, CASE WHEN count(*) = 1 THEN any_value(text) ELSE string_agg(CASE WHEN {order} = f THEN rtrim(text, ' ') ELSE trim(text, ' ') END, '' ORDER BY {order}) END AS text
   FROM (SELECT *, min({order}) OVER (PARTITION BY {key}, para) AS f FROM (
