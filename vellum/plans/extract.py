@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, text, titles, urls
-from ..operators import extract
+from ..operators import contain, extract
 from ..sources.tables import SOURCE_COLUMNS, SOURCE_ROWS, literal, routed, table
 
 # Parts of the SQL that several queries use.
@@ -264,11 +264,37 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def author_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Author candidates in written results, each with the pages whose titles contain, or are contained in, its book. The candidates are few and written out."""
+    """Author candidates in written results, each with the pages whose titles contain, or are contained in, its book."""
     results = literal(spark, "rid, query, description", AUTHOR_ROWS)
     people = results.select("rid", "query", F.posexplode(F.slice(titles.authors_in(F.col("description"), F.col("query")), 1, 5)).alias("place", "author"))
-    pages = extract.metadata(table(spark, sf_dir, "pages")).select("page_id", "title")
-    return pages.join(F.broadcast(people), text.titles_overlap(F.col("title"), F.col("query"))).select("rid", "place", "author", "page_id")
+    pages = extract.metadata(table(spark, sf_dir, "pages")).select("page_id", text.title_key(F.col("title")).alias("b"))
+    people = people.withColumn("a", text.title_key(F.col("query")))
+    return people.join(contain.overlapping(people, pages), "a").join(pages, "b").select("rid", "place", "author", "page_id")
+
+
+def title_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label of a contents list with the titles that contain it, or that it contains: how many, and of which pages."""
+    pages = table(spark, sf_dir, "pages")
+    labels = extract.contents(pages).select(text.title_key(F.col("label")).alias("a")).distinct()
+    named = extract.metadata(pages).select("page_id", text.title_key(F.col("title")).alias("b"))
+    found = contain.overlapping(labels, named).join(named, "b")
+    return found.groupBy(F.col("a").alias("label")).agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"), F.sum("page_id").alias("sum_pages"))
+
+
+# Answers that name authors, in three forms of each query, and the authors' pages: made from pages, five or ten of which answer one query.
+_NAMES_AUTHORS = """CASE page_id % 5 WHEN 0 THEN concat('作者：A', CAST(page_id % 7 AS {s}), ' x') WHEN 1 THEN concat('by A', CAST(page_id % 7 AS {s}), ', (B', CAST(page_id % 3 AS {s}), ')') WHEN 2 THEN '(最新章节)' WHEN 3 THEN concat('_A', CAST(page_id % 4 AS {s}), '小说') ELSE 'none' END"""
+
+
+def author_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books found by the authors that landed answers name."""
+    pages = table(spark, sf_dir, "pages")
+    meta = extract.metadata(pages, "url")
+    label = F.get(F.transform(extract.contents_of(F.col("html")), lambda a: a["label"]), F.lit(0))
+    queries = pages.where("page_id % 10 = 0").select((F.col("page_id") / 10).cast("long").alias("g"), F.coalesce(label, F.lit("")).alias("query"))
+    answers = meta.select(F.expr("page_id DIV 10").alias("g"), (F.col("page_id") % 3).alias("form"), F.expr("page_id DIV 3").alias("rank"), "title", F.expr(_NAMES_AUTHORS.format(s="STRING")).alias("description"))
+    answers = answers.join(queries, "g").select("query", "form", "rank", F.lit("T").alias("title"), "description")
+    books = meta.select(F.concat(F.lit("A"), (F.col("page_id") % 7).cast("string")).alias("author"), F.col("page_id").alias("ord"), "title", "url")
+    return contain.author_search(answers, books, 7)
 
 
 AUTHOR_ROWS = """
@@ -364,6 +390,8 @@ QUERIES = {
         redirect_unwrap,
         json_payload,
         author_theta_join,
+        title_containment,
+        author_search,
         search_block_extract,
         page_elements,
         comma_normalize,
@@ -401,6 +429,18 @@ _REVIEW = r"""(regexp_matches(regexp_replace(x, '\s+', '', 'g'), '(?i)^(?:[^，
   AND (regexp_matches(x, '作品简评|编辑评价|强推奖章|^简评') OR regexp_matches(lower(x), '\.(?:gif|jpg|png)')))"""
 _INTRO = rf"list_filter(list_transform(string_split(regexp_replace(intro, '^\s*小说简介\s*[:：]?\s*', ''), '|'), lambda x: {clean_sql('x')}), lambda x: x <> '')"
 
+_TITLE_KEY = "regexp_replace({}, '[" + text.TITLE_MARKS.replace("'", "''") + "\\x09-\\x0D\\x1C-\\x20\\x85\\p{{Z}}]+', '', 'g')"
+
+
+def _authors_sql(keys: str, rows: str) -> str:
+    """Relations n, c and f: the names in the descriptions of rows, cleaned, and the first place k of each for the keys, which begin with a row's own and have its query."""
+    return rf"""n AS (SELECT {keys}, unnest(range(len(names))) AS k, unnest(names) AS name FROM (
+  SELECT {keys}, list_concat(regexp_extract_all(description, '[（(]([^()（）]{{1,20}})[)）]', 1), regexp_extract_all(description, '作者\s*[:：]\s*([^\s,，。|｜_《》()（）-]{{1,20}})', 1),
+    regexp_extract_all(description, '(?i)\bby\s*([^\s,，。|｜_《》()（）-]{{1,20}})', 1), regexp_extract_all(description, '_([^_\s]{{1,20}})小说', 1), regexp_extract_all(description, '《[^》]+》\s*([^_\s|｜-]{{1,20}})', 1)) AS names FROM {rows})),
+c AS (SELECT {keys}, k, regexp_replace(regexp_replace({unescape_sql("name")}, '{WS}+', '', 'g'), '^[_\-：:|｜]+|[_\-：:|｜]+$', '', 'g') AS author FROM n),
+f AS (SELECT {keys}, author, min(k) AS k FROM c WHERE author <> '' AND author <> query AND length(author) <= 12 AND NOT regexp_matches(author, '最新章节|全文阅读|免费阅读|小说|在线阅读') GROUP BY ALL)"""
+
+
 ORACLE = {
     "book_pages": rf"""
 SELECT ord, coalesce(regexp_extract(list_filter(string_split(lines, '|'), lambda x: regexp_matches(x, '^作者\s*[:：]\s*(.*)$'))[1], '^作者\s*[:：]\s*(.*)$', 1), '') AS labelled_author,
@@ -485,16 +525,26 @@ FROM (SELECT ord, CASE WHEN starts_with(href, '//') THEN 'https:' || href ELSE h
     "json_payload": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "author_theta_join": rf"""
 WITH r AS (SELECT * FROM (VALUES {AUTHOR_ROWS}) t(rid, query, description)),
-n AS (SELECT rid, query, unnest(range(len(names))) AS k, unnest(names) AS name FROM (
-  SELECT rid, query, list_concat(regexp_extract_all(description, '[（(]([^()（）]{{1,20}})[)）]', 1), regexp_extract_all(description, '作者\s*[:：]\s*([^\s,，。|｜_《》()（）-]{{1,20}})', 1),
-    regexp_extract_all(description, '(?i)\bby\s*([^\s,，。|｜_《》()（）-]{{1,20}})', 1), regexp_extract_all(description, '_([^_\s]{{1,20}})小说', 1), regexp_extract_all(description, '《[^》]+》\s*([^_\s|｜-]{{1,20}})', 1)) AS names FROM r)),
-c AS (SELECT rid, query, k, regexp_replace(regexp_replace({unescape_sql("name")}, '{WS}+', '', 'g'), '^[_\-：:|｜]+|[_\-：:|｜]+$', '', 'g') AS author FROM n),
-f AS (SELECT rid, query, author, min(k) AS k FROM c WHERE author <> '' AND author <> query AND length(author) <= 12 AND NOT regexp_matches(author, '最新章节|全文阅读|免费阅读|小说|在线阅读') GROUP BY ALL),
+{_authors_sql("rid, query", "r")},
 a AS (SELECT *, (row_number() OVER (PARTITION BY rid ORDER BY k) - 1)::INTEGER AS place FROM f)
 SELECT a.rid, a.place, a.author, p.page_id
-FROM a JOIN (SELECT page_id, regexp_replace(title, '[{text.TITLE_MARKS.replace("'", "''")}\x09-\x0D\x1C-\x20\x85\p{{Z}}]+', '', 'g') AS t FROM ({META_SQL})) p
+FROM a JOIN (SELECT page_id, {_TITLE_KEY.format("title")} AS t FROM ({META_SQL})) p
   ON contains(p.t, a.query) OR contains(a.query, p.t)
 WHERE a.place < 5""",
+    "title_containment": f"""
+WITH l AS (SELECT DISTINCT {_TITLE_KEY.format("label")} AS a FROM ({CONTENTS_SQL})), t AS (SELECT page_id, {_TITLE_KEY.format("title")} AS b FROM ({META_SQL}))
+SELECT a AS label, count(*) AS n_pages, min(page_id) AS first_page, max(page_id) AS last_page, sum(page_id)::BIGINT AS sum_pages
+FROM l JOIN t ON a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) GROUP BY a""",
+    "author_search": f"""
+WITH q AS (SELECT page_id // 10 AS g, label AS query FROM ({CONTENTS_SQL}) WHERE ord = 1 AND page_id % 10 = 0),
+r AS (SELECT query, page_id % 3 AS form, page_id // 3 AS rank, {_NAMES_AUTHORS.format(s="VARCHAR")} AS description FROM pages JOIN q ON q.g = page_id // 10),
+{_authors_sql("query, form, rank", "r")},
+a AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY form, rank, k) AS place FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query, author ORDER BY form, rank, k) = 1) QUALIFY place <= 5),
+b AS (SELECT a.query, a.place, a.author, m.page_id, m.title, p.url FROM a JOIN ({META_SQL}) m ON a.author = 'A' || (m.page_id % 7) JOIN pages p ON p.page_id = m.page_id
+      WHERE {_TITLE_KEY.format("query")} <> '' AND {_TITLE_KEY.format("m.title")} <> '' AND (contains({_TITLE_KEY.format("query")}, {_TITLE_KEY.format("m.title")}) OR contains({_TITLE_KEY.format("m.title")}, {_TITLE_KEY.format("query")}))),
+o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query, url ORDER BY place, page_id) = 1)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY place, page_id, url)::INTEGER AS rank, author, title, url, (8 - row_number() OVER (PARTITION BY query ORDER BY place, page_id, url))::DOUBLE AS score
+FROM o QUALIFY rank <= 7""",
     "search_block_extract": f"""
 SELECT page_id, ord::INTEGER - 1 AS place, label AS title, href, 'Found on ' || page_id || '.' AS description, contains(href, 'on') AS on_domain FROM ({CONTENTS_SQL})""",
     # Depths are running sums over all tags but those of paragraphs, which end at the next tag.
