@@ -90,3 +90,24 @@ def test_redirects(spark):
         "https://a.example/p": "https://a.example/p",
     }
     assert [v for (v,) in values(spark, list(cases), urls.redirect_target)] == list(cases.values())
+
+
+def test_scripts_are_those_of_the_library(spark):
+    """All pairs of the rules both ways, in one text each, as the library in the JVM converts them; characters that only our fixed pairs have are left out."""
+    from vellum.functions import scripts
+
+    icu = spark._jvm.com.ibm.icu.text.Transliterator
+    for name, table, fold in (("Traditional-Simplified", scripts.simplifying(), text.fold_variants), ("Simplified-Traditional", scripts.traditional(), text.unfold_variants)):
+        cases = [*table.before, *table.phrases, *(f"x{p} {q}" for p, q in zip(table.phrases, table.before)), "", "plain é 𝄞", "一丁"]
+        by_library = icu.getInstance(name).transliterate("\n".join(cases)).split("\n")
+        got = [v for (v,) in values(spark, cases, fold)]
+        assert got == [table.convert(c) for c in cases]
+        fixed = set(scripts.TRADITIONAL + scripts.SIMPLIFIED)
+        wrong = [(c, g, w) for c, g, w in zip(cases, got, by_library) if g != w and not set(c) & fixed]
+        assert len(cases) > 3000 and wrong == []
+    assert values(spark, ["愛國衛生運動與藝術"], text.search_key) == [("爱国卫生运动与艺术",)]
+
+
+def test_numeric_references(spark):
+    cases = {"&#8220;a&#x4E00;&#X1F600;b&#39;": "“a一😀b'", "&amp;#65; &#0;&#xD800;&#1114112;&#x110000;": "&#65; ����", "&#65 &#; &#x;": "&#65 &#; &#x;", "&#38;lt;": "&lt;", "": ""}
+    assert [v for (v,) in values(spark, list(cases), text.unescape)] == list(cases.values())

@@ -9,14 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scripts
+
 #: All white space of Unicode, written so that Java and RE2 read it alike.
 SPACE = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
 #: What a search key leaves out: all but letters and numbers.
 NOT_KEY = r"[^\p{L}\p{N}]+"
 
-# Traditional characters and the simplified ones for them, place by place.
-TRADITIONAL = "書靈魂處鬧軍萬長號體會後來對開關時間東門馬風飛龍鳳劍俠夢記錄傳說話語學國圖畫愛戀實現無際電腦網絡標籤終結兩條從這裡經過點擊頁閱讀"
-SIMPLIFIED = "书灵魂处闹军万长号体会后来对开关时间东门马风飞龙凤剑侠梦记录传说话语学国图画爱恋实现无际电脑网络标签终结两条从这里经过点击页阅读"
 # What a key for titles leaves out, beside white space.
 TITLE_MARKS = r"《》〈〉“”\"'‘’【】\[\]（）()·._\-—:：|｜"
 # What a key for comparing paragraphs leaves out, beside white space.
@@ -36,14 +35,30 @@ def clean(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, f"{SPACE}+", " "), "^ | $", "")
 
 
+def _converted(x: Column, table: scripts.Table) -> Column:
+    """Text by a table: phrases, the longest that begins first, and characters one by one."""
+    one = lambda t: F.translate(t, table.before, table.after)
+    if not table.phrases:
+        return one(x)
+    # Only where a phrase may begin are the phrases tried: a range that other texts fall out of at once, then the first characters.
+    first = sorted({p[0] for p in table.phrases})
+    pattern = f"(?=[{first[0]}-{first[-1]}])(?=[{''.join(first)}])(?:{table.pattern()})"
+    known = F.create_map(*(F.lit(t) for pair in sorted(table.phrases.items()) for t in pair))
+
+    def parts(hits: Column) -> Column:
+        return F.array_join(F.transform(F.split(x, pattern), lambda t, i: F.concat(one(t), F.coalesce(F.element_at(known, F.get(hits, i)), F.lit("")))), "")
+
+    return F.when(x.rlike(pattern), bound(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), parts)).otherwise(one(x))
+
+
 def fold_variants(x: Column) -> Column:
-    """Traditional characters as simplified ones, character by character."""
-    return F.translate(x, TRADITIONAL, SIMPLIFIED)
+    """Traditional text as simplified."""
+    return _converted(x, scripts.simplifying())
 
 
 def unfold_variants(x: Column) -> Column:
-    """Simplified characters as traditional ones, for queries to a site that has those; of several forms the first."""
-    return F.translate(x, SIMPLIFIED, TRADITIONAL)
+    """Simplified text as traditional, for queries to a site that has that; of several forms the first, unless a phrase has another."""
+    return _converted(x, scripts.traditional())
 
 
 def fold_case(x: Column) -> Column:
@@ -53,7 +68,7 @@ def fold_case(x: Column) -> Column:
 
 def search_key(x: Column) -> Column:
     """What titles, authors and queries are compared by; null is empty."""
-    return F.regexp_replace(fold_case(fold_variants(F.coalesce(x, F.lit("")))), NOT_KEY, "")
+    return bound(F.coalesce(x, F.lit("")), lambda x: F.regexp_replace(fold_case(fold_variants(x)), NOT_KEY, ""))
 
 
 def title_key(x: Column) -> Column:
@@ -107,13 +122,28 @@ def escape_html(x: Column) -> Column:
 
 
 #: Entities in the order in which they are replaced; &amp; is the last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
-
-
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 def unescape(x: Column) -> Column:
-    for a, b in ENTITIES:
+    """Text with its character references decoded: those that are common here, and characters by their numbers."""
+
+    def numbered(x: Column) -> Column:
+        pattern = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+        digits = lambda r: F.regexp_extract(r, "([0-9a-fA-F]+);", 1)
+        code = lambda r: F.when(r.rlike("^&#[xX]"), F.conv(digits(r), 16, 10)).otherwise(digits(r)).try_cast("int")
+        # A number that is no character becomes the sign for that.
+        char = lambda r: bound(code(r), lambda n: F.when((n > 0) & (n < 0xD800) | (n > 0xDFFF) & (n <= 0x10FFFF), _character(n)).otherwise("\ufffd"))
+        parts = lambda hits: F.array_join(F.transform(F.split(x, pattern), lambda t, i: F.concat(t, F.coalesce(F.when(i < F.size(hits), char(F.get(hits, i))), F.lit("")))), "")
+        return F.when(x.rlike(pattern), bound(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), parts)).otherwise(x)
+
+    for a, b in ENTITIES[:-1]:
         x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+    a, b = ENTITIES[-1]
+    return bound(x, lambda x: F.replace(numbered(x), F.lit(a), F.lit(b)))
+
+
+def _character(n: Column) -> Column:
+    """The character of a number, by its four bytes."""
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
 def safe_name(x: Column, fallback: str) -> Column:

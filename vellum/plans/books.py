@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text, titles, urls
+from ..functions import scripts, text, titles, urls
 from ..operators import books, extract, publish, search, segment, validate
 from ..sources import epub
 from ..sources.packages import read_packages, write_books
 from ..sources.landing import new_folder
 from ..sources.tables import SOURCES, chosen, decoded_file, landed_files, landed_json, routed, table
-from .extract import CONTENTS_SQL, META_SQL, clean_sql, key_sql, plain_sql
+from .extract import CONTENTS_SQL, META_SQL, clean_sql, converted_sql, key_sql, plain_sql
 from .publish import ORACLE as PUBLISHED
 from .segment import paged_lines
 
@@ -361,7 +361,7 @@ WITH t AS (
   FROM documents),
 i AS (SELECT *, list_filter(list_transform(string_split_regex(intro, '\n{{2,}}'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS parts FROM t)
 SELECT doc_id, {clean_sql(r"regexp_replace(replace(raw, '丨', ''), '\[BL\]$', '')")} AS title,
-       sha256(array_to_string(list_transform(parts, lambda p: '<p>' || translate(replace(replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br/>'), '{text.TRADITIONAL}', '{text.SIMPLIFIED}') || '</p>'), chr(10))) AS intro_sha256,
+       sha256(array_to_string(list_transform(parts, lambda p: '<p>' || {converted_sql("replace(replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br/>')", scripts.simplifying())} || '</p>'), chr(10))) AS intro_sha256,
        (len(list_filter(lines, lambda x: NOT regexp_matches(x, '{extract.BOILERPLATE}'))) + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END)::BIGINT AS n_lines,
        '[' || doc_id || '] documents | ' || lang || CASE WHEN doc_id % 2 = 0 THEN ' / Ann' ELSE '' END || ' | ' || CASE WHEN doc_id % 5 > 0 THEN (doc_id % 5) || ' chapter(s)' ELSE 'unknown chapter count' END || CASE WHEN doc_id % 3 = 0 THEN ' / done' ELSE '' END AS heading,
        CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/gif' ELSE 'image/jpeg' END AS cover, doc_id || '書靈x' AS query, doc_id || '&' AS data_name,

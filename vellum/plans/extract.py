@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import markup, text, titles, urls
+from ..functions import markup, scripts, text, titles, urls
 from ..operators import contain, extract
 from ..sources.tables import SOURCE_COLUMNS, SOURCE_ROWS, literal, routed, table
 
@@ -35,8 +35,17 @@ def element_sql(x: str, tag: str) -> str:
     return rf"regexp_extract({x}, '(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>', 1)"
 
 
+def converted_sql(x: str, table: scripts.Table) -> str:
+    """Text by a table of scripts: its phrases, and what stands between them character by character."""
+    known = ", ".join(f"'{a}': '{b}'" for a, b in sorted(table.phrases.items()))
+    hits, pieces = f"regexp_extract_all(s, '{table.pattern()}')", f"string_split_regex(s, '{table.pattern()}')"
+    parts = f"array_to_string(list_transform({pieces}, lambda t, i: translate(t, '{table.before}', '{table.after}') || coalesce(MAP {{{known}}}[{hits}[i]], '')), '')"
+    return f"list_transform([{x}], lambda s: CASE WHEN regexp_matches(s, '{table.pattern()}') THEN {parts} ELSE translate(s, '{table.before}', '{table.after}') END)[1]"
+
+
 def key_sql(x: str) -> str:
-    return rf"regexp_replace(replace(replace(lower(translate(coalesce({x}, ''), '{text.TRADITIONAL}', '{text.SIMPLIFIED}')), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+    folded = converted_sql(f"coalesce({x}, '')", scripts.simplifying())
+    return rf"regexp_replace(replace(replace(lower({folded}), 'ß', 'ss'), 'ς', 'σ'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 
 
 _TAGS = rf"(?i)</?(?:{'|'.join(markup.NAMES)})(?:[\s/][^>]*)?>"
@@ -67,7 +76,7 @@ _MADE = {
     "title": ("documents", "concat(CASE doc_id % 4 WHEN 0 THEN concat('第', CAST(doc_id AS {s}), '章 卷十二 ') WHEN 1 THEN '第二卷 ' ELSE '' END, replace(substring(text, 1, 18), {feed}, ' '), CASE doc_id % 5 WHEN 0 THEN ' by Ann Lee (x)' WHEN 1 THEN ' (陈一) - a小说网' WHEN 2 THEN '（下）' WHEN 3 THEN '最新章节' ELSE '' END)",),
     "url": ("pages", "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN concat('http://blog.mirror.example/?x=1&no=', CAST(page_id AS {s})) WHEN 2 THEN concat('https://read.example/book/', CAST(page_id AS {s}), '/', CAST(page_id % 9 AS {s}), '_2.html?a') WHEN 3 THEN concat('https://api.example/chapter/', CAST(page_id AS {s}), '_0af_9c.html') WHEN 4 THEN concat('//m.example.com//a/', CAST(page_id AS {s})) ELSE concat('x', url) END",),
     "link": ("pages", "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('/url?sa=U&q=https%3A%2F%2Fa.example%2F', CAST(page_id AS {s}), '%20b+c&x=1') WHEN 2 THEN concat('//find.example/l/?x=1&uddg=http%3A%2F%2Fb.example%2F', CAST(page_id AS {s})) ELSE concat('/p/', CAST(page_id AS {s})) END",),
-    "variant": ("documents", "concat(substring(text, 1, 40), '靈書', CAST(doc_id AS {s}))",),
+    "variant": ("documents", "concat(text, CASE doc_id % 4 WHEN 0 THEN '靈書' WHEN 1 THEN '乾坤乾淨瞭解' WHEN 2 THEN '头发发现' ELSE '計畫與藝術' END, CAST(doc_id AS {s}))",),
 }
 
 
@@ -228,11 +237,11 @@ def match_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VARIANT_COLUMNS = "ord, raw"
-VARIANT_ROWS = "(0, '靈魂深處鬧革命'), (1, '書'), (2, 'plain'), (3, ''), (4, '會後來 對 x')"
+VARIANT_ROWS = "(0, '靈魂深處鬧革命'), (1, '書'), (2, 'plain'), (3, ''), (4, '會後來 對 x'), (5, '愛國衛生運動與藝術'), (6, '乾坤 乾淨 瞭解 計畫 畫家'), (7, '理发 头发 发现 五只 茶余饭后 周三')"
 
 
 def variant_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cases(spark, sf_dir, VARIANT_COLUMNS, VARIANT_ROWS, "variant").select("ord", text.fold_variants(F.col("raw")).alias("folded"), text.search_key(F.col("raw")).alias("key"))
+    return _cases(spark, sf_dir, VARIANT_COLUMNS, VARIANT_ROWS, "variant").select("ord", text.fold_variants(F.col("raw")).alias("folded"), text.unfold_variants(F.col("raw")).alias("unfolded"), text.search_key(F.col("raw")).alias("key"))
 
 
 LINK_COLUMNS = "ord, href"
@@ -513,7 +522,7 @@ FROM g""",
 SELECT ord, {level_sql("query", "title", "author", "snippet")} AS level, contains(a, b) OR contains(b, a) AS overlap
 FROM (SELECT *, regexp_replace(query, '[{text.TITLE_MARKS.replace("'", "''")}\x09-\x0D\x1C-\x20\x85\p{{Z}}]+', '', 'g') AS a, regexp_replace(title, '[{text.TITLE_MARKS.replace("'", "''")}\x09-\x0D\x1C-\x20\x85\p{{Z}}]+', '', 'g') AS b
       FROM {wide_cases_sql(CASE_COLUMNS, CASE_ROWS, CASE_MADE)})""",
-    "variant_fold": f"SELECT ord, translate(raw, '{text.TRADITIONAL}', '{text.SIMPLIFIED}') AS folded, {key_sql('raw')} AS key FROM {_cases_sql(VARIANT_COLUMNS, VARIANT_ROWS, 'variant')}",
+    "variant_fold": f"SELECT ord, {converted_sql("raw", scripts.simplifying())} AS folded, {converted_sql("raw", scripts.traditional())} AS unfolded, {key_sql('raw')} AS key FROM {_cases_sql(VARIANT_COLUMNS, VARIANT_ROWS, 'variant')}",
     "redirect_unwrap": rf"""
 SELECT ord, CASE WHEN starts_with(u, '/url?') THEN url_decode(nullif(regexp_extract(u, '^/url\?(?:[^#]*&)?q=([^&#]*)', 1), ''))
                  WHEN regexp_extract(u, '^[^?#]*/l/\?(?:[^#]*&)?uddg=([^&#]*)', 1) <> '' THEN url_decode(regexp_extract(u, '^[^?#]*/l/\?(?:[^#]*&)?uddg=([^&#]*)', 1))
