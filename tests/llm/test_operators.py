@@ -97,6 +97,14 @@ def test_suffixes_on_awkward_tables(awkward, clashing, empty):
     assert suffixes.removed(empty).collect() == []
 
 
+def test_suffixes_of_very_many_short_texts(spark):
+    """A million empty texts and a million of 30 bytes in one partition take seconds: blocks close by their documents, too."""
+    docs = spark.range(2_000_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, None).otherwise(F.lpad(F.col("id").cast("string"), 30, "0")).alias("text"))
+    begun = time.time()
+    row = suffixes.removed(docs).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"), F.sum("n_removed").alias("removed")).first()
+    assert tuple(row) == (2_000_000, 30_000_000, 0) and time.time() - begun < 120
+
+
 # 2
 
 
@@ -304,22 +312,60 @@ def test_chat(spark):
     assert chat.perspectives(turns.limit(0)).collect() == []
 
 
-def test_chat_deals_long_dialogues(spark):
-    turns = spark.range(200).select(F.lit(1).alias("conv_id"), (F.col("id") + 1).alias("turn"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("role"), F.col("id").cast("string").alias("text"))
-    turns = turns.unionByName(spark.createDataFrame([(1, 0, "system", "rules")], "conv_id int, turn long, role string, text string"))
-    rows = chat.perspectives(turns).where("speaker = 'a'").orderBy("part").collect()
-    assert [r.n_turns for r in rows] == [64, 64, 64, 9] and all(r.text.startswith("<|im_start|>system\nrules<|im_end|>\n") for r in rows)
-    said = re.findall(r"<\|im_start\|>(?:assistant|user name=b)\n(\d+)<\|im_end\|>\n", "".join(r.text for r in rows))
-    assert said == [str(i) for i in range(200)]
-    assert all(r.text[int(x) : int(y)].endswith("<|im_end|>") for r in rows for x, y in (s.split(":") for s in r.mask.split(",")))
+def chat_by_hand(rows):
+    """(conv_id, speaker) to text, mask, turns and trained characters, by a plain loop."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        text = (text or "").replace("<|im_", "< |im_")
+        convs.setdefault(conv, []).append((-1 if turn is None else turn, role or "unknown", hashlib.sha256(text.encode()).hexdigest(), text))
+    out = {}
+    for conv, said in convs.items():
+        said.sort()
+        for speaker in {r for _, r, _, _ in said if r != "system"}:
+            text, spans = "", []
+            for _, role, _, body in said:
+                text += "<|im_start|>" + ("system" if role == "system" else "assistant" if role == speaker else f"user name={role}") + "\n"
+                if role == speaker:
+                    spans.append((len(text), len(text) + len(body) + len("<|im_end|>")))
+                text += body + "<|im_end|>\n"
+            out[conv, speaker] = (text, ",".join(f"{x}:{y}" for x, y in spans), len(said), sum(y - x for x, y in spans))
+    return out
+
+
+def chat_by_operator(df, **more):
+    return {(r.conv_id, r.speaker): (r.text, r.mask, r.n_turns, r.n_trained) for r in chat.perspectives(df, **more).collect()}
+
+
+def long_dialogues():
+    rng = random.Random(6)
+    rows = [(1, k, rng.choice(["ann", "bob", "system", None]), "é" * rng.randint(0, 5) + str(k)) for k in range(1000)]
+    return rows + [(2, None, "a", "same")] * 300 + [(2, 7, "b", f"t{k}") for k in range(200)] + [(None, 1, "c", "x" * 100_000), (3, 0, "system", "only")]
+
+
+@pytest.mark.parametrize("piece", [chat.PIECE, 64, 7])
+def test_chat_renders_long_dialogues_whole(spark, piece):
+    """A thousand turns, turns of one number, and rows that repeat: whole rows, put together from pieces or not."""
+    rows = long_dialogues()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    assert chat_by_operator(df, piece=piece) == chat_by_hand(rows)
+
+
+def test_chat_pieces_are_the_whole(spark):
+    rows = long_dialogues()
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    parts = chat.perspectives(df, part=64).orderBy("part").collect()
+    whole = chat_by_hand(rows)
+    assert max(r.n_turns for r in parts) == 64
+    for key, (text, mask, n, trained) in whole.items():
+        own = [r for r in parts if (r.conv_id, r.speaker) == key]
+        assert ("".join(r.text for r in own), sum(r.n_turns for r in own), sum(r.n_trained for r in own)) == (text, n, trained)
+        spans = [[tuple(map(int, s.split(":"))) for s in r.mask.split(",") if s] for r in own]
+        assert "".join(r.text[x:y] for r, own_spans in zip(own, spans) for x, y in own_spans) == "".join(text[x:y] for x, y in (map(int, s.split(":")) for s in mask.split(",") if s))
 
 
-def test_chat_deals_turns_of_one_number(spark):
-    turns = spark.createDataFrame([(1, None, "a", "same")] * 300 + [(1, 7, "b", f"t{k}") for k in range(200)] + [(None, 1, "c", "x" * 100_000)], "conv_id int, turn long, role string, text string").repartition(7)
-    rows = chat.perspectives(turns).where("speaker = 'a'").orderBy("part").collect()
-    assert [r.n_turns for r in rows] == [64] * 7 + [52]
-    assert "".join(r.text for r in rows).count("same") == 300 and {*re.findall(r"t\d+", "".join(r.text for r in rows))} == {f"t{k}" for k in range(200)}
-    assert max(r.n_turns for r in chat.perspectives(turns).collect()) == 64
+def test_chat_of_the_table(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    assert chat_by_operator(df) == chat_by_hand(map(tuple, df.select("conv_id", "turn", "role", "text").collect()))
 
 
 def test_chat_roles_forge_no_turns(spark):

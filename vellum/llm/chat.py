@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..functions.arrays import scanned
+from ..functions.text import bound
+from .common import lined_up, stored
 
-#: Turns of one output row. A dialogue with more has several rows, whose texts follow each other.
-PART = 64
+#: Turns that are rendered at once, at most. Longer dialogues are put together from such pieces.
+PIECE = 4096
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -28,31 +30,53 @@ def _segment(kind: Column, text: Column) -> tuple[Column, Column]:
     return F.concat(F.lit(OPEN), kind, F.lit("\n")), F.concat(text, F.lit(CLOSE))
 
 
-def placed(turns: DataFrame) -> DataFrame:
-    """turns(conv_id, turn, name, system, text) with `place`, every turn's place in its dialogue from 0, by turn, name and the text's SHA-256.
-
-    All turns are sorted together, by ranges, and places are counted from the partitions' sizes, so that a dialogue of a
-    third of all turns is dealt over many tasks; rows that are equal may come in any order. The driver gets one number a partition.
-    """
-    columns = turns.columns
-    keys = ["conv_id", "turn", "name", "digest", "equal"]
-    turns = turns.withColumn("digest", F.sha2("text", 256)).withColumn("equal", F.monotonically_increasing_id())
-    ordered = turns.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rid", F.monotonically_increasing_id())
-    # A row's number has its partition's before the lower 33 bits.
-    rows = stored(ordered.select(*columns, F.shiftright("rid", 33).alias("block"), F.col("rid").bitwiseAND(F.lit((1 << 33) - 1)).alias("within")), "turns")
-    sizes = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for block in range(max(sizes, default=0) + 1):
-        before.append(total)
-        total += sizes.get(block, 0)
-    offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
-    rows = rows.withColumn("at", F.get(offsets, F.col("block").cast("int")) + F.col("within"))
+def _pieces(rows: DataFrame, piece: int, whole: bool) -> DataFrame:
+    """(conv_id, part, turns): the turns in order, a dialogue a row, or where that isn't said to fit `piece` of them a row, dealt by their places however long a dialogue is."""
+    order = ["turn", "name", "digest"]
+    rows = rows.withColumn("digest", F.sha2("text", 256))
+    if whole:
+        turns = F.array_sort(F.collect_list(F.struct(*order, "system", "text")))
+        return rows.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.lit(0).cast("long").alias("part"), "turns")
+    rows = lined_up(rows, "conv_id", *order)
     first = rows.groupBy(F.col("conv_id").alias("of")).agg(F.min("at").alias("first"))
-    return rows.join(first, F.col("conv_id").eqNullSafe(F.col("of"))).select(*columns, (F.col("at") - F.col("first")).alias("place"))
+    rows = rows.join(first, F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("place", F.col("at") - F.col("first"))
+    parts = rows.groupBy("conv_id", F.floor(F.col("place") / piece).cast("long").alias("part"))
+    return parts.agg(F.array_sort(F.collect_list(F.struct("place", "name", "system", "text"))).alias("turns"))
+
+
+def _rendered(pieces: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(conv_id, speaker, part, text, spans, n_turns, n_trained): every piece as each speaker of its dialogue sees it; spans are within the piece."""
+    seen = pieces.join(speakers, F.col("conv_id").eqNullSafe(F.col("of")))
+    own = lambda t: ~t["system"] & (t["name"] == F.col("speaker"))
+    kind = lambda t: F.when(t["system"], "system").when(own(t), "assistant").otherwise(F.concat(F.lit("user name="), t["name"]))
+    said = F.transform("turns", lambda t: F.struct(*(x.alias(n) for n, x in zip(("head", "body"), _segment(kind(t), t["text"]), strict=True)), own(t).alias("own")))
+
+    def trained(at, s):
+        begin = at + F.length(s["head"])
+        return F.when(s["own"], F.struct(begin.cast("long").alias("a"), (begin + F.length(s["body"])).cast("long").alias("b")))
+
+    step = lambda at, s: (at + F.length(s["head"]) + F.length(s["body"]) + 1).cast("long")
+    spans = F.array_compact(scanned(F.col("said"), F.lit(0).cast("long"), step, trained, "struct<a:bigint,b:bigint>"))
+    return seen.withColumn("said", bound(said, lambda s: s)).select(
+        "conv_id",
+        "speaker",
+        "part",
+        F.array_join(F.transform("said", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "").alias("text"),
+        bound(spans, lambda s: s).alias("spans"),
+        F.size("turns").cast("long").alias("n_turns"),
+    )
+
+
+def _listed(spans: Column, shift: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat((s["a"] + shift).cast("string"), F.lit(":"), (s["b"] + shift).cast("string"))), ",")
+
 
+def _covered(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
 
-def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
-    """(conv_id, speaker, part, text, mask, n_turns, n_trained): turns(conv_id, turn, role, text)
+
+def perspectives(turns: DataFrame, part: int | None = None, piece: int = PIECE) -> DataFrame:
+    """(conv_id, speaker, text, mask, n_turns, n_trained): turns(conv_id, turn, role, text)
     rendered once for every participant.
 
     The participant's turns are the assistant's; the other speakers are users under their names;
@@ -65,8 +89,8 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
     turns. A marker that stands in a text or a role is broken up, and a role is one line, so neither can begin or end a turn. A dialogue
     of system turns only has no participant and no rows; an empty table gives none. Other columns are not read.
 
-    A row holds `part` turns, by their place in the dialogue, so one with very many turns is dealt over many rows, whatever
-    their numbers. Each row but the first begins with the last system turn of the first, if there is one; n_turns doesn't count it.
+    A row holds a whole dialogue. One of more than `piece` turns is rendered in pieces, in as many tasks, which are then put together. With `part` there is a row for
+    each so many turns instead, numbered in a column part from 0, with masks of its own text: for dialogues whose text is more than a value can hold (2 GB). Their texts, one after the other, are the whole one.
     """
     rows = turns.select(
         "conv_id",
@@ -75,35 +99,20 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
         F.coalesce(F.col("role") == "system", F.lit(False)).alias("system"),
         _guarded(F.coalesce("text", F.lit(""))).alias("text"),
     )
-    rows = stored(placed(rows).withColumn("part", F.floor(F.col("place") / part).cast("long")), "placed")
+    longest = turns.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    whole = longest <= (part or piece)
     speakers = rows.where("NOT system").select(F.col("conv_id").alias("of"), F.col("name").alias("speaker")).distinct()
-    rules = rows.where("part = 0 AND system").groupBy(F.col("conv_id").alias("ruled")).agg(F.max_by("text", "place").alias("rules"))
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("place", "name", "system", "text"))).alias("turns"))
-    parts = parts.join(rules, F.col("conv_id").eqNullSafe(F.col("ruled")), "left")
-    seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of")))
-    own = lambda t: ~t["system"] & (t["name"] == F.col("speaker"))
-    kind = lambda t: F.when(t["system"], "system").when(own(t), "assistant").otherwise(F.concat(F.lit("user name="), t["name"]))
-    said = F.transform("turns", lambda t: F.struct(*(x.alias(n) for n, x in zip(("head", "body"), _segment(kind(t), t["text"]), strict=True)), own(t).alias("own")))
-    lead = F.when(F.col("part") > 0, F.concat(*_segment(F.lit("system"), F.col("rules")), F.lit("\n")))
-    seen = seen.withColumn("said", said).withColumn("lead", F.coalesce(lead, F.lit("")))
-    start = F.struct(F.length("lead").cast("long").alias("at"), F.lit(0).cast("long").alias("trained"), F.lit("").alias("mask"))
-
-    def step(acc, s):
-        begin = acc["at"] + F.length(s["head"])
-        end = begin + F.length(s["body"])
-        span = F.concat(begin.cast("string"), F.lit(":"), end.cast("string"))
-        return F.struct(
-            (end + 1).cast("long").alias("at"),
-            F.when(s["own"], acc["trained"] + F.length(s["body"])).otherwise(acc["trained"]).cast("long").alias("trained"),
-            F.when(s["own"], F.when(acc["mask"] == "", span).otherwise(F.concat(acc["mask"], F.lit(","), span))).otherwise(acc["mask"]).alias("mask"),
-        )
-
-    return seen.withColumn("sums", F.aggregate("said", start, step)).select(
-        "conv_id",
-        "speaker",
-        "part",
-        F.concat("lead", F.array_join(F.transform("said", lambda s: F.concat(s["head"], s["body"], F.lit("\n"))), "")).alias("text"),
-        F.col("sums.mask").alias("mask"),
-        F.size("turns").cast("long").alias("n_turns"),
-        F.col("sums.trained").alias("n_trained"),
-    )
+    seen = _rendered(_pieces(rows, part or piece, whole), speakers)
+    zero = F.lit(0).cast("long")
+    if whole or part:
+        columns = ["conv_id", "speaker", *(["part"] if part else []), "text", _listed(F.col("spans"), zero).alias("mask"), "n_turns", _covered(F.col("spans")).alias("n_trained")]
+        return seen.select(*columns)
+    seen = stored(seen, "pieces")
+    places = seen.select(F.col("conv_id").alias("whose"), F.col("speaker").alias("seer"), F.col("part").alias("nth"), F.length("text").cast("long").alias("n"))
+    before = Window.partitionBy("whose", "seer").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    places = places.withColumn("shift", F.coalesce(F.sum("n").over(before), zero))
+    same = F.col("conv_id").eqNullSafe(F.col("whose")) & (F.col("speaker") == F.col("seer")) & (F.col("part") == F.col("nth"))
+    shifted = seen.join(places, same).select("conv_id", "speaker", F.struct("part", "text", _listed(F.col("spans"), F.col("shift")).alias("mask")).alias("p"), "n_turns", _covered(F.col("spans")).alias("n"))
+    joined = shifted.groupBy("conv_id", "speaker").agg(F.array_sort(F.collect_list("p")).alias("ps"), F.sum("n_turns").alias("n_turns"), F.sum("n").alias("n_trained"))
+    masks = F.filter(F.transform("ps", lambda p: p["mask"]), lambda m: m != "")
+    return joined.select("conv_id", "speaker", F.array_join(F.transform("ps", lambda p: p["text"]), "").alias("text"), F.array_join(masks, ",").alias("mask"), "n_turns", "n_trained")

@@ -147,21 +147,18 @@ WITH t AS (
   FROM conversations),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, name, sha256(text)) - 1 AS place FROM t),
 p AS (SELECT DISTINCT conv_id, name AS speaker FROM t WHERE NOT system),
-r AS (SELECT conv_id, arg_max(text, place) AS rules FROM o WHERE system AND place < 64 GROUP BY conv_id),
 s AS (
-  SELECT o.conv_id, p.speaker, (place // 64)::BIGINT AS part, place, NOT system AND name = speaker AS own,
-         '<|im_start|>' || CASE WHEN system THEN 'system' WHEN name = speaker THEN 'assistant' ELSE 'user name=' || name END || chr(10) AS head,
-         text || '<|im_end|>' AS body,
-         CASE WHEN place >= 64 THEN coalesce('<|im_start|>system' || chr(10) || rules || '<|im_end|>' || chr(10), '') ELSE '' END AS lead
-  FROM o JOIN p ON o.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN r ON o.conv_id IS NOT DISTINCT FROM r.conv_id),
+  SELECT o.conv_id, p.speaker, place, NOT system AND name = speaker AS own,
+         '<|im_start|>' || CASE WHEN system THEN 'system' WHEN name = speaker THEN 'assistant' ELSE 'user name=' || name END || chr(10) AS head, text || '<|im_end|>' AS body
+  FROM o JOIN p ON o.conv_id IS NOT DISTINCT FROM p.conv_id),
 a AS (
-  SELECT *, length(lead) + coalesce(sum(length(head) + length(body) + 1) OVER (
-    PARTITION BY conv_id, speaker, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+    PARTITION BY conv_id, speaker ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS start
   FROM s)
-SELECT conv_id, speaker, part, any_value(lead) || string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+SELECT conv_id, speaker, string_agg(head || body || chr(10), '' ORDER BY place) AS text,
        coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY place) FILTER (WHERE own), '') AS mask,
        count(*) AS n_turns, coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_trained
-FROM a GROUP BY conv_id, speaker, part""",
+FROM a GROUP BY conv_id, speaker""",
     "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
