@@ -160,6 +160,61 @@ def test_html_by_the_paths_scores(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # What only looks like other things stays, on marked pages and on others.
+        (f"<div><h1>T</h1>{STORY}<p>Copyright law in Europe changed, and this is how it did.</p><ol><li>(c) the third clause, which is long</ol></div>", f"T\n\n{STORY_TEXT}\n\nCopyright law in Europe changed, and this is how it did.\n\n(c) the third clause, which is long"),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for the <label>first</label> of them.</p></article>", "So x=2 holds for the first of them."),
+        (f"<article>{STORY}<section class=legal>{STORY}</section><div class='social'>{STORY}</div></article>", f"{STORY_TEXT}\n\n{STORY_TEXT}\n\n{STORY_TEXT}"),
+        (f"<main><article>{STORY}{STORY}{STORY}</article><article><p>A second article, short as it is, has sentences of its own; two of them.</p></article></main>", f"{STORY_TEXT}\n\n{STORY_TEXT}\n\n{STORY_TEXT}\n\nA second article, short as it is, has sentences of its own; two of them."),
+        # The same names go where the scores are low.
+        (f"<article>{STORY}<div class=social><p>Like us</p></div>{STORY}<div class=legal>Terms</div></article>", f"{STORY_TEXT}\n\n{STORY_TEXT}"),
+        (f"<div class=x>{STORY}</div><div class='related'><p>More</p><p>Even more</p></div>", STORY_TEXT),
+    ],
+)
+def test_html_keeps_what_only_looks_like_other_things(page, text):
+    assert html.main_text(page) == text
+
+
+def test_html_is_decided_by_the_scores(monkeypatch):
+    """With every path, region and article as good as any other, all that HTML itself doesn't set apart comes through."""
+    side = "<div class=y><p>Nice!</p><p>So am I.</p></div>"
+    pages = [f"<article>{STORY}{side}</article>", f"<div class=x>{STORY}</div>{side}", f"<article>{STORY}</article><article><p>Read on.</p></article>", f"<article>{STORY}<div class=social><p>Like us</p></div></article>"]
+    assert [html.main_text(p) for p in pages] == [STORY_TEXT] * 4
+
+    class Even(html.Ratios):
+        def __init__(self, blocks):
+            super().__init__(blocks)
+            self.mean = 1.0
+            for of in (self.path, self.region, self.unit, self.best):
+                of.update(dict.fromkeys(of, 1.0))
+
+    monkeypatch.setattr(html, "Ratios", Even)
+    assert all(html.main_text(p) != STORY_TEXT for p in pages)
+
+
+def test_html_ratios_by_hand(documents):
+    """Path scores of pages made from documents against the definition, path by path and block by block."""
+    rng = random.Random(9)
+    for _, text in texts_of(documents)[:60]:
+        parts = [" ".join(x.split()) for x in (text or "").split("\n") if x.strip() and not set("<&") & set(x)][:30]
+        if not parts:
+            continue
+        page = "".join(f"<div><p>{x}</p></div>" if rng.random() < 0.3 else f"<p><a href=x>{x}</a></p>" if rng.random() < 0.1 else f"<p>{x}</p>" for x in parts)
+        blocks = html.Page(page).blocks
+        ratios = html.Ratios(blocks)
+        said = [len(b.text) - b.link_chars for b in blocks]
+        points = [0 if b.link_chars * 2 >= len(b.text) else sum(c in ",.;:!?¿¡…。，、；：！？" for c in b.text) for b in blocks]
+        on = lambda x, path: [v for v, b in zip(x, blocks) if b.path == path]
+        mean = lambda x: sum(x) / len(x)
+        rows = [[mean(on(x, b.path)) for b in blocks] for x in (said, points)]
+        smooth = [[(x[max(i - 1, 0)] + 2 * x[i] + x[min(i + 1, len(x) - 1)]) / 4 for i in range(len(x))] for x in rows]
+        fused = [a * (1 + p) for a, p in zip(*smooth)]
+        assert all(math.isclose(ratios.path[b.path], mean(on(fused, b.path))) for b in blocks)
+        assert math.isclose(ratios.mean, sum(len(b.text) * f for b, f in zip(blocks, fused)) / sum(len(b.text) for b in blocks))
+
+
 @pytest.mark.parametrize("page", ["<b>" * 330_000, "<div>" * 200_000, "<div>x " * 150_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, '<a ">" ' * 100_000, "<!" * 300_000, "<" * 500_000])
 def test_html_takes_time_in_proportion_to_the_page(page):
     begun = time.process_time()

@@ -32,7 +32,7 @@ _BLOCK = frozenset(
     "blockquote pre figure figcaption address details summary header footer nav aside form fieldset hr head center menu dialog".split()
 )
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_DROPPED = frozenset("head nav footer aside form fieldset button select option label menu dialog noscript template svg math canvas object audio video map datalist".split())
+_DROPPED = frozenset("head nav footer aside form fieldset button select option menu dialog noscript template svg canvas object audio video map datalist".split())
 _NEVER_BY_NAME = frozenset("html body main article".split())
 #: Elements that part a page into regions; all other blocks are the flow of text inside one.
 _SECTION = frozenset("main article section div details header center td".split())
@@ -51,9 +51,10 @@ _BAD = frozenset("ads adbox adslot advert adverts advertisement advertising adse
 # Words that do so alone, or beside words that say nothing: a search box isn't the article, search results may be.
 _BAD_ALONE = frozenset(
     "ad sponsor sponsors promo promotion banner banners menu menubar submenu rail complementary header masthead topbar toolbar footer contentinfo colophon "
-    "copyright legal comment reply replies respond consent notice notices notification alert popup modal overlay dialog newsletter subscribe subscription "
-    "signup login share sharing social related recommended recommendations pager search widget widgets skip hidden".split()
+    "copyright comment reply replies respond consent notice notices notification alert popup modal overlay dialog newsletter subscribe subscription signup login pager skip hidden".split()
 )
+# Words that an article's own parts have, too: of those the scores decide.
+_PERHAPS = frozenset("legal share sharing social related recommended recommendations search widget widgets".split())
 _SAYS_NOTHING = frozenset(
     "site page main global block box wrapper wrap container list section area bar inner outer top bottom left right col column module panel group item items "
     "links link buttons button icons media posts post articles stories news this to form field body text title content slot unit the a of and".split()
@@ -65,10 +66,10 @@ _COMMENTS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|leave a (?:comm
 
 #: A region outside the article's own stays if its score is this share of the page's mean score or more.
 ELSEWHERE = 1 / 4
-#: The same for a path within the article's region, and for a region nested in a marked article after its last text.
+#: The same for a path within the article's region, and for one in a marked article's nested regions, or in another of several marked articles.
 WITHIN, NESTED = 1 / 50, 1 / 8
-#: Of several marked articles, those with this share of the largest's text or more stay.
-ARTICLES = 1 / 5
+#: The same for a region whose name is that of other things as often as not: both its path and itself have to be that good.
+PERHAPS = 1 / 2
 
 
 @dataclass(slots=True)
@@ -77,7 +78,7 @@ class Frame:
 
     tag: str
     dropped: bool = False
-    soft: bool = False
+    soft: int = 0  # 1: named as what may be other than the article; 2: as what is
     path: int = 0
     region: int = 0
     unit: int = 0
@@ -98,33 +99,37 @@ class Block:
     unit: int
     own: bool
     heading: bool
-    soft: bool
+    soft: int
     in_table: bool
 
 
-def _named_bad(word: str) -> bool:
+def _named_bad(word: str) -> int:
+    """2 for the name of what isn't the article, 1 for one that may be its own, else 0."""
     parts = [x.lower() for x in _NAME_PART.findall(word)]
     if not parts or parts[0] in _NEUTRAL_FIRST:
-        return False
+        return 0
     if _BAD.intersection(parts):
-        return True
-    alone = _BAD_ALONE.intersection(parts)
-    return bool(alone) and all(p in alone or p in _SAYS_NOTHING for p in parts) and not ("header" in alone and _ARTICLE_NAMES.intersection(parts))
+        return 2
+    for level, words in ((2, _BAD_ALONE), (1, _PERHAPS | _BAD_ALONE)):
+        alone = words.intersection(parts)
+        if alone and all(p in alone or p in _SAYS_NOTHING for p in parts) and not ("header" in alone and _ARTICLE_NAMES.intersection(parts)):
+            return level
+    return 0
 
 
-def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether the element is hidden, and whether its class, id or role names something other than the article."""
+def _marked(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether the element is hidden, and how surely its class, id or role names something other than the article."""
     if not attrs:
-        return False, False
+        return False, 0
     if "=" not in attrs:
-        return attrs.strip(" /").lower() == "hidden", False
-    bad = False
+        return attrs.strip(" /").lower() == "hidden", 0
+    bad = 0
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True, False
+            return True, 0
         if name in ("class", "id", "role") and tag not in _NEVER_BY_NAME or name == "class" and tag == "article":
-            bad = bad or any(map(_named_bad, value.split()))
+            bad = max(bad, *map(_named_bad, value.split()), 0)
     return False, bad
 
 
@@ -199,8 +204,8 @@ class Page:
             if not self.stack[-1].dropped:
                 self._flush()
         over = self.stack[-1]
-        hidden, bad = (False, False) if over.dropped else _marked(tag, attrs)
-        frame = Frame(tag, over.dropped or hidden or tag in _DROPPED or tag == "header" and not over.unit, over.soft or bad, over.path, over.region, over.unit, over.links + (tag == "a"), over.heading or tag in _HEADING, over.in_header, over.in_table or tag == "table")
+        hidden, bad = (False, 0) if over.dropped else _marked(tag, attrs)
+        frame = Frame(tag, over.dropped or hidden or tag in _DROPPED or tag == "header" and not over.unit, max(over.soft, bad), over.path, over.region, over.unit, over.links + (tag == "a"), over.heading or tag in _HEADING, over.in_header, over.in_table or tag == "table")
         if block and tag not in ("html", "body"):
             parts = tag in _SECTION and not frame.in_table
             # Elements that part regions are told apart by their class, too.
@@ -255,16 +260,17 @@ def _smooth(x: list[float]) -> list[float]:
 
 
 class Ratios:
-    """The scores of the paths, and of the regions, that some blocks of a page lie on.
+    """The scores of the paths, the regions and the marked articles that some blocks of a page lie on.
 
     Every path gets two ratios, text length and punctuation a block, links not counted. Both are smoothed
-    along the page, fused as length * (1 + punctuation), and averaged over the path again; a region has the same
+    along the page, fused as length * (1 + punctuation), and averaged over the path again; a region, and an article, has the same
     two ratios of its own blocks, fused. The page's mean score is weighted by length.
     """
 
     def __init__(self, blocks: list[Block]):
         seen, chars, marks, linked = (defaultdict(float) for _ in range(4))
         regions: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+        units: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
         for b in blocks:
             said = len(b.text) - b.link_chars
             points = len(_PUNCTUATION.findall(b.text)) if 2 * b.link_chars < len(b.text) else 0
@@ -274,41 +280,51 @@ class Ratios:
             marks[b.path] += points
             for k, x in enumerate((1, said, points)):
                 regions[b.region][k] += x
+                units[b.unit][k] += x
         self.chars, self.linked = chars, linked
-        self.region = {r: c / n * (1 + m / n) for r, (n, c, m) in regions.items()}
+        self.region, self.unit = ({r: c / n * (1 + m / n) for r, (n, c, m) in of.items()} for of in (regions, units))
         length, punctuation = (_smooth([x[b.path] / seen[b.path] for b in blocks]) for x in (chars, marks))
         fused = [a * (1 + c) for a, c in zip(length, punctuation, strict=True)]
         self.path: dict[int, float] = defaultdict(float)
         for b, f in zip(blocks, fused, strict=True):
             self.path[b.path] += f / seen[b.path]
+        self.best: dict[int, float] = defaultdict(float)  # of each region the score of its best path
+        for b in blocks:
+            self.best[b.region] = max(self.best[b.region], self.path[b.path])
         self.mean = sum(len(b.text) * f for b, f in zip(blocks, fused, strict=True)) / sum(len(b.text) for b in blocks)
 
     def heavy(self, b: Block) -> bool:
         """Whether links make up most of the path's text."""
         return self.linked[b.path] > self.chars[b.path]
 
+    def doubtful(self, b: Block) -> bool:
+        """Whether a block of a doubtful name lies on a path, or in a region, that isn't as good as the article's text."""
+        return b.soft == 1 and min(self.best[b.region], self.region[b.region]) < PERHAPS * self.mean
+
 
 def _of_articles(blocks: list[Block]) -> list[Block]:
     """The blocks to keep of those in marked articles.
 
-    Of several articles the short ones go: teasers, comments. In an article the flow of text right under it stays, lists of links
-    and headings with it; a region nested in it goes if it has a low score and stands after the last text that hasn't,
-    or if links make up most of it; and so does what follows a heading for comments.
+    Of several articles the one with the most text stays, and those whose own score isn't low; others are teasers and comments. In an article the flow of text right under it
+    stays, lists of links and headings with it. A region nested in it is text if its best path's score isn't low, nor its own, half as strictly; what isn't goes
+    if it stands after the last text, or if links make up most of it; and so does what follows a heading for comments, and a region of a doubtful name that isn't as good as the rest.
     """
+    ratios = Ratios(blocks)
     size: dict[int, int] = defaultdict(int)
     for b in blocks:
         size[b.unit] += len(b.text) - b.link_chars
-    largest = max(size.values())
-    blocks = [b for b in blocks if size[b.unit] >= ARTICLES * largest]
+    largest = max(size, key=lambda u: (size[u], -u))
+    blocks = [b for b in blocks if b.unit == largest or ratios.unit[b.unit] >= NESTED * ratios.mean]
     ratios = Ratios(blocks)
     ended: set[int] = set()
     fine = []
     for b in blocks:
         if b.heading and _COMMENTS.fullmatch(b.text):
             ended.add(b.unit)
-        own = b.own or b.in_table
-        strong = ratios.region[b.region] >= NESTED * ratios.mean
-        fine.append(None if b.unit in ended or not own and not strong and ratios.heavy(b) else own or strong)
+        own = (b.own or b.in_table) and not b.soft
+        strong = ratios.best[b.region] >= NESTED * ratios.mean and ratios.region[b.region] >= NESTED / 2 * ratios.mean
+        gone = b.unit in ended or not own and not strong and ratios.heavy(b) or ratios.doubtful(b)
+        fine.append(None if gone else own or strong)
     last = {b.unit: i for i, (b, f) in enumerate(zip(blocks, fine, strict=True)) if f}
     return [b for i, (b, f) in enumerate(zip(blocks, fine, strict=True)) if f or f is False and i < last.get(b.unit, -1)]
 
@@ -317,13 +333,14 @@ def _of_page(blocks: list[Block]) -> list[Block]:
     """The blocks to keep of a page that marks no article.
 
     The region of the best path is the article's. There, paths stay that have a fiftieth of the page's mean score, headings, and links between
-    texts; elsewhere, paths with a quarter of it in regions with as much that aren't mostly links, and between texts all on their paths. A copyright line goes.
+    texts; elsewhere, paths with a quarter of it in regions with as much that aren't mostly links, and between texts all on their paths. Elsewhere, a copyright line goes;
+    anywhere, a region of a doubtful name that isn't as good as the rest.
     """
-    blocks = [b for b in blocks if not _COPYRIGHT.match(b.text)]
-    if not blocks:
-        return []
     ratios = Ratios(blocks)
     best = max(blocks, key=lambda b: (ratios.chars[b.path] * ratios.path[b.path], b.path))
+    kept = [b for b in blocks if not ratios.doubtful(b) and (b.region == best.region or not _COPYRIGHT.match(b.text))]
+    if len(kept) < len(blocks):
+        return _of_page(kept) if kept else []
     good = lambda b: ratios.path[b.path] >= WITHIN * ratios.mean if b.region == best.region else min(ratios.path[b.path], ratios.region[b.region]) >= ELSEWHERE * ratios.mean
     text = [i for i, b in enumerate(blocks) if not ratios.heavy(b) and good(b)]
     if not text:
@@ -342,7 +359,7 @@ def _of_page(blocks: list[Block]) -> list[Block]:
 def main_text(page: str) -> str:
     """The blocks on content paths, joined by blank lines. What is named as other than the article goes, unless nothing else is there."""
     found = Page(page).blocks
-    kept = [b for b in found if not b.soft] or found
+    kept = [b for b in found if b.soft < 2] or found
     marked = [b for b in kept if b.unit]
     kept = _of_articles(marked) if marked else _of_page(kept) if kept else []
     return "\n\n".join(b.text for b in kept)
