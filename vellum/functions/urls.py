@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .charsets import encoded
+
 from .text import unescape
 
 #: scheme, host with port, path
@@ -97,8 +99,8 @@ def joined_url(base: Column, href: Column) -> Column:
 
 
 def charset_encoded(x: Column, charset: str = "GBK") -> Column:
-    """Percent escapes of a text's bytes in a charset; letters, digits and _.-~ stay. Charsets beyond the standard ones need spark.sql.legacy.javaCharsets."""
-    pairs = F.regexp_replace(F.hex(F.encode(x, charset)), "(..)", "%$1")
+    """Percent escapes of a text's bytes in a charset; letters, digits and _.-~ stay. Null for a text that the charset can't hold."""
+    pairs = F.regexp_replace(F.hex(encoded(x, charset)), "(..)", "%$1")
     kept = r"%(?:2D|2E|5F|7E|3[0-9]|4[1-9A-F]|5[0-9A]|6[1-9A-F]|7[0-9A])"
     parts = F.regexp_extract_all(pairs, F.lit("%.."), F.lit(0))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(kept), F.char(F.conv(F.substring(p, 2, 2), 16, 10).cast("int"))).otherwise(p)), "")

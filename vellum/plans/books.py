@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scripts, text, titles, urls
+from ..functions import charsets, scripts, text, titles, urls
 from ..operators import books, extract, publish, search, segment, validate
 from ..sources import epub
 from ..sources.packages import read_packages, write_books
@@ -236,6 +236,29 @@ def landed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.sum(lines), F.lit(0)).cast("long").alias("n_line_ends"))
 
 
+# Texts in five charsets: Chinese made letter by letter, in both scripts, and the documents' own; short ones, and every third, declare theirs; every seventh ends in a byte that is none.
+_FROM, _SIMPLE, _FULL = "abcdefghijklmnopqrstuvwxyz", "的一是在不了有和人这中大为上个国我以要他时来用们生到", "的一是在不了有和人這中大為上個國我以要他時來用們生到"
+_OWN_CHARSET = ("utf-8", "gb18030", "big5", "utf-16-le", "windows-1252")
+_CHARSET = "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_OWN_CHARSET)) + " END"
+_WRITTEN = f"""CASE doc_id % 5 WHEN 0 THEN translate(lower(text), '{_FROM}', '{_SIMPLE}') WHEN 1 THEN translate(regexp_replace(lower(text), '[^\x00-\x7F]', ''{{g}}), '{_FROM}', '{_SIMPLE}')
+  WHEN 2 THEN translate(regexp_replace(lower(text), '[^\x00-\x7F]', ''{{g}}), '{_FROM}', '{_FULL}') ELSE text END"""
+_DECLARES = "CASE WHEN (doc_id % 3 = 0 OR length(text) < 60) AND doc_id % 5 <> 3 THEN concat('<meta charset=\"', CASE doc_id % 5 WHEN 1 THEN 'GBK' ELSE " + _CHARSET + " END, '\">') ELSE '' END"
+
+
+def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed bytes in several charsets: the one that is found for each, how, and the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.expr(_DECLARES.replace("\\", "")), F.expr(_WRITTEN.replace("\\", "\\\\").format(g=""))).alias("text"))
+    raw = [F.when(F.col("doc_id") % 5 == k, F.concat(F.unhex(F.lit("FFFE" if c == "utf-16-le" else "")), charsets.encoded(F.col("text"), c))) for k, c in enumerate(_OWN_CHARSET)]
+    raw = F.concat(F.coalesce(*raw), F.unhex(F.when((F.col("doc_id") % 7 == 0) & (F.col("doc_id") % 5 < 3), "FF").otherwise("")))
+    found = docs.select("doc_id", charsets.decoded(raw).alias("d"))
+    return found.select("doc_id", "d.charset", "d.how", F.length("d.text").alias("n_chars"), F.sha2("d.text", 256).alias("text_sha256"))
+
+
+def charset_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles as a site whose URLs are in GBK takes them; null for those that GBK can't hold."""
+    return extract.metadata(table(spark, sf_dir, "pages")).select("page_id", urls.charset_encoded(F.col("title")).alias("escaped"))
+
+
 def split_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts parted at the anchor that ends their intro; every fourth has none. Paragraphs that a comma ends run on."""
     half = F.expr("CAST(length(text) DIV 2 AS INT)")
@@ -260,7 +283,7 @@ def preview_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", title.alias("title"), author.alias("author"))
 
 
-QUERIES = {f.__name__: f for f in (preview_fallback, category_pages, landed_answers, landed_bytes, split_posts, volume_labels, book_catalog, catalog_next, book_chapters, book_counts, engine_results, native_search, related_entries, package_refs, package_issues, package_totals, book_texts)}
+QUERIES = {f.__name__: f for f in (preview_fallback, category_pages, landed_answers, landed_bytes, split_posts, volume_labels, book_catalog, catalog_next, book_chapters, book_counts, engine_results, native_search, related_entries, package_refs, package_issues, package_totals, decoded_texts, charset_escapes, book_texts)}
 
 
 def _duck(x: str) -> str:
@@ -306,6 +329,17 @@ i AS (
   UNION ALL SELECT book::VARCHAR, 'order', '', number, '章 after ' || before FROM n WHERE number <> before AND number <> before + 1
   UNION ALL SELECT book::VARCHAR, 'missing', '', before + 1, CASE WHEN number > before + 2 THEN '章 to ' || (number - 1) ELSE '章' END FROM n WHERE number > before + 1)"""
 
+#: The letters of Latin-1 that GBK has.
+_IN_GBK = "".join(c for c in map(chr, range(0xA0, 0x100)) if charsets.in_charset(c, "gbk"))
+
+
+def _escaped_sql(x: str) -> str:
+    for c in _IN_GBK:
+        escaped = ["".join(f"%{b:02X}" for b in c.encode(charset)) for charset in ("utf-8", "gbk")]
+        x = f"replace({x}, '{escaped[0]}', '{escaped[1]}')"
+    return x
+
+
 _MADE_SQL = "SELECT page_id, url, page_id // 5 AS g FROM pages"
 ORACLE = {
     "preview_fallback": f"""
@@ -318,6 +352,15 @@ SELECT page_id, coalesce(nullif(m.heading, ''), m.title) AS title, m.intro, coal
     "landed_answers": """
 SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN len(string_split(text, chr(10)))::BIGINT END AS n_lines, CASE WHEN doc_id % 3 > 0 THEN sha256(text) END AS lines_sha256 FROM documents""",
     "landed_bytes": "SELECT coalesce(sum(octet_length(encode(coalesce(text, ''))) + 1), 0)::BIGINT AS n_bytes, coalesce(sum(length(text) - length(replace(text, chr(10), '')) + 1), 0)::BIGINT AS n_line_ends FROM documents",
+    # A last byte that is none costs a text of few other characters beyond ASCII its declaration.
+    "decoded_texts": f"""
+WITH t AS (SELECT doc_id, {_DECLARES.replace(chr(92), "")} AS head, {_WRITTEN.format(g=", 'g'")} AS body, doc_id % 7 = 0 AND doc_id % 5 < 3 AS bad FROM documents),
+w AS (SELECT *, head || body || CASE WHEN bad THEN chr(65533) ELSE '' END AS text, length(regexp_replace(body, '[\x00-\x7F]', '', 'g')) AS n FROM t)
+SELECT doc_id, CASE WHEN n = 0 AND NOT bad AND head = '' AND doc_id % 5 <> 3 THEN 'utf-8' ELSE {_CHARSET} END AS charset,
+       CASE WHEN doc_id % 5 = 3 THEN 'mark' WHEN head <> '' AND (NOT bad OR 50 <= n + 1) THEN 'declared' ELSE 'bytes' END AS how, length(text)::INTEGER AS n_chars, sha256(text) AS text_sha256 FROM w""",
+    "charset_escapes": f"""
+WITH m AS (SELECT page_id, title, url_encode(title) AS escaped FROM ({META_SQL}))
+SELECT page_id, CASE WHEN NOT regexp_matches(title, '[^\x00-\x7F{_IN_GBK}]') THEN {_escaped_sql("escaped")} END AS escaped FROM m""",
     "split_posts": """
 SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 0 THEN '' ELSE text[1:length(text) // 2] END) AS intro_sha256, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE length(text) // 2 END::INTEGER AS n_intro, '<p>one,two</p>'[-13:] AS ending FROM documents""",
     "volume_labels": """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.charsets import decoded
 from ..functions.urls import in_domain
 
 
@@ -28,10 +29,9 @@ def landed_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
-def decoded_file(content, charset: str = "UTF-8"):
-    """The text of a file's bytes. Charsets beyond the standard ones, such as GBK, need
-    spark.sql.legacy.javaCharsets, and bytes that don't fit them spark.sql.legacy.codingErrorAction."""
-    return F.decode(content, charset)
+def decoded_file(content: Column, charset: str | None = "UTF-8") -> Column:
+    """The text of a file's bytes; without a charset in the one that is found for it (functions/charsets.py). What doesn't fit becomes the replacement sign."""
+    return decoded(content)["text"] if charset is None else F.decode(content, charset)
 
 
 #: The sources: where each stands in order, its name, domain and rank among equals, and whether it can be searched.
