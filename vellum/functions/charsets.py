@@ -64,9 +64,9 @@ def score(raw: bytes, charset: str) -> float:
         return 1.0 - 4 * errors / total  # what is well-formed is hardly anything else
     share = sum(n for c, n in beyond.items() if c in common(charset)) / total
     if charset.startswith("windows"):
-        # Letters with accents stand between others, those of another alphabet side by side.
-        together = sum(len(run) for run in re.findall(rb"[\x80-\xff]{2,}", raw)) / total
-        share *= together if charset == "windows-1251" else 1 - together
+        # Letters with accents stand among many without, those of another alphabet hardly among any.
+        plain = sum(n for c, n in found.items() if c.isascii() and c.isalpha())
+        share *= (total if charset == "windows-1251" else plain) / (plain + total)
     return share - 4 * errors / total
 
 

@@ -236,20 +236,20 @@ def landed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.sum(lines), F.lit(0)).cast("long").alias("n_line_ends"))
 
 
-# Texts in five charsets: Chinese made letter by letter, in both scripts, and the documents' own; short ones, and every third, declare theirs; every seventh ends in a byte that is none.
+# Texts in five charsets: Chinese made letter by letter, in both scripts, and the documents' own; short ones, and every third, declare theirs; longer ones, every seventh, end in a byte that is none.
 _FROM, _SIMPLE, _FULL = "abcdefghijklmnopqrstuvwxyz", "的一是在不了有和人这中大为上个国我以要他时来用们生到", "的一是在不了有和人這中大為上個國我以要他時來用們生到"
 _OWN_CHARSET = ("utf-8", "gb18030", "big5", "utf-16-le", "windows-1252")
 _CHARSET = "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_OWN_CHARSET)) + " END"
 _WRITTEN = f"""CASE doc_id % 5 WHEN 0 THEN translate(lower(text), '{_FROM}', '{_SIMPLE}') WHEN 1 THEN translate(regexp_replace(lower(text), '[^\x00-\x7F]', ''{{g}}), '{_FROM}', '{_SIMPLE}')
   WHEN 2 THEN translate(regexp_replace(lower(text), '[^\x00-\x7F]', ''{{g}}), '{_FROM}', '{_FULL}') ELSE text END"""
-_DECLARES = "CASE WHEN (doc_id % 3 = 0 OR length(text) < 60) AND doc_id % 5 <> 3 THEN concat('<meta charset=\"', CASE doc_id % 5 WHEN 1 THEN 'GBK' ELSE " + _CHARSET + " END, '\">') ELSE '' END"
+_DECLARES = "CASE WHEN (doc_id % 3 = 0 OR length(text) < 200) AND doc_id % 5 <> 3 THEN concat('<meta charset=\"', CASE doc_id % 5 WHEN 1 THEN 'GBK' ELSE " + _CHARSET + " END, '\">') ELSE '' END"
 
 
 def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed bytes in several charsets: the one that is found for each, how, and the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.expr(_DECLARES.replace("\\", "")), F.expr(_WRITTEN.replace("\\", "\\\\").format(g=""))).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.concat(F.expr(_DECLARES.replace("\\", "")), F.expr(_WRITTEN.replace("\\", "\\\\").format(g=""))).alias("text"))
     raw = [F.when(F.col("doc_id") % 5 == k, F.concat(F.unhex(F.lit("FFFE" if c == "utf-16-le" else "")), charsets.encoded(F.col("text"), c))) for k, c in enumerate(_OWN_CHARSET)]
-    raw = F.concat(F.coalesce(*raw), F.unhex(F.when((F.col("doc_id") % 7 == 0) & (F.col("doc_id") % 5 < 3), "FF").otherwise("")))
+    raw = F.concat(F.coalesce(*raw), F.unhex(F.when(F.expr("doc_id % 7 = 0 AND doc_id % 5 < 3 AND n > 60"), "FF").otherwise("")))
     found = docs.select("doc_id", charsets.decoded(raw).alias("d"))
     return found.select("doc_id", "d.charset", "d.how", F.length("d.text").alias("n_chars"), F.sha2("d.text", 256).alias("text_sha256"))
 
@@ -354,7 +354,7 @@ SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN len(string_split(text, chr(10)))::B
     "landed_bytes": "SELECT coalesce(sum(octet_length(encode(coalesce(text, ''))) + 1), 0)::BIGINT AS n_bytes, coalesce(sum(length(text) - length(replace(text, chr(10), '')) + 1), 0)::BIGINT AS n_line_ends FROM documents",
     # A last byte that is none costs a text of few other characters beyond ASCII its declaration.
     "decoded_texts": f"""
-WITH t AS (SELECT doc_id, {_DECLARES.replace(chr(92), "")} AS head, {_WRITTEN.format(g=", 'g'")} AS body, doc_id % 7 = 0 AND doc_id % 5 < 3 AS bad FROM documents),
+WITH t AS (SELECT doc_id, {_DECLARES.replace(chr(92), "")} AS head, {_WRITTEN.format(g=", 'g'")} AS body, doc_id % 7 = 0 AND doc_id % 5 < 3 AND length(text) > 60 AS bad FROM documents),
 w AS (SELECT *, head || body || CASE WHEN bad THEN chr(65533) ELSE '' END AS text, length(regexp_replace(body, '[\x00-\x7F]', '', 'g')) AS n FROM t)
 SELECT doc_id, CASE WHEN n = 0 AND NOT bad AND head = '' AND doc_id % 5 <> 3 THEN 'utf-8' ELSE {_CHARSET} END AS charset,
        CASE WHEN doc_id % 5 = 3 THEN 'mark' WHEN head <> '' AND (NOT bad OR 50 <= n + 1) THEN 'declared' ELSE 'bytes' END AS how, length(text)::INTEGER AS n_chars, sha256(text) AS text_sha256 FROM w""",
