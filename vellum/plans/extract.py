@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, scripts, text, titles, urls
-from ..operators import contain, extract
+from ..operators import contain, extract, rules
 from ..sources.tables import SOURCE_COLUMNS, SOURCE_ROWS, literal, routed, table
 
 # Parts of the SQL that several queries use.
@@ -331,6 +331,35 @@ def search_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("page_id", "place", "r.title", "r.href", "r.description", F.contains("r.href", F.lit("on")).alias("on_domain"))
 
 
+# The rules of the sources: those of one find the same by other ways, and a null stands for the rest.
+RULE_ROWS = ", ".join(
+    f"({source}, 'title', 0, 'head title', NULL, NULL, 1, NULL, false), ({source}, 'title', 1, 'h1', NULL, NULL, 1, NULL, false), ({source}, 'heading', 0, '{heading}', NULL, NULL, 1, NULL, false), "
+    f"({source}, 'lang', 0, 'html', 'lang', NULL, 1, NULL, false), ({source}, 'owner', 0, 'body footer', NULL, '© ([^·]*)·', 1, NULL, false), ({source}, 'intro', 0, '{intro}', NULL, '{words}', 2, NULL, false), "
+    f"({source}, 'contents', 0, '{links}', NULL, NULL, NULL, 'href', true)"
+    for source, heading, intro, links, words in (("'com'", "article h1", "body article p", "nav ul li a", "(.*)"), ("NULL", "h1", "article p", "nav a", "^(?!(?:0|上一页|下一页|上一章|下一章|目录|返回目录|加入书签)$)(.*)$"))
+)
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", routed(urls.host(F.col("url")))["source"].alias("source"), "html")
+    names = ", ".join(c.split()[0] for c in rules.RULES.split(", "))
+    return rules.ruled(pages, literal(spark, names, RULE_ROWS))
+
+
+def ruled_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' metadata by rows of rules, no code for it."""
+    found = _ruled(spark, sf_dir).where("field <> 'contents'")
+    own = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("field", "ord", "value"))).alias("f"))
+    value = lambda name: F.array_join(F.transform(F.filter("f", lambda x: x["field"] == name), lambda x: x["value"]), "\n")
+    every = table(spark, sf_dir, "pages").select("page_id").join(own, "page_id", "left")
+    return every.select("page_id", *(F.coalesce(value(c), F.lit("")).alias(c) for c in ("title", "heading", "lang", "owner", "intro")))
+
+
+def ruled_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' contents lists by rows of rules."""
+    return _ruled(spark, sf_dir).where("field = 'contents'").select("page_id", "ord", F.col("beside").alias("href"), F.col("value").alias("label"))
+
+
 def comma_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.comma_spacing(F.col("text")).alias("text"))
 
@@ -403,6 +432,8 @@ QUERIES = {
         author_search,
         search_block_extract,
         page_elements,
+        ruled_metadata,
+        ruled_contents,
         comma_normalize,
         document_lines,
         display_format,
@@ -568,6 +599,8 @@ e AS (
   WHERE NOT o.ends GROUP BY o.page_id, o.k, o.name, o.depth),
 x AS (SELECT e.*, {plain_sql("array_to_string(list_transform(range(k + 1, until + 1), lambda i: pieces[i + 1] || CASE WHEN i < until THEN tags[i + 1] ELSE '' END), '')")} AS text FROM e JOIN l USING (page_id))
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS ord, name, depth::INTEGER AS depth, length(text)::INTEGER AS n_chars, sha256(text) AS text_sha256 FROM x""",
+    "ruled_metadata": f"SELECT page_id, title, heading, lang, owner, intro FROM ({META_SQL})",
+    "ruled_contents": CONTENTS_SQL,
     "comma_normalize": "SELECT doc_id, regexp_replace(text, '([，,])[\t ]+', '\\1', 'g') AS text FROM documents",
     "document_lines": f"""
 SELECT doc_id, line_no, text FROM (
