@@ -36,3 +36,11 @@ def test_rules_are_rows(spark):
     first = [(1, "lang", 1, "de", None), (1, "links", 1, "One", "1"), (1, "links", 2, "Two", "2"), (1, "owner", 1, "Ann", None), (1, "title", 1, "T & t", None)]
     assert got == first + [(p, "text", k, t, None) for p in (2, 3) for k, t in ((1, "ab"), (2, "c d"))]
     assert rules.ruled(pages.limit(0), table).collect() == [] and rules.ruled(pages, table.limit(0)).collect() == []
+
+
+def test_references_as_in_columns(spark):
+    from vellum.functions import text
+
+    cases = ["&#8220;a&#x4E00;&#X1F600;b&#39;", "&amp;#65; &#0;&#xD800;&#1114112;", "&#65 &#; &amp", "&#38;lt;&nbsp;x&copy;&eacute;"]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, x string").select("i", text.unescape(F.col("x")).alias("y"))
+    assert [r.y for r in df.orderBy("i").collect()] == [selectors.unescape(c) for c in cases]

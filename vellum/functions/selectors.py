@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from html import unescape
 from typing import NamedTuple
 
 from .markup import CONTAINERS
+from .text import ENTITIES
 
 _NOISE = re.compile(r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<ins[^>]*>.*?</ins>|<iframe[^>]*>.*?</iframe>|<!--.*?-->")
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -18,6 +18,21 @@ _ENDS = {"li": ({"li", "p"}, {"ul", "ol", "td", "th", "table"}), "dt": ({"dt", "
 _ENDS |= {n: ({"p"}, {"td", "th", "table"}) for n in (*CONTAINERS, "p", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "figure", "fieldset") if n not in ("html", "body", *_ENDS)}
 
 
+_NUMBERED = re.compile(r"&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));")
+
+
+def unescape(text: str) -> str:
+    """The references that functions.text.unescape decodes, and no others."""
+
+    def character(m: re.Match) -> str:
+        n = int(m[1]) if m[1] else int(m[2], 16)
+        return chr(n) if 0 < n < 0xD800 or 0xDFFF < n <= 0x10FFFF else "\ufffd"
+
+    for a, b in ENTITIES[:-1]:
+        text = text.replace(a, b)
+    return _NUMBERED.sub(character, text).replace(*ENTITIES[-1])
+
+
 class Element(NamedTuple):
     name: str
     attributes: dict[str, str]
