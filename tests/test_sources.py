@@ -126,3 +126,30 @@ def test_broken_feeds_and_unknown_engines(spark):
     assert [(x.title, x.href) for x in row.feed["items"]] == [("A", "u?a&b")] and row.feed.error is None
     assert row.other["items"] == [] and row.other.error == "unknown search engine: other"
     assert (row.name, row.next, row.none.error) == ("N & m", "/menu/2", "missing page")
+
+
+def test_landing_goes_on_where_it_was(spark, tmp_path):
+    """Passes over a folder that fills: what comes again is passed over, late rows go, a pass without news adds nothing, and after all the table is as one batch would make it."""
+    at = lambda name: f"file://{tmp_path}/{name}"
+    minute = lambda m: 600_000_000 + 60 * m
+
+    def arrive(*rows):
+        df = spark.createDataFrame([(k, f"https://m.a.example/{u}", f"<title>{t}</title>", minute(m)) for k, (u, t, m) in enumerate(rows)], "page_id long, url string, html string, s long")
+        df.select("page_id", "url", "html", F.timestamp_seconds("s").alias("landed")).write.mode("append").parquet(at("in"))
+
+    def landed():
+        pages.land(spark, at("in"), at("out"), at("passes"), partitions=2)
+        return sorted((r.url.rsplit("/", 1)[-1], r.title) for r in spark.read.parquet(at("out")).collect())
+
+    arrive(("x", "X", 0), ("x?again", "X", 0), ("y", "Y", 10))
+    assert landed() == [("x", "X"), ("y", "Y")]
+    assert landed() == [("x", "X"), ("y", "Y")]
+    arrive(("x", "new", 20), ("z", "Z", 90))
+    assert landed() == [("x", "X"), ("y", "Y"), ("z", "Z")]
+    arrive(("late", "L", 5), ("w", "W", 95))
+    assert landed() == [("w", "W"), ("x", "X"), ("y", "Y"), ("z", "Z")]
+    arrive(("v", "V", 500))
+    landed()
+    arrive(("x", "X2", 501))
+    assert landed() == [("v", "V"), ("w", "W"), ("x", "X"), ("x", "X2"), ("y", "Y"), ("z", "Z")]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"

@@ -1,7 +1,7 @@
 """Every query of the library by name, with the SQL that gives the same rows."""
 
-from .plans import books, extract, publish, search, segment
+from .plans import books, extract, landing, publish, search, segment
 
-_PLANS = (extract, search, segment, publish, books)
+_PLANS = (extract, search, segment, publish, books, landing)
 QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}

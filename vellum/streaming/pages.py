@@ -25,3 +25,18 @@ def landing_counts(pages: DataFrame, window: str = "10 minutes", late: str = "1
     host = F.regexp_extract(canonical_url(F.col("url")), "//www\\.([^/]*)", 1)
     counts = pages.withWatermark("landed", late).groupBy(F.window("landed", window).alias("w"), host.alias("host")).agg(F.count("*").alias("n"))
     return counts.select(F.col("w.start").alias("begins"), "host", "n")
+
+
+def land(spark: SparkSession, folder: str, out: str, checkpoint: str, late: str = "1 hour", partitions: int | None = None) -> None:
+    """Takes in what has landed in a folder since the last time, and ends: fresh_pages of the new files are added to the table at `out`, which files count is written there, too.
+
+    What has been read, the URLs that are remembered and the watermark are in the checkpoint, so a pass that is broken off is taken up where it was, and no row comes twice or is lost. State is
+    bounded by what lands within `late`. `partitions` is the number of its parts, fixed by the first pass; the session's number of shuffle partitions if none is given. Other queries' settings stay as they are.
+    """
+    session = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(name, spark.conf.get(name))
+    if partitions:
+        session.conf.set("spark.sql.shuffle.partitions", partitions)
+    stream = fresh_pages(landed_pages(session, folder), late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    stream.outputMode("append").trigger(availableNow=True).start().awaitTermination()
