@@ -5,11 +5,13 @@ import itertools
 import math
 import random
 import re
+import struct
 import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from vellum.llm import chat, common, embeddings, html, minhash, mixing, quality, secrets, sentencepiece, sharding, suffixes, words
@@ -821,6 +823,68 @@ def test_mix(spark, documents, table):
     assert key(again) == key(got)
 
 
+def copies_by_hand(rows, most=3):
+    """The copies of each (doc_id, source, text) by plain loops: targets, tilts by bisection, draws, and the words taken in the order of bins and cells."""
+
+    def hashed(*values, seed=42):
+        for v in values:
+            if v is not None:
+                seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+        return seed
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    docs = [(i, s, len(re.findall(common.WORD, t or "")), hashed("mix", i, s, t)) for i, s, t in rows]
+    of = {s: [d for d in docs if d[1] == s] for s in sorted({d[1] for d in docs}, key=lambda s: (s is None, (s or "").encode()))}
+    total, size = sum(d[2] for d in docs), {s: sum(d[2] for d in ds) for s, ds in of.items()}
+    weight, full = {s: k % 3 + 1 for k, s in enumerate(of)}, set()
+    while True:
+        unit = (total - sum(most * size[s] for s in full)) / max(1, sum(weight[s] for s in of if s not in full))
+        above = {s for s in of if s not in full and weight[s] * unit > most * size[s]}
+        if not above:
+            break
+        full |= above
+    out = []
+    for s, ds in of.items():
+        target = most * size[s] if s in full else weight[s] * unit
+        scale = size[s] / max(1, sum(d[2] > 0 for d in ds))
+        rate = lambda t, n: most if s in full else min(most, math.exp(min(50, t * n / scale)))  # noqa: B023, E731
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(rate(middle, d[2]) * d[2] for d in ds) < target else (low, middle)
+        tilt = round(low, 7)
+        placed = []
+        for i, _, n, draw in ds:
+            r = rate(tilt, n) if n else 0.0
+            place = (draw >> 11) / (1 << 53) / (r - math.floor(r)) if r > math.floor(r) else None
+            bin_ = None if place is None else math.floor(place * 2048) if place < 2 else 4096
+            placed.append((i, n, math.floor(r), bin_, signed(hashed(signed(draw))) % 1024))
+        rest = target - sum(n * w for _, n, w, _, _ in placed)
+        bins = sorted({p[3] for p in placed if p[3] is not None})
+        edge = last = None
+        for b in bins:
+            words = sum(n for _, n, _, x, _ in placed if x == b)
+            if rest < words:
+                edge, last, before = b, -1, 0
+                for c in sorted({p[4] for p in placed if p[3] == b}):
+                    w = sum(n for _, n, _, x, y in placed if (x, y) == (b, c))
+                    last, before = (c if before + w / 2 <= rest else last), before + w
+                break
+            rest -= words
+        out += [(i, w + (x is not None and (edge is None or x < edge or x == edge and c <= last))) for i, _, w, x, c in placed]
+    return sorted(out, key=repr)
+
+
+def test_mixing_gives_the_copies_of_plain_loops(spark, documents):
+    rows = [(r.doc_id, r.source, r.text) for r in documents.select("doc_id", "source", "text").collect()]
+    assert sorted(((r.doc_id, r.copies) for r in mixing.mix(documents).collect()), key=repr) == copies_by_hand(rows)
+    rng = random.Random(10)
+    rows = [(rng.choice([None, k]), rng.choice(["a", "b", "é", None, "tiny"] if k % 20 == 0 else ["a", "b"]), "w " * rng.choice([0, 1, 5, 50, 400])) for k in range(400)] + [(7, "hot", "one two three")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = [sorted(((r.doc_id, r.copies) for r in mixing.mix(df.repartition(n)).collect()), key=repr) for n in (2, 7)]
+    assert got[0] == got[1] == copies_by_hand(rows)
+
+
 def test_tilts_solve_the_dual(spark):
     histogram = spark.createDataFrame([("a", s, n) for s, n in ((1, 50), (10, 30), (200, 3))] + [("b", 5, 9)], "source string, size long, n long")
     goals = spark.createDataFrame([("a", 650.0, 950, 83), ("b", 100.0, 45, 9)], "source string, target double, source_size long, docs long")

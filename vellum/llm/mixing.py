@@ -113,8 +113,8 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     histogram of these quotients, refined once: no source is ever sorted in one task.
 
     Null texts have size 0 and are taken 0 times; null sources are one source, last in order;
-    rows that are equal in id, source and text get the same draw, rows without an id one each; an empty
-    table gives no rows; other columns are not read. Reruns agree.
+    rows that are equal in id, source and text get the same draw, those without an id among them; an empty
+    table gives no rows; other columns are not read. Reruns agree, however the rows are split over tasks.
     """
     sizes = stored(docs.select("doc_id", "source", *_sized()), "sizes")
     solved, limits, sources = _solved(sizes, most)
@@ -123,9 +123,9 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
 
 
 def _sized() -> tuple[Column, Column]:
-    """A row's size in words, and its draw; rows without an id are told apart by their number."""
+    """A row's size in words, and its draw, which follows from its id, source and text alone, wherever it is read again."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return size.alias("size"), F.xxhash64(F.lit("mix"), "doc_id", "source", "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).alias("draw")
+    return size.alias("size"), F.xxhash64(F.lit("mix"), "doc_id", "source", "text").alias("draw")
 
 
 def _rated(rows: DataFrame, solved: DataFrame, sources: int, most: int) -> DataFrame:
