@@ -211,3 +211,16 @@ def test_headings(spark):
     assert [r[0] for r in df.select(segment.without_heading(F.col("t"), F.col("h"))).collect()] == [["x"], ["x"], [], []]
     df = spark.createDataFrame([("a", "b"), (" ", "b"), (None, "b")], "p string, t string")
     assert [r[0] for r in df.select(segment.chosen_title(F.col("p"), F.col("t"))).collect()] == ["a", "b", "b"]
+
+
+def test_chapters_that_repeat_the_intro(spark):
+    intro = ["A first paragraph of it.", " ", "And a second paragraph."]
+    rows = [
+        (1, 1, 1, "第0章", intro + ["then the story"]), (1, 1, 2, "第0章", intro), (2, 1, 1, "第零章", intro), (3, 1, 1, "第1章", intro), (4, 2, 1, "第 0 章 x", ["文案 内容标签", "立意", "A first paragraph of it!"]),
+        (5, 1, 1, "第0章", ["A first paragraph of it.", "something else, long enough"]), (6, 1, 1, "第0章", intro), (None, 1, 1, "第0章", intro),
+    ]
+    chapters = spark.createDataFrame(rows, "book long, vid long, cid long, chapter string, texts array<string>")
+    intros = spark.createDataFrame([(b, intro) for b in (1, 2, 3, 4, 5)], "book long, intro array<string>")
+    got = {(r.book, r.cid): r.texts for r in segment.without_repeated_intros(chapters, intros).collect()}
+    # Blank paragraphs of the intro don't count, but one of the chapter ends what it repeats.
+    assert got == {(1, 1): [" ", "And a second paragraph.", "then the story"], (1, 2): intro, (2, 1): [" ", "And a second paragraph."], (3, 1): intro, (4, 1): rows[4][4], (5, 1): rows[5][4], (6, 1): intro, (None, 1): intro}

@@ -209,6 +209,30 @@ def without_prefix(intro: Column, chapter: Column) -> Column:
     return F.slice(chapter, start, F.greatest(F.size(chapter) - start + 1, F.lit(0)))
 
 
+# The title of the chapter that may repeat an intro, and the words by which such a chapter is known.
+ZERO_CHAPTER = r"^\s*第\s*[0零〇]\s*章"
+INTRO_MARKERS = ("文案", "内容标签", "搜索关键字", "一句话简介", "立意")
+
+
+def repeats_intro(title: Column, texts: Column, intro: Column) -> Column:
+    """Whether a chapter only says the book's intro again: it is called chapter nought, and three times or more has a marker's word, or has three fifths of the intro's paragraphs."""
+    return title.rlike(ZERO_CHAPTER) & ((marker_hits(texts, INTRO_MARKERS) >= 3) | F.coalesce(overlap(intro, texts) >= 0.6, F.lit(False)))
+
+
+def without_repeated_intros(chapters: DataFrame, intros: DataFrame) -> DataFrame:
+    """chapters(book, vid, cid, chapter, texts, ...) where a book's first chapter, if it repeats the book's intro, goes on after what it repeats from its beginning; it goes if that is all.
+
+    intros(book, intro), an array of paragraphs a book; books without one keep their chapters. What a chapter repeats is known only when it does in all: by `repeats_intro`.
+    """
+    order = F.struct("vid", "cid")
+    first = chapters.groupBy(F.col("book").alias("of")).agg(F.min(order).alias("first"))
+    known = first.join(intros.select(F.col("book").alias("whose"), "intro"), F.col("of") == F.col("whose")).select("of", "first", "intro")
+    rows = chapters.join(known, F.col("book").eqNullSafe(F.col("of")) & (order == F.col("first")), "left")
+    again = F.col("intro").isNotNull() & repeats_intro(F.col("chapter"), F.col("texts"), F.col("intro"))
+    rows = rows.withColumn("texts", F.when(F.coalesce(again, F.lit(False)), without_prefix(F.col("intro"), F.col("texts"))).otherwise(F.col("texts")))
+    return rows.where(F.size("texts") > 0).select(*chapters.columns)
+
+
 def without_heading(texts: Column, title: Column) -> Column:
     """A page's paragraphs without a first one that only repeats the chapter's title."""
     same = F.coalesce(paragraph_key(F.get(texts, F.lit(0))) == paragraph_key(title), F.lit(False))

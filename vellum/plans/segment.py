@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
-from ..operators import extract, segment
+from ..operators import extract, scan, segment
 from ..sources.tables import table
 from .extract import CONTENTS_SQL
 
@@ -93,19 +93,33 @@ def toc_title_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intro_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each document's paragraphs come again in the next one of its source. Keys and marks are made once a document, before the join."""
+    """How far each document's paragraphs come again in the next one of its source, by id. Keys and marks are made once a document, before they meet."""
     lines = F.split("text", "\n")
-    keys = F.transform(segment.comparison_keys(lines), lambda k: F.xxhash64(k))  # what is joined is numbers, not paragraphs
-    docs = table(spark, sf_dir, "documents").select("doc_id", keys.alias("keys"), segment.marker_hits(lines, ("the ", "and ")).alias("hits"))
-    # Every document is once an intro and once the chapter of another: one scan, one shuffle.
-    part = lambda a, intro, chapter, hits: F.struct(a.alias("a"), intro.alias("intro"), chapter.alias("chapter"), hits.alias("hits"))
-    none, no_hits = F.lit(None).cast("array<bigint>"), F.lit(None).cast("int")
-    parts = docs.select(F.explode(F.array(part(F.col("doc_id"), F.col("keys"), none, no_hits), part(F.col("doc_id") - 20, none, F.col("keys"), F.col("hits")))).alias("p")).select("p.*")
-    pairs = parts.groupBy("a").agg(*(F.first(c, True).alias(c) for c in ("intro", "chapter", "hits"))).where("intro IS NOT NULL AND chapter IS NOT NULL")
+    keys = F.transform(segment.comparison_keys(lines), lambda k: F.xxhash64(k))  # what is compared is numbers, not paragraphs
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", keys.alias("keys"), segment.marker_hits(lines, ("the ", "and ")).alias("hits"))
+    # A source of a third of all documents is walked in parts.
+    pairs = scan.running(docs, ["source"], ["doc_id"], scan.fits(docs, "source"), before=scan.last(F.struct(F.col("doc_id").alias("a"), "keys"), before=True)).where("before IS NOT NULL")
+    pairs = pairs.select("before.a", F.col("before.keys").alias("intro"), F.col("keys").alias("chapter"), "hits")
     found = pairs.select("a", bound(segment.shared(F.col("intro"), F.col("chapter")), lambda share: F.struct(share.alias("share"), (share >= 0.6).alias("much"))).alias("x"), "hits")
     return found.select("a", "x.share", "hits", F.coalesce((F.col("hits") >= 3) | F.col("x.much"), F.lit(False)).alias("repeats"))
 
 
+# Every document is a book: its first lines are the intro, and its first chapter repeats them, alone or before others, or has other lines or marks.
+_BEGIN = "slice(l, 1, CAST(1 + doc_id % 3 AS INT))"
+_AFTER = "slice(l, CAST(2 + doc_id % 3 AS INT), size(l))"
+_FIRST_CHAPTER = f"CASE doc_id % 4 WHEN 0 THEN {_BEGIN} WHEN 1 THEN concat({_BEGIN}, {_AFTER}) WHEN 2 THEN {_AFTER} ELSE concat(array('文案：x', '内容标签', '立意'), {_AFTER}) END"
+
+
+def intro_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books' chapters without first ones that only say the intro again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    chapter = lambda cid, title, texts: F.struct(F.lit(cid).alias("cid"), title.alias("chapter"), texts.alias("texts"))
+    both = F.array(chapter(0, F.when(F.col("doc_id") % 5 == 0, "第1章 x").otherwise("第0章 x"), F.expr(_FIRST_CHAPTER)), chapter(1, F.lit("第2章"), F.col("l")))
+    chapters = docs.select(F.col("doc_id").alias("book"), F.lit(1).alias("vid"), F.explode(both).alias("c")).select("book", "vid", "c.*").where(F.size("texts") > 0)
+    kept = segment.without_repeated_intros(chapters, docs.select(F.col("doc_id").alias("book"), F.expr(_BEGIN).alias("intro")))
+    return kept.select("book", "cid", F.size("texts").cast("long").alias("n_texts"), F.sha2(F.array_join("texts", "\n"), 256).alias("texts_sha256"))
+
+
 def intro_prefix_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines without as many as an intro made of its first ones, and a blank one, repeats."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
@@ -136,6 +150,7 @@ QUERIES = {
         take_until_marker,
         toc_title_repair,
         intro_overlap,
+        intro_repeated,
         intro_prefix_trim,
         adaptive_markers,
     )
@@ -221,12 +236,21 @@ SELECT book, line_no, text FROM (SELECT *, max(regexp_matches(text, '[#*$%&]{{3}
 SELECT page_id, ord, CASE WHEN good THEN label ELSE last_value(CASE WHEN good THEN label END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) || '（续）' END AS label
 FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) = 1 OR NOT regexp_matches(label, '[.,]$') AS good FROM ({CONTENTS_SQL}))""",
     "intro_overlap": f"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-p AS (SELECT a.doc_id AS a, {_keys("a.lines")} AS i, {_keys("b.lines")} AS c,
-             (len(list_filter(b.lines, lambda t: contains(t, 'the '))) + len(list_filter(b.lines, lambda t: contains(t, 'and '))))::INTEGER AS hits
-      FROM d a JOIN d b ON b.doc_id = a.doc_id + 20),
+WITH d AS (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents),
+n AS (SELECT doc_id AS a, lines AS own, lead(lines) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM d),
+p AS (SELECT a, {_keys("own")} AS i, {_keys("next")} AS c,
+             (len(list_filter(next, lambda t: contains(t, 'the '))) + len(list_filter(next, lambda t: contains(t, 'and '))))::INTEGER AS hits
+      FROM n WHERE next IS NOT NULL),
 s AS (SELECT a, len(list_intersect(i, c)) / nullif(len(i), 0) AS share, hits FROM p)
 SELECT a, share, hits, coalesce(hits >= 3 OR share >= 0.6, false) AS repeats FROM s""",
+    "intro_repeated": f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, (1 + doc_id % 3)::INTEGER AS k FROM documents),
+c AS (SELECT doc_id, l, l[1:k] AS i, CASE doc_id % 4 WHEN 0 THEN l[1:k] WHEN 1 THEN l WHEN 2 THEN l[k + 1:] ELSE list_concat(['文案：x', '内容标签', '立意'], l[k + 1:]) END AS t FROM d),
+x AS (SELECT *, list_transform(t, lambda t: {_PARA.format(x="t")}) AS ck, list_filter(list_transform(i, lambda t: {_PARA.format(x="t")}), lambda t: t <> '') AS ik,
+             len(list_intersect({_keys("i")}, {_keys("t")})) / nullif(len({_keys("i")}), 0) AS share FROM c),
+y AS (SELECT *, len(list_filter(range(1, least(len(ck), len(ik)) + 1), lambda j: ck[1:j] = ik[1:j])) AS same, doc_id % 5 > 0 AND (doc_id % 4 = 3 OR coalesce(share >= 0.6, false)) AS again FROM x),
+z AS (SELECT doc_id AS book, 0 AS cid, CASE WHEN again THEN t[same + 1:] ELSE t END AS t FROM y UNION ALL SELECT doc_id, 1, l FROM d)
+SELECT book, cid, len(t)::BIGINT AS n_texts, sha256(array_to_string(t, chr(10))) AS texts_sha256 FROM z WHERE len(t) > 0""",
     "intro_prefix_trim": f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 k AS (SELECT doc_id, lines, list_transform(lines, lambda t: {_PARA.format(x="t")}) AS chapter,
