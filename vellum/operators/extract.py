@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions.text import bound, clean, escape_html, fold_variants, search_key, unescape
+from ..functions.urls import chapter_ids, joined_url
 
 _NOISE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<ins[^>]*>.*?</ins>|<iframe[^>]*>.*?</iframe>|<!--.*?-->"
 _ANCHOR = r"(?is)<a\s[^>]*href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -236,6 +237,41 @@ def of_class(html: Column, tag: str, name: str) -> Column:
     return markup.first_inside(html, markup.named(tag, name), markup.CONTAINERS if tag in markup.CONTAINERS else markup.NAMES)
 
 
+def tags_of_class(html: Column, class_name: str, tag: str = "[a-z][a-z0-9]*") -> Column:
+    """The opening tags that have a class, in order."""
+    return F.filter(F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}\s[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>"), F.lit(0)), markup.named(tag, class_name))
+
+
+def data_of(html: Column, class_name: str, *names: str) -> Column:
+    """struct of the data attributes, by their names, of the first element of a class; null without one."""
+    first = F.get(tags_of_class(html, class_name), F.lit(0))
+    return bound(first, lambda tag: F.when(tag.isNotNull(), F.struct(*(clean(attribute(tag, n)).alias(n) for n in names))))
+
+
+# The classes of a detail page's parts.
+DETAIL, DETAIL_AUTHOR, DETAIL_START, CHAPTER_DATA = "page-novel", "auth", "js_chapter_history", "js_page_novel_chapter"
+
+
+def detail_page(html: Column, url: Column) -> Column:
+    """struct(title, author, category, start) of a book's detail page: its heading up to a chapter's number or an underscore, else the page's title up to an underscore or dash; the author;
+    where reading starts, as a URL, and the category that this names. What is absent is empty."""
+    bare = without_noise(F.coalesce(html, F.lit("")))
+    block = F.coalesce(markup.first_inside(bare, markup.named("[a-z][a-z0-9]*", DETAIL)), F.lit(""))
+
+    def read(block: Column) -> Column:
+        heading = F.regexp_extract(plain(element(block, "h1")), r"^(.*?)(?:_第[0-9]+章|_|$)", 1)
+        named = F.coalesce(F.nullif(heading, F.lit("")), F.regexp_extract(plain(element(bare, "title")), "^([^_-]*)", 1))
+        author = F.coalesce(plain(markup.first_inside(block, markup.named("[a-z][a-z0-9]*", DETAIL_AUTHOR))), F.lit(""))
+        hrefs = F.transform(tags_of_class(block, DETAIL_START, "a"), lambda t: unescape(F.regexp_extract(t, r"(?i)\shref=[\"']([^\"']*)[\"']", 1)))
+        start = F.get(F.filter(hrefs, lambda h: h != ""), F.lit(0))
+        return bound(
+            F.when(start.isNotNull(), joined_url(url, start)).otherwise(""),
+            lambda at: F.struct(clean(named).alias("title"), author.alias("author"), chapter_ids(at)["category"].alias("category"), at.alias("start")),
+        )
+
+    return bound(block, read)
+
+
 def next_page(html: Column, inside: str = "") -> Column:
     """The target of the first link called 下一页 whose target contains `inside`; null without one."""
     link = F.get(F.filter(anchors(html), lambda a: F.contains(a["label"], F.lit("下一页")) & F.contains(a["href"], F.lit(inside))), F.lit(0))

@@ -82,6 +82,21 @@ _ENGINE = "CASE g % 6 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(
 RESULT_LIMIT = 4
 
 
+# Detail pages: the pages' titles in nested parts; some have no such part, no author or no start, and their chapters' pages say the same by data attributes.
+_ESCAPED_TITLE = "replace(replace(title, '&', '&amp;'), '<', '&lt;')"
+_DETAIL = f"""concat('<html><head><title>', {_ESCAPED_TITLE}, '_list-x</title></head><body><div class="top"><div class="auth">not this</div></div>', CASE WHEN page_id % 4 = 0 THEN '' ELSE concat('<section class="wide page-novel"><div><div><h1>', {_ESCAPED_TITLE},
+  CASE page_id % 3 WHEN 0 THEN '_第12章 x_y' WHEN 1 THEN '_z' ELSE '' END, '</h1></div><script>"<h1>"</script></div><div class=info>', CASE WHEN page_id % 5 = 0 THEN '' ELSE concat('<p class="auth"> Ann <b>', lang, '</b> </p>') END, '</div><a class="other" href="/o">o</a>',
+  CASE WHEN page_id % 7 = 0 THEN '' ELSE concat('<a title="a > b" class="btn js_chapter_history" href="/novel/chapter/3_', CAST(page_id AS STRING), '_9a.html">start</a>') END, '</section>') END, '</body></html>')"""
+_DATA = f"""concat('<div data-id="0"><div class="js_page_novel_chapter" data-id="', CAST(page_id AS STRING), '" data-category="', CAST(page_id % 4 AS STRING), '" data-name="', replace({_ESCAPED_TITLE}, '"', '&quot;'), '" data-auth="A &amp; b">x</div></div>')"""
+
+
+def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books by their detail pages, and by the data of their chapters' pages."""
+    rows = extract.metadata(table(spark, sf_dir, "pages")).select("page_id", F.expr(_DETAIL).alias("detail"), F.when(F.col("page_id") % 6 > 0, F.expr(_DATA)).alias("chapter"))
+    d, c = extract.detail_page(F.col("detail"), F.lit("https://books.example/novel/1")), extract.data_of(F.col("chapter"), extract.CHAPTER_DATA, "id", "category", "name", "auth")
+    return rows.select("page_id", d.alias("d"), c.alias("c")).select("page_id", "d.*", *(F.col(f"c.{n}").alias(f"data_{n}") for n in ("id", "category", "name", "auth")))
+
+
 def engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answers' results, where they lead, each once, and four an answer at most; an unknown engine is a row with an error."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("page_id DIV 5").alias("g"))
@@ -283,7 +298,7 @@ def preview_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", title.alias("title"), author.alias("author"))
 
 
-QUERIES = {f.__name__: f for f in (preview_fallback, category_pages, landed_answers, landed_bytes, split_posts, volume_labels, book_catalog, catalog_next, book_chapters, book_counts, engine_results, native_search, related_entries, package_refs, package_issues, package_totals, decoded_texts, charset_escapes, book_texts)}
+QUERIES = {f.__name__: f for f in (preview_fallback, category_pages, detail_pages, landed_answers, landed_bytes, split_posts, volume_labels, book_catalog, catalog_next, book_chapters, book_counts, engine_results, native_search, related_entries, package_refs, package_issues, package_totals, decoded_texts, charset_escapes, book_texts)}
 
 
 def _duck(x: str) -> str:
@@ -349,6 +364,12 @@ WITH s AS (SELECT page_id, lower(regexp_extract(url, '//([^/?#]*)', 1)) AS host
 k AS (SELECT page_id FROM s WHERE (host = 'example.com' OR suffix(host, '.example.com')) AND NOT (host = 'blog.example.com' OR suffix(host, '.blog.example.com'))),
 c AS (SELECT page_id, string_agg(href, ' ' ORDER BY ord) AS posts, count(*) FILTER (WHERE contains(href, 'the') OR contains(label, 'the')) AS n FROM ({CONTENTS_SQL}) GROUP BY page_id)
 SELECT page_id, coalesce(nullif(m.heading, ''), m.title) AS title, m.intro, coalesce(c.posts, '') AS posts, coalesce(c.n, 0) AS n_the FROM k JOIN ({META_SQL}) m USING (page_id) LEFT JOIN c USING (page_id)""",
+    "detail_pages": rf"""
+WITH m AS (SELECT page_id, title, lang FROM ({META_SQL})), t AS (SELECT *, CASE WHEN page_id % 4 = 0 THEN regexp_extract(title || '_', '^([^_-]*)', 1) ELSE coalesce(nullif(regexp_extract(title, '^([^_]*)', 1), ''), '') END AS cut FROM m)
+SELECT page_id, {clean_sql("cut")} AS title, CASE WHEN page_id % 4 = 0 OR page_id % 5 = 0 THEN '' ELSE 'Ann ' || lang END AS author, CASE WHEN page_id % 4 = 0 OR page_id % 7 = 0 THEN '' ELSE '3' END AS category,
+       CASE WHEN page_id % 4 = 0 OR page_id % 7 = 0 THEN '' ELSE 'https://books.example/novel/chapter/3_' || page_id || '_9a.html' END AS start,
+       CASE WHEN page_id % 6 > 0 THEN page_id::VARCHAR END AS data_id, CASE WHEN page_id % 6 > 0 THEN (page_id % 4)::VARCHAR END AS data_category, CASE WHEN page_id % 6 > 0 THEN title END AS data_name, CASE WHEN page_id % 6 > 0 THEN 'A & b' END AS data_auth
+FROM t""",
     "landed_answers": """
 SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN len(string_split(text, chr(10)))::BIGINT END AS n_lines, CASE WHEN doc_id % 3 > 0 THEN sha256(text) END AS lines_sha256 FROM documents""",
     "landed_bytes": "SELECT coalesce(sum(octet_length(encode(coalesce(text, ''))) + 1), 0)::BIGINT AS n_bytes, coalesce(sum(length(text) - length(replace(text, chr(10), '')) + 1), 0)::BIGINT AS n_line_ends FROM documents",
