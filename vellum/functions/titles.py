@@ -10,8 +10,10 @@ from .text import SPACE, clean, unescape
 # Digits and units of Chinese numerals.
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 UNITS = {"十": 10, "百": 100, "千": 1000}
-# Meant to be wider than DIGITS and UNITS: headings may have the traditional form of two as well.
-NUMERAL = "零〇一二两兩三四五六七八九十百千"
+# The numerals of headings.
+HEADING_NUMERAL = "一二三四五六七八九十百零兩两"
+# Headings may have these of DIGITS and UNITS, too.
+NUMERAL = HEADING_NUMERAL + "〇千"
 _ANY = rf"[{NUMERAL}0-9]+"
 
 # Patterns of a chapter's number and of its label, volume and name.
@@ -22,7 +24,7 @@ SPLIT_TITLE = rf"^{SPACE}*(第{SPACE}*{_ANY}{SPACE}*章){SPACE}*(?:卷{SPACE}*((
 SECTION_TITLE = r"^第([0-9０-９一二三四五六七八九十百千两]+)节$"
 LAST_BRACKET = r"[（(][^()（）]*[)）] ?$"
 BY_AUTHOR = r"(?i)\bby +([^()（）]+)$"
-LAST_VOLUME = r"第[零一二三四五六七八九十百0-9]+卷[^()（）]*$"
+LAST_VOLUME = r"第[一二三四五六七八九十百零0-9]+卷[^()（）]*$"
 PUBLISHED = r"- ?出[書书]版.*$"
 PART_MARK = r"[（(]?[上中下][)）]?"
 SITE_NAME = r" ?[-_] ?[^-_ ]+(?:小说网|书库|site)$"

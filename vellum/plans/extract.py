@@ -535,7 +535,7 @@ WITH t AS (SELECT ord, raw, regexp_matches(raw, '{_SPLIT}') AS fits, regexp_extr
 a AS (SELECT *, {clean_sql(f"regexp_replace({clean_sql('raw')}, '[（(][^()（）]*[)）] ?$', '')")} AS named FROM t),
 b AS (SELECT *, regexp_extract(named, '(?i)\bby +([^()（）]+)$', 1) AS who FROM a),
 c AS (SELECT *, CASE WHEN who <> '' THEN {clean_sql(r"regexp_replace(named, '(?i)\bby +[^()（）]+$', '')")} ELSE named END AS t1 FROM b),
-d AS (SELECT *, {clean_sql("regexp_replace(t1, '第[零一二三四五六七八九十百0-9]+卷[^()（）]*$', '')")} AS t2 FROM c),
+d AS (SELECT *, {clean_sql("regexp_replace(t1, '第[一二三四五六七八九十百零0-9]+卷[^()（）]*$', '')")} AS t2 FROM c),
 e AS (SELECT *, {clean_sql("regexp_replace(t2, '- ?出[書书]版.*$', '')")} AS t3 FROM d),
 f AS (SELECT *, {clean_sql("regexp_replace(t3, '[（(]?[上中下][)）]? ?$', '')")} AS t4,
              {clean_sql(f"regexp_replace({clean_sql(f'''regexp_replace({clean_sql(unescape_sql('raw'))}, ' ?[-_] ?[^-_ ]+(?:小说网|书库|site)$', '')''')}, '(?:最新章节|全文阅读|免费全文阅读).*$', '')")} AS r1 FROM e),
