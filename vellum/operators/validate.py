@@ -36,28 +36,24 @@ def cross_reference_issues(refs: DataFrame) -> DataFrame:
     """
     of = lambda s: F.col("source") == s
     number = F.col("number").cast("long")
-    # One grouping by target holds everything that is said of it.
-    targets = refs.groupBy("package", "href").agg(
-        F.collect_list(F.when(of("nav"), number)).alias("nav"),
-        F.collect_list(F.when(of("ncx"), number)).alias("all_ncx"),
+    # What is said of a target is a row; references then meet it one by one, so that one with very many of them is never an array.
+    targets = refs.groupBy(F.col("package").alias("of"), F.col("href").alias("target")).agg(
+        F.count_if(of("nav")).alias("n_nav"),
         F.max_by(F.when(of("ncx"), number), F.when(of("ncx"), F.col("ord"))).alias("ncx"),
         F.min_by(F.when(of("document"), number), F.when(of("document"), F.col("ord"))).alias("document"),
     )
-    none = F.lit(None).cast("long")
-    issue = lambda kind, n, other: F.struct(F.lit(kind).alias("kind"), n.alias("number"), other.alias("other"))
-
-    def of_nav(n):
-        ncx, document = F.col("ncx"), F.col("document")
-        return F.array_compact(
-            F.array(
-                F.when(ncx.isNull(), issue("missing from ncx", n, none)).when(ncx != n, issue("ncx number", n, ncx)),
-                F.when(document.isNull(), issue("missing document", n, none)).when(document != n, issue("document number", n, document)),
-            )
+    rows = refs.where(of("nav") | of("ncx")).select("package", "href", "source", number.alias("n"))
+    rows = rows.join(targets, F.col("package").eqNullSafe(F.col("of")) & F.col("href").eqNullSafe(F.col("target")))
+    none, n, ncx, document = F.lit(None).cast("long"), F.col("n"), F.col("ncx"), F.col("document")
+    issue = lambda kind, other: F.struct(F.lit(kind).alias("kind"), n.alias("number"), other.alias("other"))
+    of_nav = F.array_compact(
+        F.array(
+            F.when(ncx.isNull(), issue("missing from ncx", none)).when(ncx != n, issue("ncx number", ncx)),
+            F.when(document.isNull(), issue("missing document", none)).when(document != n, issue("document number", document)),
         )
-
-    lone = F.transform("all_ncx", lambda n: issue("missing from nav", n, none))
-    found = F.when(F.size("nav") > 0, F.flatten(F.transform("nav", of_nav))).otherwise(lone)
-    return targets.select("package", "href", F.explode(found).alias("i")).select("package", "i.kind", "href", "i.number", "i.other")
+    )
+    lone = F.array_compact(F.array(F.when(F.col("n_nav") == 0, issue("missing from nav", none))))
+    return rows.select("package", "href", F.explode(F.when(of("nav"), of_nav).otherwise(lone)).alias("i")).select("package", "i.kind", "href", "i.number", "i.other")
 
 
 def report(issues: DataFrame, refs: DataFrame) -> DataFrame:
