@@ -206,7 +206,7 @@ def package_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def book_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, intros, lines, headings and covers by the sites' rules."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.substring("text", 1, 30).alias("begin"), F.expr("concat('<b>', replace(replace(replace(substring(text, 1, 400), '&', '&amp;'), '<', '&lt;'), '\n', '<br>'), '</b><br><br/>書 end<br>')").alias("intro"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("begin"), F.expr("concat('<b>', replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '\n', '<br>'), '</b><br><br/>書 end<br>')").alias("intro"))
     title = titles.site_title(F.concat(F.expr("replace(begin, '\n', ' ')"), F.expr("CASE doc_id % 3 WHEN 0 THEN ' 丨 [BL]' WHEN 1 THEN '[BL] x' ELSE '' END")))
     lines = extract.without_boilerplate(F.array_append(F.split("text", "\n"), F.expr("CASE doc_id % 4 WHEN 0 THEN '见最新网址 a' WHEN 1 THEN '返回目录 b' WHEN 2 THEN '去返回目录' ELSE '霹雳书屋' END")))
     picked = chosen(F.concat(F.lit("m."), F.element_at(F.array(*(F.lit(r[2]) for r in SOURCES)), (F.col("doc_id") % 5 + 1).cast("int"))), F.expr("CASE doc_id % 7 WHEN 0 THEN 'net' WHEN 1 THEN 'nowhere' END"))
@@ -420,8 +420,8 @@ SELECT count(*) AS n_packages, count(*) FILTER (WHERE coalesce(k.n, 0) > 0) AS n
 FROM (SELECT b.book::VARCHAR AS package, count(n.number) AS n FROM (SELECT DISTINCT book FROM c) b LEFT JOIN n ON n.book = b.book GROUP BY ALL) r LEFT JOIN (SELECT package, count(*) AS n FROM i GROUP BY package) k USING (package)""",
     "book_texts": rf"""
 WITH t AS (
-  SELECT *, {clean_sql("replace(text[1:30], chr(10), ' ') || CASE doc_id % 3 WHEN 0 THEN ' 丨 [BL]' WHEN 1 THEN '[BL] x' ELSE '' END")} AS raw,
-         regexp_replace(regexp_replace(text[1:400], '^\s+', '') || chr(10) || chr(10) || '书 end' || chr(10), '\s+$', '') AS intro, string_split(text, chr(10)) AS lines
+  SELECT *, {clean_sql("split_part(text, chr(10), 1) || CASE doc_id % 3 WHEN 0 THEN ' 丨 [BL]' WHEN 1 THEN '[BL] x' ELSE '' END")} AS raw,
+         regexp_replace(regexp_replace(text, '^\s+', '') || chr(10) || chr(10) || '书 end' || chr(10), '\s+$', '') AS intro, string_split(text, chr(10)) AS lines
   FROM documents),
 i AS (SELECT *, list_filter(list_transform(string_split_regex(intro, '\n{{2,}}'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS parts FROM t)
 SELECT doc_id, {clean_sql(r"regexp_replace(replace(raw, '丨', ''), '\[BL\]$', '')")} AS title,

@@ -73,7 +73,7 @@ CONTENTS_SQL = f"""
 _DIGITS_OF = "translate(CAST(doc_id % 10000 AS {s}), '0123456789', '零一二三四五六七八九')"
 _MADE = {
     "numeral": ("documents", "concat(CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE '' END, '第', CASE WHEN doc_id % 2 = 0 THEN " + _DIGITS_OF + " ELSE concat('两千', translate(CAST(doc_id % 9 + 1 AS {s}), '123456789', '一二三四五六七八九'), '百十', CASE WHEN doc_id % 3 = 0 THEN '五' ELSE '' END) END, CASE doc_id % 5 WHEN 0 THEN '节' WHEN 1 THEN '回 x' ELSE '章' END)",),
-    "title": ("documents", "concat(CASE doc_id % 4 WHEN 0 THEN concat('第', CAST(doc_id AS {s}), '章 卷十二 ') WHEN 1 THEN '第二卷 ' ELSE '' END, replace(substring(text, 1, 18), {feed}, ' '), CASE doc_id % 5 WHEN 0 THEN ' by Ann Lee (x)' WHEN 1 THEN ' (陈一) - a小说网' WHEN 2 THEN '（下）' WHEN 3 THEN '最新章节' ELSE '' END)",),
+    "title": ("documents", "concat(CASE doc_id % 4 WHEN 0 THEN concat('第', CAST(doc_id AS {s}), '章 卷十二 ') WHEN 1 THEN '第二卷 ' ELSE '' END, split_part(text, {feed}, 1), CASE doc_id % 5 WHEN 0 THEN ' by Ann Lee (x)' WHEN 1 THEN ' (陈一) - a小说网' WHEN 2 THEN '（下）' WHEN 3 THEN '最新章节' ELSE '' END)",),
     "url": ("pages", "CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN concat('http://blog.mirror.example/?x=1&no=', CAST(page_id AS {s})) WHEN 2 THEN concat('https://read.example/book/', CAST(page_id AS {s}), '/', CAST(page_id % 9 AS {s}), '_2.html?a') WHEN 3 THEN concat('https://api.example/chapter/', CAST(page_id AS {s}), '_0af_9c.html') WHEN 4 THEN concat('//m.example.com//a/', CAST(page_id AS {s})) ELSE concat('x', url) END",),
     "link": ("pages", "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('/url?sa=U&q=https%3A%2F%2Fa.example%2F', CAST(page_id AS {s}), '%20b+c&x=1') WHEN 2 THEN concat('//find.example/l/?x=1&uddg=http%3A%2F%2Fb.example%2F', CAST(page_id AS {s})) ELSE concat('/p/', CAST(page_id AS {s})) END",),
     "variant": ("documents", "concat(text, CASE doc_id % 4 WHEN 0 THEN '靈書' WHEN 1 THEN '乾坤乾淨瞭解' WHEN 2 THEN '头发发现' ELSE '計畫與藝術' END, CAST(doc_id AS {s}))",),
@@ -229,7 +229,7 @@ CASE_ROWS = """
 
 
 CASE_MADE = """concat('Book ', CAST(doc_id % 4 AS {s})), concat(CASE WHEN doc_id % 3 = 0 THEN 'The ' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN 'BOOK' ELSE 'of book' END, CAST(doc_id % 7 AS {s})),
-  CASE WHEN doc_id % 2 = 0 THEN concat('book', CAST(doc_id % 3 AS {s})) ELSE '' END, substring(text, 1, 40)"""
+  CASE WHEN doc_id % 2 = 0 THEN concat('book', CAST(doc_id % 3 AS {s})) ELSE '' END, concat(text, '')"""
 
 
 def match_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
