@@ -17,7 +17,7 @@ _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _CODE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Bytes of one numpy pass.
-PASS = 4 << 20
+PASS = 2 << 20
 
 
 @lru_cache(maxsize=4)
