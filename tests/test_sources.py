@@ -54,6 +54,16 @@ def test_share_of_right_charsets():
         assert sum(charsets.decode(t.encode(charset))[2] == t for t in texts) >= 0.98 * len(texts)
 
 
+def test_letters_with_accents_are_no_byte_pairs():
+    """Bytes that could be half-width kana or a rare Chinese letter: among Latin letters, or alone, they are capitals, ß and the like; in runs they are kana."""
+    for text in ("Der einßenlich die, enlich dem und.", "ENAU! FÜRSCHÜKEITZU! ALS! DER! FÜR!", "ertzlich, ertzlich, ß, ß, ß, ß, ß, ", "GRÖßE und anderes", "der. Öäver die", "be.\nÄber ieung", "osci. Ñíco."):
+        assert charsets.decode(text.encode("windows-1252")) == ("windows-1252", "bytes", text)
+    for text in ("ﾆﾎﾝｺﾞ ﾃｷｽﾄ", "<p>ﾆﾎﾝｺﾞ</p> <b>ｱｲｳ</b>"):
+        assert charsets.decode(text.encode("shift_jis")) == ("shift_jis", "bytes", text)
+    for text in ("A股 上涨，T恤 一件", "<b>第一章</b> 远山"):
+        assert charsets.decode(text.encode("gbk")) == ("gb18030", "bytes", text)
+
+
 def test_declared_charsets_count_if_they_read_the_text():
     raw = "<meta charset='GB2312'>第一章".encode("gbk")
     assert charsets.charset_of(raw) == ("gb18030", "declared")
