@@ -115,3 +115,11 @@ def test_an_attempt_that_dies_leaves_no_package(tmp_path):
         writer.write(iter([batch(head, head | {"name": "y"}, chapter)]))
     with pytest.raises(ValueError, match="clear"):
         epub._Writer({"path": "file:///tmp/x"}, True)
+
+
+def test_checks_read_packages_once(spark, sf_dir):
+    """The checks go over references that were landed; none of their sides opens the packages again."""
+    from vellum.plans import books
+
+    for query in (books.package_issues, books.package_totals):
+        assert "epub" not in query(spark, sf_dir)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).replace(".epub", "")
