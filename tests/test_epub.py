@@ -123,3 +123,24 @@ def test_checks_read_packages_once(spark, sf_dir):
 
     for query in (books.package_issues, books.package_totals):
         assert "epub" not in query(spark, sf_dir)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).replace(".epub", "")
+
+
+def test_small_packages_are_dealt_by_number(tmp_path):
+    """Opening a package is work whatever its size: thousands of tiny ones are several tasks, each with every name once."""
+    for k in range(3000):
+        (tmp_path / f"{k}.epub").write_bytes(b"")
+    parts = epub._Reader({"path": f"file://{tmp_path}"}).partitions()
+    assert len(parts) >= 3 and max(len(p.names) for p in parts) <= 1024
+    assert sorted(n for p in parts for n in p.names) == sorted(f"{k}.epub" for k in range(3000))
+
+
+def test_large_packages_are_read_in_place(spark, tmp_path, monkeypatch):
+    """A package of more than is fetched at once gives the same rows as one that is."""
+    head = dict.fromkeys(c.split()[0] for c in epub.FILES.split(", ")) | {"name": "x", "spine": -1, "kind": "book", "title": "X", "content": "{}"}
+    chapter = head | {"spine": 1, "kind": "chapter", "file": "c.xhtml", "title": "第1章", "content": "<html><h1>第1章</h1></html>"}
+    epub.write_packages(spark.createDataFrame([head, chapter], epub.FILES), f"file://{tmp_path}")
+    reader = epub._Reader({"path": f"file://{tmp_path}"})
+    rows = lambda: [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    small = rows()
+    monkeypatch.setattr(epub, "HELD", 0)
+    assert rows() == small and {r["source"] for r in small} == {"nav", "ncx", "document"}
