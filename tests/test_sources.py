@@ -64,6 +64,21 @@ def test_letters_with_accents_are_no_byte_pairs():
         assert charsets.decode(text.encode("gbk")) == ("gb18030", "bytes", text)
 
 
+def test_charsets_take_few_texts_at_a_time(spark):
+    """Whole texts go to Python by the hundred, not by Arrow's ten thousand, even where the session prefers Arrow; each row may be written in a charset of its own."""
+    texts = [("é", "windows-1252"), ("é", "utf-8"), ("章", "big5"), ("章", "windows-1252"), ("章", None), (None, "utf-8")]
+    spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
+    try:
+        raw = spark.createDataFrame(texts, "x string, c string").coalesce(1).select(charsets.encoded(F.col("x"), F.col("c")).alias("raw"))
+        found = raw.select("raw", charsets.decoded(F.col("raw")).alias("d"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+        assert [r.raw and bytes(r.raw) for r in found.collect()] == [b"\xe9", "é".encode(), "章".encode("big5"), None, None, None]
+        assert [r.d.charset if r.d else None for r in found.collect()][3:] == [None] * 3
+    finally:
+        spark.conf.unset("spark.sql.execution.pythonUDF.arrow.enabled")
+
+
 def test_declared_charsets_count_if_they_read_the_text():
     raw = "<meta charset='GB2312'>第一章".encode("gbk")
     assert charsets.charset_of(raw) == ("gb18030", "declared")
