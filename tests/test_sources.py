@@ -64,6 +64,16 @@ def test_letters_with_accents_are_no_byte_pairs():
         assert charsets.decode(text.encode("gbk")) == ("gb18030", "bytes", text)
 
 
+def test_few_different_words_are_found():
+    """A few words again and again, single letters, a last byte that is none and the sign for such bytes are no other charset's; elements of one letter and escapes in scripts are still text."""
+    found = [("windows-1252", t) for t in ("éèen " * 50, "ññas " * 60, "éé " * 70, "ÉTÉ", "enréoi ÊÇ!! " * 20, "Größ", "enlich " * 30 + "zuö")] + [("gb18030", "要时 " * 80), ("gb18030", "时为 " * 60), ("utf-8", "a\ufffdb"), ("utf-8", "到 " * 100)]
+    found += [(c, "<li>春</li><li>夏</li><li>秋</li><li>冬</li>") for c in ("gb18030", "big5")] + [("windows-1251", "var s='Текст\\nТекст\\nна русском';"), ("windows-1251", "<b>Глава 1</b> Дом"), ("windows-1251", "США и СССР в XX веке"), ("utf-8", "һәм үз абруйлары һәм"), ("utf-8", "The word ˈfəʊnətɪk")]
+    assert [(t, charsets.decode(t.encode(c))) for c, t in found] == [(t, (c, "bytes", t)) for c, t in found]
+    for text in ("è " * 110, "到 " * 100):
+        assert charsets.decode(text.encode() + b"\xff") == ("utf-8", "bytes", text + "\ufffd")
+    assert charsets.decode("<meta charset=utf-8>a\ufffdb é".encode())[:2] == ("utf-8", "declared")
+
+
 def test_charsets_take_few_texts_at_a_time(spark):
     """Whole texts go to Python by the hundred, not by Arrow's ten thousand, even where the session prefers Arrow; each row may be written in a charset of its own."""
     texts = [("é", "windows-1252"), ("é", "utf-8"), ("章", "big5"), ("章", "windows-1252"), ("章", None), (None, "utf-8")]
@@ -73,6 +83,7 @@ def test_charsets_take_few_texts_at_a_time(spark):
         found = raw.select("raw", charsets.decoded(F.col("raw")).alias("d"))
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+        assert [r[0] and bytes(r[0]) for r in spark.createDataFrame([("é章&",), (None,)], "x string").select(charsets.encoded(F.col("x"), "windows-1252", references=True)).collect()] == [b"\xe9&#31456;&", None]
         assert [r.raw and bytes(r.raw) for r in found.collect()] == [b"\xe9", "é".encode(), "章".encode("big5"), None, None, None]
         assert [r.d.charset if r.d else None for r in found.collect()][3:] == [None] * 3
     finally:
